@@ -48,12 +48,12 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     nxt, digit = hilbert_table(dims)
     moves, digits = F.array(*map(F.lit, nxt)), F.array(*map(F.lit, digit))
 
-    def step(acc: Column, bit: Column) -> Column:
-        corner = sum((F.shiftright(c, bit).bitwiseAND(F.lit(1)) * (1 << k) for k, c in enumerate(cells)), F.lit(0))
+    def step(acc: Column, plane: Column) -> Column:
+        corner = sum(((c.bitwiseAND(plane) != 0).cast("int") * (1 << k) for k, c in enumerate(cells)), F.lit(0))
         return let(acc["state"] * (1 << dims) + corner, lambda at: F.struct(F.get(moves, at).alias("state"), (acc["index"] * (1 << dims) + F.get(digits, at)).alias("index")))
 
     start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("index"))
-    return F.aggregate(F.array(*[F.lit(b) for b in reversed(range(bits))]), start, step, lambda acc: acc["index"])
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), start, step, lambda acc: acc["index"])
 
 
 def hashed_cell(value: Column, bits: int = BITS) -> Column:
@@ -62,8 +62,8 @@ def hashed_cell(value: Column, bits: int = BITS) -> Column:
 
 
 def size_cell(size: Column, bits: int = BITS) -> Column:
-    """Two cells for each doubling."""
-    return F.least(F.lit((1 << bits) - 1), F.floor(2 * F.log2(size + 1) / 2)).cast("int")
+    """A cell for each doubling."""
+    return F.least(F.lit((1 << bits) - 1), F.floor(F.log2(size + 1))).cast("int")
 
 
 def ranked(keyed: DataFrame, order: list[str]) -> DataFrame:
