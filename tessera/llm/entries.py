@@ -7,6 +7,7 @@ from tessera.llm.packing import op5_packing
 from tessera.llm.quality import op10_quality_rules
 from tessera.llm.shard import op6_hilbert_shards
 from tessera.llm.subword import op4_subword_dropout
+from tessera.llm.toxicity import op7_toxicity
 from tessera.llm.urlfilter import op9_url_filter
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op4_subword_dropout": op4_subword_dropout,
         "op5_packing": op5_packing,
         "op6_hilbert_shards": op6_hilbert_shards,
+        "op7_toxicity": op7_toxicity,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
