@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from tessera.llm.exact import op8_exact_dedup
+from tessera.llm.ngram_join import op2_ngram_join
 from tessera.llm.packing import op5_packing
+from tessera.llm.pitman_yor import op1_pitman_yor
 from tessera.llm.quality import op10_quality_rules
 from tessera.llm.shard import op6_hilbert_shards
+from tessera.llm.substring import op3_substring_dedup
 from tessera.llm.subword import op4_subword_dropout
 from tessera.llm.toxicity import op7_toxicity
 from tessera.llm.urlfilter import op9_url_filter
@@ -13,6 +16,9 @@ from tessera.llm.urlfilter import op9_url_filter
 
 def queries() -> dict:
     return {
+        "op1_pitman_yor": op1_pitman_yor,
+        "op2_ngram_join": op2_ngram_join,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_subword_dropout": op4_subword_dropout,
         "op5_packing": op5_packing,
         "op6_hilbert_shards": op6_hilbert_shards,
