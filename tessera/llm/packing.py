@@ -10,8 +10,11 @@ as rows of their own; extra columns are ignored; an empty table packs into nothi
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,51 +27,85 @@ WINDOW = 2048
 END = 1
 #: Input bytes whose pieces go to one group.
 GROUP_BYTES = 32 << 20
-#: Words whose ids a task remembers, in each of two generations.
-MEMO = 200_000
+#: Words whose ids a task remembers between blocks, and characters of a block.
+MEMO, BLOCK = 450_000, 12_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: How the tokenizer cuts a word, and the letters that stand for bytes that aren't printable.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def byte_letters() -> list[str]:
+    other = iter(range(256, 512))
+    return [chr(b) if b in PRINTABLE else chr(next(other)) for b in range(256)]
+
+
 class WordMemo:
     """Ids of a text, as little-endian 32-bit bytes, by way of its words between white space.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order.
+    The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order. Words of
+    Latin letters and signs are cut here as the tokenizer's file says, and only its merges are asked for; any other word
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode_batch, tokenizer.model.tokenize
+        self.cut = regex.compile(CUT).findall
+        self.letters = byte_letters()
+        self.plain = re.compile(r"[\x21-\x7e\u00a1-\u024f]+").fullmatch
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            asked = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self.parts[part] = array("I", [t.id for t in self.merge(asked)]).tobytes()
+        return ids
 
     def learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.new]
-        if len(self.new) + len(missing) > MEMO:
-            self.old, self.new = self.new, {}
-            missing = list(words)
-        known = {w: self.old[w] for w in missing if w in self.old}
-        self.new.update(known)
-        missing = [w for w in missing if w not in known]
-        for w, e in zip(missing, self.encode(missing, add_special_tokens=False)):
-            self.new[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Blocks of texts share one call of the tokenizer."""
+        if len(self.known) + len(words) > MEMO:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        if len(self.parts) > MEMO // 2:
+            self.parts = {}
+        rest = []
+        for w in words:
+            if w not in self.known:
+                if self.plain(w) and "<|" not in w:
+                    found = self.cut(w.lower())
+                    self.known[w] = self.part(found[0]) if len(found) == 1 else b"".join(map(self.part, found))
+                else:
+                    rest.append(w)
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, self.encode(some, add_special_tokens=False)))
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """A block's different words are learned before its texts are put together."""
         at = 0
         while at < len(texts):
-            block, words, size = [], set(), 0
-            while at < len(texts) and (size < 1 << 20 or not block):
-                split = (texts[at] or "").split()
-                block.append(split)
-                words.update(split)
+            begin, size, words = at, 0, set()
+            while at < len(texts) and (size < BLOCK or at == begin):
+                words.update((texts[at] or "").split())
                 size += len(texts[at] or "")
                 at += 1
             self.learn(words)
-            memo = self.new
-            for split in block:
-                yield b"".join([memo[w] for w in split])
+            ids = self.known.__getitem__
+            for text in texts[begin:at]:
+                yield b"".join(map(ids, (text or "").split()))
+
+
+@lru_cache(maxsize=1)
+def word_memo(path: str) -> WordMemo:
+    """One for a Python worker, which runs many tasks."""
+    return WordMemo(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
@@ -76,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(tokenizer_path)
+        memo = word_memo(tokenizer_path)
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), memo(batch.column(1).to_pylist())):
