@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,16 +206,21 @@ class Encoder:
                 yield mark.join(done)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
+    """One for a Python worker, which runs many tasks."""
+    return Encoder(Merges(path), rate, seed, variants)
+
+
 def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """doc_id, ids (array<int>), and whether decoding them gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(model_path)
-        encoder = Encoder(merges, rate, seed, variants)
+        encode_all = encoder(model_path, rate, seed, variants)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            found = list(encoder(doc_ids.to_pylist(), texts))
-            same = [None if b is None else merges.decode(np.frombuffer(b, "<u4")) == t for b, t in zip(found, texts)]
+            found = list(encode_all(doc_ids.to_pylist(), texts))
+            same = [None if b is None else encode_all.merges.decode(np.frombuffer(b, "<u4")) == t for b, t in zip(found, texts)]
             flat = pa.array(np.frombuffer(b"".join(b or b"" for b in found), "<i4"))
             ends = np.concatenate([[0], np.cumsum([len(b or b"") // 4 for b in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([b is None for b in found]))
