@@ -1 +1,143 @@
-"""Queries."""
+"""Queries: constraints as violation tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.arrays import softmax_entropy
+from tessera.functions.rng import environment_seed
+from tessera.operators import checks as C, sampling, weights
+from tessera.plans import views as V
+from tessera.plans.q_sampling import PRIORITY
+from tessera.plans.q_weights import ROWS
+from tessera.plans.registry import query
+
+
+@query("""WITH o AS (SELECT *, cast(o_orderkey AS varchar) k FROM orders), v AS (SELECT unnest([CASE WHEN NOT (o_totalprice > 2000) THEN 'price_range' END, CASE WHEN NOT (o_orderstatus IN ('F', 'O')) THEN 'unknown_status' END, CASE WHEN NOT (o_custkey % 3 <> 0) THEN 'customer_range' END, CASE WHEN NOT (o_orderpriority NOT LIKE '4%') THEN 'unranked' END]) code, k "key" FROM o)
+ SELECT code, "key" FROM v WHERE code IS NOT NULL""")
+def c1_record_audit(spark, d):
+    o = V._t(spark, d, "orders")
+    rules = {"price_range": F.col("o_totalprice") > 2000, "unknown_status": F.col("o_orderstatus").isin("F", "O"), "customer_range": F.col("o_custkey") % 3 != 0, "unranked": ~F.col("o_orderpriority").startswith("4")}
+    return C.row_checks(o, F.col("o_orderkey"), rules).select("code", "key")
+
+
+@query(f"""WITH {V.UNIT}, e AS (SELECT unit_id, least(3, n) / n p FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {PRIORITY}, unit_id) rn, count(*) OVER (PARTITION BY cluster_id) n FROM v_unit) WHERE rn <= 3),
+ a AS (SELECT unit_id, least(3, n) / n + CASE WHEN seq = 2 THEN 0.1 ELSE 0 END p FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {PRIORITY}, unit_id) rn, count(*) OVER (PARTITION BY cluster_id) n FROM v_unit) WHERE rn <= 3 AND seq <> 1 OR rn = 4)
+ SELECT CASE WHEN a.p IS NULL THEN 'missing' WHEN e.p IS NULL THEN 'unexpected' ELSE 'different_incl_prob' END code, unit_id "key" FROM e FULL JOIN a USING (unit_id) WHERE a.p IS NULL OR e.p IS NULL OR abs(a.p - e.p) > 1e-12""")
+def c2_selection_rederivation(spark, d):
+    """A tampered selection against the one that the pool and the seed give."""
+    units = V.unit(spark, d)
+    expected = sampling.nested_selection(units, 3)
+    four = sampling.nested_selection(units, 4).withColumn("incl_prob", F.least(F.lit(3), F.col("n_units")) / F.col("n_units"))
+    tampered = four.where("rn <= 3 and seq <> 1 or rn = 4").withColumn("incl_prob", F.col("incl_prob") + F.when(F.col("seq") == 2, 0.1).otherwise(0.0))
+    return C.same_rows(expected, tampered, "unit_id", {"incl_prob": 1e-12}).select("code", "key")
+
+
+@query("""WITH m AS (SELECT l_orderkey, max(l_quantity) m FROM lineitem GROUP BY 1), w AS (SELECT l_orderkey, exp(l_quantity - m) w FROM lineitem JOIN m USING (l_orderkey)), s AS (SELECT l_orderkey, sum(w) s FROM w GROUP BY 1),
+ h AS (SELECT l_orderkey, -sum(CASE WHEN w > 0 THEN w / s * ln(w / s) ELSE 0 END) h FROM w JOIN s USING (l_orderkey) GROUP BY 1) SELECT 'different_score' code, cast(l_orderkey AS varchar) "key" FROM h WHERE l_orderkey % 10 = 0""")
+def c3_score_rederivation(spark, d):
+    x = V._t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q")).select(F.col("l_orderkey").alias("unit_id"), softmax_entropy(F.array_sort("q")).alias("score"))
+    recorded = x.withColumn("score", F.col("score") + F.when(F.col("unit_id") % 10 == 0, 0.01).otherwise(0.0))
+    return C.same_rows(x, recorded, "unit_id", {"score": 1e-9}).select("code", "key")
+
+
+@query(f"WITH {V.DRAW} SELECT count(*) m, cast(sum(calls) AS bigint) b, cast(sum(k) AS bigint) valid, cast(sum(calls - k) AS bigint) invalid, count(DISTINCT cluster_id) clusters, count(*) * 4 = sum(calls) budget_met FROM v_rec")
+def c4_manifest_counts(spark, d):
+    r = V.draw(spark, d).select("cluster_id", F.size("draws").alias("calls"), weights.n_valid(F.col("draws")).alias("k"))
+    return r.agg(F.count("*").alias("m"), F.sum("calls").alias("b"), F.sum("k").alias("valid"), F.sum(F.col("calls") - F.col("k")).alias("invalid"), F.count_distinct("cluster_id").alias("clusters"), (F.count("*") * 4 == F.sum("calls")).alias("budget_met"))
+
+
+@query(f"WITH {V.DRAW} SELECT 'budget_identity' code, cast(unit_id AS varchar) \"key\" FROM v_rec WHERE calls <> 4")
+def c5_budget_identity(spark, d):
+    r = V.draw(spark, d).select("unit_id", F.size("draws").alias("calls"))
+    return C.row_checks(r, F.col("unit_id"), {"budget_identity": F.col("calls") == 4}).select("code", "key")
+
+
+@query("SELECT o_orderpriority arm, count(DISTINCT o_orderstatus) n_contracts, count(DISTINCT o_orderstatus) = 1 compatible FROM orders GROUP BY 1")
+def c6_arm_compatibility(spark, d):
+    return V._t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(F.count_distinct("o_orderstatus").alias("n_contracts"), (F.count_distinct("o_orderstatus") == 1).alias("compatible"))
+
+
+@query("SELECT * FROM (VALUES ('data.size'), ('seed'), ('train.lr')) t(path)")
+def c7_config_difference(spark, d):
+    a = {"seed": 1, "data": {"size": 10, "name": "x"}, "train": {"lr": 0.1, "steps": 5}, "out": "a"}
+    b = {"seed": 2, "data": {"size": 11, "name": "x"}, "train": {"lr": 0.2, "steps": 5}, "out": "b"}
+    return spark.createDataFrame([(p,) for p in C.config_difference(a, b, {"out"})], "path string")
+
+
+@query("SELECT 'overlap' code, cast(k AS varchar) \"key\" FROM (SELECT DISTINCT o_custkey k FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 1)")
+def c8_cluster_disjoint(spark, d):
+    o = V._t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return C.disjoint(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey").select("code", "key")
+
+
+@query(f"WITH {V.UNIT}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {PRIORITY}, unit_id) rn FROM v_unit) SELECT 'not_in_larger' code, unit_id \"key\" FROM r WHERE rn = 1 AND seq > 3")
+def c9_nested_arms(spark, d):
+    units = V.unit(spark, d)
+    return C.subset(sampling.nested_selection(units, 1), sampling.nested_selection(units, 3).where("seq <= 3"), "unit_id").select("code", "key")
+
+
+@query(f"{ROWS}, s AS (SELECT cluster_id, sum(CASE WHEN cluster_id % 10 = 0 THEN w * 2 ELSE w END) t FROM tv GROUP BY 1) SELECT 'weights_do_not_sum_to_1' code, cast(cluster_id AS varchar) \"key\" FROM s WHERE abs(t - 1) > 1e-6")
+def c12_dataset_invariants(spark, d):
+    rows = weights.training_rows(V.draw(spark, d)).withColumn("weight", F.col("weight") * F.when(F.col("cluster_id") % 10 == 0, 2).otherwise(1))
+    return C.all_of(C.unique(rows, "unit_id", "sample_index"), C.sums_to_one(rows, "cluster_id", "weight")).select("code", "key")
+
+
+@query("SELECT 'bad_weight' code, l_orderkey || '|' || l_linenumber \"key\" FROM lineitem WHERE NOT (l_discount > 0)")
+def c13_weight_positive(spark, d):
+    lines = V._t(spark, d, "lineitem")
+    return C.row_checks(lines, F.concat_ws("|", "l_orderkey", "l_linenumber"), {"bad_weight": (F.col("l_discount") > 0) & ~F.isnan("l_discount")}).select("code", "key")
+
+
+@query(f"WITH {V.OUTCOME} SELECT cluster_id, count(DISTINCT replicate_id) = 4 complete FROM v_eval WHERE NOT (cluster_id = 3 AND replicate_id = 1) GROUP BY 1")
+def c14_crossed_completeness(spark, d):
+    e = V.outcome(spark, d).where("not (cluster_id = 3 and replicate_id = 1)")
+    return e.groupBy("cluster_id").agg((F.size(F.collect_set("replicate_id")) == 4).alias("complete"))
+
+
+@query(f"WITH {V.OUTCOME}, r AS (SELECT replicate_id, avg(treatment) rate, min(treatment) lo, max(treatment) hi, count(*) n, count(DISTINCT cluster_id) g FROM v_eval GROUP BY 1) SELECT replicate_id, n = g unique_clusters, lo >= 0 AND hi <= 1 is_binary, abs(rate - (rate + CASE WHEN replicate_id = 2 THEN 0.01 ELSE 0 END)) <= 1e-12 rate_ok FROM r")
+def c15_evaluation_consistency(spark, d):
+    r = V.outcome(spark, d).groupBy("replicate_id").agg(F.avg("treatment").alias("rate"), F.min("treatment").alias("lo"), F.max("treatment").alias("hi"), F.count("*").alias("n"), F.count_distinct("cluster_id").alias("g"))
+    recorded = F.col("rate") + F.when(F.col("replicate_id") == 2, 0.01).otherwise(0.0)
+    return r.select("replicate_id", (F.col("n") == F.col("g")).alias("unique_clusters"), ((F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("is_binary"), (F.abs(F.col("rate") - recorded) <= 1e-12).alias("rate_ok"))
+
+
+@query("SELECT c_custkey, c_custkey % 25 <> 0 seed_ok FROM customer")
+def c19_seed_contract(spark, d):
+    derived = environment_seed(F.lit("42"), F.col("c_name"))
+    recorded = derived + F.when(F.col("c_custkey") % 25 == 0, 1).otherwise(0)
+    return V._t(spark, d, "customer").select("c_custkey", ((recorded == derived) & recorded.between(0, 2**32 - 1)).alias("seed_ok"))
+
+
+@query("SELECT event_type requested, count(*) n, count(*) FILTER (event_id % 40 = 0) mismatched FROM events WHERE value >= 0 GROUP BY 1")
+def c21_provider_identity(spark, d):
+    e = V._t(spark, d, "events").where("value >= 0").withColumn("response", F.when(F.col("event_id") % 40 == 0, "other").otherwise(F.col("event_type")))
+    return e.groupBy(F.col("event_type").alias("requested")).agg(F.count("*").alias("n"), F.count_if(F.col("response") != F.col("event_type")).alias("mismatched"))
+
+
+@query("SELECT CASE WHEN event_id % 7 = 0 THEN 'missing' ELSE 'different_h' END code, cast(event_id AS varchar) \"key\" FROM events WHERE event_id % 7 = 0 OR event_id % 10 = 0")
+def c22_ledger_context(spark, d):
+    x = V._t(spark, d, "events").select(F.col("event_id").alias("id"), F.sha2("props", 256).alias("h"))
+    y = x.where("id % 7 <> 0").withColumn("h", F.when(F.col("id") % 10 == 0, "x").otherwise(F.col("h")))
+    return C.same_rows(x, y, "id", {"h": None}).select("code", "key")
+
+
+@query("SELECT 'units' stage, CASE WHEN (SELECT count(*) FROM conversations) > 0 THEN 'PASS' ELSE 'PENDING' END status UNION ALL SELECT 'labels_known', CASE WHEN (SELECT count(*) FROM labels l LEFT JOIN documents d USING (doc_id) WHERE d.doc_id IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END UNION ALL SELECT 'prices', CASE WHEN (SELECT count(*) FROM orders WHERE o_totalprice < 2000) = 0 THEN 'PASS' ELSE 'FAIL' END")
+def c26_stage_verifier(spark, d):
+    one = lambda name, df: df.select(F.lit(name).alias("stage"), F.col("s").alias("status"))
+    units = V._t(spark, d, "conversations").agg(F.when(F.count("*") > 0, "PASS").otherwise("PENDING").alias("s"))
+    lost = V._t(spark, d, "labels").join(V._t(spark, d, "documents").select("doc_id"), "doc_id", "left_anti").agg(F.when(F.count("*") == 0, "PASS").otherwise("FAIL").alias("s"))
+    prices = V._t(spark, d, "orders").agg(F.when(F.count_if(F.col("o_totalprice") < 2000) == 0, "PASS").otherwise("FAIL").alias("s"))
+    return one("units", units).unionByName(one("labels_known", lost)).unionByName(one("prices", prices))
+
+
+@query(f"WITH {V.UNIT} SELECT count(*) > 0 not_empty, count(*) = count(DISTINCT unit_id) unique_ids FROM v_unit")
+def c27_pool_predicates(spark, d):
+    return V.unit(spark, d).agg((F.count("*") > 0).alias("not_empty"), (F.count("*") == F.count_distinct("unit_id")).alias("unique_ids"))
+
+
+@query(f"WITH {V.UNIT}, s AS (SELECT cluster_id, max(seq) >= 4 solved FROM v_unit GROUP BY 1) SELECT solved, count(DISTINCT cluster_id) clusters, count(*) turns, count(*) FILTER (NOT valid) invalid_turns FROM v_unit JOIN s USING (cluster_id) GROUP BY 1")
+def c28_solved_only(spark, d):
+    u = V.unit(spark, d)
+    s = u.groupBy("cluster_id").agg((F.max("seq") >= 4).alias("solved"))
+    return u.join(s, "cluster_id").groupBy("solved").agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("turns"), F.count_if(~F.col("valid")).alias("invalid_turns"))
