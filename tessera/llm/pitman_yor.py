@@ -257,6 +257,17 @@ def _seat_words(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out)])
 
 
+def parent_probability(customers_of: np.ndarray, tables_of: np.ndarray, vocabulary: float, customers: float, tables: float) -> np.ndarray:
+    """Of single words; an unknown one has neither customers nor tables, and one share of the base is for all of them."""
+    share = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (vocabulary + 1)
+    return (customers_of - PARENT_DISCOUNT * tables_of + share) / (PARENT_STRENGTH + customers)
+
+
+def probability(mass: np.ndarray, tables_of_context: np.ndarray, customers_of_context: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Of a word after a context; linear in the tables, so mean tables give the mean over samples."""
+    return (mass + (STRENGTH + DISCOUNT * tables_of_context) * parent) / (STRENGTH + customers_of_context)
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -323,10 +334,8 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
                 else:
                     i = s.word_order[word_at[r["source"]]]
                     count[i], in_parent[i], parent_tables[i], in_context[i] = unpacked(r["a"], "<u4"), unpacked(r["b"], "<u4"), unpacked(r["c"], "<f4"), unpacked(r["d"], "<f4")
-            share = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (vocabulary + 1)
-            parent = (in_parent - PARENT_DISCOUNT * parent_tables + share) / (PARENT_STRENGTH + customers)
             u, w = s.context, s.word
-            p = (mass + (STRENGTH + DISCOUNT * in_context[u]) * parent[w]) / (STRENGTH + count[u])
+            p = probability(mass, in_context[u], count[u], parent_probability(in_parent, parent_tables, vocabulary, customers, tables)[w])
             base = np.log10((count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
             begin = np.concatenate([[0], s.ends[:-1]])
             of_docs = lambda x: np.add.reduceat(x, begin) if len(begin) else x

@@ -177,13 +177,13 @@ class Windows:
         return np.cumsum(goes[:-1]) > 0
 
 
-def _settle_anchors(key: tuple, rows: pa.Table) -> pa.Table:
+def _settle_anchors(key: tuple, rows: pa.Table, hot: int = HOT) -> pa.Table:
     rows = rows.sort_by("source").to_pylist()
     value, of = np.unique(np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows]), return_inverse=True)
     said = np.concatenate([unpacked(r["b"], "<u4") for r in rows]).astype(np.int64)
     count = np.bincount(of, said >> 1, minlength=len(value))
     repeated = (np.bincount(of, minlength=len(value)) > 1) | (np.bincount(of, said & 1, minlength=len(value)) > 0)
-    code = np.where(repeated, np.where(count > HOT, VERY_OFTEN, REPEATED), ONCE).astype("u1")[of]
+    code = np.where(repeated, np.where(count > hot, VERY_OFTEN, REPEATED), ONCE).astype("u1")[of]
     out, at = [], 0
     for r in rows:
         out.append((ANCHOR_CODES, r["source"], key[0].as_py(), r["n"], packed(code[at : at + r["n"]]), None, None))
@@ -246,7 +246,7 @@ def _search(key: tuple, rows: pa.Table) -> pa.Table:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words as a text."""
     anchor_groups, shards = groups_for(docs, ANCHOR_BYTES), groups_for(docs, SHARD_BYTES)
     corpus = tokenised(docs, lower=False, share=1).drop("heavy")
@@ -283,7 +283,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds)][: 4 + with_text], names[: 4 + with_text])
 
     by_chunk = lambda df: df.withColumnRenamed("dest", "chunk_id").groupBy("chunk_id")
-    codes = durable(corpus.mapInArrow(send_anchors, MESSAGE).groupBy("dest").applyInArrow(_settle_anchors, MESSAGE), "anchors", "none")
+    codes = durable(corpus.mapInArrow(send_anchors, MESSAGE).groupBy("dest").applyInArrow(lambda key, rows: _settle_anchors(key, rows, hot), MESSAGE), "anchors", "none")
     segments = corpus.groupBy("chunk_id").cogroup(by_chunk(codes)).applyInArrow(send_segments, MESSAGE)
     least = segments.groupBy("dest").applyInArrow(_search, MESSAGE)
     return corpus.groupBy("chunk_id").cogroup(by_chunk(codes.unionByName(least))).applyInArrow(finish, RESULT + (", kept_text string" if with_text else ""))
