@@ -29,7 +29,7 @@ def cosine_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key:
     The counts meet on their tokens, so no pair without a common token is looked at; others have cosine 0.
     """
     norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"{k}_norm"))
-    dots = left.select(left_key, "token", F.col("n").alias("a")).join(right.select(right_key, "token", F.col("n").alias("b")), "token").groupBy(left_key, right_key).agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    dots = left.select(left_key, "token", F.col("n").alias("__n_left")).join(right.select(right_key, "token", F.col("n").alias("__n_right")), "token").groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
     return dots.join(norm(left, left_key), left_key).join(norm(right, right_key), right_key).select(left_key, right_key, (F.col("dot") / (F.col(f"{left_key}_norm") * F.col(f"{right_key}_norm"))).alias("cosine"))
 
 

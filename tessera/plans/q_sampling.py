@@ -93,13 +93,13 @@ def l10_freeze_list(spark, d):
 
 
 @query("""WITH n AS (SELECT count(*) n FROM supplier), r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 p FROM supplier),
- e AS (SELECT s_suppkey, p, 1.0::double multiplier FROM r UNION ALL SELECT s_suppkey, p + n, 0.0 FROM r, n WHERE p < (-n % 7 + 7) % 7) SELECT s_suppkey, cast(p % 7 AS int) "rank", cast(p // 7 AS bigint) slot, multiplier FROM e""")
+ e AS (SELECT s_suppkey, p, 1.0::double multiplier FROM r UNION ALL SELECT s_suppkey, i + n, 0.0 FROM n, range(7) q(i), r WHERE i < (-n % 7 + 7) % 7 AND p = i % n) SELECT s_suppkey, cast(p % 7 AS int) "rank", cast(p // 7 AS bigint) slot, multiplier FROM e""")
 def l11_padded_shards(spark, d):
     return sampling.padded_shards(V._t(spark, d, "supplier"), 7, "s_suppkey")
 
 
 @query("""WITH n AS (SELECT count(*) n FROM supplier), r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 p FROM supplier),
- e AS (SELECT s_suppkey, p, 1.0::double multiplier FROM r UNION ALL SELECT s_suppkey, p + n, 0.0 FROM r, n WHERE p < (-n % 48 + 48) % 48) SELECT cast(p // 48 AS bigint) batch, count(*) n_rows, sum(multiplier)::bigint n_real FROM e GROUP BY 1""")
+ e AS (SELECT s_suppkey, p, 1.0::double multiplier FROM r UNION ALL SELECT s_suppkey, i + n, 0.0 FROM n, range(48) q(i), r WHERE i < (-n % 48 + 48) % 48 AND p = i % n) SELECT cast(p // 48 AS bigint) batch, count(*) n_rows, sum(multiplier)::bigint n_real FROM e GROUP BY 1""")
 def l12_batch_padding(spark, d):
     rows = sampling.padded_shards(V._t(spark, d, "supplier"), 48, "s_suppkey")
     return rows.groupBy(F.col("slot").alias("batch")).agg(F.count("*").alias("n_rows"), F.sum("multiplier").cast("long").alias("n_real"))
