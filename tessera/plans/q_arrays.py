@@ -46,7 +46,7 @@ def p32_token_weights(spark, d):
     return w.select("l_orderkey", F.explode(F.arrays_zip(F.transform("x", lambda s: s["l_linenumber"]).alias("n"), "w")).alias("z")).select("l_orderkey", F.col("z.n").alias("l_linenumber"), F.round("z.w", 6).alias("token_weight"))
 
 
-@query("WITH r AS (SELECT l_orderkey, list((l_quantity >= 10)::int ORDER BY l_linenumber, l_partkey, l_suppkey) m FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_append(m[2:], 0), '') mask FROM r")
+@query("WITH r AS (SELECT l_orderkey, list((l_quantity >= 10)::int ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) m FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_append(m[2:], 0), '') mask FROM r")
 def p32_prediction_mask(spark, d):
     x = _lists(spark, d).select("l_orderkey", A.shifted_left(F.transform("q", lambda q: (q >= 10).cast("int"))).alias("m"))
     return x.select("l_orderkey", F.array_join(F.transform("m", lambda v: v.cast("string")), "").alias("mask"))
@@ -58,7 +58,7 @@ def p38_response_mask(spark, d):
     return V._t(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(m, lambda v: v.cast("string")), "").alias("mask"))
 
 
-@query("WITH r AS (SELECT l_orderkey, list(l_discount ORDER BY l_linenumber, l_partkey, l_suppkey) s, len(list(l_discount)) n FROM lineitem GROUP BY 1) SELECT l_orderkey, cast(n AS int) n, round(list_sum(s[1:n - 1]), 6) + 0.0 total, cast(8 AS int) width FROM r WHERE n >= 2 AND n <= 8")
+@query("WITH r AS (SELECT l_orderkey, list(l_discount ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) s, len(list(l_discount)) n FROM lineitem GROUP BY 1) SELECT l_orderkey, cast(n AS int) n, round(list_sum(s[1:n - 1]), 6) + 0.0 total, cast(8 AS int) width FROM r WHERE n >= 2 AND n <= 8")
 def p39_score_alignment(spark, d):
     x = _lists(spark, d).where("size(dc) between 2 and 8")
     a = x.select("l_orderkey", F.size("dc").alias("n"), A.aligned(F.col("dc"), F.lit(1), F.size("dc") - 1, F.lit(8)).alias("a"))

@@ -41,7 +41,7 @@ def draw(spark, d):
 
 
 DRAW = """v_line AS (SELECT l_orderkey unit_id, o_custkey cluster_id, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END base_value,
- row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) ln, l_returnflag action, l_quantity >= 10 valid FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity >= 10) ln, l_returnflag action, l_quantity >= 10 valid FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  v_rec AS (SELECT unit_id, cluster_id, base_value, count(*) calls, count(*) FILTER (valid) k, max((valid AND action <> base_value)::int) FILTER (valid) dis FROM v_line GROUP BY ALL)"""
 
 

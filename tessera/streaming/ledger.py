@@ -12,10 +12,10 @@ def ledger_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def accepted(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """Each request once, within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def status_counts(stream: DataFrame, time: str, status: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Requests for each tumbling window and status; works on a batch table alike."""
-    marked = stream.withWatermark(time, late) if stream.isStreaming else stream
+def status_counts(stream: DataFrame, time: str, status: str, window: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """Requests for each tumbling window and status; works on a batch table alike. late: None for a stream with a watermark."""
+    marked = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if stream.isStreaming and late else stream
     return marked.groupBy(F.window(time, window).alias("w"), status).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), status, "n")

@@ -61,11 +61,11 @@ def test_stream_equals_batch(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "event_type")
     source.unionByName(source.where("event_id < 20")).repartition(4).write.parquet(str(tmp_path / "in"))
     stream = ledger.ledger_stream(spark, str(tmp_path / "in"), source.schema)
-    counts = ledger.status_counts(ledger.accepted(stream, "event_id", "ts", "60 days"), "ts", "event_type", "1 day", "60 days")
+    counts = ledger.status_counts(ledger.accepted(stream, "event_id", "ts", "60 days"), "ts", "event_type", "1 day", None)
     q = counts.writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     got = spark.table("counts").groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
-    want = ledger.status_counts(source, "ts", "event_type", "1 day")
+    want = ledger.status_counts(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day")
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.count() > 0
 
 
