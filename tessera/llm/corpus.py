@@ -59,7 +59,7 @@ class _Places(dict):
         return place
 
 
-def tokenised(docs: DataFrame, lower: bool, share: int = 4096) -> DataFrame:
+def tokenised(docs: DataFrame, lower: bool, share: int = 4096, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """The chunk table of doc_id and text; null texts have no words.
 
     bytes.split() without arguments cuts at exactly the white space of the word rule, and bytes.lower() changes A-Z only.
@@ -90,7 +90,7 @@ def tokenised(docs: DataFrame, lower: bool, share: int = 4096) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 split = (text.lower() if lower else text).split() if text else []
-                if total and total + len(split) > CHUNK_WORDS:
+                if total and total + len(split) > chunk_words:
                     yield close()
                 ids.append(doc_id)
                 sizes.append(len(split))

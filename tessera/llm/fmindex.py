@@ -49,7 +49,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         ahead[: n - h] = rank[h:] + 1
         ahead[ends] = 0
         key = rank * (int(ahead.max()) + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = fresh

@@ -33,6 +33,8 @@ WINDOW, ANCHOR = 13, 7
 #: Occurrences from which an anchor's windows are routed one by one.
 HOT = 5_000
 ANCHOR_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+#: Words of a chunk: a task holds about a dozen numbers for each.
+CHUNK_WORDS = 1_400_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 FAR = np.iinfo(np.int64).max
@@ -77,8 +79,8 @@ class Windows:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in chunk.vocabulary), np.uint64, len(chunk.vocabulary))
         self.words = hashes[chunk.words] if len(hashes) else np.zeros(0, np.uint64)
         n, sizes = len(self.words), chunk.doc_words
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # words from here to the text's end
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # words from here to the text's end
         if n < WINDOW:
             self.start = np.zeros(0, np.int64)
             self.anchor_at = self.start
@@ -86,18 +88,24 @@ class Windows:
         else:
             grams = np.zeros(n - ANCHOR + 1, np.uint64)
             for k in range(ANCHOR):
-                grams = grams * BASE + self.words[k : n - ANCHOR + 1 + k]
+                grams *= BASE
+                grams += self.words[k : n - ANCHOR + 1 + k]
             self.grams = _mixed(grams)
+            # The least of WINDOW - ANCHOR + 1 = 7 pieces from each place on, its place in the lowest bits. Which of two equal
+            # pieces is taken doesn't matter: windows are routed by the piece, not by its place.
             m = n - WINDOW + 1
-            least, at = self.grams[:m].copy(), np.zeros(m, np.int8)
-            for k in range(1, WINDOW - ANCHOR + 1):
-                other = self.grams[k : m + k]
-                less = other < least
-                least[less], at[less] = other[less], k
-            self.start = np.flatnonzero(self.left[:m] >= WINDOW)
-            self.anchor_at = self.start + at[self.start]
+            low = np.uint64(15)
+            key = (self.grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
+            two = np.minimum(key[:-1], key[1:])
+            four = np.minimum(two[:-2], two[2:])
+            least = np.minimum(four[:m], four[3 : m + 3]) & low
+            self.start = np.flatnonzero(left[:m] >= WINDOW)
+            self.anchor_at = self.start + ((least[self.start].astype(np.int64) - self.start) & 15)
+            del key, two, four, least, left
         # anchors: different values in the chunk, by (group, value)
-        places = np.unique(self.anchor_at)
+        is_anchor = np.zeros(n, bool)
+        is_anchor[self.anchor_at] = True
+        places = np.flatnonzero(is_anchor)
         values, of = np.unique(self.grams[places], return_inverse=True) if len(places) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.places, self.count = places, np.bincount(of, minlength=len(values))
         low, high = np.full(len(values), FAR), np.full(len(values), -1)
@@ -249,7 +257,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words as a text."""
     anchor_groups, shards = groups_for(docs, ANCHOR_BYTES), groups_for(docs, SHARD_BYTES)
-    corpus = tokenised(docs, lower=False, share=1).drop("heavy")
+    corpus = tokenised(docs, lower=False, share=1, chunk_words=CHUNK_WORDS).drop("heavy")
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches):
