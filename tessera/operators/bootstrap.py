@@ -100,3 +100,21 @@ def paired_js(spark, reference: DataFrame, selected: DataFrame, value: str, repl
     reps = masses.groupBy("rep").agg(F.sum(js_terms(F.col("a"), F.col("b"))).alias("x"))
     point = both.groupBy(value).agg((F.sum("a") / n).alias("a"), (F.sum("b") / n).alias("b")).agg(F.sum(js_terms(F.col("a"), F.col("b"))).alias("estimate"))
     return point.crossJoin(F.broadcast(reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper"))))  # one row each
+
+
+def unpaired_js(spark, reference: DataFrame, selected: DataFrame, value: str, replicates: int, seed: int = 42, cluster: str = "cluster_id") -> DataFrame:
+    """As paired_js, with clusters of either side drawn by themselves."""
+    from tessera.operators.estimators import js_terms
+
+    sides, points = [], []
+    for table, name in ((reference, "a"), (selected, "b")):
+        clusters, n = _numbered(table.select(cluster).distinct(), cluster)
+        coded = table.join(clusters, cluster)
+        drawn = draws(spark, replicates, n, seed, name).groupBy("rep", "cluster_no").agg(F.count("*").alias("w"))
+        side = F.broadcast(coded) if n <= MAX_CLUSTERS // 10 else coded
+        sides.append(drawn.join(side, "cluster_no").groupBy("rep", value).agg((F.sum(F.col("w") * F.col("p")) / n).alias(name)))
+        points.append(table.groupBy(value).agg((F.sum("p") / n).alias(name)))
+    js = F.sum(js_terms(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))))
+    reps = sides[0].join(sides[1], ["rep", value], "full").groupBy("rep").agg(js.alias("x"))
+    point = points[0].join(points[1], value, "full").agg(js.alias("estimate"))
+    return point.crossJoin(F.broadcast(reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper"))))  # one row each
