@@ -115,7 +115,8 @@ def verdicts(measured: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return verdicts(measures(docs)).select("doc_id", *[f"quality_measures.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stop_ratio", "symbols_per_word", "dup_line_ratio", "upper_word_ratio")], "base_failed", "kept", "failed_rules")
+    counts = [f"quality_measures.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return verdicts(measures(docs)).select("doc_id", *counts, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
