@@ -27,8 +27,8 @@ WINDOW = 2048
 END = 1
 #: Input bytes whose pieces go to one group.
 GROUP_BYTES = 32 << 20
-#: Words whose ids a task remembers between blocks, and characters of a block.
-MEMO, BLOCK = 450_000, 12_000_000
+#: Words and parts of words whose ids a task remembers between blocks, and characters of a block.
+MEMO, PARTS, BLOCK = 800_000, 500_000, 12_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -71,21 +71,22 @@ class WordMemo:
         return ids
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MEMO:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        if len(self.parts) > MEMO // 2:
+        known = self.known
+        missing = [w for w in words if w not in known]
+        if len(known) + len(missing) > MEMO:
+            self.known = known = {w: known[w] for w in words if w in known}
+        if len(self.parts) > PARTS:
             self.parts = {}
-        rest = []
-        for w in words:
-            if w not in self.known:
-                if self.plain(w) and "<|" not in w:
-                    found = self.cut(w.lower())
-                    self.known[w] = self.part(found[0]) if len(found) == 1 else b"".join(map(self.part, found))
-                else:
-                    rest.append(w)
+        rest, plain, cut, part = [], self.plain, self.cut, self.part
+        for w in missing:
+            if plain(w) and "<|" not in w:
+                found = cut(w.lower())
+                known[w] = part(found[0]) if len(found) == 1 else b"".join(map(part, found))
+            else:
+                rest.append(w)
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, self.encode(some, add_special_tokens=False)))
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, self.encode(some, add_special_tokens=False)))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """A block's different words are learned before its texts are put together."""
