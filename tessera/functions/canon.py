@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import ship
+
 
 def record_hash(**fields: Column) -> Column:
     """sha256 of the compact JSON of fields in name order.
@@ -31,6 +33,8 @@ def text_sha256(text: Column) -> Column:
 def any_record_hash(json_text: Column) -> Column:
     """sha256 of the canonical form of JSON text with nulls, floats and control characters, by Arrow batches."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf(T.StringType())
     def canonical(texts):
         return texts.map(lambda t: None if t is None else hashlib.sha256(canonical_json(json.loads(t)).encode()).hexdigest())

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 
 def cluster_moments(rows: DataFrame, terms: dict[str, Column], outcome: Column, cluster: str) -> DataFrame:
     """cluster, m: the upper triangle of [X y]'[X y], summed over the cluster's rows."""
@@ -52,6 +54,7 @@ def bootstrap(rows: DataFrame, terms: dict[str, Column], outcome: Column, cluste
     from tessera.operators.bootstrap import _joined
 
     spark, names = rows.sparkSession, list(terms)
+    ship(spark)
     m = cluster_moments(rows, terms, outcome, cluster)
     width = (len(names) + 1) * (len(names) + 2) // 2
     sampled, _ = _joined(spark, m, cluster, replicates, seed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,19 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once a session: their Python need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-package-"), "tessera.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(here)))
+    context.addPyFile(path)
+    context._tessera_shipped = True
