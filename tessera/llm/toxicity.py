@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, remainder
+from tessera.llm.common import durable, remainder, to_python
 
 MAX_LABELLED = 20_000
 STEMS = (4, 5, 6, 7)
@@ -160,8 +160,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *(pa.array([c[k] for c in count.values()], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
 
     odds = F.log((F.col("toxic") + 0.1) / (toxic + 0.2)) - F.log((F.col("clean") + 0.1) / (clean + 0.2))
-    least = max(2, min(8, toxic // 50))
-    counts = sample.select("text", "toxic").mapInArrow(counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    least = max(3, min(8, toxic // 50))
+    counts = to_python(sample.select("text", "toxic")).mapInArrow(counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     good = counts.where((F.col("toxic") >= least) & (F.col("clean") <= F.when(F.col("term").endswith(" "), 0.25).otherwise(0.05) * F.col("toxic"))).select("term", "clean", "toxic", odds.alias("odds"))
     candidates = {r["term"]: r for r in good.orderBy(F.desc("toxic"), F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()}
 
@@ -251,7 +251,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 ["doc_id", "score", "weight", "matches"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, weight double, matches long")
+    return to_python(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, weight double, matches long")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
