@@ -85,3 +85,14 @@ def fixed_width_bin(value: Column, low: float, high: float, bins: int) -> Column
     """0-based; values are held within the range and the upper end belongs to the last bin."""
     held = F.least(F.greatest(value.cast("double"), F.lit(float(low))), F.lit(float(high)))
     return F.least(F.lit(bins - 1), F.floor((held - low) / (high - low) * bins)).cast("int")
+
+
+def without_trailing(values: Column, padding: Column) -> Column:
+    """values up to the last one that isn't padding."""
+    last = F.array_max(F.transform(values, lambda v, i: F.when(v != padding, i + 1).otherwise(0)))
+    return F.slice(values, 1, F.coalesce(last, F.lit(0)))
+
+
+def unwrapped(info: Column) -> Column:
+    """A map of one-element lists as a map of their elements."""
+    return F.transform_values(info, lambda _, v: F.get(v, F.lit(0)))
