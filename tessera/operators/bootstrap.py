@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.rng import draw
+from tessera.operators.single import with_values
 
 MAX_CLUSTERS = 100_000
 
@@ -49,7 +50,7 @@ def mean_difference(spark, table: DataFrame, value: str, order: str, replicates:
     """estimate, lower, upper of a mean over clusters, floor-index quantiles."""
     sampled, _ = _joined(spark, table, order, replicates, seed)
     reps = sampled.groupBy("rep").agg(F.avg(value).alias("x"))
-    return table.agg(F.avg(value).alias("estimate")).crossJoin(F.broadcast(reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper"))))  # one row each
+    return with_values(table.agg(F.avg(value).alias("estimate")), reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper")))
 
 
 def ratio(spark, table: DataFrame, numerator: str, denominator: str, order: str, replicates: int, seed: int = 42, linear: bool = False) -> DataFrame:
@@ -62,7 +63,7 @@ def ratio(spark, table: DataFrame, numerator: str, denominator: str, order: str,
     reps = sampled.groupBy("rep").agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b")).where("b > 0").orderBy("rep").limit(replicates).select((F.col("a") / F.col("b")).alias("x"))
     quantile = (lambda p: F.percentile("x", F.lit(p))) if linear else (lambda p: floor_quantile("x", p))
     point = table.agg((F.sum(numerator) / F.sum(denominator)).alias("estimate"))
-    return point.crossJoin(F.broadcast(reps.agg(quantile(0.025).alias("lower"), quantile(0.975).alias("upper"), F.count("*").alias("kept"))))  # one row each
+    return with_values(point, reps.agg(quantile(0.025).alias("lower"), quantile(0.975).alias("upper"), F.count("*").alias("kept")))
 
 
 def crossed(spark, panel: DataFrame, replicate_col: str, cluster: str, value: str, replicates: int, seed: int = 42, resample_replicates: bool = True) -> DataFrame:
@@ -81,7 +82,7 @@ def crossed(spark, panel: DataFrame, replicate_col: str, cluster: str, value: st
     sums = drawn.join(side, "cluster_no").groupBy("rep", "level_no").agg(F.sum(F.col("wg") * F.col(value)).alias("t"))
     reps = sums.join(seeds, ["rep", "level_no"]).groupBy("rep").agg((F.sum(F.col("ws") * F.col("t")) / (n * n_levels)).alias("x"))
     point = panel.agg(F.avg(value).alias("estimate"))
-    return point.crossJoin(F.broadcast(reps.agg(F.percentile("x", F.lit(0.025)).alias("lower"), F.percentile("x", F.lit(0.975)).alias("upper"))))  # one row each
+    return with_values(point, reps.agg(F.percentile("x", F.lit(0.025)).alias("lower"), F.percentile("x", F.lit(0.975)).alias("upper")))
 
 
 def paired_js(spark, reference: DataFrame, selected: DataFrame, value: str, replicates: int, seed: int = 42, cluster: str = "cluster_id") -> DataFrame:
@@ -99,7 +100,7 @@ def paired_js(spark, reference: DataFrame, selected: DataFrame, value: str, repl
     masses = drawn.join(side, "cluster_no").groupBy("rep", value).agg((F.sum(F.col("w") * F.col("a")) / n).alias("a"), (F.sum(F.col("w") * F.col("b")) / n).alias("b"))
     reps = masses.groupBy("rep").agg(F.sum(js_terms(F.col("a"), F.col("b"))).alias("x"))
     point = both.groupBy(value).agg((F.sum("a") / n).alias("a"), (F.sum("b") / n).alias("b")).agg(F.sum(js_terms(F.col("a"), F.col("b"))).alias("estimate"))
-    return point.crossJoin(F.broadcast(reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper"))))  # one row each
+    return with_values(point, reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper")))
 
 
 def unpaired_js(spark, reference: DataFrame, selected: DataFrame, value: str, replicates: int, seed: int = 42, cluster: str = "cluster_id") -> DataFrame:
@@ -117,4 +118,4 @@ def unpaired_js(spark, reference: DataFrame, selected: DataFrame, value: str, re
     js = F.sum(js_terms(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))))
     reps = sides[0].join(sides[1], ["rep", value], "full").groupBy("rep").agg(js.alias("x"))
     point = points[0].join(points[1], value, "full").agg(js.alias("estimate"))
-    return point.crossJoin(F.broadcast(reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper"))))  # one row each
+    return with_values(point, reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper")))

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.single import with_values
+
 
 def pmf(rows: DataFrame, value: str) -> DataFrame:
     counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all_n")))).select(value, (F.col("n") / F.col("all_n")).alias("p"))  # one row
+    return with_values(counts, counts.agg(F.sum("n").alias("all_n"))).select(value, (F.col("n") / F.col("all_n")).alias("p"))
 
 
 def cluster_pmf(rows: DataFrame, value: str, cluster: str = "cluster_id") -> DataFrame:
@@ -23,7 +25,8 @@ def cluster_pmf(rows: DataFrame, value: str, cluster: str = "cluster_id") -> Dat
 def balanced_pmf(rows: DataFrame, value: str, cluster: str = "cluster_id") -> DataFrame:
     """The mean of the clusters' distributions; a value that a cluster lacks counts 0 there."""
     clusters = rows.agg(F.count_distinct(cluster).alias("clusters"))
-    return cluster_pmf(rows, value, cluster).groupBy(value).agg(F.sum("p").alias("mass")).crossJoin(F.broadcast(clusters)).select(value, (F.col("mass") / F.col("clusters")).alias("p"))  # one row
+    masses = cluster_pmf(rows, value, cluster).groupBy(value).agg(F.sum("p").alias("mass"))
+    return with_values(masses, clusters).select(value, (F.col("mass") / F.col("clusters")).alias("p"))
 
 
 def js_terms(p: Column, q: Column) -> Column:
@@ -41,7 +44,7 @@ def jensen_shannon(p: DataFrame, q: DataFrame, value: str) -> DataFrame:
 def common_support(rows: DataFrame, group: str, cluster: str = "cluster_id") -> DataFrame:
     """Clusters that every group has."""
     groups = rows.agg(F.count_distinct(group).alias("groups"))
-    return rows.groupBy(cluster).agg(F.count_distinct(group).alias("k")).crossJoin(F.broadcast(groups)).where("k = groups").select(cluster)  # one row
+    return with_values(rows.groupBy(cluster).agg(F.count_distinct(group).alias("k")), groups).where("k = groups").select(cluster)
 
 
 def balanced_indicator(rows: DataFrame, indicator: str, cluster: str = "cluster_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.rng import priority, shuffle_key
+from tessera.operators.single import with_values
 
 
 def _ranked(df: DataFrame, partition: list[str], *order: Column) -> DataFrame:
@@ -59,7 +60,7 @@ def cluster_split(clusters: DataFrame, fraction: float, cluster: str, stratum: s
     keyed = stable_order(clusters, cluster, seed)
     size = keyed.groupBy(*by).agg(F.count("*").alias("n"))
     ranked = _ranked(keyed, by, F.col("shuffle_key"), F.col(cluster))
-    joined = ranked.join(size, by) if by else ranked.crossJoin(F.broadcast(size))  # one row
+    joined = ranked.join(size, by) if by else with_values(ranked, size)
     take = F.least(F.col("n") - 1, F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("long")))
     return joined.withColumn("is_validation", F.col("rn") <= take)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, text as X
 from tessera.operators import bootstrap, checks as C, estimators as E, history, panel, sampling, vectors, weights
+from tessera.operators.single import with_values
 
 
 def freeze_clusters(clusters: DataFrame, used: DataFrame, limit: int = 140, seed: int = 42) -> dict[str, DataFrame]:
@@ -141,7 +142,7 @@ def alignments(gradients: DataFrame, reference: DataFrame) -> dict[str, DataFram
     means = vectors.mean_vector(gradients, ["group", "unit_id"], "vector").withColumnRenamed("mean", "unit_vector")
     one = vectors.mean_vector(reference.select(F.lit(0).alias("all"), "vector"), ["all"], "vector").select(F.col("mean").alias("direction"))
     weight = gradients.groupBy("group", "unit_id").agg(F.sum("weight").alias("weight"))
-    pairs = vectors.alignment(means.crossJoin(F.broadcast(one)), "unit_vector", "direction").join(weight, ["group", "unit_id"])  # one row
+    pairs = vectors.alignment(with_values(means, one), "unit_vector", "direction").join(weight, ["group", "unit_id"])
     summary = pairs.groupBy("group").agg((F.sum(F.col("cosine") * F.col("weight")) / F.sum("weight")).alias("cosine"), F.avg((F.col("dot") < 0).cast("int")).alias("negative_share"), F.count("*").alias("units"))
     return {"units": pairs.select("group", "unit_id", "dot", "cosine", "weight"), "summary": summary}
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.operators import history, vectors
+from tessera.operators.single import with_values
 from tessera.plans import views as V
 from tessera.plans.registry import query
 
@@ -91,7 +92,7 @@ def a21_alignment(spark, d):
 def a23_weighted_alignment(spark, d):
     v = V.vec(spark, d)
     one = vectors.mean_vector(v.select(F.lit(0).alias("all"), "embedding"), ["all"], "embedding").select("mean")
-    pairs = vectors.alignment(v.crossJoin(F.broadcast(one)), "embedding", "mean")  # one row
+    pairs = vectors.alignment(with_values(v, one), "embedding", "mean")
     w = 1 + F.col("unit_id") % 3
     return pairs.groupBy("group_id").agg(F.round(F.sum(F.col("cosine") * w) / F.sum(w), 5).alias("weighted_cosine"), F.round(F.avg((F.col("cosine") < 0).cast("int")), 5).alias("negative_share"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import bootstrap, estimators as E, sampling
+from tessera.operators.single import with_values
 from tessera.plans import views as V
 from tessera.plans.q_sampling import PRIORITY
 from tessera.plans.registry import query
@@ -64,7 +65,8 @@ def i9_representativeness_report(spark, d):
     def mass(units, name):
         counts = _features(units).groupBy("cluster_id", "feature", "value").agg(F.count("*").alias("n"))
         size = counts.groupBy("cluster_id", "feature").agg(F.sum("n").alias("s"))
-        return counts.join(size, ["cluster_id", "feature"]).groupBy("feature", "value").agg(F.sum(F.col("n") / F.col("s")).alias("m")).crossJoin(F.broadcast(n)).select("feature", "value", (F.col("m") / F.col("g")).alias(name))  # one row
+        masses = counts.join(size, ["cluster_id", "feature"]).groupBy("feature", "value").agg(F.sum(F.col("n") / F.col("s")).alias("m"))
+        return with_values(masses, n).select("feature", "value", (F.col("m") / F.col("g")).alias(name))
 
     both = mass(every, "a").join(mass(chosen, "b"), ["feature", "value"], "full").na.fill(0.0, ["a", "b"])
     return R(both.groupBy("feature").agg(F.sum(E.js_terms(F.col("a"), F.col("b"))).alias("js")), "js")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import prompts as P
 from tessera.operators import bootstrap, estimators as E, sampling
+from tessera.operators.single import with_values
 from tessera.plans import jobs, views as V
 from tessera.plans.q_estimators import CP, FLOORQ, JS, R
 from tessera.plans.q_sampling import PRIORITY, RANKED
@@ -40,7 +41,7 @@ def q12_paired_interval(spark, d):
     e = V.outcome(spark, d)
     arm = lambda c: e.select("replicate_id", "cluster_id", F.col(c).alias("value"))
     made = jobs.paired_interval(arm("treatment"), arm("control"), 100)
-    return made["table"].select("both", "only_a", "only_b", "neither").crossJoin(F.broadcast(made["interval"].select(F.round("estimate", 6).alias("estimate"))))  # one row
+    return with_values(made["table"].select("both", "only_a", "only_b", "neither"), made["interval"].select(F.round("estimate", 6).alias("estimate")))
 
 
 def _memberships(spark, d):

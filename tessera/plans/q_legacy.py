@@ -9,6 +9,7 @@ from tessera.functions.arrays import softmax_entropy
 from tessera.functions.rng import shuffle_key
 from tessera.operators import estimators as E, history, sampling
 from tessera.operators.ranking import global_rank
+from tessera.operators.single import with_values
 from tessera.plans import views as V
 from tessera.plans.registry import query
 
@@ -126,7 +127,7 @@ def g14_quantile_buckets(spark, d):
     c = V._t(spark, d, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("x"), F.count("*").alias("n"))
     cuts = c.agg(*[F.percentile("x", F.lit(p)).alias(k) for p, k in ((0.25, "p"), (0.5, "q"), (0.75, "r"))])
     at = sum(((F.col("x") > F.col(k)).cast("int") for k in "pqr"), F.lit(0))
-    return c.crossJoin(F.broadcast(cuts)).groupBy(at.alias("bucket")).agg(F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_n"))  # one row
+    return with_values(c, cuts).groupBy(at.alias("bucket")).agg(F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_n"))
 
 
 @query("""WITH s AS (SELECT c_custkey s, c_mktsegment seg, c_nationkey nat FROM customer WHERE c_custkey % 100 = 0), t AS (SELECT c_custkey t, c_mktsegment seg, c_nationkey nat, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42|' || c_custkey), c_custkey) rn FROM customer WHERE c_custkey % 100 <> 0)
