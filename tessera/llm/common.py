@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: The white space that separates words, as a Java pattern and as characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,14 +30,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut and an executor's loss costs nothing."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def durable(df: DataFrame, name: str, compression: str = "zstd", batch_rows: int = 0) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage is cut and an executor's loss costs nothing.
+
+    batch_rows: rows in a batch that goes to Python, where a row holds a whole text.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH, str(batch_rows))
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that earlier groups of this Python worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -47,6 +71,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
+def to_python(df: DataFrame) -> DataFrame:
+    """df, on whose executors this package can be imported."""
+    ship(df.sparkSession)
+    return df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size, from file sizes; it sets how many groups work is dealt into."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, to_python, trim
 
 #: Words after which a chunk is closed; a longer document makes a chunk of its own.
 CHUNK_WORDS = 2_500_000
@@ -83,6 +83,7 @@ def tokenised(docs: DataFrame, lower: bool, share: int = 4096, chunk_words: int
                 "vocabulary": [packed(b" ".join(names))], "words": [packed(flat)], "heavy": [heavy],
             }
             made += 1
+            trim()
             places, ids, sizes, words, total = _Places(), [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema)
 
@@ -100,7 +101,7 @@ def tokenised(docs: DataFrame, lower: bool, share: int = 4096, chunk_words: int
             yield close()
 
     # The blobs are compressed already.
-    return durable(docs.select("doc_id", "text").mapInArrow(run, SCHEMA), "chunks", "none")
+    return durable(to_python(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA), "chunks", "none", batch_rows=1_000)
 
 
 def heavy_words(corpus: DataFrame, least_share: int) -> list[bytes]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, groups_for
+from tessera.llm.common import durable, groups_for, to_python
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.997
 MOST_HASHES = 256
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys.append(make.keys(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "digest", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, keys binary")
+    return to_python(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, digest binary, keys binary")
 
 
 def in_bands(sets: DataFrame, bands: int) -> DataFrame:
@@ -240,7 +240,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     """doc_id, class_id, n_links, n_copies (documents with the same n-gram set, itself included)."""
     bands, rows = bands_and_rows(threshold, recall)
     groups = groups_for(docs, GROUP_BYTES)
-    found = durable(sketches(docs, words, bands, rows), "sketches")
+    found = durable(sketches(docs, words, bands, rows), "sketches", batch_rows=1_000)
     sets = durable(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "sets")
 
     dealt = in_bands(sets, bands)

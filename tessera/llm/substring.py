@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, groups_for
+from tessera.llm.common import durable, groups_for, trim
 from tessera.llm.corpus import Chunk, chunks_of, packed, tokenised, unpacked
 from tessera.llm.fmindex import FMIndex
 
 WINDOW, ANCHOR = 13, 7
 #: Occurrences from which an anchor's windows are routed one by one.
 HOT = 5_000
-ANCHOR_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+ANCHOR_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
 #: Words of a chunk: a task holds about a dozen numbers for each.
 CHUNK_WORDS = 1_400_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -229,6 +229,7 @@ def smallest_ids(lengths: np.ndarray, words: np.ndarray, ids: np.ndarray, window
 
 
 def _search(key: tuple, rows: pa.Table) -> pa.Table:
+    trim()
     rows = rows.sort_by("source").to_pylist()
     lengths = np.concatenate([unpacked(r["a"], "<u2") for r in rows]).astype(np.int64)
     words = np.concatenate([np.frombuffer(r["b"], "<u8") for r in rows])
@@ -264,6 +265,7 @@ def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame
             yield Windows(chunk, anchor_groups).anchors()
 
     def send_segments(key: tuple, chunk_rows: pa.Table, replies: pa.Table) -> pa.Table:
+        trim()
         sent = []
         for chunk in chunks_of(chunk_rows):
             w = Windows(chunk, anchor_groups)
@@ -272,6 +274,7 @@ def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame
         return pa.Table.from_batches(sent or [_batch([])])
 
     def finish(key: tuple, chunk_rows: pa.Table, reply_rows: pa.Table) -> pa.Table:
+        trim()
         replies = reply_rows.to_pylist()
         out = [[], [], [], [], []]
         for chunk in chunks_of(chunk_rows):
