@@ -31,7 +31,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, groups_for
+from tessera.llm.common import durable, groups_for, trim
 from tessera.llm.corpus import Chunk, chunks_of, heavy_words, packed, tokenised, unpacked
 
 DISCOUNT, STRENGTH = 0.8, 1.0
@@ -41,6 +41,8 @@ DIRECT = 48
 FOLDS = 10
 #: Input bytes whose contexts go to one group.
 GROUP_BYTES = 4 << 20
+#: Words of a chunk: a task holds some twenty numbers for each.
+CHUNK_WORDS = 1_500_000
 SEED = 17
 
 MESSAGE = "kind int, dest long, source long, n long, a binary, b binary, c binary, d binary"
@@ -75,7 +77,7 @@ class Stream:
         size = len(chunk.vocabulary) + 1
         self.doc_ids, self.ends = chunk.doc_ids, np.cumsum(chunk.doc_words + 1)
         n = int(self.ends[-1]) if len(self.ends) else 0
-        self.tokens = np.full(n, size - 1, np.int64)
+        self.tokens = np.full(n, size - 1, np.int32)
         self.tokens[np.delete(np.arange(n), self.ends - 1)] = chunk.words
         self.held = held_out(chunk.doc_ids, folds)
         train = np.repeat(~self.held, chunk.doc_words + 1)
@@ -89,11 +91,16 @@ class Stream:
         self.word_group = group[self.word_order]
 
         # pairs by (group, context, word)
-        context = np.concatenate([[size - 1], self.tokens[:-1]]) if n else self.tokens
-        pair = context * size + self.tokens
-        pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair_of[train], minlength=len(pairs))
-        self.context, self.word = pairs // size, pairs % size
+        pair = np.full(n, (size - 1) * size, np.int64)
+        pair[1:] = self.tokens[:-1]
+        pair[1:] *= size
+        pair += self.tokens
+        pairs, pair_of = np.unique(pair, return_inverse=True)
+        del pair
+        self.pair_of = pair_of.astype(np.int32)
+        self.pair_counts = np.bincount(self.pair_of[train], minlength=len(pairs)).astype(np.int32)
+        self.context, self.word = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
+        del pairs, pair_of, train
         is_heavy = np.isin(key, heavy)
         alone = (_mixed(key + np.uint64(0x5851F42D)) % np.uint64(groups)).astype(np.int64)
         self.pair_group = alone[self.context]
@@ -188,6 +195,7 @@ def seat(count: np.ndarray, owner: np.ndarray, base: np.ndarray, discount: float
 
 def _seat_contexts(groups: int, heavy: np.ndarray):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        trim()
         group = key[0].as_py()
         rows = rows.sort_by("source").to_pylist()
         contexts, runs = [np.frombuffer(r["a"], "<u8") for r in rows], [unpacked(r["b"], "<u4") for r in rows]
@@ -225,6 +233,7 @@ def _seat_contexts(groups: int, heavy: np.ndarray):
 
 
 def _seat_words(key: tuple, rows: pa.Table) -> pa.Table:
+    trim()
     group = key[0].as_py()
     rows = rows.sort_by([("kind", "ascending"), ("source", "ascending"), ("c", "ascending")]).to_pylist()
     asked = [r for r in rows if r["kind"] == WORDS]
@@ -274,7 +283,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Each document's log10 probability by the model and by the single-word base."""
     groups = groups_for(docs, GROUP_BYTES)
-    corpus = tokenised(docs, lower=True, share=4 * groups)
+    corpus = tokenised(docs, lower=True, share=4 * groups, chunk_words=CHUNK_WORDS)
     heavy = word_hashes(heavy_words(corpus, 4 * groups)) >> np.uint64(16)
     heavy = np.sort(np.append(heavy, word_hashes([END]) >> np.uint64(16)))
 
@@ -322,6 +331,7 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     vocabulary, customers, tables = sums
 
     def finish(key: tuple, chunk_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
+        trim()
         columns = [[] for _ in range(7)]
         for chunk in chunks_of(chunk_rows):
             s = Stream(chunk, folds, groups, heavy)
