@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_for
+from tessera.llm.common import groups_for, to_python
 
 WINDOW = 2048
 END = 1
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return to_python(docs.select("doc_id", "text")).mapInArrow(run, PIECES)
 
 
 class RoomTree:
