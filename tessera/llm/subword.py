@@ -24,11 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import to_python
+
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 RATE, SEED, VARIANTS = 0.1, 20_260, 8
 #: Segments that a task remembers for each variant, in each of two generations.
-MEMO = 120_000
+MEMO = 80_000
+#: Characters of texts whose segments are learned together.
+BLOCK = 4 << 20
 NONE = np.int64(1) << 40
 
 
@@ -39,8 +43,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def segment_keys(points: np.ndarray, place: np.ndarray, first: np.ndarray, seed: int, variants: np.ndarray) -> np.ndarray:
+    """A key for each segment, from its characters and their places, the seed and its variant."""
+    u = np.uint64
+    characters = mixed(points.astype(u) + (place.astype(u) << u(32)) * u(0x9E3779B97F4A7C15))
+    return mixed(np.add.reduceat(characters, first) + (u(seed & 0xFFFFFFFF) << u(32)) + variants.astype(u))
+
+
 class Merges:
-    """The model as arrays: ids of characters, and for each pair of pieces the merged one."""
+    """The model as arrays: ids of characters, and for each pair of pieces the merged one, found in a hash table."""
+
+    SLOTS = 1 << 20
 
     def __init__(self, path: str):
         import sentencepiece
@@ -65,6 +78,33 @@ class Merges:
         self.merged = np.array([p[2] for p in pairs], np.int64)
         self.byte = {int(n[3:5], 16): i for i, n in enumerate(names) if model.is_byte(i)}
         self.text = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
+        # open addressing: each key stands in the first free slot from its own on
+        self.slot = np.full(self.SLOTS, -1, np.int32)
+        self.slot_key = np.full(self.SLOTS, -1, np.int64)
+        waiting, at = np.arange(len(self.keys)), self._own_slot(self.keys)
+        while len(waiting):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = waiting[free]
+            self.slot_key[at[free]] = self.keys[waiting[free]]
+            left = self.slot_key[at] != self.keys[waiting]
+            waiting, at = waiting[left], (at[left] + 1) & (self.SLOTS - 1)
+
+    def _own_slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, pair: np.ndarray) -> np.ndarray:
+        """Places of pairs among the keys, or -1."""
+        at = self._own_slot(pair)
+        key = self.slot_key[at]
+        out = np.where(key == pair, self.slot[at], -1)
+        left = np.flatnonzero((key != pair) & (key >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (self.SLOTS - 1)
+            key = self.slot_key[at[left]]
+            hit = key == pair[left]
+            out[left[hit]] = self.slot[at[left[hit]]]
+            left = left[~hit & (key >= 0)]
+        return out
 
     def literal(self, text: str) -> bytes:
         return np.array([self.byte[b] for b in text.encode()], "<u4").tobytes()
@@ -74,8 +114,8 @@ class Merges:
         raw = b"".join(map(self.text.__getitem__, ids.tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode()
 
-    def segment(self, segments: list[str], rate: float, seed: int, variant: int) -> list[bytes]:
-        """Piece ids of each segment, as little-endian 32-bit bytes."""
+    def segment(self, segments: list[str], rate: float, seed: int, variants: np.ndarray | int) -> list[bytes]:
+        """Piece ids of each segment in its variant, as little-endian 32-bit bytes."""
         if not segments:
             return []
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -83,16 +123,15 @@ class Merges:
         sym = self.char[points]
         place = np.arange(len(points), dtype=np.int64)
         owner = np.repeat(np.arange(len(segments)), lengths)
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        first = np.cumsum(lengths) - lengths
         bound = np.uint64(min(max(rate, 0.0), 1.0) * (2**64 - 1)) if rate < 1 else np.uint64(2**64 - 1)
-        word = np.fromiter((zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in segments), np.uint64, len(segments))
-        key = mixed(word * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + variant) & (2**64 - 1)))
+        key = segment_keys(points, place - first[owner], first, seed, np.broadcast_to(np.asarray(variants, np.int64), (len(segments),)))
 
         def candidates(left: np.ndarray, right: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Agenda order and merged piece; NONE where there is no merge or it is skipped."""
-            pair = left * self.size + right
-            i = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            ok = (self.keys[i] == pair) & (left >= 0) & (right >= 0)
+            pair = np.where((left >= 0) & (right >= 0), left * self.size + right, -2)
+            i = self.find(pair)
+            ok = i >= 0
             if rate > 0:
                 w = np.flatnonzero(ok)
                 h = mixed(key[own[w]] ^ mixed(pair[w].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (at[w] - first[own[w]]).astype(np.uint64)))
@@ -127,9 +166,10 @@ class Merges:
             gone = np.zeros(len(sym), bool)
             gone[at + 1] = True
             keep = ~gone
-            at = at - np.searchsorted(at + 1, at, side="right")  # earlier removals shift the place to the left
+            at = at - np.arange(len(at))  # each earlier removal shifts the place to the left by one
             sym, place, owner, order, into = sym[keep], place[keep], owner[keep], order[keep], into[keep]
-            touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            before = at[at > 0] - 1
+            touched = np.concatenate([at, before[owner[before] == owner[before + 1]]])  # one merge a segment, so no place twice
             right = np.minimum(touched + 1, len(sym) - 1)
             o, m = candidates(sym[touched], sym[right], place[touched], owner[touched])
             fits = (touched + 1 < len(sym)) & (owner[touched] == owner[right])
@@ -163,22 +203,34 @@ class Encoder:
     def first_variant(self, doc_id) -> int:
         return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
 
-    def learn(self, variant: int, wanted: set[str]) -> None:
-        new, old = self.new[variant], self.old[variant]
-        missing = [w for w in wanted if w not in new]
-        if len(new) + len(missing) > MEMO:
-            old, new = new, {}
-            self.old[variant], self.new[variant] = old, new
-            missing = list(wanted)
-        new.update({w: old[w] for w in missing if w in old})
-        missing = [w for w in missing if w not in new]
-        new.update(zip(missing, self.merges.segment(missing, self.rate, self.seed, variant)))
+    def learn(self, wanted: list[set[str]]) -> None:
+        """All variants' missing segments in one go."""
+        missing, variants = [], []
+        for v, words in enumerate(wanted):
+            new, old = self.new[v], self.old[v]
+            if len(new) > MEMO:
+                self.old[v] = old = new
+                self.new[v] = new = {}
+            before = len(missing)
+            for w in words:
+                if w not in new:
+                    known = old.get(w)
+                    if known is None:
+                        missing.append(w)
+                    else:
+                        new[w] = known
+            variants.append(len(missing) - before)
+        found = self.merges.segment(missing, self.rate, self.seed, np.repeat(np.arange(len(wanted)), variants))
+        at = 0
+        for v, n in enumerate(variants):
+            self.new[v].update(zip(missing[at : at + n], found[at : at + n]))
+            at += n
 
     def __call__(self, doc_ids: list, texts: list[str | None]) -> Iterator[bytes | None]:
         at, v = 0, self.variants
         while at < len(texts):
             block, wanted, size = [], [set() for _ in range(v)], 0
-            while at < len(texts) and (size < 1 << 21 or not block):
+            while at < len(texts) and (size < BLOCK or not block):
                 text, parts = texts[at], []
                 for k, part in enumerate(text.split(MARK) if text else ()):
                     segments = SEGMENT.findall(((MARK if not k else "") + part.replace(" ", MARK)) if part or not k else "")
@@ -189,8 +241,7 @@ class Encoder:
                 block.append((text, parts))
                 size += len(text or "")
                 at += 1
-            for j in range(v):
-                self.learn(j, wanted[j])
+            self.learn(wanted)
             memo = [m.__getitem__ for m in self.new]
             mark = self.merges.literal(MARK)
             for text, parts in block:
@@ -226,7 +277,7 @@ def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEE
             lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([b is None for b in found]))
             yield pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
+    return to_python(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -238,7 +289,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [None if ids is None else merges.decode(np.array(ids, np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return to_python(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def model_path() -> str:

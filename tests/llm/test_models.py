@@ -108,7 +108,8 @@ def test_subword_agenda():
 
     def plain(word, variant, rate, seed):
         u = np.uint64
-        key = subword.mixed(np.array([zlib.crc32(word.encode())], u) * u(0x9E3779B97F4A7C15) + u((seed * 1_000_003 + variant) & (2**64 - 1)))
+        points = np.array([ord(c) for c in word], np.uint32)
+        key = subword.segment_keys(points, np.arange(len(word)), np.array([0]), seed, np.array([variant]))
         sym, at = [int(m.char[ord(c)]) for c in word], list(range(len(word)))
         while True:
             found = []
