@@ -48,24 +48,35 @@ def normalise_action(text: Column) -> Column:
     return F.lower(v)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_action(response: Column, admissible: Column, unique_prefix: bool = False) -> Column:
-    """struct(candidate, normalized, action, valid, had_marker, failure)."""
-    text = F.regexp_replace(F.coalesce(response, F.lit("")), r"^\s+|\s+$", "")
-    markers = F.regexp_count(text, F.lit(ACTION_MARKER))
-    candidate = F.trim(F.regexp_extract(text, rf"{ACTION_MARKER}([^\r\n]*)", 1))
-    norm = normalise_action(candidate)
-    hits = F.filter(admissible, lambda a: normalise_action(a) == norm)
-    longer = F.filter(admissible, lambda a: normalise_action(a).startswith(F.concat(norm, F.lit(" "))))
-    one = F.when(F.size(hits) == 1, F.trim(hits[0]))
-    if unique_prefix:
-        one = F.coalesce(one, F.when((F.size(hits) == 0) & (F.size(longer) == 1), F.trim(longer[0])))
-    action = F.when((markers == 1) & (norm != ""), one)
-    failure = (
-        F.when(text == "", "empty_content").when(markers == 0, "missing_action_marker").when(markers > 1, "multiple_action_markers")
-        .when(norm == "", "empty_action").when(action.isNotNull(), None).when(F.size(hits) > 1, "ambiguous_normalized_action").otherwise("not_admissible")
-    )
-    known = markers == 1
-    return F.struct(F.when(known, candidate).otherwise("").alias("candidate"), F.when(known, norm).otherwise("").alias("normalized"), action.alias("action"), action.isNotNull().alias("valid"), (markers > 0).alias("had_marker"), failure.alias("failure"))
+    """struct(candidate, normalized, action, valid, had_marker, failure); each text is normalised once."""
+    stripped = F.regexp_replace(F.coalesce(response, F.lit("")), r"^\s+|\s+$", "")
+    allowed = F.transform(admissible, lambda a: F.struct(F.trim(a).alias("action"), normalise_action(a).alias("norm")))
+
+    def judged(x: Column) -> Column:
+        hits = F.filter(x["allowed"], lambda a: a["norm"] == x["norm"])
+        one = F.when(F.size(hits) == 1, hits[0]["action"])
+        if unique_prefix:
+            longer = F.filter(x["allowed"], lambda a: F.startswith(a["norm"], F.concat(x["norm"], F.lit(" "))))
+            one = F.coalesce(one, F.when((F.size(hits) == 0) & (F.size(longer) == 1), longer[0]["action"]))
+        action = F.when((x["markers"] == 1) & (x["norm"] != ""), one)
+        failure = (
+            F.when(x["text"] == "", "empty_content").when(x["markers"] == 0, "missing_action_marker").when(x["markers"] > 1, "multiple_action_markers")
+            .when(x["norm"] == "", "empty_action").when(action.isNotNull(), None).when(F.size(hits) > 1, "ambiguous_normalized_action").otherwise("not_admissible")
+        )
+        known = x["markers"] == 1
+        return F.struct(F.when(known, x["candidate"]).otherwise("").alias("candidate"), F.when(known, x["norm"]).otherwise("").alias("normalized"), action.alias("action"), action.isNotNull().alias("valid"), (x["markers"] > 0).alias("had_marker"), failure.alias("failure"))
+
+    def found(text: Column) -> Column:
+        candidate = F.trim(F.regexp_extract(text, rf"{ACTION_MARKER}([^\r\n]*)", 1))
+        return _let(F.struct(text.alias("text"), F.regexp_count(text, F.lit(ACTION_MARKER)).alias("markers"), candidate.alias("candidate"), normalise_action(candidate).alias("norm"), allowed.alias("allowed")), judged)
+
+    return _let(stripped, found)
 
 
 def task_description(text: Column, label: str = "Your task is to") -> Column:
