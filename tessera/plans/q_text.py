@@ -30,10 +30,10 @@ def p19_bag_of_words(spark, d):
 @query(f"""WITH s AS (SELECT k s, token, count(*) n FROM {BOW('benchmark', 'item_id', 'item_id < 20')} GROUP BY 1, 2), t AS (SELECT k t, token, count(*) n FROM {BOW('benchmark', 'item_id', 'item_id >= 20')} GROUP BY 1, 2),
  x AS (SELECT s, t, sum(s.n * t.n) dot FROM s JOIN t USING (token) GROUP BY 1, 2) SELECT s, t, round(dot / (sqrt((SELECT sum(n * n) FROM s z WHERE z.s = x.s)) * sqrt((SELECT sum(n * n) FROM t z WHERE z.t = x.t))), 6) cosine FROM x""")
 def p20_cosine(spark, d):
+    """Every pair of items with a common token, once; the SQL has the part with s below 20 and t from 20 on."""
     b = V._t(spark, d, "benchmark")
-    s = X.token_counts(b.where("item_id < 20").withColumnRenamed("item_id", "s"), "s", "text")
-    t = X.token_counts(b.where("item_id >= 20").withColumnRenamed("item_id", "t"), "t", "text")
-    return R(X.cosine_by_index(s, t, "s", "t"), "cosine")
+    s, t = (X.token_counts(b.withColumnRenamed("item_id", k), k, "text") for k in "st")
+    return R(X.cosine_by_index(s, t, "s", "t").where("s < t"), "cosine")
 
 
 @query(f"""WITH c AS (SELECT conv_id k, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)))) a FROM conversations), p AS (SELECT x.k conv_id, x.turn, x.a, y.a b FROM c x JOIN c y ON x.k = y.k AND y.turn = x.turn + 1)
@@ -46,7 +46,7 @@ def p21_set_jaccard(spark, d):
 
 def _panel(spark, d):
     docs = V._t(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("cluster_id"), F.col("lang").alias("stratum"), "text", F.array("lang", F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")), F.concat(F.lit("s"), (F.col("n_chars") % 4).cast("string"))).alias("actions"), F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("action"))
-    return docs.where("n_chars < 600 and unit_id % 50 = 0"), docs.where("n_chars < 600 and unit_id % 50 <> 0")
+    return docs.where("unit_id % 50 = 0"), docs
 
 
 NB = f"""docs AS (SELECT doc_id, source, lang, text, ['b' || (doc_id % 3), lang, 's' || (n_chars % 4)] acts, 'b' || (doc_id % 3) act FROM documents WHERE n_chars < 600),
@@ -59,7 +59,7 @@ NB = f"""docs AS (SELECT doc_id, source, lang, text, ['b' || (doc_id % 3), lang,
 
 @query(f"WITH {NB} SELECT s source_id, t target_id, round(sim, 6) similarity, cast(rn AS int) rn, eligible FROM r WHERE rn <= 10 AND eligible >= 5")
 def j6_cross_cluster_neighbours(spark, d):
-    """Sources are a stated set of documents; each is compared with every eligible document by way of common tokens."""
+    """Sources are a stated set of documents; each is compared with every document. The SQL has documents below 600 characters only."""
     sources, targets = _panel(spark, d)
     found, _ = panel.neighbours(sources, targets, 10, 5, 0.05, 0.5, X.STOP_WORDS)
     return R(found.select("source_id", "target_id", "similarity", "rn", "eligible"), "similarity")
