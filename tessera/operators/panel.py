@@ -13,17 +13,23 @@ def neighbours(sources: DataFrame, targets: DataFrame, k: int, least: int = 1, m
     """For each source its k most similar targets of the same stratum and another cluster, and the sources with too few.
 
     sources, targets: unit_id, cluster_id, stratum, text and, with text_weight below 1, actions (sources also action, which
-    the target must allow and which neither set counts). Token counts are computed once for each text and meet on tokens;
-    pairs without a common token have cosine 0 and are found by stratum only where the threshold is 0 and actions count.
+    the target must allow and which neither set counts). Token counts are computed once for each text and meet on tokens.
+    Pairs without a common token have cosine 0. Where such a pair can reach the threshold, by its actions or because the
+    threshold is 0, every pair of a stratum (and of an action, if actions count) is scored.
     """
     s = sources.select(F.col("unit_id").alias("source_id"), F.col("cluster_id").alias("source_cluster"), "stratum", "text", *[F.col(c).alias(f"source_{c}") for c in ("action", "actions") if c in sources.columns])
     t = targets.select(F.col("unit_id").alias("target_id"), F.col("cluster_id").alias("target_cluster"), F.col("stratum").alias("target_stratum"), "text", *[F.col(c).alias("target_actions") for c in ("actions",) if c in targets.columns])
     pairs = cosine_by_index(token_counts(s, "source_id", "text", stop_words), token_counts(t, "target_id", "text", stop_words), "source_id", "target_id")
-    joined = pairs.join(s.drop("text"), "source_id").join(t.drop("text"), "target_id")
-    eligible = joined.where((F.col("stratum") == F.col("target_stratum")) & (F.col("source_cluster") != F.col("target_cluster")))
+    left, right = s.drop("text"), t.drop("text")
+    if text_weight < 1:
+        met = left.join(right.withColumn("admitted", F.explode(F.array_distinct("target_actions"))), (F.col("stratum") == F.col("target_stratum")) & (F.col("source_action") == F.col("admitted"))).drop("admitted")
+    else:
+        met = left.join(right, F.col("stratum") == F.col("target_stratum"))
+    met = met.where(F.col("source_cluster") != F.col("target_cluster"))
+    unmet = min_similarity <= 0 or min_similarity <= 1 - text_weight
+    eligible = met.join(pairs, ["source_id", "target_id"], "left" if unmet else "inner").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     similarity = F.col("cosine")
     if text_weight < 1:
-        eligible = eligible.where(F.array_contains("target_actions", F.col("source_action")))
         without = lambda c: F.array_except(F.col(c), F.array("source_action"))
         similarity = text_weight * F.col("cosine") + (1 - text_weight) * F.coalesce(jaccard(without("source_actions"), without("target_actions")), F.lit(0.0))
     scored = eligible.select("source_id", "target_id", similarity.alias("similarity")).where(F.col("similarity") >= min_similarity)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 from tessera.functions.text import STOP_WORDS
+from tessera.operators import panel
 from tessera.plans import registry
 
 
@@ -65,3 +66,13 @@ def test_neighbours_among_all_documents(spark, tmp_path):
         got.setdefault(r["source_id"], []).append((-r["similarity"], r["target_id"], r["eligible"]))
     assert {s: sorted(x) for s, x in got.items()} == {s: [(*p, len(x)) for p in sorted(x)[:10]] for s, x in want.items() if len(x) >= 5}
     assert {r["source_id"]: r["eligible"] for r in run(spark, "l4_neighbour_attrition", tmp_path)} == {s: len(x) for s, x in want.items() if len(x) < 5}
+
+
+def test_neighbours_without_a_common_token(spark, tmp_path):
+    """They count by their actions alone; at a threshold of 0, as any of the stratum that admits the action."""
+    s = spark.createDataFrame([(1, "g1", "t", "zzz", "go", ["go", "x"])], "unit_id long, cluster_id string, stratum string, text string, action string, actions array<string>")
+    t = spark.createDataFrame([(10, "g2", "t", "red", ["go", "x", "go"]), (11, "g2", "t", "", ["go"]), (12, "g1", "t", "red", ["go", "x"]), (13, "g3", "t", "red", ["x"]), (14, "g3", "u", "red", ["go", "x"])], "unit_id long, cluster_id string, stratum string, text string, actions array<string>")
+    for least, weight, want in [(0.05, 0.5, [(10, 0.5)]), (0.0, 0.5, [(10, 0.5), (11, 0.0)]), (0.0, 1.0, [(10, 0.0), (11, 0.0), (13, 0.0)]), (0.05, 1.0, [])]:
+        found, few = panel.neighbours(s, t, 5, 1, least, weight)
+        assert [(r["target_id"], r["similarity"]) for r in found.orderBy("rn").collect()] == want
+        assert few.count() == (not want)
