@@ -133,11 +133,18 @@ def g14_quantile_buckets(spark, d):
 @query("""WITH s AS (SELECT c_custkey s, c_mktsegment seg, c_nationkey nat FROM customer WHERE c_custkey % 100 = 0), t AS (SELECT c_custkey t, c_mktsegment seg, c_nationkey nat, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42|' || c_custkey), c_custkey) rn FROM customer WHERE c_custkey % 100 <> 0)
  SELECT s, t FROM s JOIN t ON s.seg = t.seg AND s.nat <> t.nat AND rn <= 6""")
 def g15_random_neighbours(spark, d):
-    """Transfer targets by a shared random order of each stratum, other clusters only."""
+    """The first six transfer targets of other clusters in a shared random order of each stratum; the SQL draws before it excludes.
+
+    The first six of each stratum and cluster hold the first six of any stratum without one cluster.
+    """
     c = V._t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    t = sampling.stratum_sample(c.where("c_custkey % 100 <> 0"), 6, "c_custkey", "c_mktsegment").select(F.col("c_custkey").alias("t"), "c_mktsegment", F.col("c_nationkey").alias("nat"))
+    first = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    t = sampling.stable_order(c.where("c_custkey % 100 <> 0"), "c_custkey").select(F.col("c_custkey").alias("t"), "c_mktsegment", F.col("c_nationkey").alias("nat"), "shuffle_key")
+    t = t.withColumn("rn", first(["c_mktsegment", "nat"], ["shuffle_key", "t"])).where("rn <= 6").drop("rn")
     s = c.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("s"), "c_mktsegment", "c_nationkey")
-    return s.join(t, "c_mktsegment").where("c_nationkey <> nat").select("s", "t")
+    others = s.select("c_mktsegment", "c_nationkey").distinct().join(t, "c_mktsegment").where("c_nationkey <> nat")
+    others = others.withColumn("rn", first(["c_mktsegment", "c_nationkey"], ["shuffle_key", "t"])).where("rn <= 6")
+    return s.join(others, ["c_mktsegment", "c_nationkey"]).select("s", "t")
 
 
 @query(f"""WITH {V.UNIT}, h AS (SELECT *, count(*) OVER (PARTITION BY cluster_id ORDER BY seq ROWS UNBOUNDED PRECEDING) history FROM v_unit) SELECT unit_id, cluster_id, cast(history AS int) history FROM h WHERE valid AND role = 'assistant'""")

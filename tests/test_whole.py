@@ -1,5 +1,6 @@
 """Queries over all their rows: fixtures with rows that a filter would lose, against plain versions."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -76,3 +77,12 @@ def test_neighbours_without_a_common_token(spark, tmp_path):
         found, few = panel.neighbours(s, t, 5, 1, least, weight)
         assert [(r["target_id"], r["similarity"]) for r in found.orderBy("rn").collect()] == want
         assert few.count() == (not want)
+
+
+def test_random_neighbours_of_other_clusters(spark, tmp_path):
+    """Six each, though most customers share the nation of most sources."""
+    rows = [(i, f"seg{i % 2}", 0 if i % 3 else i % 5) for i in range(1, 401)]
+    write(spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_nationkey int"), tmp_path, "customer")
+    place = lambda i: (hashlib.sha256(f"42|{i}".encode()).hexdigest(), i)
+    want = {(i, t) for i, seg, nat in rows if i % 100 == 0 for t in sorted((j for j, other, n in rows if j % 100 and other == seg and n != nat), key=place)[:6]}
+    assert len(want) == 24 and {(r["s"], r["t"]) for r in run(spark, "g15_random_neighbours", tmp_path)} == want
