@@ -86,3 +86,9 @@ def test_random_neighbours_of_other_clusters(spark, tmp_path):
     place = lambda i: (hashlib.sha256(f"42|{i}".encode()).hexdigest(), i)
     want = {(i, t) for i, seg, nat in rows if i % 100 == 0 for t in sorted((j for j, other, n in rows if j % 100 and other == seg and n != nat), key=place)[:6]}
     assert len(want) == 24 and {(r["s"], r["t"]) for r in run(spark, "g15_random_neighbours", tmp_path)} == want
+
+
+def test_log_of_all_events(spark, tmp_path):
+    write(spark.createDataFrame([(i, i / 8) for i in range(0, 400, 7)], "event_id long, value double"), tmp_path, "events")
+    got = sorted((r["cluster"], r["step"], r["loss"]) for r in run(spark, "s12_training_log", tmp_path))
+    assert got == sorted((f"n{i % 3}", i % 50, i / 8) for i in range(0, 400, 7))
