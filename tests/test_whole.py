@@ -92,3 +92,11 @@ def test_log_of_all_events(spark, tmp_path):
     write(spark.createDataFrame([(i, i / 8) for i in range(0, 400, 7)], "event_id long, value double"), tmp_path, "events")
     got = sorted((r["cluster"], r["step"], r["loss"]) for r in run(spark, "s12_training_log", tmp_path))
     assert got == sorted((f"n{i % 3}", i % 50, i / 8) for i in range(0, 400, 7))
+
+
+def test_alignment_of_short_and_long_sequences(spark, tmp_path):
+    sizes = {1: 1, 2: 2, 3: 8, 4: 12}
+    rows = [(o, i, i, i, 1.0, i / 8) for o, n in sizes.items() for i in range(1, n + 1)]
+    write(spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double"), tmp_path, "lineitem")
+    got = {r["l_orderkey"]: (r["n"], r["total"], r["width"]) for r in run(spark, "p39_score_alignment", tmp_path)}
+    assert got == {o: (n, n * (n - 1) / 16, 12) for o, n in sizes.items()}
