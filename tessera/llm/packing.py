@@ -36,6 +36,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: How the tokenizer cuts a word, and the letters that stand for bytes that aren't printable.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: str.split() also cuts at four separators that the tokenizer keeps; texts with one of them are cut at its own white space.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return WORDS.findall(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
 def byte_letters() -> list[str]:
@@ -94,13 +103,13 @@ class WordMemo:
         while at < len(texts):
             begin, size, words = at, 0, set()
             while at < len(texts) and (size < BLOCK or at == begin):
-                words.update((texts[at] or "").split())
+                words.update(split(texts[at]))
                 size += len(texts[at] or "")
                 at += 1
             self.learn(words)
             ids = self.known.__getitem__
             for text in texts[begin:at]:
-                yield b"".join(map(ids, (text or "").split()))
+                yield b"".join(map(ids, split(text)))
 
 
 @lru_cache(maxsize=1)

@@ -210,3 +210,14 @@ def test_toxicity_exceptions_and_folding():
     assert lexicon.measures("pond scum")[2] == 0
     assert lexicon.measures("you SCUM, ѕсum s<um 5cum")[2] == 3
     assert toxicity.folded("Lo​ser") == toxicity.folded("1o5er")
+
+
+def test_packing_cuts_at_the_tokenizers_white_space():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    signs = [*map(chr, range(0x20)), *"\x85\xa0\u1680\u180e\u2003\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"]
+    texts = [f"alpha{c}beta {c} {c}\x1c{c}\u00e9" for c in signs] + [f"alpha{c}beta {c}" for c in signs]
+    for text, ids in zip(texts, packing.WordMemo(path)(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
