@@ -1,13 +1,13 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless decoder.
 
 Encoding pops merges from an agenda, best score first and leftmost among equals, as the model's own encoder does; a
-candidate is skipped when a keyed hash of (seed, variant, segment, place, left piece, right piece) falls below the
-dropout rate. A skipped pair comes back only when one of its sides has changed, so the hash alone decides and any rerun
-gives the same pieces. The agenda runs over many segments at once: each round merges the best live candidate of each.
+candidate is skipped when a keyed hash of (seed, document, position, segment, place, left piece, right piece) falls below
+the dropout rate. A skipped pair comes back only when one of its sides has changed, so the hash alone decides and any
+rerun gives the same pieces. The agenda runs over many segments at once: each round merges the best live candidate of each.
 
-A segment is a word with its leading spaces, or a line feed; no piece of the model reaches over such a boundary. Which
-of `variants` keyed segmentations a segment gets follows from the seed, the document and the segment's place, so a
-word varies within and between documents while a task computes each of its variants once.
+A segment is a word with its leading spaces, or a line feed; no piece of the model reaches over such a boundary. Each
+occurrence of a segment is decided by itself. A task remembers a segment's pieces without dropout and the merges that led
+to them; an occurrence whose hashes skip none of those has these pieces, and the agenda runs again for the others.
 
 Cases: null text has null ids; an empty text has none; characters that the model lacks become byte pieces; a literal
 word mark (U+2581) becomes byte pieces too, so that decoding gives it back; texts of any length are encoded whole.
@@ -16,9 +16,9 @@ word mark (U+2581) becomes byte pieces too, so that decoding gives it back; text
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,11 @@ from tessera.llm.common import to_python
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-RATE, SEED, VARIANTS = 0.1, 20_260, 8
-#: Segments that a task remembers for each variant, in each of two generations.
-MEMO = 80_000
-#: Characters of texts whose segments are learned together.
-BLOCK = 4 << 20
+RATE, SEED = 0.1, 20_260
+#: Segments that a task remembers in each of two generations.
+MEMO = 200_000
+#: Characters of texts whose segments are encoded together.
+BLOCK = 1 << 20
 NONE = np.int64(1) << 40
 
 
@@ -43,11 +43,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segment_keys(points: np.ndarray, place: np.ndarray, first: np.ndarray, seed: int, variants: np.ndarray) -> np.ndarray:
-    """A key for each segment, from its characters and their places, the seed and its variant."""
+def character_sums(points: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number for each segment, from its characters and their places."""
+    u = np.uint64
+    return np.add.reduceat(mixed(points.astype(u) + (place.astype(u) << u(32)) * u(0x9E3779B97F4A7C15)), first)
+
+
+def keys(sums: np.ndarray, seed: int, variants: np.ndarray) -> np.ndarray:
     u = np.uint64
-    characters = mixed(points.astype(u) + (place.astype(u) << u(32)) * u(0x9E3779B97F4A7C15))
-    return mixed(np.add.reduceat(characters, first) + (u(seed & 0xFFFFFFFF) << u(32)) + variants.astype(u))
+    return mixed(sums + (u(seed & 0xFFFFFFFF) << u(32)) + variants.astype(u))
+
+
+def segment_keys(points: np.ndarray, place: np.ndarray, first: np.ndarray, seed: int, variants: np.ndarray) -> np.ndarray:
+    """A key for each segment, from its characters and their places, the seed and the number of its variant or occurrence."""
+    return keys(character_sums(points, place, first), seed, variants)
+
+
+def merge_points(pair: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What a merge adds to its segment's key, from its pair of pieces and its place in the segment."""
+    return mixed(pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.uint64))
+
+
+def bound_of(rate: float) -> np.uint64:
+    return np.uint64(min(max(rate, 0.0), 1.0) * (2**64 - 1)) if rate < 1 else np.uint64(2**64 - 1)
 
 
 class Merges:
@@ -114,8 +132,11 @@ class Merges:
         raw = b"".join(map(self.text.__getitem__, ids.tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode()
 
-    def segment(self, segments: list[str], rate: float, seed: int, variants: np.ndarray | int) -> list[bytes]:
-        """Piece ids of each segment in its variant, as little-endian 32-bit bytes."""
+    def segment(self, segments: list[str], rate: float, seed: int, variants: np.ndarray | int, trace: list | None = None) -> list[bytes]:
+        """Piece ids of each segment in its variant, as little-endian 32-bit bytes.
+
+        trace gets the merges of each round: their segments' numbers and their points.
+        """
         if not segments:
             return []
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -124,7 +145,7 @@ class Merges:
         place = np.arange(len(points), dtype=np.int64)
         owner = np.repeat(np.arange(len(segments)), lengths)
         first = np.cumsum(lengths) - lengths
-        bound = np.uint64(min(max(rate, 0.0), 1.0) * (2**64 - 1)) if rate < 1 else np.uint64(2**64 - 1)
+        bound = bound_of(rate)
         key = segment_keys(points, place - first[owner], first, seed, np.broadcast_to(np.asarray(variants, np.int64), (len(segments),)))
 
         def candidates(left: np.ndarray, right: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +155,7 @@ class Merges:
             ok = i >= 0
             if rate > 0:
                 w = np.flatnonzero(ok)
-                h = mixed(key[own[w]] ^ mixed(pair[w].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (at[w] - first[own[w]]).astype(np.uint64)))
+                h = mixed(key[own[w]] ^ merge_points(pair[w], at[w] - first[own[w]]))
                 ok[w[h < bound]] = False
             return np.where(ok, self.rank[i], NONE), self.merged[i]
 
@@ -162,6 +183,8 @@ class Merges:
                 at = shift[best & ((np.int64(1) << 40) - 1)]
             else:
                 at = best & ((np.int64(1) << 40) - 1)
+            if trace is not None:
+                trace.append((owner[at], merge_points(sym[at] * self.size + sym[at + 1], place[at] - first[owner[at]])))
             sym[at] = into[at]
             gone = np.zeros(len(sym), bool)
             gone[at + 1] = True
@@ -193,81 +216,102 @@ class Merges:
 
 
 class Encoder:
-    """Texts to piece ids, with each variant's segments remembered."""
-
-    def __init__(self, merges: Merges, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
-        self.merges, self.rate, self.seed, self.variants = merges, rate, seed, variants if rate > 0 else 1
-        self.new: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def first_variant(self, doc_id) -> int:
-        return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
-
-    def learn(self, wanted: list[set[str]]) -> None:
-        """All variants' missing segments in one go."""
-        missing, variants = [], []
-        for v, words in enumerate(wanted):
-            new, old = self.new[v], self.old[v]
-            if len(new) > MEMO:
-                self.old[v] = old = new
-                self.new[v] = new = {}
-            before = len(missing)
-            for w in words:
-                if w not in new:
-                    known = old.get(w)
-                    if known is None:
-                        missing.append(w)
-                    else:
-                        new[w] = known
-            variants.append(len(missing) - before)
-        found = self.merges.segment(missing, self.rate, self.seed, np.repeat(np.arange(len(wanted)), variants))
-        at = 0
-        for v, n in enumerate(variants):
-            self.new[v].update(zip(missing[at : at + n], found[at : at + n]))
-            at += n
+    """Texts to piece ids, with each segment's pieces and merges without dropout remembered."""
+
+    def __init__(self, merges: Merges, rate: float = RATE, seed: int = SEED):
+        self.merges, self.rate, self.seed, self.bound = merges, rate, seed, bound_of(rate)
+        #: segment: its ids, its merges' points as bytes, and its character sum
+        self.new: dict[str, tuple[bytes, bytes, int]] = {}
+        self.old: dict[str, tuple[bytes, bytes, int]] = {}
+
+    def document_key(self, doc_id) -> int:
+        return int.from_bytes(blake2b(f"{self.seed}:{doc_id}".encode(), digest_size=8).digest(), "little")
+
+    def occurrences(self, documents: list[int], counts: list[int]) -> np.ndarray:
+        """A number for each occurrence, from its document's key and its position there."""
+        counts = np.array(counts, np.int64)
+        position = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return mixed(np.repeat(np.array(documents, np.uint64), counts) + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def learn(self, words) -> None:
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        new, old, missing = self.new, self.old, []
+        for w in words:
+            if w not in new:
+                known = old.get(w)
+                if known is None:
+                    missing.append(w)
+                else:
+                    new[w] = known
+        if not missing:
+            return
+        trace = []
+        found = self.merges.segment(missing, 0.0, self.seed, 0, trace)
+        owner = np.concatenate([np.zeros(0, np.int64), *(o for o, _ in trace)])
+        steps = np.concatenate([np.zeros(0, np.uint64), *(p for _, p in trace)])[np.argsort(owner, kind="stable")].tobytes()
+        ends = np.cumsum(8 * np.bincount(owner, minlength=len(missing))).tolist()
+        lengths = np.fromiter(map(len, missing), np.int64, len(missing))
+        first = np.cumsum(lengths) - lengths
+        points = np.frombuffer("".join(missing).encode("utf-32-le", "surrogatepass"), "<u4")
+        sums = character_sums(points, np.arange(len(points)) - np.repeat(first, lengths), first).tolist()
+        new.update((w, (ids, steps[a:b], n)) for w, ids, a, b, n in zip(missing, found, [0, *ends], ends, sums))
+
+    def encode(self, segments: list[str], occurrence: np.ndarray) -> list[bytes]:
+        """Ids of each occurrence of a segment."""
+        number = dict.fromkeys(segments)
+        self.learn(number)
+        known = [self.new[w] for w in number]
+        number.update(zip(number, range(len(number))))
+        which = np.fromiter(map(number.__getitem__, segments), np.int64, len(segments))
+        out = list(map([k[0] for k in known].__getitem__, which.tolist()))
+        if self.rate <= 0 or not segments:
+            return out
+        steps = np.frombuffer(b"".join(k[1] for k in known), np.uint64)
+        count = np.fromiter((len(k[1]) // 8 for k in known), np.int64, len(known))
+        begin, many = (np.cumsum(count) - count)[which], count[which]
+        key = keys(np.array([k[2] for k in known], np.uint64)[which], self.seed, occurrence)
+        skipped, left, j = [], np.flatnonzero(many > 0), 0
+        while len(left):
+            below = mixed(key[left] ^ steps[begin[left] + j]) < self.bound
+            skipped.append(left[below])
+            left, j = left[~below], j + 1
+            left = left[many[left] > j]
+        again = np.concatenate([np.zeros(0, np.int64), *skipped])
+        for at, ids in zip(again.tolist(), self.merges.segment([segments[k] for k in again.tolist()], self.rate, self.seed, occurrence[again].view(np.int64))):
+            out[at] = ids
+        return out
 
     def __call__(self, doc_ids: list, texts: list[str | None]) -> Iterator[bytes | None]:
-        at, v = 0, self.variants
+        at, mark = 0, self.merges.literal(MARK)
         while at < len(texts):
-            block, wanted, size = [], [set() for _ in range(v)], 0
+            block, segments, documents, counts, size = [], [], [], [], 0
             while at < len(texts) and (size < BLOCK or not block):
-                text, parts = texts[at], []
+                text, ends, before = texts[at], [], len(segments)
                 for k, part in enumerate(text.split(MARK) if text else ()):
-                    segments = SEGMENT.findall(((MARK if not k else "") + part.replace(" ", MARK)) if part or not k else "")
-                    begin = (self.first_variant(doc_ids[at]) + k) % v
-                    parts.append((begin, segments))
-                    for j in range(v):
-                        wanted[(begin + j) % v].update(segments[j::v])
-                block.append((text, parts))
+                    segments += SEGMENT.findall(((MARK if not k else "") + part.replace(" ", MARK)) if part or not k else "")
+                    ends.append(len(segments))
+                block.append((text, before, ends))
+                documents.append(self.document_key(doc_ids[at]))
+                counts.append(len(segments) - before)
                 size += len(text or "")
                 at += 1
-            self.learn(wanted)
-            memo = [m.__getitem__ for m in self.new]
-            mark = self.merges.literal(MARK)
-            for text, parts in block:
-                if text is None:
-                    yield None
-                    continue
-                done = []
-                for begin, segments in parts:
-                    ids: list[bytes] = [b""] * len(segments)
-                    for j in range(v):
-                        ids[j::v] = map(memo[(begin + j) % v], segments[j::v])
-                    done.append(b"".join(ids))
-                yield mark.join(done)
+            ids = self.encode(segments, self.occurrences(documents, counts))
+            for text, before, ends in block:
+                yield None if text is None else mark.join(b"".join(ids[a:b]) for a, b in zip([before, *ends], ends))
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, rate: float, seed: int) -> Encoder:
     """One for a Python worker, which runs many tasks."""
-    return Encoder(Merges(path), rate, seed, variants)
+    return Encoder(Merges(path), rate, seed)
 
 
-def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id, ids (array<int>), and whether decoding them gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(model_path, rate, seed, variants)
+        encode_all = encoder(model_path, rate, seed)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             found = list(encode_all(doc_ids.to_pylist(), texts))

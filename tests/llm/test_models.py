@@ -130,6 +130,22 @@ def test_subword_agenda():
             assert np.frombuffer(ids, "<u4").tolist() == plain(word, variant, 0.4, 3)
 
 
+def test_subword_dropout_of_each_occurrence():
+    """As many segmentations as there are, a word of one merge at the rate, and the memo as if every agenda were run."""
+    m = subword.Merges(subword.model_path())
+    e = subword.Encoder(m, 0.1)
+    assert len(set(e(list(range(300)), ["internationalisation of tokenization"] * 300))) > 50
+    words = [f"{subword.MARK}{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    short = next(w for w, ids in zip(words, m.segment(words, 0.0, 0, 0)) if len(ids) == 4)
+    n = 20_000
+    occurrence = e.occurrences([e.document_key(1), e.document_key(2)], [n // 2, n // 2])
+    split = sum(len(ids) > 4 for ids in e.encode([short] * n, occurrence))
+    assert 0.09 < split / n < 0.11
+    segments = ["\u2581internationalisation", "\u2581the", short, "\u2581aaaaaaaaa", "\n", "\u2581\u6c34x"] * 50
+    occurrence = e.occurrences([e.document_key(5), e.document_key("z")], [130, 170])
+    assert e.encode(segments, occurrence) == m.segment(segments, 0.1, e.seed, occurrence.view(np.int64))
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
