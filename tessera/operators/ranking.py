@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of a table in spark.checkpoint.dir, which driver and executors share; set only where it is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tessera.sources.shared import durable
 
 
 def global_rank(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
@@ -28,7 +15,7 @@ def global_rank(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     Rows are dealt by range and written once, each part is numbered by itself, and the counts of the parts, one row for
     each, give the offsets.
     """
-    parted = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
+    parted = durable(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
     counts = parted.groupBy("part").agg(F.count("*").alias("rows_here"))
     offsets = counts.withColumn("before", F.coalesce(F.sum("rows_here").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = counts.agg(F.sum("rows_here")).first()[0] or 0
