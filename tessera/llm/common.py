@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import ship
+from tessera.sources.shared import discard, durable, shared_folder
+
+__all__ = ["discard", "durable", "shared_folder"]
 
 #: The white space that separates words, as a Java pattern and as characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -19,37 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def durable(df: DataFrame, name: str, compression: str = "zstd", batch_rows: int = 0) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut and an executor's loss costs nothing.
-
-    batch_rows: rows in a batch that goes to Python, where a row holds a whole text.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
-    try:
-        if batch_rows:
-            spark.conf.set(BATCH, str(batch_rows))
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def trim() -> None:
     """Gives memory that earlier groups of this Python worker have freed back to the system."""
     pa.default_memory_pool().release_unused()
@@ -57,6 +28,13 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit words, splitmix64's finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -78,9 +56,17 @@ def to_python(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size, from file sizes; it sets how many groups work is dealt into."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The input's size by Catalyst, from file sizes; where it knows none, the characters of the text column."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 55:
+        return size
+    return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def groups_for(df: DataFrame, bytes_per_group: int, least: int = 8) -> int:
-    return int(max(least, min(1_000_000, -(-input_bytes(df) // bytes_per_group))))
+    """How many groups work is dealt into. It sets what moves where, never what comes out."""
+    return int(max(least, -(-input_bytes(df) // bytes_per_group)))
+
+
+def shares(total: int, each: int, least: int = 8) -> int:
+    return int(max(least, -(-total // each)))

@@ -1,362 +1,516 @@
 """A hierarchical Pitman-Yor language model over a corpus of any size.
 
-Every context (the word before; the end token before a text's first word) has a restaurant; all share one parent, the
-restaurant of single words, whose base is uniform over the vocabulary and one slot for unknown words. Training words are
-customers. Seating is sampled by Gibbs steps: a customer is taken from its table and seated again, at a table of its
-dish with probability in proportion to the table's size less the discount, or at a new one in proportion to
-(strength + discount * tables of the restaurant) * the parent's probability. Probabilities are averaged over samples.
-
-How it is dealt out. Contexts are hashed to groups; very frequent contexts, whose customers would not fit one group,
-are spread over groups by word, each group judging the restaurant's number of tables from its part. A chunk of the
-corpus sends each group its distinct pairs with training counts, so a pair that fills a third of the corpus arrives once
-for a chunk. A group seats its customers, holding the parent at its own estimate from distinct contexts, and sends the
-sampled tables to word groups, where they are the parent's customers and are seated too. Chunks then get back, in the
-order that they sent, what their pairs and words have, and score their documents. Nothing is broadcast but the list of
-very frequent words, of bounded length, and nothing is collected but sums.
-
-More than DIRECT customers of one dish in one restaurant are seated in growing steps, each drawing its number of new
-tables from a binomial distribution; others one by one.
+Every two words in a row have a restaurant, as every one word has; the restaurant of (u, v) has that of v as its parent, so
+all contexts that end in v share it, and all of these share the root, the restaurant of no context, over a uniform base
+with a slot for unknown words. Training words are customers of the two-word restaurants, tables of a restaurant are
+customers of its parent.
+
+Seating is sampled by Gibbs sweeps in blocks: all customers of one dish in one restaurant are seated anew at once, given
+the other dishes' tables of the last sweep and the parent's probability. With discount d a seating of c customers at t
+tables has the weight r^t S_d(c, t), r being (strength + d * tables) * the parent's probability and S_d a generalised
+Stirling number. With d = 1/2 these have a closed form, and the number of tables, all that a prediction needs to know of
+a seating, is drawn from its conditional exactly, whether a dish has two customers or billions. The root has discount 0,
+so its own seating doesn't enter its predictions. Predictions are averaged over the samples after burn-in, what the lower
+levels say, what they leave to the root, and the root's probability each.
+
+A word that is a context more than ROOM times has rooms, twice as many for each doubling: the dish's hash tells the room, the
+shares of the rooms are their parts of the training words (with one customer spread evenly), and inside a room restaurants
+are as above. Rooms follow from the corpus alone, so no partitioning changes a score: random numbers are hashes of words,
+sweep and level, counts are whole numbers, and what two restaurants share is exchanged and not estimated.
+
+How it is dealt out. The corpus becomes a table of chunks. Each chunk sends its different words, as they are, to word
+groups, which number all words in the order of their hashes and send numbers and counts back. Each chunk then sends its
+different word triples with counts to the group of (v, room), where all restaurants of two and of one word that are coupled
+lie together; the root's probability while they are seated comes from the counts of the whole corpus. Groups send
+sampled tables to the word groups, the root's customers, and for each triple of a chunk what the restaurants say. Chunks put
+this together with the root. Nothing is broadcast but a number for each word group and the root's part of each room, and
+only sums, one row a word group, come to the driver.
 
 Cases: a null or empty text is its end token; with no training rows every word has the base's probability; repeated rows
-count as often as they occur; ids may repeat; texts are read whole.
+count as often as they occur; ids may repeat; a null id is a training row; texts are read whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, groups_for, trim
-from tessera.llm.corpus import Chunk, chunks_of, heavy_words, packed, tokenised, unpacked
+from tessera.llm.common import durable, mixed, shares, trim
+from tessera.llm.corpus import Chunk, bundle, chunks_of, packed, tokenised, total_words, unbundle
 
-DISCOUNT, STRENGTH = 0.8, 1.0
-PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
+#: One half gives the Stirling numbers their closed form; see draw().
+DISCOUNT, STRENGTH = 0.5, 1.0
+#: The root's strength, for each slot of its base.
+ROOT = 0.1
 BURN_IN, SAMPLES = 2, 3
-DIRECT = 48
 FOLDS = 10
-#: Input bytes whose contexts go to one group.
-GROUP_BYTES = 4 << 20
-#: Words of a chunk: a task holds some twenty numbers for each.
-CHUNK_WORDS = 1_500_000
+#: Occurrences of a context word for each of its rooms.
+ROOM = 1_000_000
+#: Training words whose restaurants, and words whose counts, go to one group; words of a chunk.
+GROUP_WORDS, WORD_GROUP_WORDS, CHUNK_WORDS = 2_000_000, 8_000_000, 1_200_000
 SEED = 17
 
-MESSAGE = "kind int, dest long, source long, n long, a binary, b binary, c binary, d binary"
-NAMES = ["kind", "dest", "source", "n", "a", "b", "c", "d"]
-PAIRS, WORDS, TABLES, PAIR_RESULTS, WORD_RESULTS = range(5)
-
+MESSAGE = "kind int, dest long, source long, a binary"
+NAMES = ["kind", "dest", "source", "a"]
+WORDS, TRIPLES, TABLES, SUMS, VALUES, ROOT_CUSTOMERS = range(6)
+#: The end token; no word is empty. The number of the text's beginning, as a context, is 0.
+END = b""
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def held_out(chunk: Chunk, folds: int) -> np.ndarray:
+    found = np.fromiter((zlib.crc32(str(i).encode()) % folds == 0 for i in chunk.doc_ids.tolist()), bool, len(chunk.doc_ids))
+    return found & ~chunk.no_id
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
 
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+def uniform(*keys: np.ndarray | int) -> np.ndarray:
+    """Numbers in (0, 1), a hash of the keys."""
+    h = np.uint64(SEED)
+    with np.errstate(over="ignore"):
+        for key in keys:
+            h = mixed((h + np.asarray(key).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return ((h >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
 
 
-#: The end token; no word is empty.
-END = b""
+def room_bits(count: np.ndarray, room: int) -> np.ndarray:
+    """Binary logarithm of the number of rooms of a context word."""
+    return np.ceil(np.log2(np.maximum(1, count / room))).astype(np.int64)
 
 
-def held_out(doc_ids: np.ndarray, folds: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(str(i).encode()) % folds == 0 for i in doc_ids.tolist()), bool, len(doc_ids))
+def room_of(word: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (mixed(word.astype(np.uint64) + np.uint64(0x5851F42D)) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
 
 
-class Stream:
-    """A chunk's tokens, each text's end included, with its words and pairs in the order in which they are sent."""
+def draw(count: np.ndarray, r: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Tables t of `count` customers of a dish with probability in proportion to r^t S(count, t), by inversion at x.
 
-    def __init__(self, chunk: Chunk, folds: int, groups: int, heavy: np.ndarray):
-        size = len(chunk.vocabulary) + 1
-        self.doc_ids, self.ends = chunk.doc_ids, np.cumsum(chunk.doc_words + 1)
-        n = int(self.ends[-1]) if len(self.ends) else 0
-        self.tokens = np.full(n, size - 1, np.int32)
-        self.tokens[np.delete(np.arange(n), self.ends - 1)] = chunk.words
-        self.held = held_out(chunk.doc_ids, folds)
-        train = np.repeat(~self.held, chunk.doc_words + 1)
-        self.hashes = word_hashes([*chunk.vocabulary, END])
-        self.counts = np.bincount(self.tokens[train], minlength=size)
-
-        # words by (group, hash)
-        key = self.hashes >> np.uint64(16)
-        group = (_mixed(key) % np.uint64(groups)).astype(np.int64)
-        self.word_order = np.lexsort((self.hashes, group))
-        self.word_group = group[self.word_order]
-
-        # pairs by (group, context, word)
-        pair = np.full(n, (size - 1) * size, np.int64)
-        pair[1:] = self.tokens[:-1]
-        pair[1:] *= size
-        pair += self.tokens
-        pairs, pair_of = np.unique(pair, return_inverse=True)
-        del pair
-        self.pair_of = pair_of.astype(np.int32)
-        self.pair_counts = np.bincount(self.pair_of[train], minlength=len(pairs)).astype(np.int32)
-        self.context, self.word = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
-        del pairs, pair_of, train
-        is_heavy = np.isin(key, heavy)
-        alone = (_mixed(key + np.uint64(0x5851F42D)) % np.uint64(groups)).astype(np.int64)
-        self.pair_group = alone[self.context]
-        spread = is_heavy[self.context]
-        both = _mixed(key[self.context[spread]] * np.uint64(0x9E3779B97F4A7C15) + key[self.word[spread]])
-        self.pair_group[spread] = (both % np.uint64(groups)).astype(np.int64)
-        self.pair_order = np.argsort(self.pair_group, kind="stable")
-        self.key = key
-
-    def parts(self, of: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """(group, places) of a sorted array of groups."""
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if b > a:
-                yield int(of[a]), slice(a, b)
+    S(c, t) = (2c - t - 1)! / ((t - 1)! (c - t)! 2^(2c - 2t)), so one more table has 4r(c - t) / ((2c - t - 1)t) times
+    the weight. Weights are summed over ten deviations on both sides of the mode, which leaves out less than 10^-20.
+    """
+    tables = np.ones(len(count), np.int64)
+    some = np.flatnonzero(count > 1)
+    c, r, x = count[some].astype(float), r[some], x[some]
+    b = 2 * c - 1 + 4 * r
+    mode = 8 * r * c / (b + np.sqrt(np.maximum(b * b - 16 * r * c, 0)))
+    spread = 10 * np.sqrt(np.minimum(mode, c - mode) + 1) + 10
+    low = np.floor(np.maximum(1, mode - spread))
+    width = (np.minimum(c, np.ceil(mode + spread)) - low + 1).astype(np.int64)
+    size = np.ceil(np.log2(width)).astype(np.int64)
+    for bits in np.unique(size).tolist():
+        wide = 1 << bits
+        all_of = np.flatnonzero(size == bits)
+        step = max(1, (1 << 20) // wide)
+        for at in range(0, len(all_of), step):
+            i = all_of[at : at + step]
+            t = low[i, None] + np.arange(wide - 1)
+            more = c[i, None] - t
+            weights = np.ones((len(i), wide))
+            # beyond the range a factor is 0, and with it all that follow
+            inside = np.arange(wide - 1) < width[i, None] - 1
+            np.cumprod(np.where(inside, 4 * r[i, None] * more / np.maximum((c[i, None] + more - 1) * t, 1), 0.0), axis=1, out=weights[:, 1:])
+            total = np.cumsum(weights, axis=1)
+            tables[some[i]] = (low[i] + (total < x[i, None] * total[:, -1:]).sum(axis=1)).astype(np.int64)
+    return tables
+
+
+class Root:
+    """The root's probability of words by their customers, and its part of each room."""
+
+    def __init__(self, customers: float, vocabulary: int, masses: np.ndarray, known: np.ndarray):
+        self.total = customers + ROOT * (vocabulary + 1)
+        #: by number of rooms, a power of two: the part of each
+        self.parts = {}
+        whole = masses + ROOT * known
+        for bits in range(len(whole).bit_length()):
+            # each room has a slot for unknown words
+            self.parts[bits] = (whole.reshape(-1, 1 << bits).sum(axis=0) + ROOT) / self.total
+
+    def probability(self, customers: np.ndarray) -> np.ndarray:
+        return (customers + ROOT) / self.total
+
+    def part(self, bits: np.ndarray, room: np.ndarray) -> np.ndarray:
+        out = np.empty(len(bits))
+        for b in np.unique(bits).tolist():
+            out[bits == b] = self.parts[b][room[bits == b]]
+        return out
+
+
+def seat(count, triple_pair, triple_dish, pair_context, dish_context, share, base, keys, sweeps=BURN_IN + SAMPLES, burn=BURN_IN):
+    """Gibbs sweeps over restaurants that share their parents, yielding each sample.
+
+    count: customers of each triple; triple_pair, triple_dish: its two-word restaurant and its dish in the parent;
+    pair_context, dish_context: the parent of a restaurant, and of a dish; share: of a parent's room; base: the root's
+    probability of a dish inside the room; keys: what random numbers are hashed from, of triples and of dishes.
+
+    A sample is (a, b, tables of dishes): a triple's probability times its context's customers and strength is
+    a + b[restaurant] * base.
+    """
+    pairs, dishes, contexts = len(pair_context), len(dish_context), len(share)
+    tables = (count > 0).astype(np.int64)
+    at_pair = np.bincount(triple_pair, tables, minlength=pairs)
+    customers = np.bincount(triple_dish, tables, minlength=dishes).astype(np.int64)
+    parent_tables = (customers > 0).astype(np.int64)
+    several = np.flatnonzero(count > 1)
+    for sweep in range(sweeps):
+        fresh = STRENGTH * share[pair_context] + DISCOUNT * at_pair
+        parent_fresh = STRENGTH + DISCOUNT * np.bincount(dish_context, parent_tables, minlength=contexts)
+        in_parent = np.bincount(dish_context, customers, minlength=contexts)
+        parent = (customers - DISCOUNT * parent_tables + (parent_fresh[dish_context] * base)) / (in_parent + STRENGTH)[dish_context]
+        tables[several] = draw(count[several], (fresh[triple_pair[several]] * parent[triple_dish[several]]), uniform(3, sweep, *(k[several] for k in keys[0])))
+        at_pair = np.bincount(triple_pair, tables, minlength=pairs)
+        customers = np.bincount(triple_dish, tables, minlength=dishes).astype(np.int64)
+        more = np.flatnonzero(customers > 1)
+        parent_tables = (customers > 0).astype(np.int64)
+        parent_tables[more] = draw(customers[more], parent_fresh[dish_context[more]] * base[more], uniform(2, sweep, *(k[more] for k in keys[1])))
+        if sweep >= burn:
+            fresh = STRENGTH * share[pair_context] + DISCOUNT * at_pair
+            parent_fresh = STRENGTH + DISCOUNT * np.bincount(dish_context, parent_tables, minlength=contexts)
+            in_parent = np.bincount(dish_context, customers, minlength=contexts) + STRENGTH
+            of_dish = (customers - DISCOUNT * parent_tables) / in_parent[dish_context]
+            yield count - DISCOUNT * tables + fresh[triple_pair] * of_dish[triple_dish], fresh * (parent_fresh / in_parent)[pair_context], parent_tables
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], NAMES)
 
 
-def narrow(key: np.ndarray) -> bytes:
-    """48-bit keys in six bytes each."""
-    return (key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (key >> np.uint64(32)).astype("<u2").tobytes()
+def _changes(*arrays: np.ndarray) -> np.ndarray:
+    """Places where one of the arrays differs from its last value."""
+    fresh = np.zeros(len(arrays[0]), bool)
+    fresh[:1] = True
+    for a in arrays:
+        fresh[1:] |= a[1:] != a[:-1]
+    return np.flatnonzero(fresh)
 
 
-def wide(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<u4", n).astype(np.uint64) | (np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
+def _runs(begin: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(begin, n))
 
 
-def seat(count: np.ndarray, owner: np.ndarray, base: np.ndarray, discount: float, strength: float, scale: np.ndarray, burn: int, samples: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and last number of tables of each dish in each restaurant.
+def _shortened(values: np.ndarray) -> np.ndarray:
+    """Positive numbers as 24 bits of a float: 16 of the fraction."""
+    return (values.astype("<f4").view("<u4").astype(np.int64) + 0x80) >> 8
 
-    count > 0: customers of a dish; owner: its restaurant; base: the parent's probability of the dish; scale: by what
-    a restaurant's tables here are multiplied to stand for all of its tables.
-    """
-    tables = np.ones(len(count), np.int64)
-    total = np.zeros(len(count))
-    many = np.flatnonzero((count > 1) & (count <= DIRECT))
-    many = many[np.argsort(-count[many], kind="stable")]
-    huge = np.flatnonzero(count > DIRECT)
-    c = count[many]
-    first = np.concatenate([[0], np.cumsum(c)])[:-1].astype(np.int64) if len(c) else np.zeros(0, np.int64)
-    table = np.zeros(int(c.sum()), np.int64)  # all customers of a dish start at one table
-    size = np.zeros(int(c.sum()), np.int64)
-    size[first] = c
-    used = np.ones(len(many), np.int64)
-    for sweep in range(burn + samples):
-        at_owner = np.bincount(owner, tables, minlength=len(scale)) * scale
-        fresh = (strength + discount * at_owner[owner]) * base
-        r = fresh[many]
-        for k in range(int(c[0]) if len(c) else 0):
-            m = int(np.searchsorted(-c, -k, side="left"))  # those with c > k come first
-            f, mine = first[:m], first[:m] + k
-            size[f + table[mine]] -= 1
-            used[:m] -= size[f + table[mine]] == 0
-            new = rng.random(m) * (r[:m] + (c[:m] - 1) - discount * used[:m]) < r[:m]
-            new |= used[:m] == 0
-            old = np.flatnonzero(~new)
-            while len(old):  # a table in proportion to size - discount, by way of another customer
-                other = (rng.random(len(old)) * (c[old] - 1)).astype(np.int64)
-                other += other >= k
-                to = table[first[old] + other]
-                s = size[first[old] + to]
-                ok = rng.random(len(old)) * s < s - discount
-                table[first[old[ok]] + k] = to[ok]
-                size[first[old[ok]] + to[ok]] += 1
-                old = old[~ok]
-            opened = np.flatnonzero(new)
-            waiting = opened
-            while len(waiting):  # any unused number is good for a new table
-                to = np.where(size[first[waiting] + k] == 0, k, (rng.random(len(waiting)) * c[waiting]).astype(np.int64))
-                ok = size[first[waiting] + to] == 0
-                table[first[waiting[ok]] + k] = to[ok]
-                size[first[waiting[ok]] + to[ok]] = 1
-                waiting = waiting[~ok]
-            used[opened] += 1
-        tables[many] = used
-        if len(huge):
-            h, seated, t = count[huge], np.ones(len(huge)), np.ones(len(huge))
-            while (seated < h).any():
-                step = np.minimum(np.maximum(1, np.floor(seated / 8)), h - seated)
-                p = fresh[huge] / (fresh[huge] + np.maximum(seated - discount * t, 1e-9))
-                t += rng.binomial(step.astype(np.int64), np.clip(p, 0, 1))
-                seated += step
-            tables[huge] = t
-        if sweep >= burn:
-            total += tables
-    return total / samples, tables
 
+def _lengthened(values: np.ndarray) -> np.ndarray:
+    return (values << 8).astype("<u4").view("<f4").astype(float)
 
-def _seat_contexts(groups: int, heavy: np.ndarray):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        trim()
-        group = key[0].as_py()
-        rows = rows.sort_by("source").to_pylist()
-        contexts, runs = [np.frombuffer(r["a"], "<u8") for r in rows], [unpacked(r["b"], "<u4") for r in rows]
-        u, u_of = np.unique(np.concatenate(contexts), return_inverse=True)
-        u_of = np.repeat(u_of, np.concatenate(runs))
-        w, w_of = np.unique(np.concatenate([wide(r["c"], r["n"]) for r in rows]), return_inverse=True)
-        pairs, pair_of = np.unique((u_of.astype(np.int64) << 32) | w_of, return_inverse=True)
-        count = np.bincount(pair_of, np.concatenate([unpacked(r["d"], "<u4") for r in rows]), minlength=len(pairs)).astype(np.int64)
-        known = np.flatnonzero(count)
-        owner, dish = (pairs >> 32)[known], (pairs & 0xFFFFFFFF)[known]
-        before = np.bincount(dish, minlength=len(w)).astype(float)
-        base = np.maximum(before - PARENT_DISCOUNT, 0.1) / max(1.0, before.sum())
-        scale = np.where(np.isin(u, heavy), float(groups), 1.0)
-        mean = np.zeros(len(pairs))
-        last = np.zeros(len(pairs), np.int64)
-        mean[known], last[known] = seat(count[known], owner, base[dish], DISCOUNT, STRENGTH, scale, BURN_IN, SAMPLES, np.random.default_rng([SEED, group]))
-        mass = (count - DISCOUNT * mean).astype("<f4")
-        out, at = [], 0
-        for r in rows:
-            out.append((PAIR_RESULTS, r["source"], group, r["n"], packed(mass[pair_of[at : at + r["n"]]]), None, None, None))
-            at += r["n"]
-        # tables by word and by context, to the groups of words
-        for what, keys, value in ((0, w, np.bincount(dish, last[known], minlength=len(w))), (1, u, np.bincount(owner, mean[known], minlength=len(u)))):
-            some = np.flatnonzero(value)
-            to = (_mixed(keys[some]) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]])
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if b > a:
-                    i = some[order[a:b]]
-                    out.append((TABLES, int(to[order[a]]), group, b - a, narrow(keys[i]), packed(value[i].astype("<f4")), b"wu"[what : what + 1], None))
-        return pa.Table.from_batches([_batch(out)])
+
+def _send_words(folds: int, groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for chunk in chunks_of(batches):
+            words = [*chunk.vocabulary, END]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            train = ~held_out(chunk, folds)
+            counts = np.append(np.bincount(chunk.words[np.repeat(train, chunk.doc_words)], minlength=len(chunk.vocabulary)), train.sum())
+            group = (((hashes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            begin = _changes(group[order])
+            out = []
+            for at, n in zip(begin.tolist(), _runs(begin, len(order)).tolist()):
+                i = order[at : at + n]
+                listed = b" ".join([words[k] for k in i.tolist()])
+                numbers = bundle(i, counts[i])
+                out.append((WORDS, int(group[i[0]]), chunk.chunk_id, packed(len(numbers).to_bytes(8, "little") + numbers + listed)))
+            yield _batch(out)
 
     return run
 
 
-def _seat_words(key: tuple, rows: pa.Table) -> pa.Table:
+def _number_words(key: tuple, rows: pa.Table) -> pa.Table:
+    """Numbers of words in the order of their hashes, to the chunks with the words' counts; and the group's sums."""
+    import xxhash
+    import zstandard
+
     trim()
+    places: dict[bytes, int] = {}
+    asked, total = [], np.zeros(0, np.int64)
+    for r in rows.sort_by("source").to_pylist():
+        raw = zstandard.ZstdDecompressor().decompress(r["a"])
+        cut = 8 + int.from_bytes(raw[:8], "little")
+        position, count = unbundle(raw[8:cut])
+        of = np.fromiter((places.setdefault(w, len(places)) for w in raw[cut:].split(b" ")), np.int64, len(position))
+        total = np.concatenate([total, np.zeros(len(places) - len(total), np.int64)])
+        total[of] += count
+        asked.append((r["source"], position, of))
+    names = list(places)
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=lambda i: (xxhash.xxh64_intdigest(names[i]), names[i]))] = np.arange(len(names))
     group = key[0].as_py()
-    rows = rows.sort_by([("kind", "ascending"), ("source", "ascending"), ("c", "ascending")]).to_pylist()
-    asked = [r for r in rows if r["kind"] == WORDS]
-    if not asked:
-        return pa.Table.from_batches([_batch([])])
-    hashes = [np.frombuffer(r["a"], "<u8") for r in asked]
-    word, of = np.unique(np.concatenate(hashes), return_inverse=True)
-    count = np.bincount(of, np.concatenate([unpacked(r["b"], "<u4") for r in asked]), minlength=len(word)).astype(np.int64)
-    short = word >> np.uint64(16)
-    tables = {b"w": np.zeros(len(word)), b"u": np.zeros(len(word))}
-    for r in rows:
-        if r["kind"] == TABLES:
-            keys, value = wide(r["a"], r["n"]), unpacked(r["b"], "<f4")
-            at = np.minimum(np.searchsorted(short, keys), len(short) - 1)
-            hit = short[at] == keys
-            np.add.at(tables[bytes(r["c"])], at[hit], value[hit])
-    customers = np.rint(tables[b"w"]).astype(np.int64)
-    known = np.flatnonzero(customers)
-    base = np.full(len(known), (PARENT_DISCOUNT * len(known) + PARENT_STRENGTH) / (len(known) + 1))
-    mean = np.zeros(len(word))
-    # the root's tables are about one a word, so that its share of a new table is the same everywhere
-    mean[known], _ = seat(customers[known], np.zeros(len(known), np.int64), base, PARENT_DISCOUNT, 1.0, np.zeros(1), BURN_IN, SAMPLES, np.random.default_rng([SEED, 1, group]))
-    out, at = [], 0
-    totals = (int((count > 0).sum()), int(customers.sum()), float(mean.sum()))
-    out.append((WORD_RESULTS, -1, group, totals[0], np.array(totals, "<f8").tobytes(), None, None, None))
-    for r, h in zip(asked, hashes):
-        i = of[at : at + len(h)]
-        at += len(h)
-        out.append((WORD_RESULTS, r["source"], group, len(h), packed(count[i].astype("<u4")), packed(customers[i].astype("<u4")), packed(mean[i].astype("<f4")), packed(tables[b"u"][i].astype("<f4"))))
+    out = [(WORDS, source, group, bundle(position, rank[of], total[of])) for source, position, of in asked]
+    words = [n for n in names if n]
+    alone = int(total[places[END]]) if END in places else 0
+    greatest = max((int(total[places[w]]) for w in words), default=0)
+    out.append((SUMS, -1, group, bundle(np.array([len(names), (total > 0).sum(), total.sum(), max(alone, greatest)]))))
     return pa.Table.from_batches([_batch(out)])
 
 
-def parent_probability(customers_of: np.ndarray, tables_of: np.ndarray, vocabulary: float, customers: float, tables: float) -> np.ndarray:
-    """Of single words; an unknown one has neither customers nor tables, and one share of the base is for all of them."""
-    share = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (vocabulary + 1)
-    return (customers_of - PARENT_DISCOUNT * tables_of + share) / (PARENT_STRENGTH + customers)
+def _root_masses(answers: DataFrame, groups: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training words and known words in each of 2^bits rooms: sums of at most so many numbers for each word group."""
 
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        local, count = (np.concatenate(x) for x in zip(*(unbundle(b)[1:] for b in rows["a"].to_pylist())))
+        local, first = np.unique(local, return_index=True)
+        room = room_of(1 + groups[key[0].as_py()] + local, np.full(len(local), bits))
+        sums = np.bincount(room, count[first], minlength=1 << bits), np.bincount(room[count[first] > 0], minlength=1 << bits)
+        some = np.flatnonzero(sums[1])
+        return pa.table({"room": pa.array(some, pa.int64()), "n": pa.array(sums[0][some].astype(np.int64)), "known": pa.array(sums[1][some].astype(np.int64))})
 
-def probability(mass: np.ndarray, tables_of_context: np.ndarray, customers_of_context: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Of a word after a context; linear in the tables, so mean tables give the mean over samples."""
-    return (mass + (STRENGTH + DISCOUNT * tables_of_context) * parent) / (STRENGTH + customers_of_context)
+    made = answers.where(F.col("kind") == WORDS).select("source", "a").groupBy("source").applyInArrow(run, "room long, n long, known long")
+    out = np.zeros((2, 1 << bits))
+    for r in made.groupBy("room").agg(F.sum("n").alias("n"), F.sum("known").alias("known")).toLocalIterator():
+        out[:, r["room"]] = r["n"], r["known"]
+    return out[0], out[1]
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+class Stream:
+    """A chunk's tokens, each text's end included, and its triples in the order in which they are sent."""
+
+    def __init__(self, chunk: Chunk, answers: list[dict], offsets: np.ndarray, groups: int, folds: int, room: int):
+        made = [(r["source"], *unbundle(r["a"])) for r in sorted(answers, key=lambda r: r["source"])]
+        size = sum(len(position) for _, position, _, _ in made)
+        number, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for source, position, local, n in made:
+            number[position], count[position] = 1 + offsets[source] + local, n
+        #: where each word group's answers stand among the words
+        order = np.argsort(number, kind="stable")
+        rank = np.empty(size + 1, np.int64)
+        rank[order] = np.arange(1, size + 1)
+        self.place = {source: rank[position] for source, position, _, _ in made}
+        self.number = np.concatenate([[0], number[order]])
+        # a text's beginning is a context as often as its end is a word
+        self.count = np.concatenate([[count[size - 1]], count[order]])
+        self.held = held_out(chunk, folds)
+        self.ends = np.cumsum(chunk.doc_words + 1)
+        n = int(self.ends[-1]) if len(self.ends) else 0
+        self.tokens = np.full(n, rank[size - 1], np.int64)
+        word_at = np.ones(n, bool)
+        word_at[self.ends - 1] = False
+        self.tokens[word_at] = rank[chunk.words]
+        begin = self.ends - chunk.doc_words - 1
+        before = np.zeros(n, np.int64)
+        before[1:] = self.tokens[:-1]
+        before[begin] = 0
+        second = np.zeros(n, np.int64)
+        second[1:] = before[:-1]
+        second[begin] = 0
+        train = np.repeat(~self.held, chunk.doc_words + 1)
+        self.size = size + 1
+        self.pairs, pair_of = np.unique(before * self.size + second, return_inverse=True)
+        triples, self.triple_of = np.unique(pair_of * self.size + self.tokens, return_inverse=True)
+        self.triple_count = np.bincount(self.triple_of[train], minlength=len(triples))
+        self.pair, self.word = triples // self.size, triples % self.size
+        self.context, self.first = self.pairs[self.pair] // self.size, self.pairs[self.pair] % self.size
+        self.bits = room_bits(self.count, room)
+        bits = self.bits[self.context]
+        self.room = room_of(self.number[self.word], bits)
+        with np.errstate(over="ignore"):
+            dest = mixed(self.number[self.context].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.room.astype(np.uint64))
+        group = (dest % np.uint64(groups)).astype(np.int64)
+        # triples are in the order of context, first word, word; rooms come before first words
+        self.order = np.lexsort((self.first, self.room, self.context, group)) if bits.any() else np.argsort(group, kind="stable")
+        begin = _changes(group[self.order])
+        self.parts = [(int(group[self.order[a]]), self.order[a : a + m]) for a, m in zip(begin.tolist(), _runs(begin, len(group)).tolist())]
+
+    def messages(self) -> list[tuple[int, bytes]]:
+        out = []
+        for group, i in self.parts:
+            context, first, word, room = self.context[i], self.first[i], self.word[i], self.room[i]
+            pair_at, context_at = _changes(context, room, first), _changes(context, room)
+            different = np.unique(word)
+            out.append((group, bundle(
+                self.number[context[context_at]], room[context_at], self.count[context[context_at]], _runs(np.searchsorted(pair_at, context_at), len(pair_at)),
+                self.number[first[pair_at]], _runs(pair_at, len(i)), self.number[word], self.triple_count[i], self.count[different],
+            )))
+        return out
+
+
+def _seat_group(root: Root, offsets: np.ndarray, room: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        trim()
+        rows = rows.select(["source", "a"]).sort_by("source").to_pylist()
+        sources = [r["source"] for r in rows]
+        parts = [unbundle(r.pop("a")) for r in rows]
+        del rows
+        cat = lambda k: np.concatenate([p[k] for p in parts])
+        # contexts with their rooms, then pairs in them, then triples
+        context_key, first_at, context_of = np.unique(cat(0) * (1 << 20) + cat(1), return_index=True, return_inverse=True)
+        context_number, context_room, context_count = context_key >> 20, context_key & ((1 << 20) - 1), cat(2)[first_at]
+        firsts, first_of = np.unique(cat(4), return_inverse=True)
+        pairs, pair_of = np.unique(np.repeat(context_of, cat(3)) * len(firsts) + first_of, return_inverse=True)
+        pair_context, pair_first = pairs // len(firsts), firsts[pairs % len(firsts)]
+        seen = [np.unique(p[6], return_inverse=True) for p in parts]
+        words, at = np.unique(np.concatenate([s[0] for s in seen]), return_index=True)
+        word_count = cat(8)[at]
+        word_of = np.concatenate([np.searchsorted(words, s[0])[s[1]] for s in seen])
+        del seen
+        triples, triple_of = np.unique(np.repeat(pair_of, cat(5)) * len(words) + word_of, return_inverse=True)
+        count = np.bincount(triple_of, cat(7), minlength=len(triples)).astype(np.int64)
+        sizes = [len(p[6]) for p in parts]
+        runs = [len(p[4]) for p in parts]
+        del parts
+        triple_pair, triple_word = triples // len(words), triples % len(words)
+        dishes, triple_dish = np.unique(pair_context[triple_pair] * len(words) + triple_word, return_inverse=True)
+        dish_context, dish_word = dishes // len(words), dishes % len(words)
+
+        bits = room_bits(context_count, room)
+        here = np.bincount(pair_context[triple_pair], count, minlength=len(context_key))
+        share = (here + 0.5 ** bits.astype(float)) / (context_count + 1)
+        base = root.probability(word_count[dish_word]) / root.part(bits, context_room)[dish_context]
+        keys = (context_number[pair_context][triple_pair], pair_first[triple_pair], words[triple_word]), (context_number[dish_context], words[dish_word])
+        a, b, tables = np.zeros(len(triples)), np.zeros(len(pairs)), []
+        for one, other, sampled in seat(count, triple_pair, triple_dish, pair_context, dish_context, share, base, keys):
+            a += one / SAMPLES
+            b += other / SAMPLES
+            tables.append(np.bincount(dish_word, sampled, minlength=len(words)).astype(np.int64))
+
+        # Where a context has one room, its customers are all here; a chunk divides by those of the others.
+        divisor = np.where(bits[pair_context] > 0, 1.0, np.bincount(triple_pair, count, minlength=len(pairs)) + STRENGTH)
+        a, b = _shortened(a / divisor[triple_pair]), _shortened(b / divisor)
+        often = word_count > room
+        followed = np.bincount(triple_dish, count, minlength=len(dishes)).astype(np.int64)
+        out, at, run_at = [], 0, 0
+        group = key[0].as_py()
+        for source, n, m in zip(sources, sizes, runs):
+            t = triple_of[at : at + n]
+            asked = t[often[triple_word[t]]]
+            out.append((VALUES, source, group, bundle(a[t], b[pair_of[run_at : run_at + m]], followed[triple_dish[asked]])))
+            at, run_at = at + n, run_at + m
+        some = np.flatnonzero(tables[0])  # a dish with customers has a table in each sample
+        home = np.searchsorted(offsets, words[some] - 1, side="right") - 1
+        begin = _changes(home)
+        for k, n in zip(begin.tolist(), _runs(begin, len(some)).tolist()):
+            i, g = some[k : k + n], int(home[k])
+            out.append((TABLES, g, group, bundle(words[i] - 1 - offsets[g], *(t[i] for t in tables))))
+        return pa.Table.from_batches([_batch(out)])
 
+    return run
 
-def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Each document's log10 probability by the model and by the single-word base."""
-    groups = groups_for(docs, GROUP_BYTES)
-    corpus = tokenised(docs, lower=True, share=4 * groups, chunk_words=CHUNK_WORDS)
-    heavy = word_hashes(heavy_words(corpus, 4 * groups)) >> np.uint64(16)
-    heavy = np.sort(np.append(heavy, word_hashes([END]) >> np.uint64(16)))
 
-    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks_of(batches):
-            s = Stream(chunk, folds, groups, heavy)
-            order = s.pair_order
-            out = []
-            for group, places in s.parts(s.pair_group[order]):
-                i = order[places]
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(s.context[i]) != 0]))
-                run = np.diff(np.concatenate([begin, [len(i)]]))
-                out.append((PAIRS, group, chunk.chunk_id, len(i), s.key[s.context[i[begin]]].astype("<u8").tobytes(), packed(run.astype("<u4")), narrow(s.key[s.word[i]]), packed(s.pair_counts[i].astype("<u4"))))
-            yield _batch(out)
+def _seat_root(sizes: np.ndarray, offsets: np.ndarray, bits: int):
+    """The root's customers of words, to the chunks that asked for their numbers; and sums, by room."""
 
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks_of(batches):
-            hashes = word_hashes([*chunk.vocabulary, END])
-            train = np.repeat(~held_out(chunk.doc_ids, folds), chunk.doc_words)
-            counts = np.append(np.bincount(chunk.words[train], minlength=len(chunk.vocabulary)), int((~held_out(chunk.doc_ids, folds)).sum()))
-            group = (_mixed(hashes >> np.uint64(16)) % np.uint64(groups)).astype(np.int64)
-            order = np.lexsort((hashes, group))
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]])
-            out = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if b > a:
-                    i = order[a:b]
-                    out.append((WORDS, int(group[i[0]]), chunk.chunk_id, b - a, hashes[i].astype("<u8").tobytes(), packed(counts[i].astype("<u4")), None, None))
-            yield _batch(out)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        trim()
+        group = key[0].as_py()
+        customers = np.zeros((SAMPLES, int(sizes[group])), np.int64)
+        known = np.zeros(int(sizes[group]), bool)
+        rows = rows.to_pylist()
+        for r in rows:
+            if r["kind"] == TABLES:
+                local, *tables = unbundle(r["a"])
+                for s, t in enumerate(tables):
+                    customers[s, local] += t
+            else:
+                _, local, count = unbundle(r["a"])
+                known[local] = count > 0
+        out = []
+        for r in rows:
+            if r["kind"] == WORDS:
+                _, local, _ = unbundle(r["a"])
+                out.append((ROOT_CUSTOMERS, r["source"], group, bundle(*customers[:, local])))
+        room = room_of(1 + offsets[group] + np.arange(len(known)), np.full(len(known), bits))
+        out.append((SUMS, -1, group, bundle(*(np.bincount(room, c, minlength=1 << bits).astype(np.int64) for c in customers), np.bincount(room[known], minlength=1 << bits))))
+        return pa.Table.from_batches([_batch(out)])
 
-    def totals_of(chunk: Chunk) -> int:
-        return int((chunk.doc_words + 1)[~held_out(chunk.doc_ids, folds)].sum())
+    return run
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def count_training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([totals_of(c) for c in chunks_of(batches)], pa.int64())], ["n"])
 
-    train_tokens = corpus.select(*corpus.columns[:-1]).mapInArrow(count_training, "n long").agg(F.sum("n")).first()[0] or 0
-    plain = corpus.drop("heavy")
-    seated = durable(plain.mapInArrow(send_pairs, MESSAGE).groupBy("dest").applyInArrow(_seat_contexts(groups, heavy), MESSAGE), "tables", "none")
-    words = plain.mapInArrow(send_words, MESSAGE).unionByName(seated.where(F.col("kind") == TABLES))
-    answers = durable(words.groupBy("dest").applyInArrow(_seat_words, MESSAGE), "words", "none")
-    sums = np.zeros(3)
-    for r in answers.where("dest = -1").select("a").toLocalIterator():  # one row of three numbers for each group
-        sums += np.frombuffer(r["a"], "<f8")
-    vocabulary, customers, tables = sums
+def score(docs: DataFrame, folds: int = FOLDS, room: int = ROOM, groups: int | None = None) -> DataFrame:
+    """Each document's log10 probability by the model and by the single-word base.
+
+    room: occurrences of a context word for each of its rooms. groups: how many seating groups, by the corpus if None; no
+    score depends on it.
+    """
+    corpus = tokenised(docs, lower=True, chunk_words=CHUNK_WORDS)
+    total = total_words(corpus)
+    word_groups = shares(total, WORD_GROUP_WORDS, 4) if groups is None else groups
+    groups = shares(total, GROUP_WORDS) if groups is None else groups
+    numbers = durable(corpus.mapInArrow(_send_words(folds, word_groups), MESSAGE).groupBy("dest").applyInArrow(_number_words, MESSAGE), "numbers", "none")
+    found = np.zeros((word_groups, 4), np.int64)
+    for r in numbers.where("dest = -1").select("source", "a").toLocalIterator():
+        found[r["source"]] = unbundle(r["a"])[0]
+    sizes, offsets = found[:, 0], np.cumsum(found[:, 0]) - found[:, 0]
+    vocabulary, train_tokens = int(found[:, 1].sum()), int(found[:, 2].sum())
+    most = int(room_bits(found[:, 3], room).max())
+    answers = numbers.where("dest >= 0")
+    masses = _root_masses(answers, offsets, most) if most else (np.array([train_tokens]), np.array([vocabulary]))
+    first_root = Root(train_tokens, vocabulary, *masses)
+    plain = corpus.drop("vocabulary")
+
+    def send_triples(key: tuple, chunk_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
+        trim()
+        out = []
+        for chunk in chunks_of(chunk_rows):
+            s = Stream(chunk, answer_rows.to_pylist(), offsets, groups, folds, room)
+            out += [(TRIPLES, group, chunk.chunk_id, blob) for group, blob in s.messages()]
+        return pa.Table.from_batches([_batch(out)])
+
+    by_chunk = answers.select(F.col("dest").alias("chunk_id"), "kind", "source", "a")
+    sent = plain.groupBy("chunk_id").cogroup(by_chunk.groupBy("chunk_id")).applyInArrow(send_triples, MESSAGE)
+    seated = durable(sent.select("dest", "source", "a").groupBy("dest").applyInArrow(_seat_group(first_root, offsets, room), MESSAGE), "seated", "none")
+    asked = answers.select("kind", F.col("source").alias("dest"), F.col("dest").alias("source"), "a")
+    tables = asked.unionByName(seated.where(F.col("kind") == TABLES))
+    customers = durable(tables.groupBy("dest").applyInArrow(_seat_root(sizes, offsets, most), MESSAGE), "customers", "none")
+    sums, known = np.zeros((SAMPLES, 1 << most)), np.zeros(1 << most)
+    for r in customers.where("dest = -1").select("a").toLocalIterator():
+        *at_samples, n = unbundle(r["a"])
+        sums += np.array(at_samples)
+        known += n
+    roots = [Root(x.sum(), vocabulary, x, known) for x in sums]
 
     def finish(key: tuple, chunk_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
         trim()
-        columns = [[] for _ in range(7)]
+        made = []
+        by_kind = {kind: [] for kind in (WORDS, VALUES, ROOT_CUSTOMERS)}
+        for r in answer_rows.to_pylist():
+            by_kind[r["kind"]].append(r)
         for chunk in chunks_of(chunk_rows):
-            s = Stream(chunk, folds, groups, heavy)
-            mass = np.zeros(len(s.context))
-            count, in_parent, parent_tables, in_context = (np.zeros(len(s.hashes)) for _ in range(4))
-            pair_at, word_at = dict(s.parts(s.pair_group[s.pair_order])), dict(s.parts(s.word_group))
-            for r in answer_rows.to_pylist():
-                if r["kind"] == PAIR_RESULTS:
-                    mass[s.pair_order[pair_at[r["source"]]]] = unpacked(r["a"], "<f4")
-                else:
-                    i = s.word_order[word_at[r["source"]]]
-                    count[i], in_parent[i], parent_tables[i], in_context[i] = unpacked(r["a"], "<u4"), unpacked(r["b"], "<u4"), unpacked(r["c"], "<f4"), unpacked(r["d"], "<f4")
-            u, w = s.context, s.word
-            p = probability(mass, in_context[u], count[u], parent_probability(in_parent, parent_tables, vocabulary, customers, tables)[w])
-            base = np.log10((count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
-            begin = np.concatenate([[0], s.ends[:-1]])
+            s = Stream(chunk, by_kind[WORDS], offsets, groups, folds, room)
+            of_root = np.zeros((SAMPLES, s.size))
+            for r in by_kind[ROOT_CUSTOMERS]:
+                of_root[:, s.place[r["source"]]] = np.array(unbundle(r["a"]))
+            place = dict(s.parts)
+            a, b, followers = np.zeros(len(s.word)), np.zeros(len(s.word)), np.zeros(len(s.pairs))
+            followers[s.pairs == 0] = s.count[0]
+            often = s.count > room
+            for r in by_kind[VALUES]:
+                i = place[r["source"]]
+                one, other, followed = unbundle(r["a"])
+                a[i] = _lengthened(one)
+                pair_at = _changes(s.context[i], s.room[i], s.first[i])
+                b[i] = np.repeat(_lengthened(other), _runs(pair_at, len(i)))
+                asked = i[often[s.word[i]]]
+                # (v, w) as a context: w is the word before, v the one before that; the end is none
+                pair = s.word[asked] * s.size + s.context[asked]
+                at = np.minimum(np.searchsorted(s.pairs, pair), len(s.pairs) - 1)
+                hit = s.pairs[at] == pair
+                followers[at[hit]] = followed[hit]
+            bits = s.bits[s.context]
+            root = np.zeros(len(s.word))
+            for sample, c in zip(roots, of_root):
+                root += sample.probability(c[s.word]) / sample.part(bits, s.room) / SAMPLES
+            p = (a + b * root) / np.where(bits > 0, followers[s.pair] + STRENGTH, 1.0)
+            base = np.log10((s.count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
+            begin = s.ends - chunk.doc_words - 1
             of_docs = lambda x: np.add.reduceat(x, begin) if len(begin) else x
-            n = np.diff(np.concatenate([[0], s.ends]))
-            values = (s.doc_ids, s.held, n, of_docs((count > 0)[s.tokens].astype(np.int64)), np.full(len(n), train_tokens), of_docs(base[s.tokens]), of_docs(np.log10(np.maximum(p, 1e-300))[s.pair_of]))
-            for column, value in zip(columns, values):
-                column.append(value)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, kinds)], [x.split()[0] for x in RESULT.split(", ")])
-
-    back = seated.where(F.col("kind") == PAIR_RESULTS).unionByName(answers.where("dest >= 0")).select(F.col("dest").alias("chunk_id"), "kind", "source", "a", "b", "c", "d")
+            n = chunk.doc_words + 1
+            values = (s.held, n, of_docs((s.count > 0)[s.tokens].astype(np.int64)), np.full(len(n), train_tokens), of_docs(base[s.tokens]), of_docs(np.log10(np.maximum(p, 1e-300))[s.triple_of]))
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            made.append(pa.table([chunk.ids(), *(pa.array(v, t) for v, t in zip(values, kinds))], [x.split()[0] for x in RESULT.split(", ")]))
+        return pa.concat_tables(made)
+
+    back = by_chunk.unionByName(seated.where(F.col("kind") == VALUES).unionByName(customers.where("dest >= 0")).select(F.col("dest").alias("chunk_id"), "kind", "source", "a"))
     return plain.groupBy("chunk_id").cogroup(back.groupBy("chunk_id")).applyInArrow(finish, RESULT)
 
 

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, groups_for, trim
-from tessera.llm.corpus import Chunk, chunks_of, packed, tokenised, unpacked
+from tessera.llm.common import discard, durable, mixed, shares, trim
+from tessera.llm.corpus import Chunk, chunks_of, packed, tokenised, total_words, unpacked
 from tessera.llm.fmindex import FMIndex
 
 WINDOW, ANCHOR = 13, 7
 #: Occurrences from which an anchor's windows are routed one by one.
 HOT = 5_000
-ANCHOR_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
+ANCHOR_WORDS, SHARD_WORDS = 2_200_000, 800_000
 #: Words of a chunk: a task holds about a dozen numbers for each.
 CHUNK_WORDS = 1_400_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -45,12 +45,6 @@ ANCHORS, ANCHOR_CODES, SEGMENTS, SMALLEST = range(4)
 ONCE, REPEATED, VERY_OFTEN = range(3)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], NAMES)
@@ -69,6 +63,23 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, length) + np.arange(int(length.sum()))
 
 
+def alike(digest: np.ndarray, start: np.ndarray, length: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each different segment, each segment's number): of one digest, and verified word by word.
+
+    Segments of a digest that differ from its first in length or words stand alone.
+    """
+    _, first, of = np.unique(digest, return_index=True, return_inverse=True)
+    rep = first[of]
+    same = length == length[rep]
+    some = np.flatnonzero(same & (rep != np.arange(len(rep))))
+    if len(some):
+        equal = words[_spans(start[some], length[some])] == words[_spans(start[rep[some]], length[some])]
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(length[some]) - length[some])
+    other = np.flatnonzero(~same)
+    of[other] = len(first) + np.arange(len(other))
+    return np.concatenate([first, other]), of
+
+
 class Windows:
     """A chunk's windows and their anchors."""
 
@@ -78,6 +89,8 @@ class Windows:
         self.chunk = chunk
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in chunk.vocabulary), np.uint64, len(chunk.vocabulary))
         self.words = hashes[chunk.words] if len(hashes) else np.zeros(0, np.uint64)
+        # no id is greater than all ids
+        self.ids = np.where(chunk.no_id, FAR, chunk.doc_ids)
         n, sizes = len(self.words), chunk.doc_words
         self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # words from here to the text's end
@@ -90,7 +103,7 @@ class Windows:
             for k in range(ANCHOR):
                 grams *= BASE
                 grams += self.words[k : n - ANCHOR + 1 + k]
-            self.grams = _mixed(grams)
+            self.grams = mixed(grams)
             # The least of WINDOW - ANCHOR + 1 = 7 pieces from each place on, its place in the lowest bits. Which of two equal
             # pieces is taken doesn't matter: windows are routed by the piece, not by its place.
             m = n - WINDOW + 1
@@ -112,7 +125,7 @@ class Windows:
         np.minimum.at(low, of, self.doc[places])
         np.maximum.at(high, of, self.doc[places])
         self.several = low < high
-        group = (_mixed(values ^ np.uint64(0x2545F491)) % np.uint64(anchor_groups)).astype(np.int64)
+        group = (mixed(values ^ np.uint64(0x2545F491)) % np.uint64(anchor_groups)).astype(np.int64)
         self.order = np.argsort(group, kind="stable")
         self.group, self.values, self.value_of_place = group[self.order], values, of
 
@@ -148,13 +161,14 @@ class Windows:
         back[:1] = 1
         back = np.multiply.accumulate(back)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * powers[:-1], dtype=np.uint64)])
-        content = _mixed((sums[self.run_start + length] - sums[self.run_start]) * back[self.run_start] + length.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        content = mixed((sums[self.run_start + length] - sums[self.run_start]) * back[self.run_start] + length.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
         route = np.where(kind[begin] == VERY_OFTEN, content, self.grams[anchor[begin]] if len(begin) else content)
-        digest, first, self.run_of = np.unique(content, return_index=True, return_inverse=True)
+        first, self.run_of = alike(content, self.run_start, length, self.words)
+        digest = content[first]
         self.seg_start, self.seg_words = self.run_start[first], length[first]
         self.smallest = np.full(len(digest), FAR)
-        np.minimum.at(self.smallest, self.run_of, self.chunk.doc_ids[self.doc[self.run_start]])
-        group = (_mixed(route[first] ^ np.uint64(0x1B873593)) % np.uint64(shards)).astype(np.int64)
+        np.minimum.at(self.smallest, self.run_of, self.ids[self.doc[self.run_start]])
+        group = (mixed(route[first] ^ np.uint64(0x1B873593)) % np.uint64(shards)).astype(np.int64)
         self.seg_order = np.lexsort((digest, group))
         self.seg_group = group[self.seg_order]
 
@@ -179,7 +193,7 @@ class Windows:
         if len(self.run_start):
             start = _spans(self.run_start, self.run_windows)
             value = least[_spans(first[self.run_of], self.run_windows)]
-            hit = start[value < self.chunk.doc_ids[self.doc[start]]]
+            hit = start[value < self.ids[self.doc[start]]]
             np.add.at(goes, hit, 1)
             np.add.at(goes, hit + WINDOW, -1)
         return np.cumsum(goes[:-1]) > 0
@@ -237,8 +251,8 @@ def _search(key: tuple, rows: pa.Table) -> pa.Table:
     # equal segments of several chunks are indexed once
     start = np.cumsum(lengths) - lengths
     rank = np.arange(int(lengths.max()))[_spans(np.zeros(len(lengths), np.int64), lengths)]
-    digest = np.add.reduceat(_mixed(words + (rank.astype(np.uint64) + np.uint64(1)) * BASE), start) + lengths.astype(np.uint64)
-    _, first, of = np.unique(digest, return_index=True, return_inverse=True)
+    digest = np.add.reduceat(mixed(words + (rank.astype(np.uint64) + np.uint64(1)) * BASE), start) + lengths.astype(np.uint64)
+    first, of = alike(digest, start, lengths, words)
     smallest = np.full(len(first), FAR)
     np.minimum.at(smallest, of, ids)
     least = smallest_ids(lengths[first], words[_spans(start[first], lengths[first])], smallest)
@@ -256,9 +270,11 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words as a text."""
-    anchor_groups, shards = groups_for(docs, ANCHOR_BYTES), groups_for(docs, SHARD_BYTES)
-    corpus = tokenised(docs, lower=False, share=1, chunk_words=CHUNK_WORDS).drop("heavy")
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words as a text and docs' row_key (0 if none)."""
+    result = RESULT + (", kept_text string, row_key long" if with_text else "")
+    corpus = tokenised(docs, lower=False, chunk_words=CHUNK_WORDS)
+    total = total_words(corpus)
+    anchor_groups, shards = shares(total, ANCHOR_WORDS), shares(total, SHARD_WORDS)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches):
@@ -276,28 +292,31 @@ def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame
     def finish(key: tuple, chunk_rows: pa.Table, reply_rows: pa.Table) -> pa.Table:
         trim()
         replies = reply_rows.to_pylist()
-        out = [[], [], [], [], []]
+        made = []
         for chunk in chunks_of(chunk_rows):
+            out = [[], [], [], []]
             w = Windows(chunk, anchor_groups)
             w.segments([r for r in replies if r["kind"] == ANCHOR_CODES], shards)
             goes = w.removed([r for r in replies if r["kind"] == SMALLEST])
             at = 0
-            for doc_id, n in zip(chunk.doc_ids.tolist(), chunk.doc_words.tolist()):
+            for n in chunk.doc_words.tolist():
                 gone = goes[at : at + n]
                 kept = chunk.words[at : at + n][~gone] if gone.any() else chunk.words[at : at + n]
                 text = b" ".join(map(chunk.vocabulary.__getitem__, kept.tolist()))
-                for column, value in zip(out, (doc_id, n, n - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None)):
+                for column, value in zip(out, (n, n - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None)):
                     column.append(value)
                 at += n
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)][: 4 + with_text], names[: 4 + with_text])
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))][: 3 + with_text]
+            if with_text:
+                columns.append(pa.array(chunk.keys, pa.int64()))
+            made.append(pa.table([chunk.ids(), *columns], [c.split()[0] for c in result.split(", ")]))
+        return pa.concat_tables(made)
 
     by_chunk = lambda df: df.withColumnRenamed("dest", "chunk_id").groupBy("chunk_id")
     codes = durable(corpus.mapInArrow(send_anchors, MESSAGE).groupBy("dest").applyInArrow(lambda key, rows: _settle_anchors(key, rows, hot), MESSAGE), "anchors", "none")
     segments = corpus.groupBy("chunk_id").cogroup(by_chunk(codes)).applyInArrow(send_segments, MESSAGE)
     least = segments.groupBy("dest").applyInArrow(_search, MESSAGE)
-    return corpus.groupBy("chunk_id").cogroup(by_chunk(codes.unionByName(least))).applyInArrow(finish, RESULT + (", kept_text string" if with_text else ""))
+    return corpus.groupBy("chunk_id").cogroup(by_chunk(codes.unionByName(least))).applyInArrow(finish, result)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -305,9 +324,16 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their kept words as text; texts that lose nothing keep their white space."""
-    cut = dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", "kept_text")
-    joined = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("kept_text", "text")
-    renewed = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long")}
-    return joined.select(*[renewed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    """Documents with their kept words as text; texts that lose nothing keep their white space.
+
+    What a row loses follows from its id and text, so rows are found again by both, and rows that repeat both lose the
+    same. Every row comes back once, with its own columns.
+    """
+    key = F.xxhash64("text")
+    source = docs.select("doc_id", "text", key.alias("row_key"))
+    cut = dedup(source, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("doc_id"), "row_key", "kept_text").dropDuplicates(["doc_id", "row_key"])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), key.alias("own_key"))
+    joined = row.join(cut, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("row_key")), "left")
+    kept = F.col("kept_text")
+    renewed = {"text": F.coalesce(kept, F.col("row.text")), "n_chars": F.when(kept.isNull(), F.col("row.n_chars")).otherwise(F.length(kept)).cast("long")}
+    return joined.select(*[renewed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

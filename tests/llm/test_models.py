@@ -1,80 +1,12 @@
 import math
-import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
 
-from tessera.llm import packing, pitman_yor, subword, toxicity
+from tessera.llm import packing, subword, toxicity
 from tests.llm import brute
 
 
-def lowered(text):
-    return [w.encode().lower().decode() for w in brute.words(text)] + [""]
-
-
-def test_pitman_yor(docs, rows, empty):
-    got = {r["doc_id"]: r for r in pitman_yor.score(docs).collect()}
-    tokens = {i: lowered(t) for i, t, *_ in rows}
-    train = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
-    n, v = sum(train.values()), len(train)
-    assert len(got) == len(rows)
-    for i, t in tokens.items():
-        r = got[i]
-        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in train for w in t), n)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isfinite(r["score"]) and r["score"] < 0
-    fit = [r for r in got.values() if not r["held_out"]]
-    assert sum(r["score"] for r in fit) > sum(r["base_score"] for r in fit)
-    assert pitman_yor.score(empty).count() == 0
-
-
-def test_pitman_yor_sums_to_one():
-    """After any context, over all words and the unknown slot, with tables as the groups sample them."""
-    py, rng = pitman_yor, np.random.default_rng(8)
-    counts = rng.poisson(0.7, (6, 25)) * rng.integers(1, 9, (6, 25))
-    counts[:, 0] = 200  # more than are seated one by one
-    u, w = np.nonzero(counts)
-    mean, last = py.seat(counts[u, w], u, np.full(len(u), 0.04), py.DISCOUNT, py.STRENGTH, np.ones(6), 2, 3, rng)
-    customers = np.bincount(w, last, minlength=25).astype(np.int64)
-    known = np.flatnonzero(customers)
-    tables = np.zeros(25)
-    tables[known], _ = py.seat(customers[known], np.zeros(len(known), np.int64), np.full(len(known), 0.6), py.PARENT_DISCOUNT, 1.0, np.zeros(1), 2, 3, rng)
-    pad = lambda x: np.append(x, 0.0)
-    parent = py.parent_probability(pad(customers), pad(tables), len(known), customers.sum(), tables.sum())
-    unused = 25 - len(known)
-    assert math.isclose(parent.sum() - unused * parent[-1], 1.0, rel_tol=1e-9)
-    in_context = np.bincount(u, mean, minlength=6)
-    for c in range(6):
-        mass = np.zeros(26)
-        mass[w[u == c]] = (counts[u, w] - py.DISCOUNT * mean)[u == c]
-        p = py.probability(mass, in_context[c], counts[c].sum(), parent)
-        assert (p > 0).all() and math.isclose(p.sum() - unused * p[-1], 1.0, rel_tol=1e-9)
-
-
-def test_seating_stays_within_bounds():
-    count = np.array([1, 2, 5, 48, 49, 1000, 50_000])
-    mean, last = pitman_yor.seat(count, np.zeros(7, np.int64), np.full(7, 0.01), 0.8, 1.0, np.ones(1), 2, 3, np.random.default_rng(1))
-    assert (last >= 1).all() and (last <= count).all() and (mean >= 1).all() and mean[0] == 1
-
-
-def test_seating_follows_the_posterior():
-    """Two customers share a table with probability (1 - d) / (1 - d + r), r being the weight of a new table."""
-    n, r_base = 20_000, 0.3
-    mean, _ = pitman_yor.seat(np.full(n, 2), np.arange(n), np.full(n, r_base), 0.5, 1.0, np.zeros(n), 5, 20, np.random.default_rng(2))
-    want = 1 + r_base / (0.5 + r_base)
-    assert abs(mean.mean() - want) < 0.01
-
-
-def test_heavy_contexts_are_spread(docs):
-    from tessera.llm.corpus import heavy_words, tokenised
-
-    corpus = tokenised(docs, True, 64)
-    assert set(heavy_words(corpus, 64)) and len(heavy_words(corpus, 64)) <= 64
-
-
 def test_subword_equals_the_library_without_dropout(rows):
     import sentencepiece
 
