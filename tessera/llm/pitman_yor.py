@@ -19,7 +19,7 @@ are as above. Rooms follow from the corpus alone, so no partitioning changes a s
 sweep and level, counts are whole numbers, and what two restaurants share is exchanged and not estimated.
 
 How it is dealt out. The corpus becomes a table of chunks. Each chunk sends its different words, as they are, to word
-groups, which number all words in the order of their hashes and send numbers and counts back. Each chunk then sends its
+groups, which number all words, by the binary length of the count and then by hash, and send numbers and counts back. Each chunk then sends its
 different word triples with counts to the group of (v, room), where all restaurants of two and of one word that are coupled
 lie together; the root's probability while they are seated comes from the counts of the whole corpus. Groups send
 sampled tables to the word groups, the root's customers, and for each triple of a chunk what the restaurants say. Chunks put
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, mixed, shares, trim
+from tessera.llm.common import discard, durable, mixed, shares, trim
 from tessera.llm.corpus import Chunk, bundle, chunks_of, packed, tokenised, total_words, unbundle
 
 #: One half gives the Stirling numbers their closed form; see draw().
@@ -52,7 +52,9 @@ FOLDS = 10
 #: Occurrences of a context word for each of its rooms.
 ROOM = 1_000_000
 #: Training words whose restaurants, and words whose counts, go to one group; words of a chunk.
-GROUP_WORDS, WORD_GROUP_WORDS, CHUNK_WORDS = 2_000_000, 8_000_000, 1_200_000
+GROUP_WORDS, WORD_GROUP_WORDS, CHUNK_WORDS = 1_200_000, 8_000_000, 1_000_000
+#: Numbers of words begin with those of the highest class, the binary length of the count.
+CLASSES = 64
 SEED = 17
 
 MESSAGE = "kind int, dest long, source long, a binary"
@@ -192,6 +194,20 @@ def _runs(begin: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(begin, n))
 
 
+def _steps(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Differences of values that grow inside each run; a run's first stays."""
+    out = np.diff(values, prepend=0)
+    out[begin] = values[begin]
+    return out
+
+
+def _walked(steps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The values of _steps."""
+    total = np.cumsum(steps)
+    begin = np.cumsum(runs) - runs
+    return total - np.repeat(total[begin] - steps[begin], runs)
+
+
 def _shortened(values: np.ndarray) -> np.ndarray:
     """Positive numbers as 24 bits of a float: 16 of the fraction."""
     return (values.astype("<f4").view("<u4").astype(np.int64) + 0x80) >> 8
@@ -225,7 +241,7 @@ def _send_words(folds: int, groups: int):
 
 
 def _number_words(key: tuple, rows: pa.Table) -> pa.Table:
-    """Numbers of words in the order of their hashes, to the chunks with the words' counts; and the group's sums."""
+    """Places of words by class and hash, to the chunks with the words' counts; and the group's sums and class sizes."""
     import xxhash
     import zstandard
 
@@ -240,25 +256,53 @@ def _number_words(key: tuple, rows: pa.Table) -> pa.Table:
         total = np.concatenate([total, np.zeros(len(places) - len(total), np.int64)])
         total[of] += count
         asked.append((r["source"], position, of))
-    names = list(places)
+    names, kind = list(places), class_of(total)
+    by_class = kind.tolist()
     rank = np.empty(len(names), np.int64)
-    rank[sorted(range(len(names)), key=lambda i: (xxhash.xxh64_intdigest(names[i]), names[i]))] = np.arange(len(names))
+    rank[sorted(range(len(names)), key=lambda i: (by_class[i], xxhash.xxh64_intdigest(names[i]), names[i]))] = np.arange(len(names))
     group = key[0].as_py()
     out = [(WORDS, source, group, bundle(position, rank[of], total[of])) for source, position, of in asked]
     words = [n for n in names if n]
     alone = int(total[places[END]]) if END in places else 0
     greatest = max((int(total[places[w]]) for w in words), default=0)
-    out.append((SUMS, -1, group, bundle(np.array([len(names), (total > 0).sum(), total.sum(), max(alone, greatest)]))))
+    out.append((SUMS, -1, group, bundle(np.array([(total > 0).sum(), total.sum(), max(alone, greatest)]), np.bincount(kind, minlength=CLASSES))))
     return pa.Table.from_batches([_batch(out)])
 
 
-def _root_masses(answers: DataFrame, groups: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def class_of(count: np.ndarray) -> np.ndarray:
+    """0 for the most frequent words that there can be, CLASSES - 1 for unseen ones."""
+    return CLASSES - 1 - np.frexp(count.astype(float))[1]
+
+
+class Numbers:
+    """Numbers of all words, from 1 on, by class and hash: what each word group's places stand for."""
+
+    def __init__(self, sizes: np.ndarray):
+        """sizes: words by group and class."""
+        self.sizes = sizes
+        flat = sizes.T.ravel()
+        #: words before those of a group in a class, over all, by class and then group; and in the group
+        self.before = (np.cumsum(flat) - flat).reshape(sizes.T.shape)
+        self.inside = np.cumsum(sizes, axis=1) - sizes
+
+    def of(self, group: int, place: np.ndarray) -> np.ndarray:
+        kind = np.searchsorted(self.inside[group], place, side="right") - 1
+        return 1 + self.before[kind, group] + place - self.inside[group, kind]
+
+    def home(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group and place there."""
+        at = np.searchsorted(self.before.ravel(), number - 1, side="right") - 1
+        kind, group = np.divmod(at, len(self.sizes))
+        return group, number - 1 - self.before[kind, group] + self.inside[group, kind]
+
+
+def _root_masses(answers: DataFrame, numbers: Numbers, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Training words and known words in each of 2^bits rooms: sums of at most so many numbers for each word group."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         local, count = (np.concatenate(x) for x in zip(*(unbundle(b)[1:] for b in rows["a"].to_pylist())))
         local, first = np.unique(local, return_index=True)
-        room = room_of(1 + groups[key[0].as_py()] + local, np.full(len(local), bits))
+        room = room_of(numbers.of(key[0].as_py(), local), np.full(len(local), bits))
         sums = np.bincount(room, count[first], minlength=1 << bits), np.bincount(room[count[first] > 0], minlength=1 << bits)
         some = np.flatnonzero(sums[1])
         return pa.table({"room": pa.array(some, pa.int64()), "n": pa.array(sums[0][some].astype(np.int64)), "known": pa.array(sums[1][some].astype(np.int64))})
@@ -273,12 +317,12 @@ def _root_masses(answers: DataFrame, groups: np.ndarray, bits: int) -> tuple[np.
 class Stream:
     """A chunk's tokens, each text's end included, and its triples in the order in which they are sent."""
 
-    def __init__(self, chunk: Chunk, answers: list[dict], offsets: np.ndarray, groups: int, folds: int, room: int):
+    def __init__(self, chunk: Chunk, answers: list[dict], numbers: Numbers, groups: int, folds: int, room: int):
         made = [(r["source"], *unbundle(r["a"])) for r in sorted(answers, key=lambda r: r["source"])]
         size = sum(len(position) for _, position, _, _ in made)
         number, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for source, position, local, n in made:
-            number[position], count[position] = 1 + offsets[source] + local, n
+            number[position], count[position] = numbers.of(source, local), n
         #: where each word group's answers stand among the words
         order = np.argsort(number, kind="stable")
         rank = np.empty(size + 1, np.int64)
@@ -327,18 +371,21 @@ class Stream:
             different = np.unique(word)
             out.append((group, bundle(
                 self.number[context[context_at]], room[context_at], self.count[context[context_at]], _runs(np.searchsorted(pair_at, context_at), len(pair_at)),
-                self.number[first[pair_at]], _runs(pair_at, len(i)), self.number[word], self.triple_count[i], self.count[different],
+                _steps(self.number[first[pair_at]], np.searchsorted(pair_at, context_at)), _runs(pair_at, len(i)), _steps(self.number[word], pair_at),
+                self.triple_count[i], self.count[different],
             )))
         return out
 
 
-def _seat_group(root: Root, offsets: np.ndarray, room: int):
+def _seat_group(root: Root, numbers: Numbers, room: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         trim()
         rows = rows.select(["source", "a"]).sort_by("source").to_pylist()
         sources = [r["source"] for r in rows]
         parts = [unbundle(r.pop("a")) for r in rows]
         del rows
+        for p in parts:
+            p[4], p[6] = _walked(p[4], p[3]), _walked(p[6], p[5])
         cat = lambda k: np.concatenate([p[k] for p in parts])
         # contexts with their rooms, then pairs in them, then triples
         context_key, first_at, context_of = np.unique(cat(0) * (1 << 20) + cat(1), return_index=True, return_inverse=True)
@@ -384,24 +431,25 @@ def _seat_group(root: Root, offsets: np.ndarray, room: int):
             out.append((VALUES, source, group, bundle(a[t], b[pair_of[run_at : run_at + m]], followed[triple_dish[asked]])))
             at, run_at = at + n, run_at + m
         some = np.flatnonzero(tables[0])  # a dish with customers has a table in each sample
-        home = np.searchsorted(offsets, words[some] - 1, side="right") - 1
+        home, place = numbers.home(words[some])
+        order = np.argsort(home, kind="stable")
+        some, home, place = some[order], home[order], place[order]
         begin = _changes(home)
         for k, n in zip(begin.tolist(), _runs(begin, len(some)).tolist()):
-            i, g = some[k : k + n], int(home[k])
-            out.append((TABLES, g, group, bundle(words[i] - 1 - offsets[g], *(t[i] for t in tables))))
+            out.append((TABLES, int(home[k]), group, bundle(place[k : k + n], *(t[some[k : k + n]] for t in tables))))
         return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
-def _seat_root(sizes: np.ndarray, offsets: np.ndarray, bits: int):
+def _seat_root(numbers: Numbers, bits: int):
     """The root's customers of words, to the chunks that asked for their numbers; and sums, by room."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         trim()
         group = key[0].as_py()
-        customers = np.zeros((SAMPLES, int(sizes[group])), np.int64)
-        known = np.zeros(int(sizes[group]), bool)
+        size = int(numbers.sizes[group].sum())
+        customers, known = np.zeros((SAMPLES, size), np.int64), np.zeros(size, bool)
         rows = rows.to_pylist()
         for r in rows:
             if r["kind"] == TABLES:
@@ -416,7 +464,7 @@ def _seat_root(sizes: np.ndarray, offsets: np.ndarray, bits: int):
             if r["kind"] == WORDS:
                 _, local, _ = unbundle(r["a"])
                 out.append((ROOT_CUSTOMERS, r["source"], group, bundle(*customers[:, local])))
-        room = room_of(1 + offsets[group] + np.arange(len(known)), np.full(len(known), bits))
+        room = room_of(numbers.of(group, np.arange(size)), np.full(size, bits))
         out.append((SUMS, -1, group, bundle(*(np.bincount(room, c, minlength=1 << bits).astype(np.int64) for c in customers), np.bincount(room[known], minlength=1 << bits))))
         return pa.Table.from_batches([_batch(out)])
 
@@ -436,15 +484,15 @@ def score(docs: DataFrame, folds: int = FOLDS, room: int = ROOM, groups: int | N
     total = total_words(corpus)
     word_groups = shares(total, WORD_GROUP_WORDS, 4) if groups is None else groups
     groups = shares(total, GROUP_WORDS) if groups is None else groups
-    numbers = durable(corpus.mapInArrow(_send_words(folds, word_groups), MESSAGE).groupBy("dest").applyInArrow(_number_words, MESSAGE), "numbers", "none")
-    found = np.zeros((word_groups, 4), np.int64)
-    for r in numbers.where("dest = -1").select("source", "a").toLocalIterator():
-        found[r["source"]] = unbundle(r["a"])[0]
-    sizes, offsets = found[:, 0], np.cumsum(found[:, 0]) - found[:, 0]
-    vocabulary, train_tokens = int(found[:, 1].sum()), int(found[:, 2].sum())
-    most = int(room_bits(found[:, 3], room).max())
-    answers = numbers.where("dest >= 0")
-    masses = _root_masses(answers, offsets, most) if most else (np.array([train_tokens]), np.array([vocabulary]))
+    listed = durable(corpus.mapInArrow(_send_words(folds, word_groups), MESSAGE).groupBy("dest").applyInArrow(_number_words, MESSAGE), "numbers", "none")
+    found, sizes = np.zeros((word_groups, 3), np.int64), np.zeros((word_groups, CLASSES), np.int64)
+    for r in listed.where("dest = -1").select("source", "a").toLocalIterator():
+        found[r["source"]], sizes[r["source"]] = unbundle(r["a"])
+    numbers = Numbers(sizes)
+    vocabulary, train_tokens = int(found[:, 0].sum()), int(found[:, 1].sum())
+    most = int(room_bits(found[:, 2], room).max())
+    answers = listed.where("dest >= 0")
+    masses = _root_masses(answers, numbers, most) if most else (np.array([train_tokens]), np.array([vocabulary]))
     first_root = Root(train_tokens, vocabulary, *masses)
     plain = corpus.drop("vocabulary")
 
@@ -452,16 +500,16 @@ def score(docs: DataFrame, folds: int = FOLDS, room: int = ROOM, groups: int | N
         trim()
         out = []
         for chunk in chunks_of(chunk_rows):
-            s = Stream(chunk, answer_rows.to_pylist(), offsets, groups, folds, room)
+            s = Stream(chunk, answer_rows.to_pylist(), numbers, groups, folds, room)
             out += [(TRIPLES, group, chunk.chunk_id, blob) for group, blob in s.messages()]
         return pa.Table.from_batches([_batch(out)])
 
     by_chunk = answers.select(F.col("dest").alias("chunk_id"), "kind", "source", "a")
     sent = plain.groupBy("chunk_id").cogroup(by_chunk.groupBy("chunk_id")).applyInArrow(send_triples, MESSAGE)
-    seated = durable(sent.select("dest", "source", "a").groupBy("dest").applyInArrow(_seat_group(first_root, offsets, room), MESSAGE), "seated", "none")
+    seated = durable(sent.select("dest", "source", "a").groupBy("dest").applyInArrow(_seat_group(first_root, numbers, room), MESSAGE), "seated", "none")
     asked = answers.select("kind", F.col("source").alias("dest"), F.col("dest").alias("source"), "a")
     tables = asked.unionByName(seated.where(F.col("kind") == TABLES))
-    customers = durable(tables.groupBy("dest").applyInArrow(_seat_root(sizes, offsets, most), MESSAGE), "customers", "none")
+    customers = durable(tables.groupBy("dest").applyInArrow(_seat_root(numbers, most), MESSAGE), "customers", "none")
     sums, known = np.zeros((SAMPLES, 1 << most)), np.zeros(1 << most)
     for r in customers.where("dest = -1").select("a").toLocalIterator():
         *at_samples, n = unbundle(r["a"])
@@ -476,7 +524,7 @@ def score(docs: DataFrame, folds: int = FOLDS, room: int = ROOM, groups: int | N
         for r in answer_rows.to_pylist():
             by_kind[r["kind"]].append(r)
         for chunk in chunks_of(chunk_rows):
-            s = Stream(chunk, by_kind[WORDS], offsets, groups, folds, room)
+            s = Stream(chunk, by_kind[WORDS], numbers, groups, folds, room)
             of_root = np.zeros((SAMPLES, s.size))
             for r in by_kind[ROOT_CUSTOMERS]:
                 of_root[:, s.place[r["source"]]] = np.array(unbundle(r["a"]))
@@ -511,7 +559,10 @@ def score(docs: DataFrame, folds: int = FOLDS, room: int = ROOM, groups: int | N
         return pa.concat_tables(made)
 
     back = by_chunk.unionByName(seated.where(F.col("kind") == VALUES).unionByName(customers.where("dest >= 0")).select(F.col("dest").alias("chunk_id"), "kind", "source", "a"))
-    return plain.groupBy("chunk_id").cogroup(back.groupBy("chunk_id")).applyInArrow(finish, RESULT)
+    # A row a document, written, so that the tables it was made from can go.
+    out = durable(plain.groupBy("chunk_id").cogroup(back.groupBy("chunk_id")).applyInArrow(finish, RESULT), "scores")
+    discard(corpus, listed, seated, customers)
+    return out
 
 
 def op1_pitman_yor(spark, sf_dir: str) -> DataFrame:

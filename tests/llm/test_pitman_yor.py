@@ -42,7 +42,8 @@ class Plain:
     def __init__(self, rows, room):
         texts = {k: lowered(t) for k, (i, t, *_) in enumerate(rows)}
         train = {k for k, (i, *_) in enumerate(rows) if i is None or zlib.crc32(str(i).encode()) % 10}
-        vocabulary = sorted({w.encode() for t in texts.values() for w in t}, key=lambda w: (xxhash.xxh64_intdigest(w), w))
+        seen = Counter(w for k in train for w in texts[k])
+        vocabulary = sorted({w.encode() for t in texts.values() for w in t}, key=lambda w: (-seen[w.decode()].bit_length(), xxhash.xxh64_intdigest(w), w))
         self.number = {w.decode(): k + 1 for k, w in enumerate(vocabulary)}
         self.count = Counter(self.number[w] for k in train for w in texts[k])
         self.count[0] = len(train)
