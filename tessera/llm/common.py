@@ -7,6 +7,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A column that tells the rows of a written table apart, whatever they hold.
+PLACE = "__tessera_place"
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with each row's file and place in it; a table that isn't read from files is written first."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(PLACE)
+    try:
+        return docs.select(*[F.col(f"`{c}`") for c in docs.columns], place)
+    except AnalysisException:
+        docs = durable(docs, "rows")
+        return docs.select("*", place)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a placed table whose places `gone` doesn't hold, with their own columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != PLACE]).alias("whole"), F.col(PLACE).alias("place"))
+    return whole.join(gone.select(F.col(PLACE).alias("gone")), F.col("place") == F.col("gone"), "left_anti").select("whole.*")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]

@@ -1,6 +1,6 @@
 """Near-duplicate join: MinHash banding over word n-grams, pairs verified on the full n-gram sets.
 
-Documents with the same n-gram set are one class of copies and are represented by their smallest id. Bands and rows are
+Documents with the same n-gram set are one class of copies and are represented by their row with the smallest id. Bands and rows are
 chosen for a target recall at the threshold. Representatives are shuffled on their band hashes; buckets of the same
 members are looked at once, and a pair only in its first common band. A bucket is dealt out in blocks, and each pair of
 blocks is verified on its own, so no task holds a large bucket; what comes out is each representative's number of links
@@ -10,7 +10,8 @@ The result has a row for each document: its class (the smallest id of its connec
 links, the other documents whose n-gram sets have a Jaccard similarity of the threshold or more.
 
 Cases: a text of fewer words than an n-gram has its words together as its only one, so equal short texts are copies; a
-null, empty or blank text has none and links to nothing; rows that repeat an id count as rows; texts are read whole.
+null, empty or blank text has none and links to nothing; rows that repeat an id count as rows; a null id comes after all
+others; texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, groups_for, to_python
+from tessera.llm.common import PLACE, discard, durable, groups_for, mixed, placed, to_python, without
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.997
 MOST_HASHES = 256
 #: Members of a block of a large bucket.
 BLOCK = 384
-SALT = 8
+SALT = 16
 GROUP_BYTES = 4 << 20
 MEMO = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -47,12 +48,6 @@ def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: i
     return best
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -71,7 +66,7 @@ class NGrams:
         self.factor = rng.integers(0, 1 << 63, bands * rows, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
         self.offset = rng.integers(0, 1 << 63, bands * rows, np.uint64)[:, None]
         self.weight = rng.integers(0, 1 << 63, rows, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.band = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * BASE)
+        self.band = mixed(np.arange(1, bands + 1, dtype=np.uint64) * BASE)
 
     def set_of(self, text: bytes | None) -> np.ndarray:
         split = text.split() if text else []
@@ -84,14 +79,14 @@ class NGrams:
         g = np.full(len(w) - k + 1, k, np.uint64)
         for i in range(k):
             g = g * BASE + w[i : len(w) - k + 1 + i]
-        return np.unique(_mixed(g))
+        return np.unique(mixed(g))
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         least = None
         for at in range(0, len(grams), 4096):
             part = (grams[None, at : at + 4096] * self.factor + self.offset).min(axis=1)
             least = part if least is None else np.minimum(least, part)
-        return (_mixed((least.reshape(self.bands, self.rows) * self.weight).sum(axis=1, dtype=np.uint64)) ^ self.band).view(np.int64)
+        return (mixed((least.reshape(self.bands, self.rows) * self.weight).sum(axis=1, dtype=np.uint64)) ^ self.band).view(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -100,7 +95,7 @@ def ngrams(words: int, bands: int, rows: int) -> NGrams:
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the digest of its n-gram set (null if it has none) and its band keys."""
+    """doc_id, the digest of its n-gram set (null if it has none), its band keys and, where docs has one, the row's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = ngrams(words, bands, rows)
@@ -110,9 +105,13 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 grams = make.set_of(text)
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 keys.append(make.keys(grams).tobytes() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), *batch.columns[2:]], ["doc_id", "digest", "keys", *batch.schema.names[2:]]
+            )
 
-    return to_python(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, digest binary, keys binary")
+    carried = [PLACE] if PLACE in docs.columns else []
+    made = "doc_id long, digest binary, keys binary" + (f", {PLACE} struct<file:string,row:long>" if carried else "")
+    return to_python(docs.select(F.col("doc_id").cast("long"), "text", *carried)).mapInArrow(run, made)
 
 
 def in_bands(sets: DataFrame, bands: int) -> DataFrame:
@@ -214,46 +213,63 @@ def _links(bands: int, threshold: float):
     return run
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A row of df for each salt: the small side of a join on a key that many rows may share."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+
+
+def _salt(*by: str):
+    return F.pmod(F.hash(*by), F.lit(SALT)).alias("salt")
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """node, root (the least node connected with it) of the nodes of edges (u, v), by alternating star contraction.
+    """u, v of each node and the least node connected with it, if that is another, by alternating star contraction: written.
 
     A round joins each node to the least of its neighbours; distances to roots halve, and tables are written between
-    rounds, so neither the driver nor the lineage grows.
+    rounds, so neither the driver nor the lineage grows. A node with many neighbours is met in parts, by its neighbours.
     """
     two = lambda a, b: [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
     now = durable(edges.where("u <> v").select(*two("u", "v")).distinct(), name)
     state = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select("e.*").where("v <> m")
-        now = durable(small.select(*two("v", "m")).distinct(), name)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).select("u", "v", _salt("v"))
+        least = _dealt(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = both.join(least, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().select("u", "v", _salt("v"))
+        least = _dealt(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, ["u", "salt"]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select("e.*").where("v <> m")
+        last, now = now, durable(small.select(*two("v", "m")).distinct(), name)
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        discard(last)
         if new == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now
         state = new
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies (documents with the same n-gram set, itself included)."""
+    """doc_id, class_id, n_links, n_copies (documents with the same n-gram set, itself included), stays (one of a class) and
+    the place of each row."""
     bands, rows = bands_and_rows(threshold, recall)
+    docs = (docs if PLACE in docs.columns else placed(docs)).select("doc_id", "text", PLACE)
     groups = groups_for(docs, GROUP_BYTES)
     found = durable(sketches(docs, words, bands, rows), "sketches", batch_rows=1_000)
-    sets = durable(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "sets")
+    # A different set is a node by the number of its row in this table; ids may repeat.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", PLACE)).alias("least")
+    each = found.where("digest is not null").groupBy("digest").agg(first, F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    sets = durable(each.select("*", F.monotonically_increasing_id().alias("rep")), "sets")
 
     dealt = in_bands(sets, bands)
     members = dealt.groupBy("band", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
     buckets = members.groupBy("m", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
-    placed = dealt.join(buckets, ["band", "key"]).select("rep", "band", "key", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("rep", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = dealt.select("*", _salt("rep")).join(_dealt(buckets), ["band", "key", "salt"])
+    met = met.select("rep", "band", "key", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("rep", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     group = F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(groups)).cast("int")
-    visits = placed.groupBy("rep").agg(F.collect_list(F.struct(group.alias("g"), "band", "key", "block", "i", "j")).alias("visits")).join(sets.select("rep", "copies", "keys"), "rep")
+    visits = met.groupBy("rep").agg(F.collect_list(F.struct(group.alias("g"), "band", "key", "block", "i", "j")).alias("visits"))
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    wanted = texts.join(visits, "rep").select("text", "rep", "copies", "keys", "visits")
+    # Each set that meets another is made once more, from the text of one of its rows.
+    told_apart = sets.join(visits, "rep").select("rep", "copies", "keys", "visits", F.col(f"least.{PLACE}").alias(PLACE))
+    wanted = docs.select("text", PLACE).join(told_apart, PLACE).select("text", "rep", "copies", "keys", "visits")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = ngrams(words, bands, rows)
@@ -266,18 +282,32 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     verified = durable(sent.groupBy("g").applyInArrow(_links(bands, threshold), "u long, v long, links long"), "links")
 
     links = verified.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = components(verified.where("v is not null").select("u", "v"))
+    now = components(verified.where("v is not null").select("u", "v"))
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     told = sets.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or links is not null or root is not null")
-    told = told.select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    out = found.select("doc_id", "digest", F.pmod(F.hash("doc_id"), F.lit(SALT)).alias("salt")).join(told, ["digest", "salt"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    told = told.select("rep", "digest", F.coalesce("root", "rep").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", _salt("rep"))
+    keepers = _dealt(told.groupBy("root").agg(F.min("least").alias("keeper")))
+    told = _dealt(told.join(keepers, ["root", "salt"]).select("digest", "keeper", "n_links", "copies"))
+    out = found.select("doc_id", "digest", PLACE, _salt(PLACE)).join(told, ["digest", "salt"], "left")
+    alone = F.col("keeper").isNull()
+    out = out.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        (alone | (F.col(f"keeper.{PLACE}") == F.col(PLACE))).alias("stays"),
+        PLACE,
+    )
+    out = durable(out, "classes")
+    discard(found, sets, verified, now)
+    return out
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("stays", PLACE)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id."""
-    dropped = classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One document of each class stays, the one with the smallest id, and of rows with that id and text one."""
+    docs = placed(docs)
+    return without(docs, classes(docs.select("doc_id", "text", PLACE)).where("not stays").select(PLACE))

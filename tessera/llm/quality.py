@@ -1,8 +1,7 @@
 """Quality rules: one table of thresholds, compiled into one projection of built-in functions.
 
 Cases: a null text has no words and no lines and fails on its length; an empty text likewise; texts of any
-length cost n log n at most; repeated rows are judged alike; extra columns pass through, and a measure whose
-name is already taken replaces nothing, since measures come in one struct column.
+length cost n log n at most; repeated rows are judged alike; extra columns pass through `stage`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +33,8 @@ THRESHOLDS = (
     ("shouting", "upper_word_ratio", None, 0.6, 10),
 )
 WINDOW = 5
+#: Columns that `measures` and `verdicts` add.
+RESERVED = ("quality_measures", "base_failed", "failed_rules", "kept")
 
 
 def _repeat_words(words: Column, hashes: Column) -> Column:
@@ -54,8 +55,8 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a struct column `quality_measures` of counts and ratios."""
-    kept = [F.col(f"`{c}`") for c in df.columns]
+    """df with a struct column `quality_measures` of counts and ratios; a column of df with a name used here goes."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in RESERVED]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     split = df.select(*kept, F.filter(F.split(body, SPACE_RUN, -1), lambda w: w != "").alias("__words"))
     hashed = split.select(*kept, "__words", F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"))
@@ -120,8 +121,9 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule, with their columns."""
+    """Documents that pass every rule, with their columns, whatever their names."""
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("text").alias("quality_text"))
     # A filter on `kept` would be pushed below the projections and spell out every measure wherever a rule names it; a row
     # that is made once or not at all stays above them.
-    once = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__once")
-    return verdicts(measures(docs)).select(*[f"`{c}`" for c in docs.columns], once).drop("__once")
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("once")
+    return verdicts(measures(boxed, "quality_text")).select("whole", once).select("whole.*")

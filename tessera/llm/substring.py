@@ -269,8 +269,9 @@ def _search(key: tuple, rows: pa.Table) -> pa.Table:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words as a text and docs' row_key (0 if none)."""
+def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT, only_cut: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words as a text and docs' row_key (0 if none);
+    of all rows, or of those that lose words only."""
     result = RESULT + (", kept_text string, row_key long" if with_text else "")
     corpus = tokenised(docs, lower=False, chunk_words=CHUNK_WORDS)
     total = total_words(corpus)
@@ -316,7 +317,10 @@ def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame
     codes = durable(corpus.mapInArrow(send_anchors, MESSAGE).groupBy("dest").applyInArrow(lambda key, rows: _settle_anchors(key, rows, hot), MESSAGE), "anchors", "none")
     segments = corpus.groupBy("chunk_id").cogroup(by_chunk(codes)).applyInArrow(send_segments, MESSAGE)
     least = segments.groupBy("dest").applyInArrow(_search, MESSAGE)
-    return corpus.groupBy("chunk_id").cogroup(by_chunk(codes.unionByName(least))).applyInArrow(finish, result)
+    out = corpus.groupBy("chunk_id").cogroup(by_chunk(codes.unionByName(least))).applyInArrow(finish, result)
+    out = durable(out.where("n_removed > 0") if only_cut else out, "cut-words")
+    discard(corpus, codes)
+    return out
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -331,7 +335,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.xxhash64("text")
     source = docs.select("doc_id", "text", key.alias("row_key"))
-    cut = dedup(source, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("doc_id"), "row_key", "kept_text").dropDuplicates(["doc_id", "row_key"])
+    cut = dedup(source, with_text=True, only_cut=True).select(F.col("doc_id").alias("doc_id"), "row_key", "kept_text").dropDuplicates(["doc_id", "row_key"])
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), key.alias("own_key"))
     joined = row.join(cut, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("row_key")), "left")
     kept = F.col("kept_text")
