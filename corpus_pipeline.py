@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact, ngram_join, packing, quality, substring
-from tessera.llm.common import durable
+from tessera.llm.common import discard, durable
 
 STAGES = [
     ("quality rules", quality.stage),
@@ -21,6 +21,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
