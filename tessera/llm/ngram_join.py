@@ -222,7 +222,12 @@ def _salt(*by: str):
     return F.pmod(F.hash(*by), F.lit(SALT)).alias("salt")
 
 
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node connected with it) of the nodes of edges (u, v)."""
+    return contracted(edges).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def contracted(edges: DataFrame, name: str = "stars") -> DataFrame:
     """u, v of each node and the least node connected with it, if that is another, by alternating star contraction: written.
 
     A round joins each node to the least of its neighbours; distances to roots halve, and tables are written between
@@ -282,7 +287,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     verified = durable(sent.groupBy("g").applyInArrow(_links(bands, threshold), "u long, v long, links long"), "links")
 
     links = verified.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    now = components(verified.where("v is not null").select("u", "v"))
+    now = contracted(verified.where("v is not null").select("u", "v"))
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     told = sets.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or links is not null or root is not null")
     told = told.select("rep", "digest", F.coalesce("root", "rep").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", _salt("rep"))
