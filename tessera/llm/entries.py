@@ -7,7 +7,7 @@ from tessera.llm.ngram_join import op2_ngram_join
 from tessera.llm.packing import op5_packing
 from tessera.llm.pitman_yor import op1_pitman_yor
 from tessera.llm.quality import STOP_WORDS, THRESHOLDS, op10_quality_rules
-from tessera.llm.shard import op6_hilbert_shards
+from tessera.llm.shard import BITS, SHARDS, hilbert_table, op6_hilbert_shards
 from tessera.llm.substring import op3_substring_dedup
 from tessera.llm.subword import op4_subword_dropout
 from tessera.llm.toxicity import op7_toxicity
@@ -47,6 +47,34 @@ OP8 = r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x0
  SELECT doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(t) text_sha256 FROM n JOIN g USING (t)"""
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8, byte by byte over the table of the polynomial."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ 0xEDB88320 * (byte & 1)
+        table.append(byte)
+    codes = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: xor(list_extract({table}::BIGINT[], (xor(a, b) & 255) + 1), a >> 8)), 4294967295)"
+
+
+def op6_sql() -> str:
+    """Cells, the curve's index by its automaton, plane after plane, and places in runs."""
+    moves, digits = hilbert_table(3)
+    steps, last = [], "c"
+    for plane in reversed(range(BITS)):
+        corner = f"(((l >> {plane}) & 1) + 2 * ((s >> {plane}) & 1) + 4 * ((z >> {plane}) & 1))"
+        steps.append(f"k{plane} AS (SELECT * EXCLUDE (state, curve), list_extract({moves}, state * 8 + {corner} + 1) state, curve * 8 + list_extract({digits}, state * 8 + {corner} + 1) curve FROM {last})")
+        last = f"k{plane}"
+    cell = lambda name: f"""{name}_cell AS (SELECT v, 1 + (((dense_rank() OVER (ORDER BY v) - 1) * {(1 << BITS) - 1}) // n)::INT c FROM (SELECT DISTINCT {name} v, (SELECT count(DISTINCT {name}) FROM documents) n FROM documents WHERE {name} IS NOT NULL))"""
+    return f"""WITH {cell("lang")}, {cell("source")}, d AS (SELECT doc_id, lang, source, coalesce(text, '') t FROM documents), e AS (SELECT *, strlen(t) + 8 size FROM d),
+ c AS (SELECT doc_id, t, size, coalesce(a.c, 0) l, coalesce(b.c, 0) s, least({(1 << BITS) - 1}, floor(log2(size + 1)))::INT z, 0 state, 0::BIGINT curve FROM e LEFT JOIN lang_cell a ON a.v = lang LEFT JOIN source_cell b ON b.v = source),
+ {", ".join(steps)}, x AS (SELECT doc_id, size, curve, {crc32_sql("t")} text_crc32 FROM {last}),
+ r AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST) - 1 r, count(*) OVER () // {SHARDS} f, count(*) OVER () % {SHARDS} g FROM x),
+ y AS (SELECT *, CASE WHEN r < g * (f + 1) THEN r // (f + 1) ELSE g + (r - g * (f + 1)) // greatest(f, 1) END shard FROM r)
+ SELECT doc_id, size, text_crc32, 'rows' law, shard::INT shard, r - shard * f - least(shard, g) slot, NULL::INT grown_shard, curve FROM y"""
+
+
 def op10_sql() -> str:
     broken = []
     for rule, name, low, high, from_words in THRESHOLDS:
@@ -64,4 +92,4 @@ def op10_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """For the operators that SQL can express; the others are tested against plain versions, round trips and held-out rows."""
-    return {"op2_ngram_join": OP2, "op3_substring_dedup": OP3, "op8_exact_dedup": OP8, "op10_quality_rules": op10_sql()}
+    return {"op2_ngram_join": OP2, "op3_substring_dedup": OP3, "op6_hilbert_shards": op6_sql(), "op8_exact_dedup": OP8, "op10_quality_rules": op10_sql()}

@@ -5,7 +5,7 @@ places its pieces, longest first, into the open window with the least room that
 the remaining capacities, counting open windows, finds that window in log(window) steps.
 
 Cases: a null or empty text is its end token alone; ties are broken by document id and start; repeated rows are packed
-as rows of their own; extra columns are ignored; an empty table packs into nothing. Long texts are tokenised whole.
+as rows of their own; a null id stays one; extra columns are ignored; an empty table packs into nothing. Long texts are tokenised whole.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return to_python(docs.select("doc_id", "text")).mapInArrow(run, PIECES)
+    return to_python(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, PIECES)
 
 
 class RoomTree:
@@ -191,13 +191,14 @@ def pack(cut: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        c = {n: table[n].to_numpy() for n in names}
+        ids = table["doc_id"].combine_chunks()
+        c = {n: table[n].fill_null(0).to_numpy() for n in names}
         order = np.lexsort((c["ids_crc32"], c["start"], c["doc_id"], -c["length"]))
         where, offset = best_fit(c["length"][order], window)
         filled = np.zeros(int(where.max()) + 1, np.int64)
         np.add.at(filled, where, c["length"][order])
         padded = np.where(filled & (filled - 1), window, filled)
-        out = [pa.array(c[n][order]) for n in names]
+        out = [ids.take(pa.array(order)), *(pa.array(c[n][order]) for n in names[1:])]
         return pa.table([*out, pa.array(where * groups + key[0].as_py()), pa.array(offset), pa.array(padded[where])], [*names, "sequence_id", "offset", "padded_length"])
 
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))

@@ -1,11 +1,14 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
 Language, source and size class are quantised, the cell's place on the curve orders the rows, and the order is cut
-into runs of equal row counts; a run covers few cells, so a reader can skip files by any of the dimensions. Equal
-texts have equal cells and checksums and so stand side by side.
+into runs of equal row counts; a run covers few cells, so a reader can skip files by any of the dimensions: `written` writes
+a file a shard with a manifest of ranges, and `pruned` says which ones a query has to read. A category's cell is the place
+of its value among the table's values, in equal parts, so neighbours in the alphabet are neighbours on the curve. Equal
+texts of a language and source have equal cells and checksums and so stand side by side.
 
 Cases: a null text has size 8 and checksum 0; null dimensions have a cell of their own; ties in the curve are broken
-by checksum, then id, then a row hash; an empty table gives an empty result; repeated rows take places of their own.
+by checksum, then id (null first), and rows that repeat all of these are interchangeable; an empty table gives an empty
+result; repeated rows take places of their own.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import crc32, durable, let
+from tessera.llm.common import PLACE, crc32, durable, let, placed
 
 SHARDS = 24
 BITS = 5
@@ -56,9 +59,23 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), start, step, lambda acc: acc["index"])
 
 
-def hashed_cell(value: Column, bits: int = BITS) -> Column:
-    """Cell of a category; 0 is for null."""
-    return F.when(value.isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(value), F.lit((1 << bits) - 1))).cast("int")
+#: Values of a category up to which their table is broadcast.
+FEW = 10_000
+SALT = 16
+
+
+def with_cells(df: DataFrame, dim: str, bits: int = BITS) -> DataFrame:
+    """df with `cell_<dim>`: 0 for null, and 1 and on for the values' places in their order, all cells in equal parts."""
+    values = ranked(df.select(F.col(dim).alias("value")).where("value is not null").distinct(), ["value"])
+    parts = (1 << bits) - 1
+    cell = F.floor(F.col("rank") * parts / F.col("n_rows")).cast("int") + 1
+    cells = values.select("value", cell.alias("cell"))
+    if cells.limit(FEW + 1).count() <= FEW:
+        met = df.join(F.broadcast(cells), F.col(dim) == F.col("value"), "left")
+    else:  # a frequent value's rows are met in parts
+        dealt = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        met = df.join(dealt, (F.col(dim) == F.col("value")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALT)) == F.col("salt")), "left").drop("salt")
+    return met.withColumn(f"cell_{dim}", F.coalesce("cell", F.lit(0))).drop("value", "cell")
 
 
 def size_cell(size: Column, bits: int = BITS) -> Column:
@@ -82,9 +99,12 @@ def ranked(keyed: DataFrame, order: list[str]) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = SHARDS, dims=("lang", "source")) -> DataFrame:
     """doc_id, size, text_crc32, curve, shard, slot: law `rows`, counts at most one apart."""
+    carried = [PLACE] if PLACE in docs.columns else []
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    base = docs.select("doc_id", size.alias("size"), crc32(text).alias("text_crc32"), *[hashed_cell(F.col(d)).alias(f"cell_{d}") for d in dims], size_cell(size).alias("cell_size"))
+    base = docs.select("doc_id", *dims, *carried, size.alias("size"), crc32(text).alias("text_crc32"), size_cell(size).alias("cell_size"))
+    for d in dims:
+        base = with_cells(base, d)
     cells = [F.col(f"cell_{d}") for d in dims] + [F.col("cell_size")]
     keyed = base.select("*", hilbert_index(cells).alias("curve"))
     out = ranked(keyed, ["curve", "text_crc32", "doc_id"])
@@ -97,9 +117,29 @@ def assign(docs: DataFrame, shards: int = SHARDS, dims=("lang", "source")) -> Da
 
 
 def manifest(assigned: DataFrame, dims=("lang", "source")) -> DataFrame:
-    """What a reader prunes by: each shard's range in every dimension."""
-    cells = [f"cell_{d}" for d in dims] + ["cell_size"]
-    return assigned.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *[f(c).alias(f"{n}_{c}") for c in cells for n, f in (("min", F.min), ("max", F.max))])
+    """What a reader prunes by: each shard's rows, bytes and range of values in every dimension, and whether it has nulls."""
+    ranges = [f(c).alias(f"{n}_{c}") for c in (*dims, "size") for n, f in (("min", F.min), ("max", F.max))]
+    return assigned.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ranges, *[F.max(F.col(d).isNull()).alias(f"null_{d}") for d in dims])
+
+
+def written(docs: DataFrame, path: str, shards: int = SHARDS, dims=("lang", "source")) -> DataFrame:
+    """docs as a folder for each shard under path/shards, in the curve's order, and path/manifest, which is returned."""
+    docs = placed(docs)
+    columns = [c for c in docs.columns if c != PLACE]
+    at = assign(docs, shards, dims)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"), F.col(PLACE).alias("place"))
+    rows = whole.join(at.select(F.col(PLACE).alias("own"), "shard", "slot"), F.col("place") == F.col("own"))
+    rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select("whole.*", F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(f"{path}/shards")
+    manifest(at, dims).coalesce(1).write.parquet(f"{path}/manifest")
+    return docs.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def pruned(ranges: DataFrame, **wanted) -> DataFrame:
+    """The shards of a manifest that may hold rows with the wanted values: name=value or name=(low, high)."""
+    for name, value in wanted.items():
+        low, high = value if isinstance(value, tuple) else (value, value)
+        ranges = ranges.where((F.col(f"max_{name}") >= F.lit(low)) & (F.col(f"min_{name}") <= F.lit(high)))
+    return ranges.select("shard")
 
 
 def op6_hilbert_shards(spark, sf_dir: str) -> DataFrame:

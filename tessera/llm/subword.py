@@ -23,6 +23,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import to_python
 
@@ -321,7 +322,7 @@ def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEE
             lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([b is None for b in found]))
             yield pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "lossless"])
 
-    return to_python(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
+    return to_python(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -6,14 +6,17 @@ hardly ever in others, picked greedily so that each new entry explains texts tha
 its log odds. Exception phrases are an entry with its neighbour as training texts that are not toxic hold them: a match
 inside one counts nothing. The matched weight, in total and per word, gives the score by a logistic curve.
 
-The fit reads at most `max_labelled` labelled training rows, chosen by a hash of the id; scoring reads every text whole.
+The fit reads a bounded number of labelled training rows, chosen by a hash of the id, and of a rare kind the first ones by
+that hash; texts stay on the executors, and the driver gets terms, phrases and sums of them. Scoring reads every text whole.
 
 Cases: a null or empty text matches nothing and gets the score of a text without matches; duplicate rows and labels are
-scored alike (of several labels of an id the largest holds); without both kinds of training rows the score is constant.
+scored alike (of several labels of an id the largest holds, and any but 0 is toxic); texts of one id are each a row of the
+fit; without both kinds of training rows the score is constant.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import re
@@ -28,11 +31,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import durable, remainder, to_python
 
-MAX_LABELLED = 20_000
+#: Labelled rows that the fit may read; and of each kind so many at least, where there are so many.
+MAX_LABELLED, LEAST_OF_A_KIND = 20_000, 1_000
 STEMS = (4, 5, 6, 7)
-#: Most entries that the greedy choice may weigh, the ones in most toxic texts first.
-MAX_CANDIDATES = 20_000
-MAX_ENTRIES = 2_000
 FOLDS = 5
 #: Entries of the lexicon that a toxic training text is explained by, at most.
 COVER = 8
@@ -110,7 +111,16 @@ class Lexicon:
                 spared.append((start, end + 1))
             elif start not in best or best[start][1] < weight:
                 best[start] = (end + 1, weight)
-        return [(s, e, w) for s, (e, w) in best.items() if not any(x <= s and e - 1 <= y for x, y in spared)]
+        if not spared:
+            return [(s, e, w) for s, (e, w) in best.items()]
+        # a match is inside an exception if one that begins no later reaches its end
+        spared.sort()
+        starts, reach, furthest = [x for x, _ in spared], [], 0
+        for _, y in spared:
+            furthest = max(furthest, y)
+            reach.append(furthest)
+        inside = lambda s, e: (k := bisect.bisect_right(starts, s)) and reach[k - 1] >= e - 1
+        return [(s, e, w) for s, (e, w) in best.items() if not inside(s, e)]
 
     def measures(self, text: str | None) -> tuple[float, float, int]:
         """Total weight, weight per hundred words, and number of matches."""
@@ -124,10 +134,13 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(total) + c * math.log1p(density)))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, text, toxic of at most `most` training rows, the first by a hash of the id."""
-    chosen = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # `most` rows of two numbers at most
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, least: int = LEAST_OF_A_KIND) -> DataFrame:
+    """doc_id, text, toxic of a bounded number of training rows, the first by a hash of the id."""
+    known = labels.where(F.col("toxic").isNotNull() & (F.coalesce(remainder(F.col("doc_id"), FOLDS), F.lit(0)) != 0))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = first(known, most).unionByName(first(known.where("toxic = 1"), least)).unionByName(first(known.where("toxic = 0"), least)).distinct()
+    # `most` + 2 `least` rows of two numbers at most
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
@@ -163,61 +176,72 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
     least = max(3, min(8, toxic // 50))
     counts = to_python(sample.select("text", "toxic")).mapInArrow(counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     good = counts.where((F.col("toxic") >= least) & (F.col("clean") <= F.when(F.col("term").endswith(" "), 0.25).otherwise(0.05) * F.col("toxic"))).select("term", "clean", "toxic", odds.alias("odds"))
-    candidates = {r["term"]: r for r in good.orderBy(F.desc("toxic"), F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()}
-
-    # Greedy cover of the toxic texts, at most `most` of them, each by up to COVER entries. Copies of one text count once,
-    # so that its ordinary words aren't taken for toxic ones.
-    held, kinds_of = [], []
-    for r in sample.where("toxic = 1").select("text").toLocalIterator():
-        held.append([t for t in terms(r["text"]) if t in candidates])
-        kinds_of.append(_trait(r["text"]))
-    where: dict[str, list[int]] = {}
-    for i, found in enumerate(held):
-        for t in found:
-            where.setdefault(t, []).append(i)
-    where = {t: d for t, d in where.items() if len({kinds_of[i] for i in d}) >= least}
-    need = [COVER] * len(held)
+    candidates = {r["term"]: float(r["odds"]) for r in good.collect()}
+
+    # Greedy cover of the toxic texts, each by up to COVER entries. Copies of one text count once, so that its ordinary words
+    # aren't taken for toxic ones.
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            held = [[x for x in terms(text) if x in candidates] for text in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_trait(text) for text in texts], pa.int64()), pa.array(held, pa.list_(pa.string()))], ["trait", "held"])
+
+    kinds_of, where = [], {}
+    for i, r in enumerate(to_python(sample.where("toxic = 1").select("text")).mapInArrow(terms_of, "trait long, held array<string>").toLocalIterator()):
+        kinds_of.append(r["trait"])
+        for x in r["held"]:
+            where.setdefault(x, []).append(i)
+    where = {x: d for x, d in where.items() if len({kinds_of[i] for i in d}) >= least}
+    need = [COVER] * len(kinds_of)
     chosen: list[str] = []
     taken: set[str] = set()
-    heap = [(-len(d), -len(t), t) for t, d in where.items()]
+    heap = [(-len(d), -len(x), x) for x, d in where.items()]
     heapq.heapify(heap)
-    while heap and len(chosen) < MAX_ENTRIES:
-        last, _, t = heapq.heappop(heap)
-        fresh = sum(need[i] > 0 for i in where[t])
-        if fresh < least or any(t[:k] in taken for k in range(2, len(t))) or t in taken:
+    while heap:
+        last, _, x = heapq.heappop(heap)
+        fresh = sum(need[i] > 0 for i in where[x])
+        if fresh < least or any(x[:k] in taken for k in range(2, len(x))) or x in taken:
             continue
         if fresh < -last:
-            heapq.heappush(heap, (-fresh, -len(t), t))
+            heapq.heappush(heap, (-fresh, -len(x), x))
             continue
-        chosen.append(t)
+        chosen.append(x)
         # neither a stem of a chosen entry nor a longer form of a chosen stem adds anything
-        taken.update([t] if not t.endswith(" ") else [])
-        taken.update(x for k in STEMS if (x := t[: k + 1]) in where and len(where[x]) == len(where[t]))
-        for i in where[t]:
+        taken.update([x] if not x.endswith(" ") else [])
+        taken.update(y for k in STEMS if (y := x[: k + 1]) in where and len(where[y]) == len(where[x]))
+        for i in where[x]:
             need[i] -= 1
-    weights = {t: float(candidates[t]["odds"]) for t in chosen}
+    weights = {x: candidates[x] for x in chosen}
 
-    # Entries with a neighbour, as texts that are not toxic hold them.
-    seen: dict[str, list[int]] = {}
     plain = Lexicon(weights)
-    rows: list[tuple[float, float, int]] = []
-    for r in sample.select("text", "toxic").toLocalIterator():
-        total, density, n = plain.measures(r["text"])
-        rows.append((total, density, r["toxic"]))
-        if n:
-            text = folded(r["text"])
-            for s, e, _ in plain.matches(text):
-                before, after = text.rfind(" ", 0, s), text.find(" ", text.find(" ", s + 1) + 1)
+    seen = to_python(sample.select("text", "toxic")).mapInArrow(lambda batches: _phrases(plain, batches), "phrase string, toxic long")
+    seen = seen.groupBy("phrase").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).where("n >= 2 and toxic = 0")
+    lexicon = Lexicon(weights, sorted(r["phrase"] for r in seen.collect()))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lexicon.measures(text)[:2] for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), batch.column(1)], ["total", "density", "toxic"])
+
+    rows = to_python(sample.select("text", F.col("toxic").cast("long"))).mapInArrow(measured, "total double, density double, toxic long").collect()
+    lexicon.curve = _logistic(np.array(sorted(tuple(r) for r in rows), float))
+    return lexicon
+
+
+def _phrases(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries with a neighbour, and whether the text is toxic."""
+    for batch in batches:
+        phrases, toxic = [], []
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = folded(text)
+            for s, _, _ in lexicon.matches(text):
                 word_end = text.find(" ", s + 1)
+                before, after = text.rfind(" ", 0, s), text.find(" ", word_end + 1)
                 for phrase in (text[before : word_end + 1] if before >= 0 else "", text[s : after + 1] if after >= 0 else ""):
                     if phrase:
-                        seen.setdefault(phrase, [0, 0])[r["toxic"]] += 1
-    exceptions = sorted(p for p, (c, y) in seen.items() if c >= 2 and y == 0)[:MAX_ENTRIES]
-    lexicon = Lexicon(weights, exceptions)
-    if exceptions:
-        rows = [(*lexicon.measures(r["text"])[:2], r["toxic"]) for r in sample.select("text", "toxic").toLocalIterator()]
-    lexicon.curve = _logistic(np.array(rows, float))
-    return lexicon
+                        phrases.append(phrase)
+                        toxic.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int64())], ["phrase", "toxic"])
 
 
 def _trait(text: str | None) -> int:
@@ -247,14 +271,14 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             found = [lexicon.measures(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([lexicon.score(t, d) for t, d, _ in found], pa.float64()), pa.array([t for t, _, _ in found], pa.float64()), pa.array([n for _, _, n in found], pa.int64())],
+                [batch.column(0), pa.array([lexicon.score(t, d) for t, d, _ in found], pa.float64()), pa.array([t for t, _, _ in found], pa.float64()), pa.array([n for _, _, n in found], pa.int64())],
                 ["doc_id", "score", "weight", "matches"],
             )
 
-    return to_python(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, weight double, matches long")
+    return to_python(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, score double, weight double, matches long")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lexicon = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(docs, lexicon).select("doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "matches")
+    return score(docs, lexicon).select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "matches")

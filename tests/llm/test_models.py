@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -169,3 +170,15 @@ def test_packing_cuts_at_the_tokenizers_white_space():
     texts = [f"alpha{c}beta {c} {c}\x1c{c}\u00e9" for c in signs] + [f"alpha{c}beta {c}" for c in signs]
     for text, ids in zip(texts, packing.WordMemo(path)(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_word_memo_on_every_odd_character():
+    """Every code point up to U+30FF between words, at their ends and inside them."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tokenizer, memo = Tokenizer.from_file(path), packing.word_memo(path)
+    points = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    texts = [f"ab {chr(c)} c{chr(c)}d e{chr(c)} {chr(c)}f{chr(c)}{chr(c)}" for c in points]
+    for c, ids, whole in zip(points, memo(texts), tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.ids, hex(c)
