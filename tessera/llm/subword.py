@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from tessera.llm.common import to_python
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 RATE, SEED = 0.1, 20_260
-#: Segments that a task remembers in each of two generations.
-MEMO = 200_000
+#: Segments that a task remembers before it begins anew.
+MEMO = 400_000
 #: Characters of texts whose segments are encoded together.
 BLOCK = 1 << 20
 NONE = np.int64(1) << 40
@@ -216,14 +217,27 @@ class Merges:
         return out
 
 
+class _Numbers(dict):
+    """Numbers of segments in the order in which they were first asked for."""
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = number = len(self)
+        return number
+
+
 class Encoder:
     """Texts to piece ids, with each segment's pieces and merges without dropout remembered."""
 
     def __init__(self, merges: Merges, rate: float = RATE, seed: int = SEED):
         self.merges, self.rate, self.seed, self.bound = merges, rate, seed, bound_of(rate)
-        #: segment: its ids, its merges' points as bytes, and its character sum
-        self.new: dict[str, tuple[bytes, bytes, int]] = {}
-        self.old: dict[str, tuple[bytes, bytes, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        #: by number: ids as bytes, the character sum, and where the merges' points stand in `steps`, and how many
+        self.ids: list[bytes] = []
+        self.sums, self.steps = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def document_key(self, doc_id) -> int:
         return int.from_bytes(blake2b(f"{self.seed}:{doc_id}".encode(), digest_size=8).digest(), "little")
@@ -234,47 +248,34 @@ class Encoder:
         position = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         return mixed(np.repeat(np.array(documents, np.uint64), counts) + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def learn(self, words) -> None:
-        if len(self.new) > MEMO:
-            self.old, self.new = self.new, {}
-        new, old, missing = self.new, self.old, []
-        for w in words:
-            if w not in new:
-                known = old.get(w)
-                if known is None:
-                    missing.append(w)
-                else:
-                    new[w] = known
-        if not missing:
-            return
+    def learn(self, missing: list[str]) -> None:
         trace = []
-        found = self.merges.segment(missing, 0.0, self.seed, 0, trace)
+        self.ids += self.merges.segment(missing, 0.0, self.seed, 0, trace)
         owner = np.concatenate([np.zeros(0, np.int64), *(o for o, _ in trace)])
-        steps = np.concatenate([np.zeros(0, np.uint64), *(p for _, p in trace)])[np.argsort(owner, kind="stable")].tobytes()
-        ends = np.cumsum(8 * np.bincount(owner, minlength=len(missing))).tolist()
+        steps = np.concatenate([np.zeros(0, np.uint64), *(p for _, p in trace)])[np.argsort(owner, kind="stable")]
+        many = np.bincount(owner, minlength=len(missing))
         lengths = np.fromiter(map(len, missing), np.int64, len(missing))
         first = np.cumsum(lengths) - lengths
         points = np.frombuffer("".join(missing).encode("utf-32-le", "surrogatepass"), "<u4")
-        sums = character_sums(points, np.arange(len(points)) - np.repeat(first, lengths), first).tolist()
-        new.update((w, (ids, steps[a:b], n)) for w, ids, a, b, n in zip(missing, found, [0, *ends], ends, sums))
+        sums = character_sums(points, np.arange(len(points)) - np.repeat(first, lengths), first)
+        self.begin = np.concatenate([self.begin, len(self.steps) + np.cumsum(many) - many])
+        self.sums, self.steps, self.many = np.concatenate([self.sums, sums]), np.concatenate([self.steps, steps]), np.concatenate([self.many, many])
 
     def encode(self, segments: list[str], occurrence: np.ndarray) -> list[bytes]:
         """Ids of each occurrence of a segment."""
-        number = dict.fromkeys(segments)
-        self.learn(number)
-        known = [self.new[w] for w in number]
-        number.update(zip(number, range(len(number))))
-        which = np.fromiter(map(number.__getitem__, segments), np.int64, len(segments))
-        out = list(map([k[0] for k in known].__getitem__, which.tolist()))
+        if len(self.ids) > MEMO:
+            self.forget()
+        which = np.fromiter(map(self.numbers.__getitem__, segments), np.int64, len(segments))
+        if len(self.numbers) > len(self.ids):
+            self.learn(list(islice(reversed(self.numbers), len(self.numbers) - len(self.ids)))[::-1])
+        out = list(map(self.ids.__getitem__, which.tolist()))
         if self.rate <= 0 or not segments:
             return out
-        steps = np.frombuffer(b"".join(k[1] for k in known), np.uint64)
-        count = np.fromiter((len(k[1]) // 8 for k in known), np.int64, len(known))
-        begin, many = (np.cumsum(count) - count)[which], count[which]
-        key = keys(np.array([k[2] for k in known], np.uint64)[which], self.seed, occurrence)
+        begin, many = self.begin[which], self.many[which]
+        key = keys(self.sums[which], self.seed, occurrence)
         skipped, left, j = [], np.flatnonzero(many > 0), 0
         while len(left):
-            below = mixed(key[left] ^ steps[begin[left] + j]) < self.bound
+            below = mixed(key[left] ^ self.steps[begin[left] + j]) < self.bound
             skipped.append(left[below])
             left, j = left[~below], j + 1
             left = left[many[left] > j]
