@@ -27,8 +27,8 @@ WINDOW = 2048
 END = 1
 #: Input bytes whose pieces go to one group.
 GROUP_BYTES = 32 << 20
-#: Words and parts of words whose ids a task remembers between blocks, and characters of a block.
-MEMO, PARTS, BLOCK = 800_000, 500_000, 12_000_000
+#: Words and parts of words whose ids a task remembers before it begins anew.
+MEMO, PARTS = 800_000, 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -52,8 +52,8 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in PRINTABLE else chr(next(other)) for b in range(256)]
 
 
-class WordMemo:
-    """Ids of a text, as little-endian 32-bit bytes, by way of its words between white space.
+class WordMemo(dict):
+    """Ids of words, as little-endian 32-bit bytes, learned when first asked for; called, ids of texts by way of their words.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order. Words of
     Latin letters and signs are cut here as the tokenizer's file says, and only its merges are asked for; any other word
@@ -64,12 +64,12 @@ class WordMemo:
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.merge = tokenizer.encode_batch, tokenizer.model.tokenize
+        self.whole, self.merge = tokenizer.encode, tokenizer.model.tokenize
         self.cut = regex.compile(CUT).findall
         self.letters = byte_letters()
         self.plain = re.compile(r"[\x21-\x7e\u00a1-\u024f]+").fullmatch
-        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
@@ -79,37 +79,22 @@ class WordMemo:
             ids = self.parts[part] = array("I", [t.id for t in self.merge(asked)]).tobytes()
         return ids
 
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        missing = [w for w in words if w not in known]
-        if len(known) + len(missing) > MEMO:
-            self.known = known = {w: known[w] for w in words if w in known}
-        if len(self.parts) > PARTS:
-            self.parts = {}
-        rest, plain, cut, part = [], self.plain, self.cut, self.part
-        for w in missing:
-            if plain(w) and "<|" not in w:
-                found = cut(w.lower())
-                known[w] = part(found[0]) if len(found) == 1 else b"".join(map(part, found))
-            else:
-                rest.append(w)
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, self.encode(some, add_special_tokens=False)))
+    def __missing__(self, word: str) -> bytes:
+        if self.plain(word) and "<|" not in word:
+            found = self.cut(word.lower())
+            ids = self.part(found[0]) if len(found) == 1 else b"".join(map(self.part, found))
+        else:
+            ids = array("I", self.whole(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """A block's different words are learned before its texts are put together."""
-        at = 0
-        while at < len(texts):
-            begin, size, words = at, 0, set()
-            while at < len(texts) and (size < BLOCK or at == begin):
-                words.update(split(texts[at]))
-                size += len(texts[at] or "")
-                at += 1
-            self.learn(words)
-            ids = self.known.__getitem__
-            for text in texts[begin:at]:
-                yield b"".join(map(ids, split(text)))
+        for text in texts:
+            if len(self) > MEMO:
+                self.clear()
+            if len(self.parts) > PARTS:
+                self.parts.clear()
+            yield b"".join(map(self.__getitem__, split(text)))
 
 
 @lru_cache(maxsize=1)
