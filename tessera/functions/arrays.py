@@ -20,7 +20,7 @@ def softmax_entropy(scores: Column) -> Column:
 def replace_system(messages: Column, prompt: Column) -> Column:
     """messages with the first one's content replaced; null unless its role is system."""
     first = F.struct(F.lit("system").alias("role"), prompt.alias("content"))
-    return F.when(messages[0]["role"] == "system", F.concat(F.array(first), F.slice(messages, 2, F.greatest(F.size(messages) - 1, F.lit(0)))))
+    return F.when(F.get(messages, F.lit(0))["role"] == "system", F.concat(F.array(first), F.slice(messages, 2, F.greatest(F.size(messages) - 1, F.lit(0)))))
 
 
 def append_action(messages: Column, action: Column) -> Column:

@@ -133,11 +133,6 @@ def p44_vocabulary_difference(spark, d):
     return P.vocabulary_difference(a, a.where("id <> 6").select("token", F.when(F.col("id") == 4, 99).otherwise(F.col("id")).alias("id")))
 
 
-@query("SELECT p_brand arm, count(DISTINCT p_size) n_contracts, count(*) n FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
-def c10_run_compatibility(spark, d):
-    return V._t(spark, d, "part").groupBy(F.col("p_brand").alias("arm")).agg(F.count_distinct("p_size").alias("n_contracts"), F.count("*").alias("n")).where("n_contracts > 1")
-
-
 @query("SELECT split_part(p_type, ' ', 1) root, count(*) files, cast(sum(length(p_name)) AS bigint) bytes FROM part GROUP BY 1")
 def a36_inventory(spark, d):
     return V._t(spark, d, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("root")).agg(F.count("*").alias("files"), F.sum(F.length("p_name")).alias("bytes"))

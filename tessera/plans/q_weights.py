@@ -85,13 +85,13 @@ def a35_weighted_loss(spark, d):
     return weights.weighted_loss(rows, "losses", "mask", "w").select(F.round("numerator", 2).alias("numerator"), F.round("denominator", 4).alias("denominator"), F.round("loss", 6).alias("loss"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey % 5 + 1 n, sum(o_custkey % 5 + 1) OVER (ORDER BY o_orderkey) used FROM orders WHERE o_custkey <= 100) SELECT o_orderkey, cast(n AS bigint) n, cast(used AS bigint) used FROM r WHERE used <= 500""")
+@query("""WITH r AS (SELECT o_orderkey, o_custkey % 5 + 1 n, sum(o_custkey % 5 + 1) OVER (ORDER BY o_orderkey) used FROM orders) SELECT o_orderkey, cast(n AS bigint) n, cast(used AS bigint) used FROM r WHERE used <= 500""")
 def x2_budget_gate(spark, d):
     """Units in order while the draws asked for stay within the budget; the first of them bounds the rows the window sees."""
     from pyspark.sql.window import Window
 
     budget = 500
-    units = V._t(spark, d, "orders").where("o_custkey <= 100").select("o_orderkey", (F.col("o_custkey") % 5 + 1).alias("n"))
+    units = V._t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5 + 1).alias("n"))
     # every unit asks for at least one draw, so no more than `budget` units fit
     first = units.orderBy("o_orderkey").limit(budget)
     return first.withColumn("used", F.sum("n").over(Window.orderBy("o_orderkey"))).where(F.col("used") <= budget)
