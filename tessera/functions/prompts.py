@@ -11,12 +11,24 @@ from tessera.functions.canon import record_hash
 from tessera.functions.text import admissible_block
 
 
-def reference_prompt(instruction: str, examples) -> str:
-    """Instruction, worked examples of any shape (text, list, mapping of lists), and the form of the answer."""
-    flat = lambda x: x if isinstance(x, str) else "".join(map(str, x))
-    items = list(examples.values()) if isinstance(examples, dict) else [examples] if isinstance(examples, str) else list(examples or [])
-    shown = "\nHere are examples:\n" + "".join(flat(x) + "\n" for x in items) if items else ""
-    return f"{instruction}{shown}\nRespond with exactly the next action on a single line, in the form 'Action: <command>'.\n"
+# What stands before worked examples, and the form of the answer.
+EXAMPLES_HEADING = "\nHere are examples:\n"
+ANSWER_FORM = "\nRespond with exactly the next action on a single line, in the form 'Action: <command>'.\n"
+
+
+def example_lines(examples) -> list[str]:
+    """Worked examples, a text, a list, or a mapping whose values count, as a line each; a list inside is one line."""
+    if not examples:
+        return []
+    if isinstance(examples, str):
+        return [examples]
+    given = examples.values() if hasattr(examples, "values") else examples
+    return [x if isinstance(x, str) else "".join(str(part) for part in x) for x in given]
+
+
+def reference_prompt(instruction: str, examples, heading: str = EXAMPLES_HEADING, answer: str = ANSWER_FORM) -> str:
+    lines = example_lines(examples)
+    return instruction + "".join([heading, *(f"{line}\n" for line in lines)] if lines else []) + answer
 
 
 def prompt_version(versions: dict[str, str], name: str) -> str:
@@ -25,6 +37,12 @@ def prompt_version(versions: dict[str, str], name: str) -> str:
     return versions[name]
 
 
+def prompt_of(versions: dict[str, str], name: Column) -> Column:
+    """The prompt of each row's version, null for an unknown one."""
+    table = F.create_map(*[F.lit(x) for pair in sorted(versions.items()) for x in pair])
+    return F.try_element_at(table, name)
+
+
 def first_message(task: Column, observation: Column, actions: Column) -> Column:
     return F.concat(F.lit("Task:\n"), F.trim(task), F.lit("\n\nObservation:\n"), F.trim(observation), F.lit("\n\nAdmissible actions:\n"), admissible_block(actions))
 

@@ -171,9 +171,9 @@ def e4_nth_row(spark, d):
     return first.orderBy(F.desc("doc_id")).limit(1)
 
 
-@query("SELECT 'n' || (event_id % 3) cluster, event_id % 50 step, round(value, 3) loss FROM events WHERE event_id < 150")
+@query("SELECT 'n' || (event_id % 3) cluster, event_id % 50 step, round(value, 3) loss FROM events")
 def s12_training_log(spark, d):
-    """Every event as a line of a log; the SQL has the first 150 only."""
+    """Every event as a line of a log."""
     lines = V._t(spark, d, "events").select("event_id", F.concat(F.lit("step:"), (F.col("event_id") % 50).cast("string"), F.lit(" - loss:"), F.format_string("%.3f", F.round("value", 3)), F.lit(" - lr:0.1")).alias("value"))
     parsed = records.training_log(lines.select(F.concat("value", F.lit(" - cluster:"), (F.col("event_id") % 3).cast("string")).alias("value")), ["loss", "cluster"])
     return parsed.select(F.concat(F.lit("n"), F.col("cluster").cast("int").cast("string")).alias("cluster"), "step", "loss")
