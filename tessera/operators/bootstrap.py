@@ -14,6 +14,8 @@ from tessera.functions.rng import draw
 from tessera.operators.single import with_values
 
 MAX_CLUSTERS = 100_000
+#: Draws for each replicate, at most, until its ratio has a denominator.
+MOST_REDRAWS = 20
 
 
 def _numbered(table: DataFrame, order: str) -> tuple[DataFrame, int]:
@@ -56,11 +58,16 @@ def mean_difference(spark, table: DataFrame, value: str, order: str, replicates:
 def ratio(spark, table: DataFrame, numerator: str, denominator: str, order: str, replicates: int, seed: int = 42, linear: bool = False) -> DataFrame:
     """estimate, lower, upper, kept of a ratio of sums; replicates without a denominator are drawn anew.
 
-    Twice the replicates are drawn and the first with a denominator are kept; `kept` below `replicates` says that the
-    condition is too rare for an interval.
+    The first `replicates` draws with a denominator are kept, out of at most MOST_REDRAWS times as many; where these are too
+    few, the condition is too rare for an interval, and that is an error.
     """
-    sampled, _ = _joined(spark, table, order, 2 * replicates, seed)
-    reps = sampled.groupBy("rep").agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b")).where("b > 0").orderBy("rep").limit(replicates).select((F.col("a") / F.col("b")).alias("x"))
+    for times in (2, 6, MOST_REDRAWS):
+        sampled, _ = _joined(spark, table, order, times * replicates, seed)
+        reps = sampled.groupBy("rep").agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b")).where("b > 0").orderBy("rep").limit(replicates).select((F.col("a") / F.col("b")).alias("x"))
+        if reps.count() == replicates:
+            break
+    else:
+        raise ValueError(f"fewer than {replicates} of {MOST_REDRAWS * replicates} draws have a denominator")
     quantile = (lambda p: F.percentile("x", F.lit(p))) if linear else (lambda p: floor_quantile("x", p))
     point = table.agg((F.sum(numerator) / F.sum(denominator)).alias("estimate"))
     return with_values(point, reps.agg(quantile(0.025).alias("lower"), quantile(0.975).alias("upper"), F.count("*").alias("kept")))

@@ -33,7 +33,7 @@ def neighbours(sources: DataFrame, targets: DataFrame, k: int, least: int = 1, m
         without = lambda c: F.array_except(F.col(c), F.array("source_action"))
         similarity = text_weight * F.col("cosine") + (1 - text_weight) * F.coalesce(jaccard(without("source_actions"), without("target_actions")), F.lit(0.0))
     scored = eligible.select("source_id", "target_id", similarity.alias("similarity")).where(F.col("similarity") >= min_similarity)
-    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("similarity"), "target_id"))).where(F.col("rn") <= k)
+    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc(F.round("similarity", 12)), "target_id"))).where(F.col("rn") <= k)
     counts = s.select("source_id").join(scored.groupBy("source_id").agg(F.count("*").alias("eligible")), "source_id", "left").select("source_id", F.coalesce("eligible", F.lit(0)).alias("eligible"))
     enough = counts.where(F.col("eligible") >= least)
     return ranked.join(enough, "source_id"), counts.where(F.col("eligible") < least)

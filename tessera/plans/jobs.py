@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, text as X
 from tessera.operators import bootstrap, checks as C, estimators as E, history, panel, sampling, vectors, weights
+from tessera.operators.ranking import global_rank
 from tessera.operators.single import with_values
+from tessera.sources import records
 
 
 def freeze_clusters(clusters: DataFrame, used: DataFrame, limit: int = 140, seed: int = 42) -> dict[str, DataFrame]:
@@ -161,4 +163,121 @@ def demonstration(turns: DataFrame) -> dict[str, DataFrame]:
     return {"picked": turns.join(best, ["stratum", "cluster_id"], "left_semi")}
 
 
-JOBS = {f.__name__: f for f in (freeze_clusters, select_units, build_training, build_prompts, paired_interval, transfer_panel, judged, positions, alignments, collection_quota, demonstration)}
+def score_units(pool: DataFrame) -> dict[str, DataFrame]:
+    """Entropy of each unit's action scores; a unit without scores, or with one twice, is refused."""
+    C.enforce(C.all_of(C.unique(pool, "unit_id"), C.row_checks(pool, F.col("unit_id"), {"scores": F.size("scores") > 0})))
+    return {"scores": pool.select("unit_id", "cluster_id", arrays.softmax_entropy(F.array_sort("scores")).alias("score"), F.size("scores").alias("actions"))}
+
+
+def collect_pool(turns: DataFrame, ledger: DataFrame, budget: int) -> dict[str, DataFrame]:
+    """Units of played turns, with their history held to a budget; and violations against the ledger of requests.
+
+    turns: unit_id, cluster_id, seq, observation; ledger: unit_id, status.
+    """
+    kept = history.truncated(turns.select("cluster_id", "seq", "observation"), "cluster_id", "seq", F.length("observation"), budget).select("cluster_id", "seq", "kept", "overflow")
+    pool = turns.join(kept, ["cluster_id", "seq"])
+    said = ledger.where("status = 'ok'").select("unit_id")
+    return {"pool": pool, "violations": C.all_of(C.unique(pool, "unit_id"), C.subset(turns, said, "unit_id", "not_in_ledger"), C.subset(said, turns, "unit_id", "no_such_turn"))}
+
+
+def annotate(pool: DataFrame, selection: DataFrame, draws: DataFrame, calls: int) -> dict[str, DataFrame]:
+    """Records of selected units with their draws, and violations: a unit that isn't in the pool, or without all its calls.
+
+    draws: unit_id, sample, action, valid; a failed call is a draw that isn't valid.
+    """
+    chosen = selection.select("unit_id").join(pool, "unit_id", "left_semi")
+    made = draws.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("sample", "action", "valid"))).alias("draws"))
+    found = chosen.join(made, "unit_id", "left").select("unit_id", F.coalesce("draws", F.array().cast(made.schema["draws"].dataType)).alias("draws"))
+    short = C.row_checks(found, F.col("unit_id"), {"budget_identity": F.size("draws") == calls})
+    return {"records": found, "violations": C.all_of(short, C.subset(selection, pool, "unit_id", "absent_from_pool"))}
+
+
+def build_expert(turns: DataFrame, val_fraction: float = 0.25, seed: int = 42) -> dict[str, DataFrame]:
+    """Valid replies of solved clusters with equal shares inside a cluster, split by cluster within each stratum.
+
+    turns: unit_id, cluster_id, stratum, seq, role, valid, solved.
+    """
+    rows = weights.cluster_share(turns.where("solved and valid and role = 'assistant'"))
+    split = sampling.cluster_split(rows.select("cluster_id", "stratum").distinct(), val_fraction, "cluster_id", "stratum", seed=seed).select("cluster_id", "is_validation")
+    return {"rows": rows.join(split, "cluster_id")}
+
+
+def aggregate_evaluations(results: DataFrame, tolerance: float = 1e-12) -> dict[str, DataFrame]:
+    """One table of outcomes over replicates that have the same clusters, outcomes of 0 and 1, and the rate they report.
+
+    results: replicate_id, cluster_id, value, reported.
+    """
+    per = results.groupBy("replicate_id").agg(F.avg("value").alias("rate"), F.max("reported").alias("reported"), F.count("*").alias("n"), F.count_distinct("cluster_id").alias("clusters"), F.count_if(~F.col("value").isin(0, 1)).alias("odd"))
+    all_clusters = results.select("cluster_id").distinct().agg(F.count("*").alias("all_clusters"))
+    told = with_values(per, all_clusters)
+    ok = {"repeated_cluster": F.col("n") == F.col("clusters"), "missing_cluster": F.col("clusters") == F.col("all_clusters"), "not_binary": F.col("odd") == 0, "wrong_rate": F.abs(F.col("rate") - F.col("reported")) <= tolerance}
+    return {"bundle": results.select("replicate_id", "cluster_id", "value"), "violations": C.row_checks(told, F.col("replicate_id"), ok)}
+
+
+def merge_records(shards: list[DataFrame], key: str) -> dict[str, DataFrame]:
+    """All shards' records in the order of their key, with its place; records that two shards hold are refused."""
+    merged, twice = records.merge_shards(shards, key)
+    C.enforce(twice)
+    return {"merged": global_rank(merged, [key])[0]}
+
+
+def measure_gap(turns: DataFrame, limit: int) -> dict[str, DataFrame]:
+    """Saturated gaps of turns taken in turn from each stratum: turns: unit_id, stratum, seed-ordered; log_ratio."""
+    chosen = sampling.round_robin(turns, limit, "unit_id", "stratum")
+    gap = chosen.withColumn("gap", arrays.saturated_gap(F.col("log_ratio")))
+    return {"summary": gap.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.sqrt(F.avg(F.col("log_ratio") * F.col("log_ratio"))).alias("rms"))}
+
+
+def training_curves(lines: DataFrame, width: int = 5, n: int = 10) -> dict[str, DataFrame]:
+    """Log lines (series, value) as smoothed losses, and each series' change from its head to its tail."""
+    parsed = lines.select("series", F.regexp_extract("value", r"step:(\d+)", 1).cast("long").alias("step"), F.expr(r"try_cast(regexp_extract(value, 'loss:([-+0-9.eE]+)', 1) as double)").alias("loss"))
+    points = parsed.groupBy("series", "step").agg(F.avg("loss").alias("loss"))
+    return {"curves": history.moving_average(points, "loss", "step", width, "series"), "summary": history.head_tail_change(points, "loss", "step", n, "series")}
+
+
+def baseline_audit(a: DataFrame, b: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Whether two runs are of the same model: rows on one side only, and the statuses of each."""
+    sides = a.exceptAll(b).select(F.lit("only_a").alias("side"), "*").unionByName(b.exceptAll(a).select(F.lit("only_b").alias("side"), "*"))
+    return {"differences": sides, "counts": sides.groupBy("side").agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"))}
+
+
+def prevalidate(turns: DataFrame, least: float = 0.05) -> dict[str, DataFrame]:
+    """The first disagreement of each cluster, what correcting it changed, and whether that is worth while.
+
+    turns: cluster_id, seq, differs, before, after (outcomes without and with the correction).
+    """
+    first = history.first_where(turns, F.col("differs"), "cluster_id", "seq")
+    gap = F.col("after") - F.col("before")
+    net = F.avg(gap)
+    return {"summary": first.agg(F.count("*").alias("clusters"), F.count_if(gap > 0).alias("improved"), F.count_if(gap < 0).alias("worsened"), net.alias("net"), F.when(net >= least, "worthwhile").otherwise("not_shown").alias("verdict"))}
+
+
+def verify_stages(units: DataFrame, selection: DataFrame, records_: DataFrame, ledger: DataFrame, rows: DataFrame, training: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """stage, status, n of six stages: PENDING without rows, else PASS or FAIL.
+
+    units: unit_id, actions; selection: unit_id, policy, incl_prob; records_: unit_id, calls; ledger: request_id, hash; rows:
+    cluster_id, weight, mask (of target tokens, a suffix in the second half); training: loss_first, loss_last, ratio, norm;
+    evaluation: cluster_id, treatment, control.
+    """
+    def stage(name: str, df: DataFrame, ok) -> DataFrame:
+        found = df.agg(F.count("*").alias("n"), F.coalesce(ok, F.lit(False)).alias("ok"))
+        return found.select(F.lit(name).alias("stage"), F.when(F.col("n") == 0, "PENDING").when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"), "n")
+
+    at_ledger = ledger.agg(F.count("*").alias("requests"), F.coalesce(F.bool_and(F.length("hash") == 64), F.lit(False)).alias("hashed"))
+    calls = with_values(records_, at_ledger)
+    on = F.array_position("mask", 1)
+    suffix = (on > 0) & (on - 1 > F.size("mask") * 0.5) & (F.aggregate("mask", F.lit(0), lambda a, x: a + x) == F.size("mask") - on + 1)
+    shares = rows.groupBy("cluster_id").agg(F.sum("weight").alias("w"), F.bool_and(suffix).alias("suffix"))
+    return C.all_of(
+        stage("states", units, (F.count("*") == F.count_distinct("unit_id")) & F.bool_and(F.size("actions") > 0)),
+        stage("selection", selection, (F.count_distinct("policy") == 1) & F.bool_and((F.col("incl_prob") > 0) & (F.col("incl_prob") <= 1))),
+        stage("annotation", calls, (F.sum("calls") == F.max("requests")) & F.bool_and("hashed")),
+        stage("rows", shares, F.bool_and((F.abs(F.col("w") - 1) < 1e-9) & F.col("suffix"))),
+        stage("training", training, F.bool_and((F.col("loss_last") < F.col("loss_first")) & F.col("ratio").between(1e-3, 1e-2) & (F.col("norm") > 0))),
+        stage("evaluation", evaluation, F.bool_and(F.col("treatment").isNotNull() & F.col("control").isNotNull())),
+    )
+
+
+JOBS = {f.__name__: f for f in (
+    freeze_clusters, select_units, build_training, build_prompts, paired_interval, transfer_panel, judged, positions, alignments, collection_quota, demonstration,
+    score_units, collect_pool, annotate, build_expert, aggregate_evaluations, measure_gap, training_curves, baseline_audit, prevalidate)}

@@ -95,15 +95,6 @@ def c22_ledger_context(spark, d):
     return C.same_rows(x, y, "id", {"h": None}).select("code", "key")
 
 
-@query("SELECT 'units' stage, CASE WHEN (SELECT count(*) FROM conversations) > 0 THEN 'PASS' ELSE 'PENDING' END status UNION ALL SELECT 'labels_known', CASE WHEN (SELECT count(*) FROM labels l LEFT JOIN documents d USING (doc_id) WHERE d.doc_id IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END UNION ALL SELECT 'prices', CASE WHEN (SELECT count(*) FROM orders WHERE o_totalprice < 2000) = 0 THEN 'PASS' ELSE 'FAIL' END")
-def c26_stage_verifier(spark, d):
-    one = lambda name, df: df.select(F.lit(name).alias("stage"), F.col("s").alias("status"))
-    units = V._t(spark, d, "conversations").agg(F.when(F.count("*") > 0, "PASS").otherwise("PENDING").alias("s"))
-    lost = V._t(spark, d, "labels").join(V._t(spark, d, "documents").select("doc_id"), "doc_id", "left_anti").agg(F.when(F.count("*") == 0, "PASS").otherwise("FAIL").alias("s"))
-    prices = V._t(spark, d, "orders").agg(F.when(F.count_if(F.col("o_totalprice") < 2000) == 0, "PASS").otherwise("FAIL").alias("s"))
-    return one("units", units).unionByName(one("labels_known", lost)).unionByName(one("prices", prices))
-
-
 @query(f"WITH {V.UNIT} SELECT count(*) > 0 not_empty, count(*) = count(DISTINCT unit_id) unique_ids FROM v_unit")
 def c27_pool_predicates(spark, d):
     return V.unit(spark, d).agg((F.count("*") > 0).alias("not_empty"), (F.count("*") == F.count_distinct("unit_id")).alias("unique_ids"))

@@ -130,10 +130,10 @@ def g14_quantile_buckets(spark, d):
     return with_values(c, cuts).groupBy(at.alias("bucket")).agg(F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_n"))
 
 
-@query("""WITH s AS (SELECT c_custkey s, c_mktsegment seg, c_nationkey nat FROM customer WHERE c_custkey % 100 = 0), t AS (SELECT c_custkey t, c_mktsegment seg, c_nationkey nat, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42|' || c_custkey), c_custkey) rn FROM customer WHERE c_custkey % 100 <> 0)
- SELECT s, t FROM s JOIN t ON s.seg = t.seg AND s.nat <> t.nat AND rn <= 6""")
+@query("""WITH s AS (SELECT c_custkey s, c_mktsegment seg, c_nationkey nat FROM customer WHERE c_custkey % 100 = 0), t AS (SELECT c_custkey t, c_mktsegment seg, c_nationkey nat FROM customer WHERE c_custkey % 100 <> 0),
+ o AS (SELECT g.seg, g.nat, t, row_number() OVER (PARTITION BY g.seg, g.nat ORDER BY sha256('42|' || t), t) rn FROM (SELECT DISTINCT seg, nat FROM s) g JOIN t ON t.seg = g.seg AND t.nat <> g.nat) SELECT s, t FROM s JOIN o ON o.seg = s.seg AND o.nat = s.nat WHERE rn <= 6""")
 def g15_random_neighbours(spark, d):
-    """The first six transfer targets of other clusters in a shared random order of each stratum; the SQL draws before it excludes.
+    """The first six transfer targets of other clusters in a shared random order of each stratum.
 
     The first six of each stratum and cluster hold the first six of any stratum without one cluster.
     """

@@ -27,13 +27,14 @@ def p19_bag_of_words(spark, d):
     return X.token_counts(V._t(spark, d, "benchmark"), "item_id", "text", X.STOP_WORDS).select("item_id", "token", "n")
 
 
-@query(f"""WITH s AS (SELECT k s, token, count(*) n FROM {BOW('benchmark', 'item_id', 'item_id < 20')} GROUP BY 1, 2), t AS (SELECT k t, token, count(*) n FROM {BOW('benchmark', 'item_id', 'item_id >= 20')} GROUP BY 1, 2),
- x AS (SELECT s, t, sum(s.n * t.n) dot FROM s JOIN t USING (token) GROUP BY 1, 2) SELECT s, t, round(dot / (sqrt((SELECT sum(n * n) FROM s z WHERE z.s = x.s)) * sqrt((SELECT sum(n * n) FROM t z WHERE z.t = x.t))), 6) cosine FROM x""")
+@query(f"""WITH s AS (SELECT k s, token, count(*) n FROM {BOW('benchmark', 'item_id', 'item_id % 100 = 0')} GROUP BY 1, 2), t AS (SELECT k t, token, count(*) n FROM {BOW('benchmark', 'item_id')} GROUP BY 1, 2),
+ x AS (SELECT s, t, sum(s.n * t.n) dot FROM s JOIN t USING (token) WHERE s <> t GROUP BY 1, 2), zs AS (SELECT s, sqrt(sum(n * n)) z FROM s GROUP BY 1), zt AS (SELECT t, sqrt(sum(n * n)) z FROM t GROUP BY 1)
+ SELECT s, t, round(dot / (zs.z * zt.z), 6) cosine FROM x JOIN zs USING (s) JOIN zt USING (t)""")
 def p20_cosine(spark, d):
-    """Every pair of items with a common token, once; the SQL has the part with s below 20 and t from 20 on."""
+    """A stated query set, items whose id is divisible by 100, against every item with a common token."""
     b = V._t(spark, d, "benchmark")
     s, t = (X.token_counts(b.withColumnRenamed("item_id", k), k, "text") for k in "st")
-    return R(X.cosine_by_index(s, t, "s", "t").where("s < t"), "cosine")
+    return R(X.cosine_by_index(s.where("s % 100 = 0"), t, "s", "t").where("s <> t"), "cosine")
 
 
 @query(f"""WITH c AS (SELECT conv_id k, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)))) a FROM conversations), p AS (SELECT x.k conv_id, x.turn, x.a, y.a b FROM c x JOIN c y ON x.k = y.k AND y.turn = x.turn + 1)
@@ -46,26 +47,26 @@ def p21_set_jaccard(spark, d):
 
 def _panel(spark, d):
     docs = V._t(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("cluster_id"), F.col("lang").alias("stratum"), "text", F.array("lang", F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")), F.concat(F.lit("s"), (F.col("n_chars") % 4).cast("string"))).alias("actions"), F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("action"))
-    return docs.where("unit_id % 50 = 0"), docs
+    return docs.where("unit_id % 100 = 0"), docs
 
 
-NB = f"""docs AS (SELECT doc_id, source, lang, text, ['b' || (doc_id % 3), lang, 's' || (n_chars % 4)] acts, 'b' || (doc_id % 3) act FROM documents WHERE n_chars < 600),
- s AS (SELECT k, token, count(*) n FROM {BOW('docs', 'doc_id', 'doc_id % 50 = 0')} WHERE token NOT IN {STOP} GROUP BY 1, 2), t AS (SELECT k, token, count(*) n FROM {BOW('docs', 'doc_id', 'doc_id % 50 <> 0')} WHERE token NOT IN {STOP} GROUP BY 1, 2),
+NB = f"""docs AS (SELECT doc_id, source, lang, text, ['b' || (doc_id % 3), lang, 's' || (n_chars % 4)] acts, 'b' || (doc_id % 3) act FROM documents),
+ s AS (SELECT k, token, count(*) n FROM {BOW('docs', 'doc_id', 'doc_id % 100 = 0')} WHERE token NOT IN {STOP} GROUP BY 1, 2), t AS (SELECT k, token, count(*) n FROM {BOW('docs', 'doc_id')} WHERE token NOT IN {STOP} GROUP BY 1, 2),
  ns AS (SELECT k, sqrt(sum(n * n)) z FROM s GROUP BY 1), nt AS (SELECT k, sqrt(sum(n * n)) z FROM t GROUP BY 1), x AS (SELECT s.k s, t.k t, sum(s.n * t.n) dot FROM s JOIN t USING (token) GROUP BY 1, 2),
- sim AS (SELECT x.s, x.t, 0.5 * dot / (ns.z * nt.z) + 0.5 * coalesce(len(list_intersect(list_filter(a.acts, lambda v: v <> a.act), list_filter(b.acts, lambda v: v <> a.act))) / nullif(len(list_distinct(list_concat(list_filter(a.acts, lambda v: v <> a.act), list_filter(b.acts, lambda v: v <> a.act)))), 0), 0) sim
-  FROM x JOIN docs a ON a.doc_id = x.s JOIN docs b ON b.doc_id = x.t JOIN ns ON ns.k = x.s JOIN nt ON nt.k = x.t WHERE a.lang = b.lang AND a.source <> b.source AND list_contains(b.acts, a.act)),
- r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sim DESC, t) rn, count(*) OVER (PARTITION BY s) eligible FROM sim WHERE sim >= 0.05)"""
+ met AS (SELECT a.doc_id s, b.doc_id t, list_filter(a.acts, lambda v: v <> a.act) p, list_filter(b.acts, lambda v: v <> a.act) q FROM docs a JOIN docs b ON a.lang = b.lang AND a.source <> b.source AND list_contains(b.acts, a.act) WHERE a.doc_id % 100 = 0),
+ sim AS (SELECT s, t, 0.5 * coalesce(dot / (ns.z * nt.z), 0) + 0.5 * coalesce(len(list_intersect(p, q)) / nullif(len(list_distinct(list_concat(p, q))), 0), 0) sim FROM met LEFT JOIN x USING (s, t) LEFT JOIN ns ON ns.k = s LEFT JOIN nt ON nt.k = t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(sim, 12) DESC, t) rn, count(*) OVER (PARTITION BY s) eligible FROM sim WHERE sim >= 0.05)"""
 
 
 @query(f"WITH {NB} SELECT s source_id, t target_id, round(sim, 6) similarity, cast(rn AS int) rn, eligible FROM r WHERE rn <= 10 AND eligible >= 5")
 def j6_cross_cluster_neighbours(spark, d):
-    """Sources are a stated set of documents; each is compared with every document. The SQL has documents below 600 characters only."""
+    """Sources are a stated set of documents; each is compared with every document."""
     sources, targets = _panel(spark, d)
     found, _ = panel.neighbours(sources, targets, 10, 5, 0.05, 0.5, X.STOP_WORDS)
     return R(found.select("source_id", "target_id", "similarity", "rn", "eligible"), "similarity")
 
 
-@query(f"WITH {NB}, c AS (SELECT d.doc_id source_id, coalesce(max(eligible), 0) eligible FROM docs d LEFT JOIN r ON r.s = d.doc_id WHERE d.doc_id % 50 = 0 GROUP BY 1) SELECT * FROM c WHERE eligible < 5")
+@query(f"WITH {NB}, c AS (SELECT d.doc_id source_id, coalesce(max(eligible), 0) eligible FROM docs d LEFT JOIN r ON r.s = d.doc_id WHERE d.doc_id % 100 = 0 GROUP BY 1) SELECT * FROM c WHERE eligible < 5")
 def l4_neighbour_attrition(spark, d):
     sources, targets = _panel(spark, d)
     return panel.neighbours(sources, targets, 10, 5, 0.05, 0.5, X.STOP_WORDS)[1]

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tessera.plans import q_arrays, q_checks, q_contracts, q_estimators, q_files, q_jobs, q_joins, q_legacy, q_more, q_sampling, q_text, q_weights  # noqa: F401
+    from tessera.plans import q_arrays, q_chains, q_checks, q_contracts, q_estimators, q_files, q_jobs, q_joins, q_legacy, q_more, q_sampling, q_text, q_weights  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
