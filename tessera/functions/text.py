@@ -23,13 +23,20 @@ def token_counts(df: DataFrame, key: str, text: str, stop_words=()) -> DataFrame
     return exploded.groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
+#: Parts into which the right side's rows of a token are dealt.
+SALT = 16
+
+
 def cosine_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """left_key, right_key, cosine of count vectors, for pairs with a common token.
 
-    The counts meet on their tokens, so no pair without a common token is looked at; others have cosine 0.
+    The counts meet on their tokens, so no pair without a common token is looked at; others have cosine 0. A frequent token's
+    texts on the right, the side that grows, are dealt into parts; the left side, a set of queries, goes to each.
     """
     norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"{k}_norm"))
-    dots = left.select(left_key, "token", F.col("n").alias("__n_left")).join(right.select(right_key, "token", F.col("n").alias("__n_right")), "token").groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
+    asked = left.select(left_key, "token", F.col("n").alias("__n_left"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    found = right.select(right_key, "token", F.col("n").alias("__n_right"), F.pmod(F.xxhash64(right_key), F.lit(SALT)).cast("int").alias("__salt"))
+    dots = asked.join(found, ["token", "__salt"]).groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
     return dots.join(norm(left, left_key), left_key).join(norm(right, right_key), right_key).select(left_key, right_key, (F.col("dot") / (F.col(f"{left_key}_norm") * F.col(f"{right_key}_norm"))).alias("cosine"))
 
 
@@ -39,13 +46,22 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union == 0, None).otherwise(F.size(F.array_intersect(left, right)) / union)
 
 
+# What is taken off an action's text, and the spellings that stand for one action.
+ACTION_SPELLINGS = (
+    (r"^[`\"' \t\r\n]+|[`\"' \t\r\n]+$", ""),
+    (r"\s+", " "),
+    (r"[.;]+$", ""),
+    (r"(?i)^put\s+(.+?)\s+(?:in|on|into|onto)\s+(.+)$", "move $1 to $2"),
+    (r"(?i)^(clean|heat|cool)\s+(.+?)\s+using\s+(.+)$", "$1 $2 with $3"),
+)
+
+
 def normalise_action(text: Column) -> Column:
     """Quotes and spaces off, one space inside, no trailing stops, one spelling of put and of using, lower case."""
-    v = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[`\"' \t\r\n]+|[`\"' \t\r\n]+$", ""), r"\s+", " ")
-    v = F.regexp_replace(v, r"[.;]+$", "")
-    v = F.regexp_replace(v, r"(?i)^put\s+(.+?)\s+(?:in|on|into|onto)\s+(.+)$", "move $1 to $2")
-    v = F.regexp_replace(v, r"(?i)^(clean|heat|cool)\s+(.+?)\s+using\s+(.+)$", "$1 $2 with $3")
-    return F.lower(v)
+    value = F.coalesce(text, F.lit(""))
+    for pattern, to in ACTION_SPELLINGS:
+        value = F.regexp_replace(value, pattern, to)
+    return F.lower(value)
 
 
 def _let(value: Column, body) -> Column:

@@ -26,7 +26,7 @@ def c2_selection_rederivation(spark, d):
 
 
 @query("""WITH m AS (SELECT l_orderkey, max(l_quantity) m FROM lineitem GROUP BY 1), w AS (SELECT l_orderkey, exp(l_quantity - m) w FROM lineitem JOIN m USING (l_orderkey)), s AS (SELECT l_orderkey, sum(w) s FROM w GROUP BY 1),
- h AS (SELECT l_orderkey, -sum(CASE WHEN w > 0 THEN w / s * ln(w / s) ELSE 0 END) h FROM w JOIN s USING (l_orderkey) GROUP BY 1) SELECT 'different_score' code, cast(l_orderkey AS varchar) "key" FROM h WHERE l_orderkey % 10 = 0""")
+ h AS (SELECT l_orderkey, -sum(CASE WHEN w > 0 THEN w / s * ln(w / s) ELSE 0 END) h FROM w JOIN s USING (l_orderkey) GROUP BY 1) SELECT 'different_score' code, cast(l_orderkey AS varchar) "key" FROM (SELECT *, h + CASE WHEN l_orderkey % 10 = 0 THEN 0.01 ELSE 0 END recorded FROM h) WHERE abs(recorded - h) > 1e-9""")
 def c3_score_rederivation(spark, d):
     x = V._t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q")).select(F.col("l_orderkey").alias("unit_id"), softmax_entropy(F.array_sort("q")).alias("score"))
     recorded = x.withColumn("score", F.col("score") + F.when(F.col("unit_id") % 10 == 0, 0.01).otherwise(0.0))
@@ -75,7 +75,7 @@ def c14_crossed_completeness(spark, d):
     return e.groupBy("cluster_id").agg((F.size(F.collect_set("replicate_id")) == 4).alias("complete"))
 
 
-@query("SELECT c_custkey, c_custkey % 25 <> 0 seed_ok FROM customer")
+@query("""WITH s AS (SELECT c_custkey, cast(('0x' || substr(sha256('42' || chr(0) || c_name), 9, 8)) AS bigint) derived FROM customer), r AS (SELECT *, derived + (c_custkey % 25 = 0)::INT recorded FROM s) SELECT c_custkey, recorded = derived AND recorded BETWEEN 0 AND 4294967295 seed_ok FROM r""")
 def c19_seed_contract(spark, d):
     derived = environment_seed(F.lit("42"), F.col("c_name"))
     recorded = derived + F.when(F.col("c_custkey") % 25 == 0, 1).otherwise(0)
@@ -88,7 +88,8 @@ def c21_provider_identity(spark, d):
     return e.groupBy(F.col("event_type").alias("requested")).agg(F.count("*").alias("n"), F.count_if(F.col("response") != F.col("event_type")).alias("mismatched"))
 
 
-@query("SELECT CASE WHEN event_id % 7 = 0 THEN 'missing' ELSE 'different_h' END code, cast(event_id AS varchar) \"key\" FROM events WHERE event_id % 7 = 0 OR event_id % 10 = 0")
+@query("""WITH x AS (SELECT event_id id, sha256(props) h FROM events), y AS (SELECT event_id id, CASE WHEN event_id % 10 = 0 THEN 'x' ELSE sha256(props) END h FROM events WHERE event_id % 7 <> 0)
+ SELECT CASE WHEN y.id IS NULL THEN 'missing' ELSE 'different_h' END code, x.id::VARCHAR "key" FROM x LEFT JOIN y USING (id) WHERE y.h IS DISTINCT FROM x.h""")
 def c22_ledger_context(spark, d):
     x = V._t(spark, d, "events").select(F.col("event_id").alias("id"), F.sha2("props", 256).alias("h"))
     y = x.where("id % 7 <> 0").withColumn("h", F.when(F.col("id") % 10 == 0, "x").otherwise(F.col("h")))

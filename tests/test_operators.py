@@ -200,7 +200,11 @@ def test_neighbours(spark):
     s = spark.createDataFrame([(1, "g1", "t", "red apple", "go", ["go", "x"]), (2, "g1", "t", "zzz", "go", ["go"])], "unit_id long, cluster_id string, stratum string, text string, action string, actions array<string>")
     t = spark.createDataFrame([(10, "g2", "t", "red apple", ["go", "x"]), (11, "g1", "t", "red apple", ["go"]), (12, "g3", "t", "red pear", ["go"]), (13, "g4", "u", "red apple", ["go"]), (14, "g5", "t", "red apple", ["stay"])], "unit_id long, cluster_id string, stratum string, text string, actions array<string>")
     found, few = panel.neighbours(s, t, 5, 1, 0.0, 0.5)
-    assert [(r["source_id"], r["target_id"], round(r["similarity"], 6)) for r in found.orderBy("rn").collect()] == [(1, 10, 1.0), (1, 12, 0.25)]
+    # at a threshold of 0 every target of the stratum that admits the action counts, with or without a common token
+    assert [(r["source_id"], r["target_id"], round(r["similarity"], 6)) for r in found.orderBy("source_id", "rn").collect()] == [(1, 10, 1.0), (1, 12, 0.25), (2, 10, 0.0), (2, 12, 0.0)]
+    assert few.count() == 0
+    found, few = panel.neighbours(s, t, 5, 1, 0.2, 0.5)
+    assert [(r["source_id"], r["target_id"]) for r in found.orderBy("rn").collect()] == [(1, 10), (1, 12)]
     assert [r["source_id"] for r in few.collect()] == [2]
 
 
@@ -257,3 +261,54 @@ def test_messages(spark):
     assert [tuple(x) for x in got[0]["m"]] == [("system", "new"), ("user", "hi"), ("assistant", "Action: go")] and got[1]["m"] is None
     roles = spark.createDataFrame([(["system", "user", "assistant", "user"],), (["system", "user", "user", "user"],), (["system"],)], "r array<string>").select(arrays.roles_alternate(F.col("r")).alias("ok")).collect()
     assert [r["ok"] for r in roles] == [True, False, False]
+
+
+def test_audit_of_one_record_at_a_time(spark):
+    """A record without faults has no code; each fault gives its own."""
+    from tessera.operators import audit as A
+
+    own, other = "o", "t"
+    message = lambda r, c: {"role": r, "content": c}
+    full = [message("system", own), message("user", "T: start"), message("assistant", "Action: a"), message("user", "see a b")]
+    sha = lambda m: __import__("hashlib").sha256(__import__("json").dumps([{"content": x["content"], "role": x["role"]} for x in m], separators=(",", ":")).encode()).hexdigest()
+    swapped = [message("system", other), *full[1:]]
+    good = {
+        "cluster_id": "g", "seq": 1, "task": "T", "observation": "see", "actions": ["a", "b"], "messages": full, "full_messages": full, "truncation": (1, 0, 9, 10), "source": "student", "own_action": "a",
+        "draws": [("a", True, 1), ("z", False, 1)], "calls": 2, "attested": (True, True, True, 2, sha(full), sha(swapped), sha(swapped[1:]), __import__("hashlib").sha256(other.encode()).hexdigest()), "incl_prob": 0.5, "full": True,
+    }
+    schema = (
+        "cluster_id string, seq int, task string, observation string, actions array<string>, messages array<struct<role:string,content:string>>, full_messages array<struct<role:string,content:string>>,"
+        "truncation struct<kept_pairs:int,dropped_pairs:int,token_count:int,budget:int>, source string, own_action string, draws array<struct<action:string,valid:boolean,calls:long>>, calls long,"
+        "attested struct<prompt_replaced:boolean,same_context:boolean,counts_invalid:boolean,samples:int,own_sha:string,other_sha:string,rest_sha:string,prompt_sha:string>, incl_prob double, full boolean"
+    )
+    note = lambda k, v: tuple(v if i == k else x for i, x in enumerate(good["attested"]))
+    wrong_turn = [*full[:3], message("user", "see a b c")]
+    faults = {
+        "EMPTY_ADMISSIBLE_SET": {"actions": []}, "OBSERVATION_NOT_IN_QUERY": {"observation": "hear"}, "ADMISSIBLE_NOT_IN_QUERY": {"actions": ["a", "b", "q"]}, "STUDENT_ACTION_NOT_EXECUTABLE": {"own_action": None},
+        "VALID_TEACHER_ACTION_NOT_EXECUTABLE": {"draws": [("a", True, 1), ("z", True, 1)]}, "NONATOMIC_TEACHER_ATTEMPT": {"draws": [("a", True, 1), ("z", False, 2)], "calls": 3}, "BUDGET_CALL_MISMATCH": {"calls": 5},
+        "FULL_HISTORY_TURN_MISMATCH": {"full_messages": full[:2]}, "CURRENT_STATE_MESSAGE_MISMATCH": {"full_messages": wrong_turn}, "FULL_HISTORY_ACTION_FORMAT": {"full_messages": [*full[:2], message("assistant", "a"), full[3]]},
+        "TRUNCATION_ATTESTATION_MISSING": {"truncation": (None, 0, 9, 10)}, "TRUNCATED_HISTORY_MISMATCH": {"truncation": (1, 1, 9, 10)}, "STATE_SOURCE_PROMPT_MISMATCH": {"source": "else"}, "TEACHER_PROMPT_NOT_ATTESTED": {"attested": note(0, None)},
+        "CONTEXT_IDENTITY_NOT_ATTESTED": {"attested": note(1, False)}, "BUDGET_POLICY_NOT_ATTESTED": {"attested": note(2, False)}, "TEACHER_SAMPLE_COUNT_MISMATCH": {"attested": note(3, 1)}, "STUDENT_QUERY_SHA256_MISMATCH": {"attested": note(4, "x")},
+        "TEACHER_QUERY_SHA256_MISMATCH": {"attested": note(5, "x")}, "NON_SYSTEM_QUERY_SHA256_MISMATCH": {"attested": note(6, None)}, "TEACHER_SYSTEM_PROMPT_SHA256_MISMATCH": {"attested": note(7, "x")}, "INVALID_INCLUSION_PROBABILITY": {"incl_prob": 1.5},
+        A.ROLES: {"messages": full[:3]},
+    }
+    assert set(faults) == {A.ROLES, *A.CODES}
+    rows = [good | {"cluster_id": "fine"}, *(good | change | {"cluster_id": code} for code, change in faults.items())]
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in ("cluster_id seq task observation actions messages full_messages truncation source own_action draws calls attested incl_prob full").split()) for r in rows], schema)
+    found = {}
+    for r in A.audit(df, own, other, lambda t, o, a: F.concat(t, F.lit(": start")), lambda t, o, a: F.concat_ws(" ", o, F.array_join(F.slice(F.array_union(a, F.array(F.lit("a"), F.lit("b"))), 1, 2), " "))).collect():
+        found.setdefault(r["key"].split("/")[0], set()).add(r["code"])
+    assert "fine" not in found
+    for code in faults:
+        assert code in found[code], (code, found.get(code))
+    assert found[A.ROLES] == {A.ROLES}
+
+
+def test_configurations(spark):
+    from tessera.operators import audit as A
+
+    df = spark.createDataFrame([("a", '{"x": 1, "d": {"e": {"f": 2}}, "l": [1]}'), ("b", '{"x": 1, "d": {"e": {"f": 3}}, "n": null}')], "run string, config string")
+    got = {(r["run"], r["path"], r["expected"], r["actual"]) for r in A.differences(df, "run", "config", df.where("run = 'a'"), ("l",)).collect()}
+    assert got == {("b", "d.e.f", "2", "3")}
+    shared = {r["path"] for r in A.not_shared(df.withColumn("g", F.lit(1)), "g", "config").collect()}
+    assert shared == {"d.e.f", "l", "n"}

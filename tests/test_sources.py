@@ -81,3 +81,40 @@ def test_entry_module_without_the_llm_folder(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'l2_nested_selection' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_files(spark, tmp_path):
+    import numpy as np
+
+    from tessera.sources import files
+
+    assert files.plain({"a": np.array([[1, 2], [3, 4]]), 5: (np.float64(0.5), None)}) == {"a": [[1, 2], [3, 4]], "5": [0.5, None]}
+    (tmp_path / "configs").mkdir()
+    (tmp_path / "configs" / "one.yaml").write_text('{"seed": 3, "data": {"size": [1, 2]}}')
+    assert [json.loads(r["config"]) for r in files.configs(spark, str(tmp_path / "configs")).collect()] == [{"seed": 3, "data": {"size": [1, 2]}}]
+    df = spark.range(5)
+    at = str(tmp_path / "done")
+    assert files.committed(df, at).count() == 5 and not (tmp_path / "done.partial").exists()
+    with pytest.raises(FileExistsError):
+        files.committed(df, at)
+    with pytest.raises(ValueError):
+        files.cached_list(lambda: df.select(F.lit("test").alias("split")), "x", "train", spark)
+    paths = spark.createDataFrame([("/d/pick-Mug/trial_1/game.z8",), ("/d/pick-movable/trial_1/game.z8",), ("/d/pick-Mug/trial_1/note.txt",)], "path string")
+    assert [(r["task"], r["trial"]) for r in files.episodes(paths, skipped=("movable",)).collect()] == [("pick-Mug", "trial_1")]
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a.py").write_text("x = 1\n")
+    first = files.code_fingerprint(spark, str(tmp_path / "code"))
+    (tmp_path / "code" / "a.log").write_text("noise")
+    assert files.code_fingerprint(spark, str(tmp_path / "code")) == first
+    (tmp_path / "code" / "b.py").write_text("y = 2\n")
+    assert files.code_fingerprint(spark, str(tmp_path / "code")) != first
+
+
+def test_tables_in_the_shared_folder(spark):
+    from tessera.sources.shared import discard, durable
+
+    made = durable(spark.range(7), "seven")
+    assert made.count() == 7
+    discard(made)
+    with pytest.raises(Exception):
+        spark.read.parquet(made._durable_path)
