@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, remainder, to_python
+from tessera.llm.common import discard, durable, remainder, to_python
 
 #: Labelled rows that the fit may read; and of each kind so many at least, where there are so many.
 MAX_LABELLED, LEAST_OF_A_KIND = 20_000, 1_000
@@ -225,6 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
 
     rows = to_python(sample.select("text", F.col("toxic").cast("long"))).mapInArrow(measured, "total double, density double, toxic long").collect()
     lexicon.curve = _logistic(np.array(sorted(tuple(r) for r in rows), float))
+    discard(sample)
     return lexicon
 
 

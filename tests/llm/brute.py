@@ -72,3 +72,29 @@ def quality(text):
         if seen[tuple(w[i : i + 5])] > 1:
             covered |= set(range(i, i + 5))
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def quality_verdict(text, thresholds, stop_words):
+    """Whether a text passes the base rule and every threshold, each measure worked out word by word."""
+    n, chars, symbols, dup, rep = quality(text)
+    w, body = words(text), text or ""
+    lines = [x for x in body.split("\n") if WORD.search(x)]
+    per = lambda a, b: a / b if b else None
+    measures = {
+        "n_words": n,
+        "mean_word_length": per(chars, n),
+        "symbols_per_word": per(symbols, n),
+        "stop_ratio": per(sum(x.translate({ord(c): None for c in ".,;:!?"}).lower() in stop_words for x in w), n),
+        "dup_line_ratio": per(dup, len(lines)),
+        "repeat_word_ratio": per(rep, n),
+        "upper_word_ratio": per(sum(x.upper() == x and x.lower() != x and len(x) > 1 for x in w), n),
+        "stutter_ratio": per(sum(a == b for a, b in zip(w, w[1:])), n),
+        "bar_ratio": per(body.count("|"), n),
+    }
+    if n < 10 or 100 * rep > 20 * n:
+        return False
+    for _, name, low, high, from_words in thresholds:
+        value = measures[name]
+        if n >= from_words and value is not None and (low is not None and value < low or high is not None and value > high):
+            return False
+    return True

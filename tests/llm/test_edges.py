@@ -129,3 +129,16 @@ def test_cells_are_equal_parts_of_the_values(spark, few, monkeypatch):
 def test_docs_of_other_seeds_survive_the_operators(spark):
     df = spark.createDataFrame(make_docs(seed=33, n=40), "doc_id long, text string, lang string, source string, n_chars long")
     assert shard.assign(df).count() == df.count()
+
+
+def test_toxicity_on_rows_held_out_of_the_fit(spark):
+    """On the larger test table: of rows that the fit didn't read, most toxic ones are found and few others are named."""
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(str(folder / "labels.parquet")).select("doc_id", F.col("toxic").alias("truth"))
+    got = toxicity.op7_toxicity(spark, str(folder)).join(labels, "doc_id").where("held_out").groupBy("truth", "predicted").count().collect()
+    n = {(r["truth"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0)), n

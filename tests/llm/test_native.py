@@ -15,11 +15,11 @@ def test_quality_measures(docs, rows):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep), text
         assert r["base_failed"] == (n < 10 or 100 * rep > 20 * n)
-        assert not (r["base_failed"] and r["kept"])
+        assert r["kept"] == brute.quality_verdict(text, quality.THRESHOLDS, quality.STOP_WORDS), text
 
 
 def test_quality_keeps_extra_columns_and_empty_tables(spark, docs, empty):
-    more = docs.selectExpr("*", "'mine' as n_words", "1 as quality_measures_", "2 as kept_")
+    more = docs.selectExpr("*", "'mine' as n_words", "1 as quality_measures", "2 as kept", "3 as base_failed", "4 as failed_rules")
     out = quality.stage(spark, more, "")
     assert out.columns == more.columns
     assert quality.stage(spark, empty, "").count() == 0

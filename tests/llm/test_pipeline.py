@@ -16,9 +16,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     rows = make_docs(seed=11, n=160)
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     docs = {r[0]: r[1] for r in rows}
-    judged = {r["doc_id"]: r["kept"] for r in quality.verdicts(quality.measures(spark.createDataFrame(rows, SCHEMA))).collect()}
-    docs = {i: t for i, t in docs.items() if judged[i]}
-    assert all(brute.quality(t)[0] >= 10 for t in docs.values())
+    docs = {i: t for i, t in docs.items() if brute.quality_verdict(t, quality.THRESHOLDS, quality.STOP_WORDS)}
     keep = brute.exact(docs.items())
     docs = {i: t for i, t in docs.items() if keep[i][0] == i}
     classes = brute.near(list(docs.items()))
