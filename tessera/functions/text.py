@@ -15,28 +15,28 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda t: F.lower(t))
 
 
-def token_counts(df: DataFrame, key: str, text: str, stop_words=()) -> DataFrame:
-    """key, token, n."""
-    exploded = df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+def token_counts(df: DataFrame, key: str, text: str, stop_words=(), carried=()) -> DataFrame:
+    """key, the carried columns that belong to it, token, n."""
+    exploded = df.select(key, *carried, F.explode(tokens(F.col(text))).alias("token"))
     if stop_words:
         exploded = exploded.where(~F.col("token").isin(*stop_words))
-    return exploded.groupBy(key, "token").agg(F.count("*").alias("n"))
+    return exploded.groupBy(key, *carried, "token").agg(F.count("*").alias("n"))
 
 
 #: Parts into which the right side's rows of a token are dealt.
 SALT = 16
 
 
-def cosine_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """left_key, right_key, cosine of count vectors, for pairs with a common token.
+def cosine_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within=()) -> DataFrame:
+    """left_key, right_key, cosine of count vectors, for pairs with a common token that agree in the columns `within`.
 
     The counts meet on their tokens, so no pair without a common token is looked at; others have cosine 0. A frequent token's
     texts on the right, the side that grows, are dealt into parts; the left side, a set of queries, goes to each.
     """
     norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"{k}_norm"))
-    asked = left.select(left_key, "token", F.col("n").alias("__n_left"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-    found = right.select(right_key, "token", F.col("n").alias("__n_right"), F.pmod(F.xxhash64(right_key), F.lit(SALT)).cast("int").alias("__salt"))
-    dots = asked.join(found, ["token", "__salt"]).groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
+    asked = left.select(left_key, "token", *within, F.col("n").alias("__n_left"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    found = right.select(right_key, "token", *within, F.col("n").alias("__n_right"), F.pmod(F.xxhash64(right_key), F.lit(SALT)).cast("int").alias("__salt"))
+    dots = asked.join(found, ["token", *within, "__salt"]).groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
     return dots.join(norm(left, left_key), left_key).join(norm(right, right_key), right_key).select(left_key, right_key, (F.col("dot") / (F.col(f"{left_key}_norm") * F.col(f"{right_key}_norm"))).alias("cosine"))
 
 

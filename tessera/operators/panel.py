@@ -19,7 +19,8 @@ def neighbours(sources: DataFrame, targets: DataFrame, k: int, least: int = 1, m
     """
     s = sources.select(F.col("unit_id").alias("source_id"), F.col("cluster_id").alias("source_cluster"), "stratum", "text", *[F.col(c).alias(f"source_{c}") for c in ("action", "actions") if c in sources.columns])
     t = targets.select(F.col("unit_id").alias("target_id"), F.col("cluster_id").alias("target_cluster"), F.col("stratum").alias("target_stratum"), "text", *[F.col(c).alias("target_actions") for c in ("actions",) if c in targets.columns])
-    pairs = cosine_by_index(token_counts(s, "source_id", "text", stop_words), token_counts(t, "target_id", "text", stop_words), "source_id", "target_id")
+    bag = lambda df, key: token_counts(df, key, "text", stop_words, ["stratum"])
+    pairs = cosine_by_index(bag(s, "source_id"), bag(t.withColumnRenamed("target_stratum", "stratum"), "target_id"), "source_id", "target_id", ["stratum"])
     left, right = s.drop("text"), t.drop("text")
     if text_weight < 1:
         met = left.join(right.withColumn("admitted", F.explode(F.array_distinct("target_actions"))), (F.col("stratum") == F.col("target_stratum")) & (F.col("source_action") == F.col("admitted"))).drop("admitted")

@@ -37,7 +37,7 @@ def test_cosine_of_all_pairs(spark, tmp_path):
 
 def documents(spark, folder):
     """Long and short texts, and other documents of the query set among the targets."""
-    texts = {i: f"word{i % 4} apple {'filler ' * (i % 3) * 100}word{i % 7}" for i in [*range(1, 40), 50, 100, 150]}
+    texts = {i: f"word{i % 4} apple {'filler ' * (i % 3) * 100}word{i % 7}" for i in [*range(1, 40), 50, 100, 200, 300]}
     rows = [(i, t, "en" if i % 5 else "de", f"s{i % 4}", len(t)) for i, t in texts.items()]
     write(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), folder, "documents")
     return rows
@@ -47,7 +47,7 @@ def scored(rows):
     """Source: (similarity, target) of each eligible document."""
     stop, out = set(STOP_WORDS), {}
     for i, text, lang, source, n in rows:
-        if i % 50:
+        if i % 100:
             continue
         act, out[i] = f"b{i % 3}", []
         for j, other, lang2, source2, m in rows:
