@@ -252,6 +252,40 @@ def prevalidate(turns: DataFrame, least: float = 0.05) -> dict[str, DataFrame]:
     return {"summary": first.agg(F.count("*").alias("clusters"), F.count_if(gap > 0).alias("improved"), F.count_if(gap < 0).alias("worsened"), net.alias("net"), F.when(net >= least, "worthwhile").otherwise("not_shown").alias("verdict"))}
 
 
+def transfer_effects(metadata: DataFrame, base: DataFrame, updated: DataFrame, groups: DataFrame) -> dict[str, DataFrame]:
+    """Changes of a source's own score and of its neighbours', by group, with the scores that lack a side.
+
+    metadata: source_id, self_score_id, neighbour_score_ids; base, updated: score_id, score; groups: source_id, group.
+    """
+    changes, faults = panel.assemble(metadata, base, updated)
+    summary = changes.join(groups, "source_id").groupBy("group").agg(F.count("*").alias("sources"), F.avg("S").alias("own"), F.avg("T").alias("others"))
+    return {"changes": changes, "faults": faults, "summary": summary}
+
+
+def whole_chain(pool: DataFrame, draws: DataFrame, calls: int, k: int = 2, seed: int = 42) -> dict[str, DataFrame]:
+    """From a pool to weighted rows: k units a cluster, their first `calls` draws, what was accepted, and training rows.
+
+    draws: unit_id, sample, action, valid; pool also has base_value.
+    """
+    chosen = sampling.nested_selection(pool, k, seed).select("unit_id", "cluster_id", "base_value")
+    made = draws.where(F.col("sample") <= calls).groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("sample", "action", "valid"))).alias("d"))
+    found = chosen.join(made, "unit_id").select("unit_id", "cluster_id", "base_value", F.transform("d", lambda x: F.struct(x["action"].alias("action"), x["valid"].alias("valid"))).alias("draws"))
+    return {"records": found, "levels": weights.distinct_levels(found), "rows": weights.training_rows(found)}
+
+
+def one_shot(pool: DataFrame, draws: DataFrame, seed: int = 42) -> dict[str, DataFrame]:
+    """One unit a cluster, drawn uniformly, with the first of its draws, valid or not, or none."""
+    first = draws.groupBy("unit_id").agg(F.min(F.struct("sample", "action", "valid")).alias("d"))
+    chosen = sampling.nested_selection(pool, 1, seed).select("unit_id", "cluster_id", "incl_prob")
+    return {"records": chosen.join(first, "unit_id", "left").select("unit_id", "cluster_id", "incl_prob", "d.action", F.coalesce("d.valid", F.lit(False)).alias("valid"))}
+
+
+def evaluation_summary(episodes: DataFrame) -> dict[str, DataFrame]:
+    """Episodes (arm, task, won) as wins of games by task and arm, with each arm's total."""
+    counted = episodes.cube("arm", "task").agg(F.count("*").alias("games"), F.sum(F.col("won").cast("int")).alias("wins"), F.grouping_id().alias("level"))
+    return {"summary": counted.where("level < 2").select("arm", F.when(F.col("level") == 1, "all").otherwise(F.col("task")).alias("task"), "games", "wins", (F.col("wins") / F.col("games")).alias("rate"))}
+
+
 def verify_stages(units: DataFrame, selection: DataFrame, records_: DataFrame, ledger: DataFrame, rows: DataFrame, training: DataFrame, evaluation: DataFrame) -> DataFrame:
     """stage, status, n of six stages: PENDING without rows, else PASS or FAIL.
 
@@ -280,4 +314,5 @@ def verify_stages(units: DataFrame, selection: DataFrame, records_: DataFrame, l
 
 JOBS = {f.__name__: f for f in (
     freeze_clusters, select_units, build_training, build_prompts, paired_interval, transfer_panel, judged, positions, alignments, collection_quota, demonstration,
-    score_units, collect_pool, annotate, build_expert, aggregate_evaluations, measure_gap, training_curves, baseline_audit, prevalidate)}
+    score_units, collect_pool, annotate, build_expert, aggregate_evaluations, measure_gap, training_curves, baseline_audit, prevalidate,
+    transfer_effects, whole_chain, one_shot, evaluation_summary)}

@@ -139,3 +139,47 @@ def q6_validate_pair(spark, d):
     small, large = sampling.nested_selection(units, 1).select("unit_id"), sampling.nested_selection(units, 4).select("unit_id")
     n = with_values(small.agg(F.count("*").alias("small")), large.agg(F.count("*").alias("large")))
     return with_values(n, small.join(large, "unit_id", "left_anti").agg(F.count("*").alias("outside"))).select("small", "large", (F.col("small") * 4 == F.col("large")).alias("same_budget"), "outside")
+
+
+@query("""WITH m AS (SELECT o_custkey source_id, min(o_orderkey) self_id FROM orders GROUP BY 1 HAVING count(*) >= 3), o AS (SELECT o_custkey source_id, o_orderkey score_id, (o_orderkey % 13) / 10.0 - (o_orderkey % 7) / 10.0 ch FROM orders),
+ c AS (SELECT m.source_id, max(ch) FILTER (score_id = self_id) s, avg(ch) FILTER (score_id <> self_id) t FROM m JOIN o USING (source_id) GROUP BY 1) SELECT c_mktsegment "group", count(*) sources, round(avg(s), 6) own, round(avg(t), 6) others FROM c JOIN customer ON c_custkey = source_id GROUP BY 1""")
+def q15_transfer_effects(spark, d):
+    """Customers as sources: the change of their first order's score, and of their others', by market segment."""
+    o = V._t(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("score_id"))
+    meta = o.groupBy("source_id").agg(F.min("score_id").alias("self_score_id"), F.collect_list("score_id").alias("ids")).where(F.size("ids") >= 3)
+    meta = meta.select("source_id", "self_score_id", F.array_except("ids", F.array("self_score_id")).alias("neighbour_score_ids"))
+    score = lambda n: o.select("score_id", ((F.col("score_id") % n) / 10.0).alias("score"))
+    groups = V._t(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("group"))
+    return R(jobs.transfer_effects(meta, score(7), score(13), groups)["summary"], "own", "others")
+
+
+def _order_draws(spark, d):
+    return V._t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("unit_id"), F.col("l_linenumber").alias("sample"), F.col("l_returnflag").alias("action"), (F.col("l_quantity") >= 10).alias("valid"))
+
+
+def _order_pool(spark, d):
+    base = F.when(F.col("o_orderstatus") == "F", "R").when(F.col("o_orderstatus") == "O", "N").otherwise("A")
+    return V._t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("unit_id"), F.col("o_custkey").cast("string").alias("cluster_id"), F.lit(0).alias("seq"), base.alias("base_value"))
+
+
+ORDER_RANKS = "p AS (SELECT o_orderkey::VARCHAR unit_id, o_custkey::VARCHAR cluster_id FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY " + PRIORITY + ", unit_id) rn, count(*) OVER (PARTITION BY cluster_id) n FROM p)"
+
+
+@query(f"""WITH {ORDER_RANKS}, x AS (SELECT unit_id, cluster_id, count(*) calls, count(*) FILTER (l_quantity >= 10) ok FROM k JOIN lineitem ON l_orderkey::VARCHAR = unit_id WHERE rn <= 2 AND l_linenumber <= 3 GROUP BY 1, 2)
+ SELECT sum(ok)::BIGINT valid_draws, sum(calls)::BIGINT draws, count(*) FILTER (ok > 0) valid_units, count(*) units FROM x""")
+def q23_whole_chain(spark, d):
+    """Two orders a customer, the first three lines of each, and what of them is accepted."""
+    made = jobs.whole_chain(_order_pool(spark, d), _order_draws(spark, d), 3)["levels"]
+    return made.select("valid_draws", "draws", "valid_units", "units")
+
+
+@query(f"""WITH {ORDER_RANKS}, l AS (SELECT l_orderkey::VARCHAR unit_id, arg_min(l_returnflag, (l_linenumber, l_returnflag, l_quantity >= 10)) action, arg_min(l_quantity >= 10, (l_linenumber, l_returnflag, l_quantity >= 10)) valid FROM lineitem GROUP BY 1)
+ SELECT unit_id, cluster_id, round(1.0 / n, 6) incl_prob, action, coalesce(valid, false) valid FROM k LEFT JOIN l USING (unit_id) WHERE rn = 1""")
+def q26_one_shot(spark, d):
+    return R(jobs.one_shot(_order_pool(spark, d), _order_draws(spark, d))["records"], "incl_prob")
+
+
+@query("""WITH e AS (SELECT o_orderpriority arm, c_mktsegment task, (o_orderstatus = 'F')::INT won FROM orders JOIN customer ON c_custkey = o_custkey), x AS (SELECT arm, task, won FROM e UNION ALL SELECT arm, 'all', won FROM e) SELECT arm, task, count(*) games, sum(won)::BIGINT wins, round(avg(won), 6) rate FROM x GROUP BY 1, 2""")
+def q30_evaluation_summary(spark, d):
+    o = V._t(spark, d, "orders").join(V._t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    return R(jobs.evaluation_summary(o.select(F.col("o_orderpriority").alias("arm"), F.col("c_mktsegment").alias("task"), (F.col("o_orderstatus") == "F").alias("won")))["summary"], "rate")
