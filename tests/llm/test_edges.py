@@ -142,3 +142,33 @@ def test_toxicity_on_rows_held_out_of_the_fit(spark):
     got = toxicity.op7_toxicity(spark, str(folder)).join(labels, "doc_id").where("held_out").groupBy("truth", "predicted").count().collect()
     n = {(r["truth"], r["predicted"]): r["count"] for r in got}
     assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0)), n
+
+
+def test_hosts_paths_and_rules_against_sql(spark):
+    """The whole pages table, and odd URLs, judged by SQL over the same rules; the verdict of a ruled URL is its rule's."""
+    from pathlib import Path
+
+    import duckdb
+    import pyarrow as pa
+    from tests.llm.test_native import URLS
+
+    folder = Path("/root/testdata/sf0.01")
+    rows = [(-1 - k, u) for k, (u, _, _) in enumerate(URLS)]
+    rows += [(-100, "://x.COM/en/7"), (-101, "a://b://c.net/de/8"), (-102, "http://É.example.com/en/7?/en/"), (-103, "http:///en/"), (-104, "http://a.com#/en/"), (-105, "http://x\n.org/es/\ny")]
+    if folder.exists():
+        rows += [(r["page_id"], r["url"]) for r in spark.read.parquet(str(folder / "pages.parquet")).select("page_id", "url").collect()]
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+    )
+    sql = f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END rest FROM pages),
+     s AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path FROM r)
+     SELECT page_id, host, path, CASE {fits} END told FROM s"""
+    duck = duckdb.connect()
+    duck.register("pages", pa.table({"page_id": pa.array([k for k, _ in rows], pa.int64()), "url": pa.array([u for _, u in rows], pa.string())}))
+    want = {k: (host, path, told) for k, host, path, told in duck.execute(sql).fetchall()}
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        host, path, told = want[r["page_id"]]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, told and told.split("|")[1]), r
+        assert told is None or r["verdict"] == told.split("|")[0]
