@@ -71,7 +71,8 @@ class Chunk:
         n = len(ids) // 17
         raw = zstandard.ZstdDecompressor().decompress(row["vocabulary"]) if row.get("vocabulary") else b""
         return cls(
-            row["chunk_id"], ids[: 8 * n].view("<i8"), ids[8 * n : 16 * n].view("<i8"), ids[16 * n :].astype(bool), unbundle(row["doc_words"])[0], raw.split(b" ") if raw else [],
+            row["chunk_id"], ids[: 8 * n].view("<i8"), ids[8 * n : 16 * n].view("<i8"), ids[16 * n :].astype(bool), unbundle(row["doc_words"])[0],
+                raw.split(b" ") if raw else [],
             unbundle(row["words"])[0].astype(np.int32),
         )
 

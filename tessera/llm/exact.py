@@ -66,7 +66,8 @@ def recipes(made: DataFrame) -> DataFrame:
     wrong = met.groupBy("id").agg(F.count("*").alias("met")).join(table, "id").where("met <> n")
     if wrong.limit(1).count():
         raise ValueError("two chunks of different content share a SHA-256 digest; identifiers can't be trusted")
-    listed = met.groupBy("row").agg(F.min("size").alias("size"), F.sort_array(F.collect_list(F.struct("position", "id"))).alias("list")).where(F.size("list") == F.col("size"))
+    listed = met.groupBy("row").agg(F.min("size").alias("size"),
+        F.sort_array(F.collect_list(F.struct("position", "id"))).alias("list")).where(F.size("list") == F.col("size"))
     empty = made.where(F.size("pieces") == 0).select("row", F.array().cast("array<long>").alias("recipe"))
     out = durable(listed.select("row", F.col("list.id").alias("recipe")).unionByName(empty), "recipes")
     discard(table, met)

@@ -106,7 +106,8 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 keys.append(make.keys(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), *batch.columns[2:]], ["doc_id", "digest", "keys", *batch.schema.names[2:]]
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), *batch.columns[2:]],
+                    ["doc_id", "digest", "keys", *batch.schema.names[2:]]
             )
 
     carried = [PLACE] if PLACE in docs.columns else []
@@ -239,9 +240,11 @@ def contracted(edges: DataFrame, name: str = "stars") -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).select("u", "v", _salt("v"))
         least = _dealt(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = both.join(least, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().select("u", "v", _salt("v"))
+        large = both.join(least, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"),
+            F.col("m").alias("v")).where("u <> v").distinct().select("u", "v", _salt("v"))
         least = _dealt(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, ["u", "salt"]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select("e.*").where("v <> m")
+        small = large.join(least, ["u", "salt"]).select(F.explode(F.array(F.struct("v", "m"),
+            F.struct(F.col("u").alias("v"), "m"))).alias("e")).select("e.*").where("v <> m")
         last, now = now, durable(small.select(*two("v", "m")).distinct(), name)
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         discard(last)
@@ -263,8 +266,10 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     sets = durable(each.select("*", F.monotonically_increasing_id().alias("rep")), "sets")
 
     dealt = in_bands(sets, bands)
-    members = dealt.groupBy("band", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
-    buckets = members.groupBy("m", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    members = dealt.groupBy("band", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"),
+        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
+    buckets = members.groupBy("m", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key",
+        F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
     met = dealt.select("*", _salt("rep")).join(_dealt(buckets), ["band", "key", "salt"])
     met = met.select("rep", "band", "key", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -283,14 +288,17 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(grams, pa.binary())], [*batch.schema.names[1:], "grams"])
 
     visit = "struct<g:int,band:int,key:binary,block:int,i:int,j:int>"
-    sent = wanted.mapInArrow(with_sets, f"rep long, copies long, keys binary, visits array<{visit}>, grams binary").select("rep", "copies", "keys", "grams", F.explode("visits").alias("at")).select("rep", "copies", "keys", "grams", "at.*")
+    sent = wanted.mapInArrow(with_sets, f"rep long, copies long, keys binary, visits array<{visit}>, grams binary").select("rep", "copies", "keys",
+        "grams", F.explode("visits").alias("at")).select("rep", "copies", "keys", "grams", "at.*")
     verified = durable(sent.groupBy("g").applyInArrow(_links(bands, threshold), "u long, v long, links long"), "links")
 
     links = verified.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     now = contracted(verified.where("v is not null").select("u", "v"))
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    told = sets.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or links is not null or root is not null")
-    told = told.select("rep", "digest", F.coalesce("root", "rep").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", _salt("rep"))
+    told = sets.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep",
+        "left").where("copies > 1 or links is not null or root is not null")
+    told = told.select("rep", "digest", F.coalesce("root", "rep").alias("root"), "least",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", _salt("rep"))
     keepers = _dealt(told.groupBy("root").agg(F.min("least").alias("keeper")))
     told = _dealt(told.join(keepers, ["root", "salt"]).select("digest", "keeper", "n_links", "copies"))
     out = found.select("doc_id", "digest", PLACE, _salt(PLACE)).join(told, ["digest", "salt"], "left")

@@ -184,7 +184,8 @@ def pack(cut: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
         np.add.at(filled, where, c["length"][order])
         padded = np.where(filled & (filled - 1), window, filled)
         out = [ids.take(pa.array(order)), *(pa.array(c[n][order]) for n in names[1:])]
-        return pa.table([*out, pa.array(where * groups + key[0].as_py()), pa.array(offset), pa.array(padded[where])], [*names, "sequence_id", "offset", "padded_length"])
+        return pa.table([*out, pa.array(where * groups + key[0].as_py()), pa.array(offset), pa.array(padded[where])],
+            [*names, "sequence_id", "offset", "padded_length"])
 
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
     return cut.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(run, PIECES + ", sequence_id long, offset long, padded_length long")

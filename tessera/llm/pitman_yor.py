@@ -465,7 +465,8 @@ def _seat_root(numbers: Numbers, bits: int):
                 _, local, _ = unbundle(r["a"])
                 out.append((ROOT_CUSTOMERS, r["source"], group, bundle(*customers[:, local])))
         room = room_of(numbers.of(group, np.arange(size)), np.full(size, bits))
-        out.append((SUMS, -1, group, bundle(*(np.bincount(room, c, minlength=1 << bits).astype(np.int64) for c in customers), np.bincount(room[known], minlength=1 << bits))))
+        out.append((SUMS, -1, group, bundle(*(np.bincount(room, c, minlength=1 << bits).astype(np.int64) for c in customers),
+            np.bincount(room[known], minlength=1 << bits))))
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -553,12 +554,14 @@ def score(docs: DataFrame, folds: int = FOLDS, room: int = ROOM, groups: int | N
             begin = s.ends - chunk.doc_words - 1
             of_docs = lambda x: np.add.reduceat(x, begin) if len(begin) else x
             n = chunk.doc_words + 1
-            values = (s.held, n, of_docs((s.count > 0)[s.tokens].astype(np.int64)), np.full(len(n), train_tokens), of_docs(base[s.tokens]), of_docs(np.log10(np.maximum(p, 1e-300))[s.triple_of]))
+            values = (s.held, n, of_docs((s.count > 0)[s.tokens].astype(np.int64)), np.full(len(n), train_tokens), of_docs(base[s.tokens]),
+                of_docs(np.log10(np.maximum(p, 1e-300))[s.triple_of]))
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             made.append(pa.table([chunk.ids(), *(pa.array(v, t) for v, t in zip(values, kinds))], [x.split()[0] for x in RESULT.split(", ")]))
         return pa.concat_tables(made)
 
-    back = by_chunk.unionByName(seated.where(F.col("kind") == VALUES).unionByName(customers.where("dest >= 0")).select(F.col("dest").alias("chunk_id"), "kind", "source", "a"))
+    back = by_chunk.unionByName(seated.where(F.col("kind") == VALUES).unionByName(customers.where("dest >= 0")).select(F.col("dest").alias("chunk_id"),
+        "kind", "source", "a"))
     # A row a document, written, so that the tables it was made from can go.
     out = durable(plain.groupBy("chunk_id").cogroup(back.groupBy("chunk_id")).applyInArrow(finish, RESULT), "scores")
     discard(corpus, listed, seated, customers)

@@ -45,8 +45,10 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
     at = lambda i: F.get(hashes, i)
     n = F.size(words)
     windows = F.transform(F.slice(hashes, 1, n - (WINDOW - 1)), lambda h, i: F.xxhash64(h, *[at(i + k) for k in range(1, WINDOW)]))
-    ordered = F.array_sort(F.transform(F.slice(words, 1, n - (WINDOW - 1)), lambda _, i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
-    twice = let(ordered, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))
+    ordered = F.array_sort(F.transform(F.slice(words, 1, n - (WINDOW - 1)), lambda _,
+        i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
+    twice = let(ordered, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a,
+        b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))
     start = F.struct(F.lit(0).alias("covered"), F.lit(-WINDOW).alias("last"))
     step = lambda acc, p: F.struct((acc["covered"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("covered"), p.alias("last"))
     covered = F.aggregate(F.sort_array(F.array_distinct(F.flatten(twice))), start, step, lambda acc: acc["covered"])
@@ -69,7 +71,8 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         n.cast("long").alias("__n_words"),
         F.length(letters).cast("long").alias("__word_chars"),
         F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long").alias("__n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("__lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"),
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("__lines"),
         _repeat_words(words, F.col("__hashes")).alias("__n_repeat_words"),
         F.size(F.filter(words, lambda w: F.lower(F.translate(w, ".,;:!?", "")).isin(*STOP_WORDS))).cast("long").alias("__n_stop"),
         F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))).cast("long").alias("__n_upper"),
@@ -111,7 +114,8 @@ def verdicts(measured: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
         broken.append(F.when((m("n_words") >= from_words) & F.coalesce(out, F.lit(False)), F.lit(rule)))
     base = (m("n_words") < 10) | (100 * m("n_repeat_words") > 20 * m("n_words"))
     failed = F.array_compact(F.array(*broken))
-    return measured.select("*", base.alias("base_failed"), failed.alias("failed_rules")).select("*", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+    return measured.select("*", base.alias("base_failed"), failed.alias("failed_rules")).select("*",
+        (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

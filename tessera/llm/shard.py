@@ -53,7 +53,8 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
 
     def step(acc: Column, plane: Column) -> Column:
         corner = sum(((c.bitwiseAND(plane) != 0).cast("int") * (1 << k) for k, c in enumerate(cells)), F.lit(0))
-        return let(acc["state"] * (1 << dims) + corner, lambda at: F.struct(F.get(moves, at).alias("state"), (acc["index"] * (1 << dims) + F.get(digits, at)).alias("index")))
+        return let(acc["state"] * (1 << dims) + corner,
+            lambda at: F.struct(F.get(moves, at).alias("state"), (acc["index"] * (1 << dims) + F.get(digits, at)).alias("index")))
 
     start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("index"))
     return F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), start, step, lambda acc: acc["index"])
@@ -110,7 +111,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, dims=("lang", "source")) -> Da
     out = ranked(keyed, ["curve", "text_crc32", "doc_id"])
     n, r = F.col("n_rows"), F.col("rank")
     small, larger = F.floor(n / shards), n % shards
-    shard = F.when(r < larger * (small + 1), F.floor(r / (small + 1))).otherwise(larger + F.floor((r - larger * (small + 1)) / F.greatest(small, F.lit(1)))).cast("int")
+    shard = F.when(r < larger * (small + 1),
+        F.floor(r / (small + 1))).otherwise(larger + F.floor((r - larger * (small + 1)) / F.greatest(small, F.lit(1)))).cast("int")
     cut = out.select("*", shard.alias("shard"))
     first = F.when(F.col("shard") < larger, F.col("shard") * (small + 1)).otherwise(larger * (small + 1) + (F.col("shard") - larger) * small)
     return cut.select("*", (r - first).cast("long").alias("slot"))
@@ -119,7 +121,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, dims=("lang", "source")) -> Da
 def manifest(assigned: DataFrame, dims=("lang", "source")) -> DataFrame:
     """What a reader prunes by: each shard's rows, bytes and range of values in every dimension, and whether it has nulls."""
     ranges = [f(c).alias(f"{n}_{c}") for c in (*dims, "size") for n, f in (("min", F.min), ("max", F.max))]
-    return assigned.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ranges, *[F.max(F.col(d).isNull()).alias(f"null_{d}") for d in dims])
+    return assigned.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ranges,
+        *[F.max(F.col(d).isNull()).alias(f"null_{d}") for d in dims])
 
 
 def written(docs: DataFrame, path: str, shards: int = SHARDS, dims=("lang", "source")) -> DataFrame:
@@ -129,7 +132,8 @@ def written(docs: DataFrame, path: str, shards: int = SHARDS, dims=("lang", "sou
     at = assign(docs, shards, dims)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"), F.col(PLACE).alias("place"))
     rows = whole.join(at.select(F.col(PLACE).alias("own"), "shard", "slot"), F.col("place") == F.col("own"))
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select("whole.*", F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(f"{path}/shards")
+    rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select("whole.*",
+        F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(f"{path}/shards")
     manifest(at, dims).coalesce(1).write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.parquet(f"{path}/manifest")
 
@@ -144,4 +148,5 @@ def pruned(ranges: DataFrame, **wanted) -> DataFrame:
 
 def op6_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return assign(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return assign(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -134,7 +134,8 @@ class Windows:
         for group, places in _parts(self.group):
             i = self.order[places]
             # the count's lowest bit says whether two documents of this chunk have it
-            out.append((ANCHORS, group, self.chunk.chunk_id, len(i), self.values[i].astype("<u8").tobytes(), packed((2 * self.count[i] + self.several[i]).astype("<u4")), None))
+            out.append((ANCHORS, group, self.chunk.chunk_id, len(i), self.values[i].astype("<u8").tobytes(),
+                packed((2 * self.count[i] + self.several[i]).astype("<u4")), None))
         return _batch(out)
 
     def segments(self, replies: list[dict], shards: int) -> None:
@@ -177,7 +178,8 @@ class Windows:
         for group, places in _parts(self.seg_group):
             i = self.seg_order[places]
             words = self.words[_spans(self.seg_start[i], self.seg_words[i])]
-            out.append((SEGMENTS, group, self.chunk.chunk_id, len(i), packed(self.seg_words[i].astype("<u2")), words.astype("<u8").tobytes(), packed(self.smallest[i].astype("<i8"))))
+            out.append((SEGMENTS, group, self.chunk.chunk_id, len(i), packed(self.seg_words[i].astype("<u2")), words.astype("<u8").tobytes(),
+                packed(self.smallest[i].astype("<i8"))))
         return _batch(out)
 
     def removed(self, replies: list[dict]) -> np.ndarray:
@@ -314,7 +316,8 @@ def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT, only_cut: bo
         return pa.concat_tables(made)
 
     by_chunk = lambda df: df.withColumnRenamed("dest", "chunk_id").groupBy("chunk_id")
-    codes = durable(corpus.mapInArrow(send_anchors, MESSAGE).groupBy("dest").applyInArrow(lambda key, rows: _settle_anchors(key, rows, hot), MESSAGE), "anchors", "none")
+    codes = durable(corpus.mapInArrow(send_anchors, MESSAGE).groupBy("dest").applyInArrow(lambda key, rows: _settle_anchors(key, rows, hot), MESSAGE),
+        "anchors", "none")
     segments = corpus.groupBy("chunk_id").cogroup(by_chunk(codes)).applyInArrow(send_segments, MESSAGE)
     least = segments.groupBy("dest").applyInArrow(_search, MESSAGE)
     out = corpus.groupBy("chunk_id").cogroup(by_chunk(codes.unionByName(least))).applyInArrow(finish, result)

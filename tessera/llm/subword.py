@@ -97,7 +97,8 @@ class Merges:
         self.rank = np.array([order[p[1]] for p in pairs], np.int64)
         self.merged = np.array([p[2] for p in pairs], np.int64)
         self.byte = {int(n[3:5], 16): i for i, n in enumerate(names) if model.is_byte(i)}
-        self.text = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
+        self.text = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else n.replace(MARK, " ").encode() for i,
+            n in enumerate(names)]
         # open addressing: each key stands in the first free slot from its own on
         self.slot = np.full(self.SLOTS, -1, np.int32)
         self.slot_key = np.full(self.SLOTS, -1, np.int64)

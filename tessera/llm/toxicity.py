@@ -168,14 +168,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
                 for t in terms(text):
                     count.setdefault(t, [0, 0])[y] += 1
             if len(count) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *(pa.array([c[k] for c in count.values()], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()),
+                    *(pa.array([c[k] for c in count.values()], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
                 count = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *(pa.array([c[k] for c in count.values()], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()),
+            *(pa.array([c[k] for c in count.values()], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
 
     odds = F.log((F.col("toxic") + 0.1) / (toxic + 0.2)) - F.log((F.col("clean") + 0.1) / (clean + 0.2))
     least = max(3, min(8, toxic // 50))
-    counts = to_python(sample.select("text", "toxic")).mapInArrow(counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    good = counts.where((F.col("toxic") >= least) & (F.col("clean") <= F.when(F.col("term").endswith(" "), 0.25).otherwise(0.05) * F.col("toxic"))).select("term", "clean", "toxic", odds.alias("odds"))
+    counts = to_python(sample.select("text", "toxic")).mapInArrow(counted,
+        "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    good = counts.where((F.col("toxic") >= least) & (F.col("clean") <= F.when(F.col("term").endswith(" "),
+        0.25).otherwise(0.05) * F.col("toxic"))).select("term", "clean", "toxic", odds.alias("odds"))
     candidates = {r["term"]: float(r["odds"]) for r in good.collect()}
 
     # Greedy cover of the toxic texts, each by up to COVER entries. Copies of one text count once, so that its ordinary words
@@ -272,7 +276,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             found = [lexicon.measures(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([lexicon.score(t, d) for t, d, _ in found], pa.float64()), pa.array([t for t, _, _ in found], pa.float64()), pa.array([n for _, _, n in found], pa.int64())],
+                [batch.column(0), pa.array([lexicon.score(t, d) for t, d, _ in found], pa.float64()),
+                    pa.array([t for t, _, _ in found], pa.float64()), pa.array([n for _, _, n in found], pa.int64())],
                 ["doc_id", "score", "weight", "matches"],
             )
 
@@ -282,4 +287,5 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lexicon = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(docs, lexicon).select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "matches")
+    return score(docs, lexicon).select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "matches")
