@@ -44,7 +44,8 @@ def prompt_of(versions: dict[str, str], name: Column) -> Column:
 
 
 def first_message(task: Column, observation: Column, actions: Column) -> Column:
-    return F.concat(F.lit("Task:\n"), F.trim(task), F.lit("\n\nObservation:\n"), F.trim(observation), F.lit("\n\nAdmissible actions:\n"), admissible_block(actions))
+    return F.concat(F.lit("Task:\n"), F.trim(task), F.lit("\n\nObservation:\n"), F.trim(observation), F.lit("\n\nAdmissible actions:\n"),
+        admissible_block(actions))
 
 
 def turn_message(observation: Column, actions: Column) -> Column:
@@ -78,7 +79,8 @@ def normalised_draw(value: Column) -> Column:
     action = F.when(is_record, named).otherwise(F.nullif(F.trim(value), F.lit("")))
     said = F.coalesce(field("valid"), field("teacher_valid"))
     valid = action.isNotNull() & F.when(is_record, F.coalesce(said == "true", F.lit(True))).otherwise(True)
-    return F.struct(action.alias("action"), F.coalesce(valid, F.lit(False)).alias("valid"), F.when(is_record, F.coalesce(field("raw"), field("teacher_raw"))).alias("raw"))
+    return F.struct(action.alias("action"), F.coalesce(valid, F.lit(False)).alias("valid"),
+        F.when(is_record, F.coalesce(field("raw"), field("teacher_raw"))).alias("raw"))
 
 
 def vocabulary_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def cosine_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key:
     asked = left.select(left_key, "token", *within, F.col("n").alias("__n_left"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
     found = right.select(right_key, "token", *within, F.col("n").alias("__n_right"), F.pmod(F.xxhash64(right_key), F.lit(SALT)).cast("int").alias("__salt"))
     dots = asked.join(found, ["token", *within, "__salt"]).groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
-    return dots.join(norm(left, left_key), left_key).join(norm(right, right_key), right_key).select(left_key, right_key, (F.col("dot") / (F.col(f"{left_key}_norm") * F.col(f"{right_key}_norm"))).alias("cosine"))
+    return dots.join(norm(left, left_key), left_key).join(norm(right, right_key), right_key).select(left_key, right_key,
+        (F.col("dot") / (F.col(f"{left_key}_norm") * F.col(f"{right_key}_norm"))).alias("cosine"))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -83,14 +84,17 @@ def parse_action(response: Column, admissible: Column, unique_prefix: bool = Fal
         action = F.when((x["markers"] == 1) & (x["norm"] != ""), one)
         failure = (
             F.when(x["text"] == "", "empty_content").when(x["markers"] == 0, "missing_action_marker").when(x["markers"] > 1, "multiple_action_markers")
-            .when(x["norm"] == "", "empty_action").when(action.isNotNull(), None).when(F.size(hits) > 1, "ambiguous_normalized_action").otherwise("not_admissible")
+            .when(x["norm"] == "", "empty_action").when(action.isNotNull(), None).when(F.size(hits) > 1,
+                "ambiguous_normalized_action").otherwise("not_admissible")
         )
         known = x["markers"] == 1
-        return F.struct(F.when(known, x["candidate"]).otherwise("").alias("candidate"), F.when(known, x["norm"]).otherwise("").alias("normalized"), action.alias("action"), action.isNotNull().alias("valid"), (x["markers"] > 0).alias("had_marker"), failure.alias("failure"))
+        return F.struct(F.when(known, x["candidate"]).otherwise("").alias("candidate"), F.when(known, x["norm"]).otherwise("").alias("normalized"),
+            action.alias("action"), action.isNotNull().alias("valid"), (x["markers"] > 0).alias("had_marker"), failure.alias("failure"))
 
     def found(text: Column) -> Column:
         candidate = F.trim(F.regexp_extract(text, rf"{ACTION_MARKER}([^\r\n]*)", 1))
-        return _let(F.struct(text.alias("text"), F.regexp_count(text, F.lit(ACTION_MARKER)).alias("markers"), candidate.alias("candidate"), normalise_action(candidate).alias("norm"), allowed.alias("allowed")), judged)
+        return _let(F.struct(text.alias("text"), F.regexp_count(text, F.lit(ACTION_MARKER)).alias("markers"), candidate.alias("candidate"),
+            normalise_action(candidate).alias("norm"), allowed.alias("allowed")), judged)
 
     return _let(stripped, found)
 

@@ -57,10 +57,12 @@ def audit(records: DataFrame, own_prompt: str, other_prompt: str, first_message,
     full, full_roles = c("full_messages"), F.transform("full_messages", lambda m: m["role"])
     turns_fit = _equal(full_roles, _alternating(2 + 2 * c("seq")))
     current = F.when(c("seq") == 0, first_message(c("task"), c("observation"), c("actions"))).otherwise(turn_message(c("task"), c("observation"), c("actions")))
-    spoken = F.filter(F.slice(full, 3, F.greatest(F.size(full), F.lit(3))), lambda m, i: (i % 2 == 0) & ~F.coalesce(m["content"].startswith(ACTION_MARK) & (m["role"] == "assistant"), F.lit(False)))
+    spoken = F.filter(F.slice(full, 3, F.greatest(F.size(full), F.lit(3))), lambda m,
+        i: (i % 2 == 0) & ~F.coalesce(m["content"].startswith(ACTION_MARK) & (m["role"] == "assistant"), F.lit(False)))
     t = c("truncation")
     attested = t["kept_pairs"].isNotNull() & t["dropped_pairs"].isNotNull() & t["token_count"].isNotNull() & t["budget"].isNotNull()
-    tail = F.when(t["kept_pairs"] > 0, F.slice(full, F.greatest(F.size(full) - 2 * t["kept_pairs"] + 1, F.lit(1)), 2 * F.greatest(t["kept_pairs"], F.lit(1)))).otherwise(F.slice(full, 1, 0))
+    tail = F.when(t["kept_pairs"] > 0, F.slice(full, F.greatest(F.size(full) - 2 * t["kept_pairs"] + 1, F.lit(1)),
+        2 * F.greatest(t["kept_pairs"], F.lit(1)))).otherwise(F.slice(full, 1, 0))
     query = F.concat(F.slice(full, 1, 2), tail)
     fits = (t["kept_pairs"] >= 0) & (t["dropped_pairs"] >= 0) & (t["kept_pairs"] + t["dropped_pairs"] == c("seq")) & (t["token_count"] > 0) & (t["budget"] > 0)
     prompt = F.when(c("source") == "student", own_prompt).when(c("source") == "teacher", other_prompt)
@@ -77,7 +79,8 @@ def audit(records: DataFrame, own_prompt: str, other_prompt: str, first_message,
         times(lambda x: x["calls"] != 1),
         once(c("calls") != F.aggregate("draws", F.lit(0).cast("long"), lambda acc, x: acc + x["calls"])),
         once(whole & ~turns_fit),
-        once(whole & turns_fit & ~(_equal(F.try_element_at(full, F.lit(-1))["role"], F.lit("user")) & _equal(F.try_element_at(full, F.lit(-1))["content"], current))),
+        once(whole & turns_fit & ~(_equal(F.try_element_at(full, F.lit(-1))["role"],
+            F.lit("user")) & _equal(F.try_element_at(full, F.lit(-1))["content"], current))),
         once(whole & turns_fit & (F.size(spoken) > 0)),
         once(whole & turns_fit & ~attested),
         once(whole & turns_fit & attested & ~(fits & _equal(c("messages"), query))),
@@ -92,9 +95,11 @@ def audit(records: DataFrame, own_prompt: str, other_prompt: str, first_message,
         once(whole & ~_equal(note["prompt_sha"], F.sha2(F.lit(other_prompt), 256))),
         once(c("incl_prob").isNotNull() & ~((c("incl_prob") > 0) & (c("incl_prob") <= 1))),
     )
-    found = F.when(~ordered, F.array(F.struct(F.lit(ROLES).alias("code"), F.lit(1).alias("n")))).otherwise(F.array(*[F.struct(F.lit(code).alias("code"), n.alias("n")) for code, n in zip(CODES, counts)]))
+    found = F.when(~ordered, F.array(F.struct(F.lit(ROLES).alias("code"),
+        F.lit(1).alias("n")))).otherwise(F.array(*[F.struct(F.lit(code).alias("code"), n.alias("n")) for code, n in zip(CODES, counts)]))
     key = F.concat(c("cluster_id").cast("string"), F.lit("/t"), c("seq").cast("string"))
-    return records.select(key.alias("key"), F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select("x.code", "key", F.col("x.n").cast("long").alias("n"))
+    return records.select(key.alias("key"), F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select("x.code", "key",
+        F.col("x.n").cast("long").alias("n"))
 
 
 def flattened(configs: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
@@ -107,7 +112,8 @@ def flattened(configs: DataFrame, key: str, json: str, depth: int = 6) -> DataFr
         leaves = level.where(~F.coalesce(nested, F.lit(False)))
         out = leaves if out is None else out.unionByName(leaves)
         if left:
-            level = level.where(nested).select(key, F.col("path").alias("above"), F.explode(F.from_json("value", kind)).alias("name", "value")).select(key, F.concat_ws(".", "above", "name").alias("path"), "value")
+            level = level.where(nested).select(key, F.col("path").alias("above"),
+                F.explode(F.from_json("value", kind)).alias("name", "value")).select(key, F.concat_ws(".", "above", "name").alias("path"), "value")
     return out
 
 
@@ -129,7 +135,8 @@ def differences(configs: DataFrame, key: str, json: str, baseline: DataFrame, al
     want = _as_map(baseline, key, json, "want").select("want")
     both = with_values(_as_map(configs, key, json, "have"), want)
     paths = F.array_union(F.map_keys("have"), F.map_keys("want"))
-    told = both.select(key, F.explode(paths).alias("path"), "have", "want").select(key, "path", F.try_element_at("want", F.col("path")).alias("expected"), F.try_element_at("have", F.col("path")).alias("actual"))
+    told = both.select(key, F.explode(paths).alias("path"), "have", "want").select(key, "path",
+        F.try_element_at("want", F.col("path")).alias("expected"), F.try_element_at("have", F.col("path")).alias("actual"))
     return told.where(~F.col("expected").eqNullSafe(F.col("actual")) & ~allowed_path(F.col("path"), allowed))
 
 
@@ -138,7 +145,8 @@ def not_shared(configs: DataFrame, group: str, json: str, allowed: tuple[str, ..
     leaves = flattened(configs, group, json).where(~allowed_path(F.col("path"), allowed))
     members = configs.groupBy(group).agg(F.count("*").alias("members"))
     counted = leaves.groupBy(group, "path").agg(F.count_distinct("value").alias("n_values"), F.count("*").alias("n")).join(members, group)
-    return counted.where("n_values > 1 or n < members").select(group, "path", (F.col("n_values") + (F.col("n") < F.col("members")).cast("int")).alias("n_values"))
+    return counted.where("n_values > 1 or n < members").select(group, "path",
+        (F.col("n_values") + (F.col("n") < F.col("members")).cast("int")).alias("n_values"))
 
 
 def legal_sampling(mode: Column, temperature: Column, effort: Column, draws: Column) -> Column:

@@ -52,7 +52,8 @@ def mean_difference(spark, table: DataFrame, value: str, order: str, replicates:
     """estimate, lower, upper of a mean over clusters, floor-index quantiles."""
     sampled, _ = _joined(spark, table, order, replicates, seed)
     reps = sampled.groupBy("rep").agg(F.avg(value).alias("x"))
-    return with_values(table.agg(F.avg(value).alias("estimate")), reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper")))
+    return with_values(table.agg(F.avg(value).alias("estimate")),
+        reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper")))
 
 
 def ratio(spark, table: DataFrame, numerator: str, denominator: str, order: str, replicates: int, seed: int = 42, linear: bool = False) -> DataFrame:
@@ -63,7 +64,8 @@ def ratio(spark, table: DataFrame, numerator: str, denominator: str, order: str,
     """
     for times in (2, 6, MOST_REDRAWS):
         sampled, _ = _joined(spark, table, order, times * replicates, seed)
-        reps = sampled.groupBy("rep").agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b")).where("b > 0").orderBy("rep").limit(replicates).select((F.col("a") / F.col("b")).alias("x"))
+        reps = sampled.groupBy("rep").agg(F.sum(numerator).alias("a"),
+            F.sum(denominator).alias("b")).where("b > 0").orderBy("rep").limit(replicates).select((F.col("a") / F.col("b")).alias("x"))
         if reps.count() == replicates:
             break
     else:
@@ -73,7 +75,8 @@ def ratio(spark, table: DataFrame, numerator: str, denominator: str, order: str,
     return with_values(point, reps.agg(quantile(0.025).alias("lower"), quantile(0.975).alias("upper"), F.count("*").alias("kept")))
 
 
-def crossed(spark, panel: DataFrame, replicate_col: str, cluster: str, value: str, replicates: int, seed: int = 42, resample_replicates: bool = True) -> DataFrame:
+def crossed(spark, panel: DataFrame, replicate_col: str, cluster: str, value: str, replicates: int, seed: int = 42,
+    resample_replicates: bool = True) -> DataFrame:
     """Mean paired difference with an interval over two crossed factors.
 
     panel: a difference for every pair of factor levels. Clusters are drawn once in a replicate and serve all drawn
@@ -83,7 +86,9 @@ def crossed(spark, panel: DataFrame, replicate_col: str, cluster: str, value: st
     clusters, n = _numbered(panel.select(cluster).distinct(), cluster)
     coded = panel.join(levels.withColumnRenamed("cluster_no", "level_no"), replicate_col).join(clusters, cluster).select("level_no", "cluster_no", value)
     drawn = draws(spark, replicates, n, seed, "g").groupBy("rep", "cluster_no").agg(F.count("*").alias("wg"))
-    seeds = draws(spark, replicates, n_levels, seed, "s").withColumnRenamed("cluster_no", "level_no") if resample_replicates else spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1))).alias("level_no"))
+    seeds = draws(spark, replicates, n_levels, seed, "s").withColumnRenamed("cluster_no",
+        "level_no") if resample_replicates else spark.range(replicates).select(F.col("id").alias("rep"),
+            F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1))).alias("level_no"))
     seeds = seeds.groupBy("rep", "level_no").agg(F.count("*").alias("ws"))
     side = F.broadcast(coded) if n * n_levels <= MAX_CLUSTERS else coded
     sums = drawn.join(side, "cluster_no").groupBy("rep", "level_no").agg(F.sum(F.col("wg") * F.col(value)).alias("t"))
@@ -104,7 +109,8 @@ def paired_js(spark, reference: DataFrame, selected: DataFrame, value: str, repl
     coded = both.join(clusters, cluster)
     drawn = draws(spark, replicates, n, seed, "j").groupBy("rep", "cluster_no").agg(F.count("*").alias("w"))
     side = F.broadcast(coded) if n <= MAX_CLUSTERS // 10 else coded
-    masses = drawn.join(side, "cluster_no").groupBy("rep", value).agg((F.sum(F.col("w") * F.col("a")) / n).alias("a"), (F.sum(F.col("w") * F.col("b")) / n).alias("b"))
+    masses = drawn.join(side, "cluster_no").groupBy("rep", value).agg((F.sum(F.col("w") * F.col("a")) / n).alias("a"),
+        (F.sum(F.col("w") * F.col("b")) / n).alias("b"))
     reps = masses.groupBy("rep").agg(F.sum(js_terms(F.col("a"), F.col("b"))).alias("x"))
     point = both.groupBy(value).agg((F.sum("a") / n).alias("a"), (F.sum("b") / n).alias("b")).agg(F.sum(js_terms(F.col("a"), F.col("b"))).alias("estimate"))
     return with_values(point, reps.agg(floor_quantile("x", 0.025).alias("lower"), floor_quantile("x", 0.975).alias("upper")))

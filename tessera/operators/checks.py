@@ -30,32 +30,38 @@ def all_of(*tables: DataFrame) -> DataFrame:
 
 def unique(rows: DataFrame, *columns: str, code: str = "duplicate") -> DataFrame:
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(code).alias("code"), key.alias("key"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
+    return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(code).alias("code"), key.alias("key"),
+        F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
 
 
 def disjoint(a: DataFrame, b: DataFrame, column: str, code: str = "overlap") -> DataFrame:
-    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi").select(F.lit(code).alias("code"), F.col(column).cast("string").alias("key"), F.lit("on both sides").alias("detail"))
+    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi").select(F.lit(code).alias("code"),
+        F.col(column).cast("string").alias("key"), F.lit("on both sides").alias("detail"))
 
 
 def subset(small: DataFrame, large: DataFrame, column: str, code: str = "not_in_larger") -> DataFrame:
-    return small.select(column).distinct().join(large.select(column).distinct(), column, "left_anti").select(F.lit(code).alias("code"), F.col(column).cast("string").alias("key"), F.lit("only in the smaller").alias("detail"))
+    return small.select(column).distinct().join(large.select(column).distinct(), column, "left_anti").select(F.lit(code).alias("code"),
+        F.col(column).cast("string").alias("key"), F.lit("only in the smaller").alias("detail"))
 
 
 def same_rows(expected: DataFrame, actual: DataFrame, key: str, compared: dict[str, float | None]) -> DataFrame:
     """Violations of a one-to-one match on key; compared: columns with a tolerance, or None for equality."""
-    both = expected.select(key, *[F.col(c).alias(f"__e_{c}") for c in compared], F.lit(1).alias("__e")).join(actual.select(key, *[F.col(c).alias(f"__a_{c}") for c in compared], F.lit(1).alias("__a")), key, "full")
+    both = expected.select(key, *[F.col(c).alias(f"__e_{c}") for c in compared],
+        F.lit(1).alias("__e")).join(actual.select(key, *[F.col(c).alias(f"__a_{c}") for c in compared], F.lit(1).alias("__a")), key, "full")
     codes = [F.when(F.col("__a").isNull(), "missing").when(F.col("__e").isNull(), "unexpected")]
     present = F.col("__a").isNotNull() & F.col("__e").isNotNull()
     for c, tolerance in compared.items():
         e, a = F.col(f"__e_{c}"), F.col(f"__a_{c}")
         same = e.eqNullSafe(a) if tolerance is None else F.coalesce(F.abs(e - a) <= tolerance, e.isNull() & a.isNull())
         codes.append(F.when(present & ~same, f"different_{c}"))
-    return both.select(F.explode(F.array_compact(F.array(*codes))).alias("code"), F.col(key).cast("string").alias("key")).withColumn("detail", F.lit("against the derived rows"))
+    return both.select(F.explode(F.array_compact(F.array(*codes))).alias("code"), F.col(key).cast("string").alias("key")).withColumn("detail",
+        F.lit("against the derived rows"))
 
 
 def sums_to_one(rows: DataFrame, group: str, weight: str, tolerance: float = 1e-6) -> DataFrame:
     total = rows.groupBy(group).agg(F.sum(weight).alias("w"))
-    return total.where(F.abs(F.col("w") - 1) > tolerance).select(F.lit("weights_do_not_sum_to_1").alias("code"), F.col(group).cast("string").alias("key"), F.col("w").cast("string").alias("detail"))
+    return total.where(F.abs(F.col("w") - 1) > tolerance).select(F.lit("weights_do_not_sum_to_1").alias("code"),
+        F.col(group).cast("string").alias("key"), F.col("w").cast("string").alias("detail"))
 
 
 def config_difference(a: dict, b: dict, allowed: set[str] = frozenset(), at: str = "") -> list[str]:

@@ -49,13 +49,15 @@ def common_support(rows: DataFrame, group: str, cluster: str = "cluster_id") ->
 
 def balanced_indicator(rows: DataFrame, indicator: str, cluster: str = "cluster_id") -> DataFrame:
     """Mean of cluster means over rows that have the indicator; the others are counted as missing."""
-    per = rows.groupBy(cluster).agg(F.avg(F.col(indicator).cast("double")).alias("mean"), F.count(indicator).alias("observed"), F.count_if(F.col(indicator).isNull()).alias("missing"))
+    per = rows.groupBy(cluster).agg(F.avg(F.col(indicator).cast("double")).alias("mean"), F.count(indicator).alias("observed"),
+        F.count_if(F.col(indicator).isNull()).alias("missing"))
     return per.agg(F.avg("mean").alias("estimate"), F.count("mean").alias("clusters"), F.sum("observed").alias("observed"), F.sum("missing").alias("missing"))
 
 
 def balanced_ratio(rows: DataFrame, numerator: str, denominator: str, cluster: str = "cluster_id") -> DataFrame:
     """Sum of cluster means of one indicator over that of another; null where a value is missing or nothing conditions."""
-    per = rows.groupBy(cluster).agg(F.avg(F.col(numerator).cast("double")).alias("a"), F.avg(F.col(denominator).cast("double")).alias("b"), F.count("*").alias("n"), F.count_if(F.col(numerator).isNull() | F.col(denominator).isNull()).alias("gaps"))
+    per = rows.groupBy(cluster).agg(F.avg(F.col(numerator).cast("double")).alias("a"), F.avg(F.col(denominator).cast("double")).alias("b"),
+        F.count("*").alias("n"), F.count_if(F.col(numerator).isNull() | F.col(denominator).isNull()).alias("gaps"))
     total = per.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("clusters"), F.sum("n").alias("rows_used"), F.sum("gaps").alias("gaps"))
     return total.select(F.when((F.col("b") > 0) & (F.col("gaps") == 0), F.col("a") / F.col("b")).alias("estimate"), "clusters", "rows_used")
 
@@ -70,7 +72,8 @@ def cluster_totals(rows: DataFrame, population: DataFrame, values: dict[str, str
     bad = p.isNull() | ~((p > 0) & (p <= 1))
     for v in values.values():
         bad = bad | F.col(v).isNull()
-    sums = rows.groupBy(cluster).agg(*[F.sum(F.when(~bad, F.col(v).cast("double") / p)).alias(name) for name, v in values.items()], F.count("*").alias("n_rows"), F.count_if(bad).alias("n_bad"))
+    sums = rows.groupBy(cluster).agg(*[F.sum(F.when(~bad, F.col(v).cast("double") / p)).alias(name) for name, v in values.items()],
+        F.count("*").alias("n_rows"), F.count_if(bad).alias("n_bad"))
     joined = population.join(sums, cluster, "full")
     fault = F.coalesce("n_bad", F.lit(0)) + F.when(F.col("n_rows").isNull() | F.col("n_units").isNull() | (F.col("n_units") <= 0), 1).otherwise(0)
     return joined.select(cluster, *[(F.col(name) / F.col("n_units")).alias(name) for name in values], "n_rows", fault.alias("faults"))
@@ -99,11 +102,13 @@ def resolved_label(valid: Column, label: Column, known=("Skip", "Weak", "Strong"
 
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """2x2 counts of paired outcomes and the exact two-sided p of their discordant cells, at most 1."""
-    t = pairs.agg(*[F.count_if((F.col(a) == x) & (F.col(b) == y)).alias(n) for n, x, y in (("both", 1, 1), ("only_a", 1, 0), ("only_b", 0, 1), ("neither", 0, 0))])
+    t = pairs.agg(*[F.count_if((F.col(a) == x) & (F.col(b) == y)).alias(n) for n, x,
+        y in (("both", 1, 1), ("only_a", 1, 0), ("only_b", 0, 1), ("neither", 0, 0))])
     n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
     # binomial terms in logs: each is the one before times (n - i + 1) / i, so no factorial overflows
     logs = F.aggregate(F.sequence(F.lit(0), k), F.struct(F.lit(0.0).alias("log_term"), F.lit(0.0).alias("sum")), lambda acc, i: F.struct(
         F.when(i == 0, -n * F.log(F.lit(2.0))).otherwise(acc["log_term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))).alias("log_term"),
-        (acc["sum"] + F.exp(F.when(i == 0, -n * F.log(F.lit(2.0))).otherwise(acc["log_term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))))).alias("sum"),
+        (acc["sum"] + F.exp(F.when(i == 0,
+            -n * F.log(F.lit(2.0))).otherwise(acc["log_term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))))).alias("sum"),
     ), lambda acc: acc["sum"])
     return t.select("*", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * logs)).alias("p_value"))

@@ -28,7 +28,8 @@ def truncated(turns: DataFrame, cluster: str, seq: str, length: Column, budget:
     anchor = F.sum(F.when(F.col("is_anchor"), F.col("len")).otherwise(0)).over(w)
     newest = F.sum(F.when(F.col("is_anchor"), 0).otherwise(F.col("len"))).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = F.sum(F.when(F.col("is_last") & ~F.col("is_anchor"), F.col("len")).otherwise(0)).over(w)
-    return marked.withColumns({"used": anchor + newest, "overflow": anchor + last > budget}).withColumn("kept", F.col("is_anchor") | F.col("is_last") | (F.col("used") <= budget)).drop("is_anchor", "is_last", "used")
+    return marked.withColumns({"used": anchor + newest, "overflow": anchor + last > budget}).withColumn("kept",
+        F.col("is_anchor") | F.col("is_last") | (F.col("used") <= budget)).drop("is_anchor", "is_last", "used")
 
 
 def previous(turns: DataFrame, value: str, cluster: str, seq: str) -> DataFrame:

@@ -73,4 +73,5 @@ def bootstrap(rows: DataFrame, terms: dict[str, Column], outcome: Column, cluste
     reps = sums.mapInPandas(each, "rep long, coefficient string, x double")
     point = fit(rows, terms, outcome, cluster)
     estimates = spark.createDataFrame([(c, point[c]) for c in coefficients], "coefficient string, estimate double")
-    return reps.groupBy("coefficient").agg(F.percentile("x", F.lit(0.025)).alias("lower"), F.percentile("x", F.lit(0.975)).alias("upper"), F.count("*").alias("kept")).join(estimates, "coefficient")
+    return reps.groupBy("coefficient").agg(F.percentile("x", F.lit(0.025)).alias("lower"), F.percentile("x", F.lit(0.975)).alias("upper"),
+        F.count("*").alias("kept")).join(estimates, "coefficient")

@@ -21,7 +21,8 @@ def nested_selection(units: DataFrame, k: int, seed: int = 42, cluster: str = "c
     cut each partition to k rows before the shuffle.
     """
     size = units.groupBy(cluster).agg(F.count("*").alias("n_units"))
-    first = _ranked(units.withColumn("priority", priority(seed, F.col(cluster), F.col(unit))), [cluster], F.col("priority"), F.col(unit)).where(F.col("rn") <= k)
+    first = _ranked(units.withColumn("priority", priority(seed, F.col(cluster), F.col(unit))), [cluster], F.col("priority"),
+        F.col(unit)).where(F.col("rn") <= k)
     return first.join(size, cluster).withColumn("incl_prob", F.least(F.lit(k), F.col("n_units")) / F.col("n_units"))
 
 
@@ -74,7 +75,8 @@ def round_robin(df: DataFrame, limit: int, key: str, stratum: str, seed: int = 4
 def until_quota(attempts: DataFrame, quota: int, most: int, seq: str, success: str, stratum: str) -> DataFrame:
     """Attempts of a stratum while fewer than `quota` before them succeeded and fewer than `most` were made."""
     before = Window.partitionBy(stratum).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    seen = attempts.withColumn("solved_before", F.coalesce(F.sum(F.col(success).cast("long")).over(before), F.lit(0))).withColumn("tried_before", F.count("*").over(before))
+    seen = attempts.withColumn("solved_before", F.coalesce(F.sum(F.col(success).cast("long")).over(before), F.lit(0))).withColumn("tried_before",
+        F.count("*").over(before))
     return seen.where((F.col("solved_before") < quota) & (F.col("tried_before") < most))
 
 
@@ -90,6 +92,7 @@ def padded_shards(df: DataFrame, replicas: int, key: str) -> DataFrame:
     again = rows.where(F.col("place") < padding).select(key, (F.col("place") + n).alias("place"), F.lit(0.0).alias("multiplier"))
     if padding > n > 0:
         copies = F.explode(F.sequence(F.lit(0), F.lit(padding // n)))
-        again = rows.select(key, "place", copies.alias("c")).select(key, (F.col("place") + (F.col("c") + 1) * n).alias("place"), F.lit(0.0).alias("multiplier")).where(F.col("place") < n + padding)
+        again = rows.select(key, "place", copies.alias("c")).select(key, (F.col("place") + (F.col("c") + 1) * n).alias("place"),
+            F.lit(0.0).alias("multiplier")).where(F.col("place") < n + padding)
     every = rows.select(key, "place", F.lit(1.0).alias("multiplier")).unionByName(again)
     return every.select(key, (F.col("place") % replicas).cast("int").alias("rank"), F.floor(F.col("place") / replicas).cast("long").alias("slot"), "multiplier")

@@ -37,4 +37,5 @@ def alignment(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def frobenius_ratio(modules: DataFrame, a: str = "aat", b: str = "btb", base: str = "base_sq") -> DataFrame:
     """||BA|| / ||W|| over modules: the squared norm of a product is the inner product of AA' and B'B, here flat arrays."""
-    return modules.agg(F.sqrt(F.sum(dot(F.col(a), F.col(b)))).alias("update"), F.sqrt(F.sum(base)).alias("base")).select("update", "base", F.try_divide("update", "base").alias("ratio"))
+    return modules.agg(F.sqrt(F.sum(dot(F.col(a), F.col(b)))).alias("update"), F.sqrt(F.sum(base)).alias("base")).select("update", "base",
+        F.try_divide("update", "base").alias("ratio"))

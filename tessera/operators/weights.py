@@ -29,7 +29,8 @@ def training_rows(records: DataFrame, weighting: str = "game_state_mean") -> Dat
     else:
         raise ValueError(f"unknown weighting mode: {weighting}")
     rows = weighed.select("unit_id", "cluster_id", "base_value", "weight", F.posexplode("draws").alias("sample_index", "draw")).where("draw.valid")
-    return rows.select("unit_id", "cluster_id", "sample_index", F.col("draw.action").alias("action"), "base_value", (F.col("draw.action") != F.col("base_value")).alias("disagreement"), "weight")
+    return rows.select("unit_id", "cluster_id", "sample_index", F.col("draw.action").alias("action"), "base_value",
+        (F.col("draw.action") != F.col("base_value")).alias("disagreement"), "weight")
 
 
 def acceptance(records: DataFrame) -> DataFrame:
@@ -42,13 +43,15 @@ def acceptance(records: DataFrame) -> DataFrame:
             F.grouping("cluster_id").cast("int").alias("is_total"), F.count("*").alias("selected_units"), F.count_if(F.col("k") > 0).alias("valid_units"),
             F.sum("calls").cast("long").alias("calls"), F.sum("k").cast("long").alias("valid_draws"),
         )
-        .select("*", F.try_divide("valid_units", "selected_units").alias("unit_rate"), F.try_divide("valid_draws", "calls").alias("draw_rate"), (F.col("valid_units") > 0).alias("retained"))
+        .select("*", F.try_divide("valid_units", "selected_units").alias("unit_rate"), F.try_divide("valid_draws", "calls").alias("draw_rate"),
+            (F.col("valid_units") > 0).alias("retained"))
     )
 
 
 def unit_groups(rows: DataFrame) -> DataFrame:
     """A unit's training rows together; n_clusters above 1 is a violation."""
-    return rows.groupBy("unit_id").agg(F.count("*").alias("n_rows"), F.sum("weight").alias("weight"), F.min("cluster_id").alias("cluster_id"), F.count_distinct("cluster_id").alias("n_clusters"))
+    return rows.groupBy("unit_id").agg(F.count("*").alias("n_rows"), F.sum("weight").alias("weight"), F.min("cluster_id").alias("cluster_id"),
+        F.count_distinct("cluster_id").alias("n_clusters"))
 
 
 def cluster_share(rows: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -60,7 +63,8 @@ def distinct_levels(records: DataFrame) -> DataFrame:
     """Acceptance of draws, units and clusters."""
     per = records.select("unit_id", "cluster_id", n_valid(F.col("draws")).alias("k"), F.size("draws").alias("calls"))
     return per.agg(
-        F.sum("k").cast("long").alias("valid_draws"), F.sum("calls").cast("long").alias("draws"), F.count_if(F.col("k") > 0).alias("valid_units"), F.count("*").alias("units"),
+        F.sum("k").cast("long").alias("valid_draws"), F.sum("calls").cast("long").alias("draws"), F.count_if(F.col("k") > 0).alias("valid_units"),
+            F.count("*").alias("units"),
         F.count_distinct(F.when(F.col("k") > 0, F.col("cluster_id"))).alias("valid_clusters"), F.count_distinct("cluster_id").alias("clusters"),
     )
 
@@ -70,4 +74,5 @@ def weighted_loss(rows: DataFrame, losses: str, mask: str, weight: str) -> DataF
     n = F.aggregate(F.col(mask), F.lit(0.0), lambda a, m: a + m)
     s = F.aggregate(F.zip_with(losses, mask, lambda x, m: x * m), F.lit(0.0), lambda a, x: a + x)
     each = rows.select(F.try_divide(s, n).alias("loss"), F.col(weight).alias("w")).where("loss is not null")
-    return each.agg(F.sum(F.col("loss") * F.col("w")).alias("numerator"), F.sum("w").alias("denominator")).select("numerator", "denominator", F.try_divide("numerator", "denominator").alias("loss"))
+    return each.agg(F.sum(F.col("loss") * F.col("w")).alias("numerator"), F.sum("w").alias("denominator")).select("numerator", "denominator",
+        F.try_divide("numerator", "denominator").alias("loss"))

@@ -27,10 +27,12 @@ def select_units(pool: DataFrame, k: int = 3, policy: str = "nested", score: str
     C.enforce(C.all_of(C.unique(pool, "unit_id"), C.unique(pool, "cluster_id", "seq", code="duplicate_place")))
     if policy == "nested":
         chosen = sampling.nested_selection(pool, k, seed)
-        return {"selection": chosen.select("unit_id", "cluster_id", "seq", F.lit("uniform_nested").alias("policy"), "incl_prob", F.lit(None).cast("double").alias("score"))}
+        return {"selection": chosen.select("unit_id", "cluster_id", "seq", F.lit("uniform_nested").alias("policy"), "incl_prob",
+            F.lit(None).cast("double").alias("score"))}
     if policy == "top_score" and score:
         chosen = sampling.top_score(pool, k, score, "seq")
-        return {"selection": chosen.select("unit_id", "cluster_id", "seq", F.lit("top_score").alias("policy"), "incl_prob", F.col(score).cast("double").alias("score"))}
+        return {"selection": chosen.select("unit_id", "cluster_id", "seq", F.lit("top_score").alias("policy"), "incl_prob",
+            F.col(score).cast("double").alias("score"))}
     raise ValueError("policy is nested, or top_score with a score column")
 
 
@@ -53,7 +55,8 @@ def build_training(records: DataFrame, weighting: str = "game_state_mean", val_f
         C.enforce(C.sums_to_one(rows, "cluster_id", "weight"))
     split = sampling.cluster_split(rows.select("cluster_id").distinct(), val_fraction, "cluster_id", seed=seed).select("cluster_id", "is_validation")
     both = rows.join(split, "cluster_id")
-    return {"train": both.where("not is_validation").drop("is_validation"), "validation": both.where("is_validation").drop("is_validation"), "acceptance": weights.acceptance(records)}
+    return {"train": both.where("not is_validation").drop("is_validation"), "validation": both.where("is_validation").drop("is_validation"),
+        "acceptance": weights.acceptance(records)}
 
 
 def build_prompts(pool: DataFrame, selection: DataFrame, system_prompt: str, other_prompt: str | None = None) -> dict[str, DataFrame]:
@@ -64,7 +67,8 @@ def build_prompts(pool: DataFrame, selection: DataFrame, system_prompt: str, oth
     own = F.col("messages")[0]["content"] == system_prompt
     C.enforce(C.row_checks(joined, F.col("unit_id"), {"roles": arrays.roles_alternate(roles), "system_prompt": own}))
     other = arrays.replace_system(F.col("messages"), F.lit(other_prompt)) if other_prompt else F.col("messages")
-    return {"prompts": weights.cluster_share(joined).select("unit_id", "cluster_id", "seq", F.col("messages").alias("prompt"), other.alias("other_prompt"), F.col("share").alias("weight"))}
+    return {"prompts": weights.cluster_share(joined).select("unit_id", "cluster_id", "seq", F.col("messages").alias("prompt"),
+        other.alias("other_prompt"), F.col("share").alias("weight"))}
 
 
 def paired_interval(treatment: DataFrame, control: DataFrame, replicates: int = 50_000, seed: int = 42) -> dict[str, DataFrame]:
@@ -72,11 +76,13 @@ def paired_interval(treatment: DataFrame, control: DataFrame, replicates: int =
     keys = ["replicate_id", "cluster_id"]
     t, c = treatment.select(*keys, F.col("value").alias("t")), control.select(*keys, F.col("value").alias("c"))
     both = t.join(c, keys, "full")
-    C.enforce(C.all_of(C.unique(t, *keys), C.unique(c, *keys), C.row_checks(both, F.concat_ws("|", *keys), {"paired": F.col("t").isNotNull() & F.col("c").isNotNull()})))
+    C.enforce(C.all_of(C.unique(t, *keys), C.unique(c, *keys),
+        C.row_checks(both, F.concat_ws("|", *keys), {"paired": F.col("t").isNotNull() & F.col("c").isNotNull()})))
     n = both.agg(F.count_distinct("replicate_id").alias("r"), F.count_distinct("cluster_id").alias("c")).first()
     if n["c"] < 2:
         raise ValueError("at least two clusters are needed")
-    interval = bootstrap.crossed(treatment.sparkSession, both.select(*keys, (F.col("t") - F.col("c")).alias("x")), *keys, "x", replicates, seed, resample_replicates=n["r"] > 1)
+    interval = bootstrap.crossed(treatment.sparkSession, both.select(*keys, (F.col("t") - F.col("c")).alias("x")), *keys, "x", replicates, seed,
+        resample_replicates=n["r"] > 1)
     return {"interval": interval.withColumn("resampled_replicates", F.lit(n["r"] > 1)), "table": E.mcnemar(both, "t", "c")}
 
 
@@ -94,7 +100,8 @@ def representativeness(pool: DataFrame, selection: DataFrame, features: dict, re
     return {"report": C.all_of(*out)}
 
 
-def transfer_panel(pool: DataFrame, sources: DataFrame, selections: DataFrame, k: int = 10, least: int = 5, min_similarity: float = 0.0, text_weight: float = 0.5) -> dict[str, DataFrame]:
+def transfer_panel(pool: DataFrame, sources: DataFrame, selections: DataFrame, k: int = 10, least: int = 5, min_similarity: float = 0.0,
+    text_weight: float = 0.5) -> dict[str, DataFrame]:
     """Neighbours in other clusters, out of what no selection names, and the sources that have too few."""
     targets = pool.where("valid").join(selections.select("unit_id").distinct(), "unit_id", "left_anti")
     found, few = panel.neighbours(sources, targets, k, least, min_similarity, text_weight, X.STOP_WORDS)
@@ -117,7 +124,8 @@ def judged(memberships: DataFrame, population: DataFrame, replicates: int = 10_0
     out = {"observed": C.all_of(*observed), "designed": C.all_of(*designed)}
     if len(names) == 2:
         per = rows.groupBy("cluster_id").pivot("experiment", names).agg(F.avg("strong")).na.drop()
-        out["contrast"] = bootstrap.mean_difference(memberships.sparkSession, per.select("cluster_id", (F.col(names[1]) - F.col(names[0])).alias("z")), "z", "cluster_id", replicates, seed)
+        out["contrast"] = bootstrap.mean_difference(memberships.sparkSession,
+            per.select("cluster_id", (F.col(names[1]) - F.col(names[0])).alias("z")), "z", "cluster_id", replicates, seed)
     return out
 
 
@@ -127,10 +135,12 @@ def positions(replays: DataFrame, population: DataFrame, replicates: int = 10_00
     replays: unit_id, cluster_id, incl_prob, disagreement, consequence for each draw.
     """
     d, c = F.col("disagreement").cast("double"), F.col("consequence").cast("double")
-    units = replays.groupBy("unit_id", "cluster_id", "incl_prob").agg(F.avg(c).alias("consequence"), F.avg(d).alias("divergence"), F.avg(c * d).alias("divergent_consequence"), F.count("*").alias("draws"))
+    units = replays.groupBy("unit_id", "cluster_id", "incl_prob").agg(F.avg(c).alias("consequence"), F.avg(d).alias("divergence"),
+        F.avg(c * d).alias("divergent_consequence"), F.count("*").alias("draws"))
     totals = E.cluster_totals(units, population, {"c": "consequence", "d": "divergence", "cd": "divergent_consequence"})
     return {
-        "units": units, "observed": E.balanced_indicator(units, "consequence"), "designed": E.ht_mean(totals, "c"), "given_disagreement": E.ht_ratio(totals, "cd", "d"),
+        "units": units, "observed": E.balanced_indicator(units, "consequence"), "designed": E.ht_mean(totals, "c"),
+            "given_disagreement": E.ht_ratio(totals, "cd", "d"),
         "interval": bootstrap.ratio(replays.sparkSession, totals, "cd", "d", "cluster_id", replicates, seed, linear=True),
     }
 
@@ -145,7 +155,8 @@ def alignments(gradients: DataFrame, reference: DataFrame) -> dict[str, DataFram
     one = vectors.mean_vector(reference.select(F.lit(0).alias("all"), "vector"), ["all"], "vector").select(F.col("mean").alias("direction"))
     weight = gradients.groupBy("group", "unit_id").agg(F.sum("weight").alias("weight"))
     pairs = vectors.alignment(with_values(means, one), "unit_vector", "direction").join(weight, ["group", "unit_id"])
-    summary = pairs.groupBy("group").agg((F.sum(F.col("cosine") * F.col("weight")) / F.sum("weight")).alias("cosine"), F.avg((F.col("dot") < 0).cast("int")).alias("negative_share"), F.count("*").alias("units"))
+    summary = pairs.groupBy("group").agg((F.sum(F.col("cosine") * F.col("weight")) / F.sum("weight")).alias("cosine"),
+        F.avg((F.col("dot") < 0).cast("int")).alias("negative_share"), F.count("*").alias("units"))
     return {"units": pairs.select("group", "unit_id", "dot", "cosine", "weight"), "summary": summary}
 
 
@@ -158,7 +169,8 @@ def collection_quota(attempts: DataFrame, quota: int = 10, most: int = 100) -> d
 def demonstration(turns: DataFrame) -> dict[str, DataFrame]:
     """The shortest solved episode of each stratum, one without repeated actions if there is any."""
     marked = history.previous(turns, "action", "cluster_id", "seq")
-    episodes = marked.groupBy("cluster_id", "stratum").agg(F.max("repeat").alias("has_repeat"), F.count("*").alias("n"), F.max("solved").alias("solved")).where("solved")
+    episodes = marked.groupBy("cluster_id", "stratum").agg(F.max("repeat").alias("has_repeat"), F.count("*").alias("n"),
+        F.max("solved").alias("solved")).where("solved")
     best = episodes.groupBy("stratum").agg(F.min_by("cluster_id", F.struct("has_repeat", "n", "cluster_id")).alias("cluster_id"))
     return {"picked": turns.join(best, ["stratum", "cluster_id"], "left_semi")}
 
@@ -174,10 +186,12 @@ def collect_pool(turns: DataFrame, ledger: DataFrame, budget: int) -> dict[str,
 
     turns: unit_id, cluster_id, seq, observation; ledger: unit_id, status.
     """
-    kept = history.truncated(turns.select("cluster_id", "seq", "observation"), "cluster_id", "seq", F.length("observation"), budget).select("cluster_id", "seq", "kept", "overflow")
+    kept = history.truncated(turns.select("cluster_id", "seq", "observation"), "cluster_id", "seq", F.length("observation"),
+        budget).select("cluster_id", "seq", "kept", "overflow")
     pool = turns.join(kept, ["cluster_id", "seq"])
     said = ledger.where("status = 'ok'").select("unit_id")
-    return {"pool": pool, "violations": C.all_of(C.unique(pool, "unit_id"), C.subset(turns, said, "unit_id", "not_in_ledger"), C.subset(said, turns, "unit_id", "no_such_turn"))}
+    return {"pool": pool, "violations": C.all_of(C.unique(pool, "unit_id"), C.subset(turns, said, "unit_id", "not_in_ledger"),
+        C.subset(said, turns, "unit_id", "no_such_turn"))}
 
 
 def annotate(pool: DataFrame, selection: DataFrame, draws: DataFrame, calls: int) -> dict[str, DataFrame]:
@@ -198,7 +212,8 @@ def build_expert(turns: DataFrame, val_fraction: float = 0.25, seed: int = 42) -
     turns: unit_id, cluster_id, stratum, seq, role, valid, solved.
     """
     rows = weights.cluster_share(turns.where("solved and valid and role = 'assistant'"))
-    split = sampling.cluster_split(rows.select("cluster_id", "stratum").distinct(), val_fraction, "cluster_id", "stratum", seed=seed).select("cluster_id", "is_validation")
+    split = sampling.cluster_split(rows.select("cluster_id", "stratum").distinct(), val_fraction, "cluster_id", "stratum",
+        seed=seed).select("cluster_id", "is_validation")
     return {"rows": rows.join(split, "cluster_id")}
 
 
@@ -207,10 +222,12 @@ def aggregate_evaluations(results: DataFrame, tolerance: float = 1e-12) -> dict[
 
     results: replicate_id, cluster_id, value, reported.
     """
-    per = results.groupBy("replicate_id").agg(F.avg("value").alias("rate"), F.max("reported").alias("reported"), F.count("*").alias("n"), F.count_distinct("cluster_id").alias("clusters"), F.count_if(~F.col("value").isin(0, 1)).alias("odd"))
+    per = results.groupBy("replicate_id").agg(F.avg("value").alias("rate"), F.max("reported").alias("reported"), F.count("*").alias("n"),
+        F.count_distinct("cluster_id").alias("clusters"), F.count_if(~F.col("value").isin(0, 1)).alias("odd"))
     all_clusters = results.select("cluster_id").distinct().agg(F.count("*").alias("all_clusters"))
     told = with_values(per, all_clusters)
-    ok = {"repeated_cluster": F.col("n") == F.col("clusters"), "missing_cluster": F.col("clusters") == F.col("all_clusters"), "not_binary": F.col("odd") == 0, "wrong_rate": F.abs(F.col("rate") - F.col("reported")) <= tolerance}
+    ok = {"repeated_cluster": F.col("n") == F.col("clusters"), "missing_cluster": F.col("clusters") == F.col("all_clusters"),
+        "not_binary": F.col("odd") == 0, "wrong_rate": F.abs(F.col("rate") - F.col("reported")) <= tolerance}
     return {"bundle": results.select("replicate_id", "cluster_id", "value"), "violations": C.row_checks(told, F.col("replicate_id"), ok)}
 
 
@@ -225,12 +242,14 @@ def measure_gap(turns: DataFrame, limit: int) -> dict[str, DataFrame]:
     """Saturated gaps of turns taken in turn from each stratum: turns: unit_id, stratum, seed-ordered; log_ratio."""
     chosen = sampling.round_robin(turns, limit, "unit_id", "stratum")
     gap = chosen.withColumn("gap", arrays.saturated_gap(F.col("log_ratio")))
-    return {"summary": gap.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.sqrt(F.avg(F.col("log_ratio") * F.col("log_ratio"))).alias("rms"))}
+    return {"summary": gap.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"),
+        F.sqrt(F.avg(F.col("log_ratio") * F.col("log_ratio"))).alias("rms"))}
 
 
 def training_curves(lines: DataFrame, width: int = 5, n: int = 10) -> dict[str, DataFrame]:
     """Log lines (series, value) as smoothed losses, and each series' change from its head to its tail."""
-    parsed = lines.select("series", F.regexp_extract("value", r"step:(\d+)", 1).cast("long").alias("step"), F.expr(r"try_cast(regexp_extract(value, 'loss:([-+0-9.eE]+)', 1) as double)").alias("loss"))
+    parsed = lines.select("series", F.regexp_extract("value", r"step:(\d+)", 1).cast("long").alias("step"),
+        F.expr(r"try_cast(regexp_extract(value, 'loss:([-+0-9.eE]+)', 1) as double)").alias("loss"))
     points = parsed.groupBy("series", "step").agg(F.avg("loss").alias("loss"))
     return {"curves": history.moving_average(points, "loss", "step", width, "series"), "summary": history.head_tail_change(points, "loss", "step", n, "series")}
 
@@ -249,7 +268,8 @@ def prevalidate(turns: DataFrame, least: float = 0.05) -> dict[str, DataFrame]:
     first = history.first_where(turns, F.col("differs"), "cluster_id", "seq")
     gap = F.col("after") - F.col("before")
     net = F.avg(gap)
-    return {"summary": first.agg(F.count("*").alias("clusters"), F.count_if(gap > 0).alias("improved"), F.count_if(gap < 0).alias("worsened"), net.alias("net"), F.when(net >= least, "worthwhile").otherwise("not_shown").alias("verdict"))}
+    return {"summary": first.agg(F.count("*").alias("clusters"), F.count_if(gap > 0).alias("improved"), F.count_if(gap < 0).alias("worsened"),
+        net.alias("net"), F.when(net >= least, "worthwhile").otherwise("not_shown").alias("verdict"))}
 
 
 def transfer_effects(metadata: DataFrame, base: DataFrame, updated: DataFrame, groups: DataFrame) -> dict[str, DataFrame]:
@@ -269,7 +289,8 @@ def whole_chain(pool: DataFrame, draws: DataFrame, calls: int, k: int = 2, seed:
     """
     chosen = sampling.nested_selection(pool, k, seed).select("unit_id", "cluster_id", "base_value")
     made = draws.where(F.col("sample") <= calls).groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("sample", "action", "valid"))).alias("d"))
-    found = chosen.join(made, "unit_id").select("unit_id", "cluster_id", "base_value", F.transform("d", lambda x: F.struct(x["action"].alias("action"), x["valid"].alias("valid"))).alias("draws"))
+    found = chosen.join(made, "unit_id").select("unit_id", "cluster_id", "base_value",
+        F.transform("d", lambda x: F.struct(x["action"].alias("action"), x["valid"].alias("valid"))).alias("draws"))
     return {"records": found, "levels": weights.distinct_levels(found), "rows": weights.training_rows(found)}
 
 
@@ -277,16 +298,19 @@ def one_shot(pool: DataFrame, draws: DataFrame, seed: int = 42) -> dict[str, Dat
     """One unit a cluster, drawn uniformly, with the first of its draws, valid or not, or none."""
     first = draws.groupBy("unit_id").agg(F.min(F.struct("sample", "action", "valid")).alias("d"))
     chosen = sampling.nested_selection(pool, 1, seed).select("unit_id", "cluster_id", "incl_prob")
-    return {"records": chosen.join(first, "unit_id", "left").select("unit_id", "cluster_id", "incl_prob", "d.action", F.coalesce("d.valid", F.lit(False)).alias("valid"))}
+    return {"records": chosen.join(first, "unit_id", "left").select("unit_id", "cluster_id", "incl_prob", "d.action",
+        F.coalesce("d.valid", F.lit(False)).alias("valid"))}
 
 
 def evaluation_summary(episodes: DataFrame) -> dict[str, DataFrame]:
     """Episodes (arm, task, won) as wins of games by task and arm, with each arm's total."""
     counted = episodes.cube("arm", "task").agg(F.count("*").alias("games"), F.sum(F.col("won").cast("int")).alias("wins"), F.grouping_id().alias("level"))
-    return {"summary": counted.where("level < 2").select("arm", F.when(F.col("level") == 1, "all").otherwise(F.col("task")).alias("task"), "games", "wins", (F.col("wins") / F.col("games")).alias("rate"))}
+    return {"summary": counted.where("level < 2").select("arm", F.when(F.col("level") == 1, "all").otherwise(F.col("task")).alias("task"), "games",
+        "wins", (F.col("wins") / F.col("games")).alias("rate"))}
 
 
-def verify_stages(units: DataFrame, selection: DataFrame, records_: DataFrame, ledger: DataFrame, rows: DataFrame, training: DataFrame, evaluation: DataFrame) -> DataFrame:
+def verify_stages(units: DataFrame, selection: DataFrame, records_: DataFrame, ledger: DataFrame, rows: DataFrame, training: DataFrame,
+    evaluation: DataFrame) -> DataFrame:
     """stage, status, n of six stages: PENDING without rows, else PASS or FAIL.
 
     units: unit_id, actions; selection: unit_id, policy, incl_prob; records_: unit_id, calls; ledger: request_id, hash; rows:
@@ -313,6 +337,7 @@ def verify_stages(units: DataFrame, selection: DataFrame, records_: DataFrame, l
 
 
 JOBS = {f.__name__: f for f in (
-    freeze_clusters, select_units, build_training, build_prompts, paired_interval, transfer_panel, judged, positions, alignments, collection_quota, demonstration,
+    freeze_clusters, select_units, build_training, build_prompts, paired_interval, transfer_panel, judged, positions, alignments, collection_quota,
+        demonstration,
     score_units, collect_pool, annotate, build_expert, aggregate_evaluations, measure_gap, training_curves, baseline_audit, prevalidate,
     transfer_effects, whole_chain, one_shot, evaluation_summary)}

@@ -18,11 +18,13 @@ def s1_jsonl_scan(spark, d):
     return records.read_table(spark, path, files.JSON_DOCUMENT).select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-@query("""SELECT sha256('{"brand":"' || p_brand || '","key":' || p_partkey || ',"name":"' || p_name || '","size":' || CASE WHEN p_size > 25 THEN p_size::VARCHAR ELSE 'null' END || '}') line_sha256 FROM part""")
+@query("""SELECT sha256('{"brand":"' || p_brand || '","key":' || p_partkey || ',"name":"' || p_name || '","size":' || CASE WHEN p_size > 25 THEN p_size::VARCHAR ELSE 'null' END || '}') line_sha256
+ FROM part""")
 def s2_jsonl_sink(spark, d):
     """Lines as they stand in the file: keys in order, nulls written."""
     path = files.scratch(spark, "parts") + ".jsonl"
-    rows = V._t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("size"))
+    rows = V._t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"),
+        F.when(F.col("p_size") > 25, F.col("p_size")).alias("size"))
     records.write_table(rows, path)
     return spark.read.text(path).select(F.sha2("value", 256).alias("line_sha256"))
 
@@ -35,7 +37,8 @@ def s3_sink_by_suffix(spark, d):
     for kind in ("parquet", "jsonl"):
         path = f"{files.scratch(spark, 'sink')}.{kind}"
         records.write_table(docs, path)
-        out.append(records.read_table(spark, path, files.JSON_DOCUMENT).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).select(F.lit(kind).alias("kind"), "n", "ids"))
+        out.append(records.read_table(spark, path, files.JSON_DOCUMENT).agg(F.count("*").alias("n"),
+            F.sum("doc_id").alias("ids")).select(F.lit(kind).alias("kind"), "n", "ids"))
     return out[0].unionByName(out[1])
 
 
@@ -62,7 +65,8 @@ def s8_verified_scan(spark, d):
     return records.verified(records.read_table(spark, path), "hash", F.sha2("props", 256)).select("event_id", "hash")
 
 
-@query("SELECT n_name, 'data.region' path, n_regionkey::VARCHAR \"value\" FROM nation UNION ALL SELECT n_name, 'name', n_name FROM nation UNION ALL SELECT n_name, 'data.steps', '[1,2]' FROM nation")
+@query("SELECT n_name, 'data.region' path, n_regionkey::VARCHAR \"value\" FROM nation UNION ALL SELECT n_name, 'name', n_name FROM nation UNION ALL "
+    "SELECT n_name, 'data.steps', '[1,2]' FROM nation")
 def s10_configurations(spark, d):
     """Nations as configuration files, a file each, as dotted paths."""
     from tessera.operators.audit import flattened
@@ -75,10 +79,13 @@ def s10_configurations(spark, d):
 
 
 @query("""WITH f AS (SELECT p_partkey k, '/data/' || replace(p_type, ' ', '_') || '-' || p_brand || '/trial_' || p_size || CASE WHEN p_partkey % 5 = 0 THEN '/sub' ELSE '' END || '/game.' || CASE WHEN p_partkey % 2 = 0 THEN 'z8' ELSE 'json' END path FROM part)
- SELECT regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 1) task, regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 2) trial, path FROM f WHERE NOT contains(regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 1), 'STEEL') AND NOT contains(regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 1), 'Brand#1')""")
+ SELECT regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 1) task, regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 2) trial, path FROM f
+ WHERE NOT contains(regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 1), 'STEEL') AND NOT contains(regexp_extract(path, '([^/]+)/([^/]+)/game[.][^/.]+$', 1), 'Brand#1')""")
 def s11_episode_listing(spark, d):
     p = V._t(spark, d, "part")
-    path = F.concat(F.lit("/data/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("-"), "p_brand", F.lit("/trial_"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 5 == 0, "/sub").otherwise(""), F.lit("/game."), F.when(F.col("p_partkey") % 2 == 0, "z8").otherwise("json"))
+    path = F.concat(F.lit("/data/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("-"), "p_brand", F.lit("/trial_"),
+        F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 5 == 0, "/sub").otherwise(""), F.lit("/game."),
+            F.when(F.col("p_partkey") % 2 == 0, "z8").otherwise("json"))
     return files.episodes(p.select(path.alias("path")), skipped=("STEEL", "Brand#1"))
 
 
@@ -86,7 +93,8 @@ def s11_episode_listing(spark, d):
 def s13_ledger_sink(spark, d):
     """Requests in three batches, appended one after another, errors too."""
     path = files.scratch(spark, "ledger")
-    rows = V._t(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("status"), (F.col("event_id") % 3).cast("int").alias("batch"))
+    rows = V._t(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("status"),
+        (F.col("event_id") % 3).cast("int").alias("batch"))
     for k in range(3):
         files.append_ledger(rows.where(F.col("batch") == k), path)
     return spark.read.schema(rows.schema).parquet(path).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("batch") == 2).alias("last_batch"))
@@ -101,12 +109,15 @@ def s14_commit(spark, d):
 
 @query("SELECT DISTINCT o_custkey cluster_id, 'train' split FROM orders WHERE o_custkey % 10 <> 0")
 def s19_cached_list(spark, d):
-    make = lambda: V._t(spark, d, "orders").where("o_custkey % 10 <> 0").select(F.col("o_custkey").alias("cluster_id"), F.lit("train").alias("split")).distinct()
+    make = lambda: V._t(spark, d, "orders").where("o_custkey % 10 <> 0").select(F.col("o_custkey").alias("cluster_id"),
+        F.lit("train").alias("split")).distinct()
     files.cached_list(make, d, "train", spark)
     return files.cached_list(make, d, "train", spark)
 
 
-@query("""WITH f AS (SELECT 'k=' || n_nationkey n, n_name || chr(10) c FROM nation) SELECT count(*) files, sum(length(c))::BIGINT bytes, sha256(string_agg(n || chr(0) || length(c) || chr(0) || sha256(c) || chr(10), '' ORDER BY n)) digest FROM f""")
+@query("""WITH f AS (SELECT 'k=' || n_nationkey n, n_name || chr(10) c FROM nation)
+ SELECT count(*) files, sum(length(c))::BIGINT bytes, sha256(string_agg(n || chr(0) || length(c) || chr(0) || sha256(c) || chr(10), ''
+ ORDER BY n)) digest FROM f""")
 def p3_tree_fingerprint(spark, d):
     """A folder with a file for each nation: relative names, sizes and content hashes, folded in order."""
     path = files.scratch(spark, "tree")
@@ -115,7 +126,8 @@ def p3_tree_fingerprint(spark, d):
     return facts.agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).withColumn("digest", F.lit(files.folded(facts)))
 
 
-@query("""WITH l AS (SELECT s_suppkey k, '{"k":' || s_suppkey || ',"nation":' || s_nationkey || '}' || chr(10) l FROM supplier) SELECT count(*) lines, sum(length(l))::BIGINT bytes, sha256(string_agg(l, '' ORDER BY k)) digest FROM l""")
+@query("""WITH l AS (SELECT s_suppkey k, '{"k":' || s_suppkey || ',"nation":' || s_nationkey || '}' || chr(10) l FROM supplier)
+ SELECT count(*) lines, sum(length(l))::BIGINT bytes, sha256(string_agg(l, '' ORDER BY k)) digest FROM l""")
 def p26_canonical_digest(spark, d):
     rows = V._t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))
     lines, size, digest = files.digest_of_lines(rows, ["k"])
@@ -125,7 +137,8 @@ def p26_canonical_digest(spark, d):
 HEAD, FORM = "chr(10) || 'Here are examples:' || chr(10)", "chr(10) || 'Respond with exactly the next action on a single line, in the form ''Action: <command>''.' || chr(10)"
 
 
-@query(f"""SELECT r_name, sha256('Act.' || {HEAD} || (SELECT string_agg(n_name || chr(10), '' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey) || {FORM}) prompt_sha256 FROM region""")
+@query(f"""SELECT r_name, sha256('Act.' || {HEAD} || (SELECT string_agg(n_name || chr(10), '' ORDER BY n_name) FROM nation
+ WHERE n_regionkey = r_regionkey) || {FORM}) prompt_sha256 FROM region""")
 def p11_reference_prompt(spark, d):
     """A prompt for each region with its nations as worked examples."""
     n = V._t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list("n_name")).alias("examples"))
@@ -137,10 +150,14 @@ def p11_reference_prompt(spark, d):
 @query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Be brief.' WHEN 1 THEN 'Be exact.' END prompt FROM part")
 def p12_prompt_version(spark, d):
     """Prompts by the name of their version; an unknown name has none."""
-    return V._t(spark, d, "part").select("p_partkey", P.prompt_of({"v0": "Be brief.", "v1": "Be exact."}, F.concat(F.lit("v"), (F.col("p_size") % 3).cast("string"))).alias("prompt"))
+    return V._t(spark, d, "part").select("p_partkey",
+        P.prompt_of({"v0": "Be brief.", "v1": "Be exact."}, F.concat(F.lit("v"), (F.col("p_size") % 3).cast("string"))).alias("prompt"))
 
 
-@query("""WITH a AS (SELECT o_custkey k, o_orderstatus s FROM orders), b AS (SELECT o_custkey k, CASE WHEN o_totalprice > 150000 THEN 'F' ELSE o_orderstatus END s FROM orders) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) extra""")
+@query("""WITH a AS (SELECT o_custkey k, o_orderstatus s FROM orders),
+ b AS (SELECT o_custkey k, CASE WHEN o_totalprice > 150000 THEN 'F' ELSE o_orderstatus END s FROM orders)
+ SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) missing, (SELECT count(*)
+ FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) extra""")
 def u6_set_equality(spark, d):
     """Two tables as sets with repeats: what each lacks of the other, nothing where they are equal."""
     from tessera.operators.single import with_values

@@ -44,7 +44,8 @@ def configs(spark: SparkSession, path: str) -> DataFrame:
 def episodes(files: DataFrame, path: str = "path", skipped: Iterable[str] = (), name: str = "game") -> DataFrame:
     """task, trial, path of a listing's episode files, `<task>/<trial>/<name>.<suffix>`, without tasks whose name holds a
     skipped word; folders at other levels aren't episodes."""
-    found = files.select(F.col(path).alias("path"), F.regexp_extract(path, rf"([^/]+)/([^/]+)/{name}\.[^/.]+$", 1).alias("task"), F.regexp_extract(path, rf"([^/]+)/([^/]+)/{name}\.[^/.]+$", 2).alias("trial"))
+    found = files.select(F.col(path).alias("path"), F.regexp_extract(path, rf"([^/]+)/([^/]+)/{name}\.[^/.]+$", 1).alias("task"),
+        F.regexp_extract(path, rf"([^/]+)/([^/]+)/{name}\.[^/.]+$", 2).alias("trial"))
     keep = F.col("task") != ""
     for word in skipped:
         keep = keep & ~F.contains(F.col("task"), F.lit(word))
@@ -97,7 +98,8 @@ def folded(facts: DataFrame) -> str:
     return out.hexdigest()
 
 
-def code_fingerprint(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".py", ".sh", ".yaml", ".toml"), skipped: tuple[str, ...] = ("__pycache__", ".git")) -> str:
+def code_fingerprint(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".py", ".sh", ".yaml", ".toml"),
+    skipped: tuple[str, ...] = ("__pycache__", ".git")) -> str:
     """Of a code tree's source files, by their paths below it."""
     root = path.rstrip("/").removeprefix("file:")
     below = F.regexp_extract("path", rf"{root}/(.*)$", 1)

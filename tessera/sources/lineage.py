@@ -27,7 +27,8 @@ def tree_fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> str:
 
 def table_digest(df: DataFrame) -> dict:
     """Row count and an order-free digest of a table, one aggregate."""
-    row = df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("xor"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("sum")).first()
+    row = df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("xor"),
+        F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("sum")).first()
     return {"rows": row["rows"], "xor": row["xor"], "sum": str(row["sum"])}
 
 

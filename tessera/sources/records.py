@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 UNIT = T.StructType([
-    T.StructField("unit_id", T.StringType()), T.StructField("cluster_id", T.StringType()), T.StructField("stratum", T.StringType()), T.StructField("seq", T.IntegerType()),
+    T.StructField("unit_id", T.StringType()), T.StructField("cluster_id", T.StringType()), T.StructField("stratum", T.StringType()),
+        T.StructField("seq", T.IntegerType()),
     T.StructField("observation", T.StringType()), T.StructField("actions", T.ArrayType(T.StringType())), T.StructField("messages", T.ArrayType(MESSAGE)),
 ])
 DRAW = T.StructType([T.StructField("action", T.StringType()), T.StructField("valid", T.BooleanType())])
@@ -61,5 +62,6 @@ def verified(df: DataFrame, recorded: str, recomputed) -> DataFrame:
 def training_log(lines: DataFrame, metrics: list[str]) -> DataFrame:
     """step and metrics of log lines like `step:12 - loss:0.5 - ...`; lines without a step are left out."""
     number = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
-    found = lines.select(F.regexp_extract("value", r"step:(\d+) - ", 1).alias("step"), *[F.regexp_extract("value", rf"(?:^|[\s-]){m}:{number}", 1).alias(m) for m in metrics])
+    found = lines.select(F.regexp_extract("value", r"step:(\d+) - ", 1).alias("step"),
+        *[F.regexp_extract("value", rf"(?:^|[\s-]){m}:{number}", 1).alias(m) for m in metrics])
     return found.where("step <> ''").select(F.col("step").cast("long").alias("step"), *[F.expr(f"try_cast(`{m}` as double)").alias(m) for m in metrics])
