@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.bytebpe import op12_trie_bpe
 from tessera.llm.exact import op8_exact_dedup
 from tessera.llm.ngram_join import op2_ngram_join
 from tessera.llm.packing import op5_packing
@@ -12,6 +13,7 @@ from tessera.llm.substring import op3_substring_dedup
 from tessera.llm.subword import op4_subword_dropout
 from tessera.llm.toxicity import op7_toxicity
 from tessera.llm.urlfilter import op9_url_filter
+from tessera.llm.whitening import op11_whitening
 
 
 def queries() -> dict:
@@ -26,6 +28,8 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "op11_whitening": op11_whitening,
+        "op12_trie_bpe": op12_trie_bpe,
     }
 
 
