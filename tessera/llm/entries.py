@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.bytebpe import op12_trie_bpe
 from tessera.llm.exact import op8_exact_dedup
+from tessera.llm.negatives import op13_hard_negatives
 from tessera.llm.ngram_join import op2_ngram_join
 from tessera.llm.packing import op5_packing
 from tessera.llm.pitman_yor import op1_pitman_yor
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_quality_rules": op10_quality_rules,
         "op11_whitening": op11_whitening,
         "op12_trie_bpe": op12_trie_bpe,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
