@@ -8,25 +8,19 @@ from pyspark.sql import functions as F
 from tessera.functions.arrays import cosine, dot
 
 
-#: Coordinates up to which each is a sum of its own in one aggregate.
-WIDE = 1_024
-
-
 def mean_vector(rows: DataFrame, group: list[str], vector: str, weight: str | None = None) -> DataFrame:
-    """group columns, mean: the (weighted) mean of each coordinate, in order, over the vectors that have it.
+    """group columns, mean: the (weighted) mean of each coordinate, in place, over the vectors that have it.
 
-    One aggregate with a sum for each coordinate, combined before the shuffle; vectors longer than WIDE go coordinate by
-    coordinate.
+    A null coordinate has no part in its mean, nor has a null weight; where no vector of the group has one, or all weights
+    are 0, the mean is null there and later coordinates keep their places. The mean is as long as the group's longest
+    vector; a group of empty or null vectors has an empty one. Coordinates are added up before the shuffle.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    width = rows.agg(F.max(F.size(vector))).first()[0] or 0
-    if width <= WIDE:
-        x = [F.get(vector, F.lit(i)).cast("double") for i in range(width)]
-        means = [F.sum(w * c) / F.sum(F.when(c.isNotNull(), w)) for c in x]
-        return rows.groupBy(*group).agg(F.array_compact(F.array(*means) if means else F.array().cast("array<double>")).alias("mean"))
-    each = rows.select(*group, w.alias("__w"), F.posexplode(vector).alias("__i", "__x"))
-    coordinate = each.groupBy(*group, "__i").agg((F.sum(F.col("__w") * F.col("__x").cast("double")) / F.sum("__w")).alias("__m"))
-    return coordinate.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias("mean"))
+    each = rows.select(*group, w.alias("__w"), F.posexplode_outer(vector).alias("__i", "__x"))
+    x = F.col("__x").cast("double")
+    coordinate = each.groupBy(*group, "__i").agg(F.try_divide(F.sum(F.col("__w") * x), F.sum(F.when(x.isNotNull(), F.col("__w")))).alias("__m"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", "__m"))))
+    return coordinate.groupBy(*group).agg(F.transform(listed, lambda s: s["__m"]).alias("mean"))
 
 
 def alignment(pairs: DataFrame, a: str, b: str) -> DataFrame:
