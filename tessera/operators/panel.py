@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.functions.text import cosine_by_index, jaccard, token_counts
+from tessera.operators.similarity import Search
 
 
 def neighbours(sources: DataFrame, targets: DataFrame, k: int, least: int = 1, min_similarity: float = 0.0, text_weight: float = 1.0,
@@ -14,36 +13,16 @@ def neighbours(sources: DataFrame, targets: DataFrame, k: int, least: int = 1, m
     """For each source its k most similar targets of the same stratum and another cluster, and the sources with too few.
 
     sources, targets: unit_id, cluster_id, stratum, text and, with text_weight below 1, actions (sources also action, which
-    the target must allow and which neither set counts). Token counts are computed once for each text and meet on tokens.
-    Pairs without a common token have cosine 0. Where such a pair can reach the threshold, by its actions or because the
-    threshold is 0, every pair of a stratum (and of an action, if actions count) is scored.
+    the target must allow and which neither set counts). `eligible` says how many targets reach the threshold, counted up
+    to the larger of k and least; so it is exact for the sources that have too few.
     """
-    s = sources.select(F.col("unit_id").alias("source_id"), F.col("cluster_id").alias("source_cluster"), "stratum", "text",
-        *[F.col(c).alias(f"source_{c}") for c in ("action", "actions") if c in sources.columns])
-    t = targets.select(F.col("unit_id").alias("target_id"), F.col("cluster_id").alias("target_cluster"), F.col("stratum").alias("target_stratum"),
-        "text", *[F.col(c).alias("target_actions") for c in ("actions",) if c in targets.columns])
-    bag = lambda df, key: token_counts(df, key, "text", stop_words, ["stratum"])
-    pairs = cosine_by_index(bag(s, "source_id"), bag(t.withColumnRenamed("target_stratum", "stratum"), "target_id"), "source_id", "target_id", ["stratum"])
-    left, right = s.drop("text"), t.drop("text")
-    if text_weight < 1:
-        met = left.join(right.withColumn("admitted", F.explode(F.array_distinct("target_actions"))),
-            (F.col("stratum") == F.col("target_stratum")) & (F.col("source_action") == F.col("admitted"))).drop("admitted")
-    else:
-        met = left.join(right, F.col("stratum") == F.col("target_stratum"))
-    met = met.where(F.col("source_cluster") != F.col("target_cluster"))
-    unmet = min_similarity <= 0 or min_similarity <= 1 - text_weight
-    eligible = met.join(pairs, ["source_id", "target_id"], "left" if unmet else "inner").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    similarity = F.col("cosine")
-    if text_weight < 1:
-        without = lambda c: F.array_except(F.col(c), F.array("source_action"))
-        similarity = text_weight * F.col("cosine") + (1 - text_weight) * F.coalesce(jaccard(without("source_actions"), without("target_actions")), F.lit(0.0))
-    scored = eligible.select("source_id", "target_id", similarity.alias("similarity")).where(F.col("similarity") >= min_similarity)
-    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc(F.round("similarity", 12)),
-        "target_id"))).where(F.col("rn") <= k)
-    counts = s.select("source_id").join(scored.groupBy("source_id").agg(F.count("*").alias("eligible")), "source_id", "left").select("source_id",
+    search = Search(sources, targets, max(k, least), min_similarity, text_weight, stop_words)
+    found = search.keep(search.result(), "neighbours")
+    search.tables.pop()
+    search.close()
+    counts = search.sources.select("source_id").join(found.groupBy("source_id").agg(F.count("*").alias("eligible")), "source_id", "left").select("source_id",
         F.coalesce("eligible", F.lit(0)).alias("eligible"))
-    enough = counts.where(F.col("eligible") >= least)
-    return ranked.join(enough, "source_id"), counts.where(F.col("eligible") < least)
+    return found.where(F.col("rn") <= k).join(counts.where(F.col("eligible") >= least), "source_id"), counts.where(F.col("eligible") < least)
 
 
 def assemble(metadata: DataFrame, base: DataFrame, updated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.rng import priority, shuffle_key
-from tessera.operators.single import with_values
+from tessera.operators.selection import first_by_priority, first_by_priority_within
 
 
 def _ranked(df: DataFrame, partition: list[str], *order: Column) -> DataFrame:
@@ -45,25 +45,31 @@ def nth_of_stratum(df: DataFrame, n: int, key: str, stratum: str, seed: int = 42
 
 def matched_sample(candidates: DataFrame, targets: DataFrame, strata: list[str], key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """As many candidates as targets in each stratum, and the strata that lack some (the caller must find none)."""
-    wanted = targets.groupBy(*strata).agg(F.count("*").alias("wanted"))
+    wanted = targets.groupBy(*strata).agg(F.count("*").alias("take"))
     have = candidates.groupBy(*strata).agg(F.count("*").alias("have"))
-    short = wanted.join(have, strata, "left").where(F.coalesce("have", F.lit(0)) < F.col("wanted"))
-    picked = _ranked(stable_order(candidates, key, seed), strata, F.col("shuffle_key"), F.col(key)).join(wanted, strata).where(F.col("rn") <= F.col("wanted"))
-    return picked, short
+    short = wanted.withColumnRenamed("take", "wanted").join(have, strata, "left").where(F.coalesce("have", F.lit(0)) < F.col("wanted"))
+    return first_by_priority_within(candidates, wanted, strata, key, seed).where("chosen").drop("chosen"), short
+
+
+def first_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """The first n rows by hash priority, in no order."""
+    return first_by_priority(df, n, key, seed).where("chosen").drop("chosen")
 
 
 def cluster_split(clusters: DataFrame, fraction: float, cluster: str, stratum: str | None = None, seed: int = 42) -> DataFrame:
     """cluster, is_validation: whole clusters, at least one on either side (of each stratum); halves round to even.
 
-    clusters holds one row for each cluster, so the windows run over clusters, not rows.
+    clusters holds one row for each cluster. The last cluster on the validation side is found by radix passes, so clusters
+    may be as many as rows.
     """
-    by = [stratum] if stratum else []
-    keyed = stable_order(clusters, cluster, seed)
-    size = keyed.groupBy(*by).agg(F.count("*").alias("n"))
-    ranked = _ranked(keyed, by, F.col("shuffle_key"), F.col(cluster))
-    joined = ranked.join(size, by) if by else with_values(ranked, size)
-    take = F.least(F.col("n") - 1, F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("long")))
-    return joined.withColumn("is_validation", F.col("rn") <= take)
+    if stratum:
+        size = clusters.groupBy(stratum).agg(F.count("*").alias("n"))
+        take = F.least(F.col("n") - 1, F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("long")))
+        marked = first_by_priority_within(clusters, size.select(stratum, take.alias("take")), [stratum], cluster, seed)
+    else:
+        n = clusters.count()
+        marked = first_by_priority(clusters, min(n - 1, max(1, round(n * fraction))), cluster, seed)
+    return marked.withColumnRenamed("chosen", "is_validation")
 
 
 def round_robin(df: DataFrame, limit: int, key: str, stratum: str, seed: int = 42) -> DataFrame:

@@ -19,7 +19,7 @@ from tessera.sources import records
 def freeze_clusters(clusters: DataFrame, used: DataFrame, limit: int = 140, seed: int = 42) -> dict[str, DataFrame]:
     """A fixed list of clusters that no earlier list has, in a stable random order."""
     free = clusters.select("cluster_id").distinct().join(used.select("cluster_id").distinct(), "cluster_id", "left_anti")
-    return {"list": sampling.stable_order(free, "cluster_id", seed).orderBy("shuffle_key", "cluster_id").limit(limit)}
+    return {"list": sampling.first_n(free, limit, "cluster_id", seed).orderBy("shuffle_key", "cluster_id")}
 
 
 def select_units(pool: DataFrame, k: int = 3, policy: str = "nested", score: str | None = None, seed: int = 42) -> dict[str, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import bootstrap, estimators as E, sampling
+from tessera.operators.selection import at_ranks
 from tessera.operators.single import with_values
 from tessera.plans import views as V
 from tessera.plans.q_sampling import PRIORITY
@@ -210,12 +211,13 @@ def a26_paired_table_mcnemar(spark, d):
  FROM v_log GROUP BY 1""")
 def a27_gap_statistics(spark, d):
     v = F.col("value")
-    sorted_v = F.array_sort(F.collect_list("value"))
-    at = lambda i: F.round(F.element_at(sorted_v, (i + 1).cast("int")), 6)
-    return V.log(spark, d).groupBy("status").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.sqrt(F.avg(v * v)), 6).alias("rms"),
-        F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90_linear"),
-            at(F.least(F.count("*") - 1, F.floor(0.9 * F.count("*")))).alias("p90_index"), at(F.floor(F.count("*") / 2)).alias("upper_median"),
-                F.round(F.avg((v >= 80).cast("int")), 6).alias("share_high"))
+    log = V.log(spark, d)
+    ranks = {"p90_low": lambda n: F.floor((n - 1) * 0.9), "p90_high": lambda n: F.ceil((n - 1) * 0.9), "p90_index": lambda n: F.least(n - 1, F.floor(n * 0.9)), "upper_median": lambda n: F.floor(n / 2)}
+    at = at_ranks(log, ["status"], "value", ranks)
+    linear = F.col("p90_low") + (F.col("p90_high") - F.col("p90_low")) * ((F.col("n") - 1) * 0.9 - F.floor((F.col("n") - 1) * 0.9))
+    sums = log.groupBy("status").agg(F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rms"), F.avg((v >= 80).cast("int")).alias("share_high"))
+    columns = ["mean", "rms", "p90_linear", "p90_index", "upper_median", "share_high"]
+    return R(sums.join(at.withColumn("p90_linear", linear), "status").select("status", *columns), *columns)
 
 
 @query("WITH c AS (SELECT o_custkey % 20 grp, o_orderpriority v, count(*) n, min(o_orderkey) f FROM orders GROUP BY 1, 2), "

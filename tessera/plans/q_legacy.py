@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tessera.functions.arrays import softmax_entropy
 from tessera.functions.rng import shuffle_key
 from tessera.operators import estimators as E, history, sampling
-from tessera.operators.ranking import global_rank
+from tessera.operators.selection import quantiles
 from tessera.operators.single import with_values
 from tessera.plans import views as V
 from tessera.plans.registry import query
@@ -76,8 +76,7 @@ def g5_coverage_alignment(spark, d):
 def g6_matched_count(spark, d):
     c = V._t(spark, d, "customer").select("c_custkey", "c_mktsegment")
     n = c.where("c_mktsegment = 'BUILDING'").count()
-    keyed = c.where("c_mktsegment <> 'BUILDING'").select("c_custkey", shuffle_key(42, F.col("c_custkey")).alias("h"))
-    return global_rank(keyed, ["h", "c_custkey"])[0].where(F.col("place") < n).select("c_custkey")
+    return sampling.first_n(c.where("c_mktsegment <> 'BUILDING'"), n, "c_custkey").select("c_custkey")
 
 
 @query(f"WITH {V.DRAW} SELECT unit_id FROM v_rec WHERE dis = 1")
@@ -149,7 +148,7 @@ def g13_floored_js(spark, d):
  SELECT cast((x > a)::int + (x > b)::int + (x > q.c)::int AS int) bucket, count(*) clusters, round(avg(n), 6) mean_n FROM c, q GROUP BY 1""")
 def g14_quantile_buckets(spark, d):
     c = V._t(spark, d, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("x"), F.count("*").alias("n"))
-    cuts = c.agg(*[F.percentile("x", F.lit(p)).alias(k) for p, k in ((0.25, "p"), (0.5, "q"), (0.75, "r"))])
+    cuts = quantiles(c, [], "x", {"p": 0.25, "q": 0.5, "r": 0.75}).drop("n")
     at = sum(((F.col("x") > F.col(k)).cast("int") for k in "pqr"), F.lit(0))
     return with_values(c, cuts).groupBy(at.alias("bucket")).agg(F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_n"))
 

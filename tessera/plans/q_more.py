@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A, canon
 from tessera.operators import bootstrap, checks as C
+from tessera.operators.selection import quantiles
 from tessera.plans import views as V
 from tessera.plans.q_estimators import DRAWS, R
 from tessera.plans.registry import query
@@ -92,8 +93,8 @@ def u7_missing_and_extra(spark, d):
 @query("WITH x AS (SELECT l_returnflag g, l_quantity v FROM lineitem) "
     "SELECT g, round(quantile_cont(v, 0.025), 6) lower, round(quantile_cont(v, 0.5), 6) median, round(quantile_cont(v, 0.975), 6) upper FROM x GROUP BY 1")
 def e10_linear_quantiles(spark, d):
-    q = lambda p: F.round(F.percentile("l_quantity", F.lit(p)), 6)
-    return V._t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(q(0.025).alias("lower"), q(0.5).alias("median"), q(0.975).alias("upper"))
+    lines = V._t(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), "l_quantity")
+    return R(quantiles(lines, ["g"], "l_quantity", {"lower": 0.025, "median": 0.5, "upper": 0.975}).drop("n"), "lower", "median", "upper")
 
 
 @query(f"""WITH {V.OUTCOME}, g AS (SELECT cluster_id, avg(treatment - control) z FROM v_eval

@@ -105,7 +105,7 @@ def e2_nth_of_stratum(spark, d):
 def l10_freeze_list(spark, d):
     used = V._t(spark, d, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
     free = V._t(spark, d, "customer").select("c_custkey").join(used, "c_custkey", "left_anti")
-    return sampling.stable_order(free, "c_custkey").orderBy("shuffle_key", "c_custkey").limit(40).select("c_custkey")
+    return sampling.first_n(free, 40, "c_custkey").select("c_custkey")
 
 
 @query("""WITH n AS (SELECT count(*) n FROM supplier), r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 p FROM supplier),

@@ -312,3 +312,15 @@ def test_configurations(spark):
     assert got == {("b", "d.e.f", "2", "3")}
     shared = {r["path"] for r in A.not_shared(df.withColumn("g", F.lit(1)), "g", "config").collect()}
     assert shared == {"d.e.f", "l", "n"}
+
+
+@pytest.mark.parametrize("n", [0, 1_100])
+def test_means_of_vectors_with_null_coordinates(spark, n):
+    """Coordinates keep their places and their own weights, in short and long vectors."""
+    tail = [1.0] * n
+    rows = [("a", [1.0, None, 3.0] + tail, 1.0), ("a", [3.0, 4.0, 5.0] + tail, 3.0), ("b", [1.0, None, 2.0] + tail, 2.0), ("b", [None, None, 4.0], 2.0), ("c", [], 1.0), ("c", None, 1.0), ("d", [5.0, 6.0], None), ("d", [1.0], 2.0), ("e", [1.0], 0.0)]
+    df = spark.createDataFrame(rows, "g string, v array<double>, w double")
+    got = {r["g"]: r["mean"] for r in vectors.mean_vector(df, ["g"], "v").collect()}
+    assert got == {"a": [2.0, 4.0, 4.0] + tail, "b": [1.0, None, 3.0] + tail, "c": [], "d": [3.0, 6.0], "e": [1.0]}
+    weighted = {r["g"]: r["mean"] for r in vectors.mean_vector(df, ["g"], "v", "w").collect()}
+    assert weighted == {"a": [2.5, 4.0, 4.5] + tail, "b": [1.0, None, 3.0] + tail, "c": [], "d": [1.0, None], "e": [None]}
