@@ -43,11 +43,12 @@ class Search:
         t = targets.select(F.col("unit_id").alias("target_id"), F.col("cluster_id").alias("target_cluster"), "stratum", acts(targets).alias("target_actions"), "text")
         self.sources, self.targets = s.drop("text"), t.drop("text")
         counts = token_counts(s, "source_id", "text", stop_words, ["stratum"])
-        postings = self.keep(token_counts(t, "target_id", "text", stop_words, ["stratum"]), "postings")
-        self.target_norms = postings.groupBy("target_id").agg(F.sum(F.col("n") * F.col("n")).alias("target_square"))
-        weighted = postings.join(self.target_norms, "target_id").select("target_id", "stratum", "token", "n", (F.col("n") / F.sqrt("target_square")).alias("weight"))
-        index = weighted.groupBy("stratum", "token").agg(F.count("*").alias("df"), F.max("weight").alias("top"))
-        self.postings = weighted.select("stratum", "token", "target_id", "n", "weight")
+        raw = durable(token_counts(t, "target_id", "text", stop_words, ["stratum"]), "token-counts")
+        self.target_norms = self.keep(raw.groupBy("target_id").agg(F.sum(F.col("n") * F.col("n")).alias("target_square")), "norms")
+        weight = (F.col("n") / F.sqrt("target_square")).alias("weight")
+        self.postings = self.keep(raw.join(self.target_norms, "target_id").select("stratum", "token", "target_id", "n", weight), "postings")
+        discard(raw)
+        index = self.postings.groupBy("stratum", "token").agg(F.count("*").alias("df"), F.max("weight").alias("top"))
         squares = counts.groupBy("source_id").agg(F.sum(F.col("n") * F.col("n")).alias("source_square"))
         known = counts.join(index, ["stratum", "token"]).join(squares, "source_id").withColumn("own", F.col("n") / F.sqrt("source_square"))
         often = Window.partitionBy("source_id").orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)  # of one text's tokens
@@ -92,7 +93,8 @@ class Search:
     def completed(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         """pairs, with what the given tokens of their sources add to the dot."""
         asked = tokens.select("source_id", "token", F.col("n").alias("asked_n"))
-        more = pairs.select("source_id", "target_id").join(asked, "source_id").join(self.postings.select("target_id", "token", "n"), ["target_id", "token"])
+        held = self.postings.select("target_id", "token", "n").join(pairs.select("target_id").distinct(), "target_id", "left_semi")
+        more = pairs.select("source_id", "target_id").join(asked, "source_id").join(held, ["target_id", "token"])
         more = more.groupBy("source_id", "target_id").agg(F.sum(F.col("asked_n") * F.col("n")).alias("more"))
         return pairs.join(more, ["source_id", "target_id"], "left").withColumn("dot", F.col("dot") + F.coalesce("more", F.lit(0))).drop("more")
 
