@@ -51,14 +51,16 @@ def drop_first(levels: list[str], column: str) -> dict[str, Column]:
 
 def bootstrap(rows: DataFrame, terms: dict[str, Column], outcome: Column, cluster: str, coefficients: list[str], replicates: int, seed: int = 42) -> DataFrame:
     """coefficient, estimate, lower, upper, kept: clusters drawn with replacement, rank-deficient draws left out."""
-    from tessera.operators.bootstrap import _joined
+    from tessera.operators.bootstrap import _numbered, resampled
 
     spark, names = rows.sparkSession, list(terms)
     ship(spark)
     m = cluster_moments(rows, terms, outcome, cluster)
     width = (len(names) + 1) * (len(names) + 2) // 2
-    sampled, _ = _joined(spark, m, cluster, replicates, seed)
-    sums = sampled.groupBy("rep").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(width)]).alias("m"))
+    numbered, n = _numbered(m, cluster)
+    moments = numbered.select("cluster_no", F.posexplode("m").alias("i", "x"))
+    drawn = resampled(spark, moments, n, ["i"], ["x"], replicates, seed)
+    sums = drawn.groupBy("rep").agg(F.array(*[F.max(F.when(F.col("i") == i, F.col("x"))) for i in range(width)]).alias("m"))
 
     def each(batches):
         for pdf in batches:
