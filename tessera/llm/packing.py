@@ -1,11 +1,13 @@
 """Packing token sequences by best-fit decreasing.
 
-Overlong documents are cut into full windows; the pieces are dealt by hash into groups of bounded size, and each group
-places its pieces, longest first, into the open window with the least room that still holds them. A segment tree over
-the remaining capacities, counting open windows, finds that window in log(window) steps.
+Overlong documents are cut into full windows; the pieces are dealt by hash into groups of GROUP_TOKENS tokens or so, and each
+group places its pieces, longest first, into the open window with the least room that still holds them. A segment tree over
+the remaining capacities, counting open windows, finds that window in log(window) steps. How many groups there are follows
+from the number of tokens, and a piece's group from its content and its number among equal pieces, so the sequences depend
+on the documents alone, not on files, codecs or the order of rows.
 
 Cases: a null or empty text is its end token alone; ties are broken by document id and start; repeated rows are packed
-as rows of their own; a null id stays one; extra columns are ignored; an empty table packs into nothing. Long texts are tokenised whole.
+as rows of their own, and very many of them are dealt to all groups; a null id stays one; extra columns are ignored; an empty table packs into nothing. Long texts are tokenised whole.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_for, to_python
+from tessera.llm.common import discard, durable, to_python
 
 WINDOW = 2048
 END = 1
-#: Input bytes whose pieces go to one group.
-GROUP_BYTES = 32 << 20
+#: Tokens whose pieces go to one group.
+GROUP_TOKENS = 8_000_000
+#: Equal pieces that one row stands for, before they are dealt to groups.
+COPIES = 100_000
 #: Words and parts of words whose ids a task remembers before it begins anew.
 MEMO, PARTS = 800_000, 500_000
 
@@ -171,8 +175,21 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return where, offset
 
 
+def counted(cut: DataFrame) -> DataFrame:
+    """Different pieces with how often each occurs; equal ones meet before the shuffle."""
+    return cut.groupBy("doc_id", "start", "length", "ids_crc32", "doc_tokens").agg(F.count("*").alias("copies"))
+
+
+def copied(held: DataFrame) -> DataFrame:
+    """Every piece again, with its number among equal ones; a piece with very many copies is dealt out first."""
+    runs = lambda df: df.withColumn("copy", F.explode(F.sequence("first", F.least("copies", F.col("first") + COPIES) - 1)))
+    few = held.where(F.col("copies") <= COPIES).withColumn("first", F.lit(0).cast("long"))
+    many = held.where(F.col("copies") > COPIES).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    return runs(few).unionByName(runs(many.repartition("doc_id", "start", "first"))).drop("first", "copies")
+
+
 def pack(cut: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
-    """Pieces with sequence_id, offset and padded_length; groups are dealt by a hash of id and start."""
+    """Pieces (with their number among equal ones) with sequence_id, offset and padded_length."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -187,12 +204,17 @@ def pack(cut: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
         return pa.table([*out, pa.array(where * groups + key[0].as_py()), pa.array(offset), pa.array(padded[where])],
             [*names, "sequence_id", "offset", "padded_length"])
 
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))
     return cut.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(run, PIECES + ", sequence_id long, offset long, padded_length long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
-    return pack(pieces(docs, tokenizer_path, window), groups_for(docs, GROUP_BYTES, 1), window)
+    """The pieces of all documents in sequences of at most `window` tokens."""
+    held = durable(counted(pieces(docs, tokenizer_path, window)), "pieces")
+    tokens = held.agg(F.sum(F.col("length") * F.col("copies"))).first()[0] or 0
+    out = durable(pack(copied(held), max(1, -(-tokens // GROUP_TOKENS)), window), "packed")
+    discard(held)
+    return out
 
 
 def tokenizer_path() -> str:

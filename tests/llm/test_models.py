@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import packing, subword, toxicity
 from tests.llm import brute
@@ -79,6 +80,21 @@ def test_subword_dropout_of_each_occurrence():
     assert e.encode(segments, occurrence) == m.segment(segments, 0.1, e.seed, occurrence.view(np.int64))
 
 
+def test_packing_depends_on_documents_alone(spark, tmp_path, monkeypatch):
+    """Other codecs, files and orders give the same sequences; copies of a row are dealt to all groups."""
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 3_000)
+    monkeypatch.setattr(packing, "COPIES", 50)
+    rows = [(k, " ".join(f"w{j % 7}" for j in range(k % 60))) for k in range(400)] + [(7, "same row")] * 333 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.coalesce(1).write.option("compression", "none").parquet(f"{tmp_path}/a")
+    df.orderBy(F.rand(1)).repartition(6).write.option("compression", "zstd").parquet(f"{tmp_path}/b")
+    a, b = (sorted(map(str, packing.pack_documents(spark.read.parquet(f"{tmp_path}/{x}"), packing.tokenizer_path()).collect())) for x in "ab")
+    assert a == b and len(a) == len(rows)
+    same = packing.pack_documents(df, packing.tokenizer_path()).where("doc_id = 7 and doc_tokens = 3").collect()
+    groups = -(-sum(1 for _ in same) // 1)
+    assert groups == 333 and len({r["sequence_id"] % 5 for r in same}) > 1
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
