@@ -75,8 +75,8 @@ def op6_sql() -> str:
     cell = lambda name: f"""{name}_cell AS (SELECT v, 1 + (((dense_rank() OVER (ORDER BY v) - 1) * {(1 << BITS) - 1}) // n)::INT c FROM (SELECT DISTINCT {name} v, (SELECT count(DISTINCT {name}) FROM documents) n FROM documents WHERE {name} IS NOT NULL))"""
     return f"""WITH {cell("lang")}, {cell("source")}, d AS (SELECT doc_id, lang, source, coalesce(text, '') t FROM documents), e AS (SELECT *, strlen(t) + 8 size FROM d),
  c AS (SELECT doc_id, t, size, coalesce(a.c, 0) l, coalesce(b.c, 0) s, least({(1 << BITS) - 1}, floor(log2(size + 1)))::INT z, 0 state, 0::BIGINT curve FROM e LEFT JOIN lang_cell a ON a.v = lang LEFT JOIN source_cell b ON b.v = source),
- {", ".join(steps)}, x AS (SELECT doc_id, size, curve, {crc32_sql("t")} text_crc32 FROM {last}),
- r AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST) - 1 r, count(*) OVER () // {SHARDS} f, count(*) OVER () % {SHARDS} g FROM x),
+ {", ".join(steps)}, x AS (SELECT doc_id, t, size, curve own_curve, first_value(curve) OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, curve) curve, {crc32_sql("t")} text_crc32 FROM {last}),
+ r AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, sha256(t), own_curve, doc_id NULLS FIRST) - 1 r, count(*) OVER () // {SHARDS} f, count(*) OVER () % {SHARDS} g FROM x),
  y AS (SELECT *, CASE WHEN r < g * (f + 1) THEN r // (f + 1) ELSE g + (r - g * (f + 1)) // greatest(f, 1) END shard FROM r)
  SELECT doc_id, size, text_crc32, 'rows' law, shard::INT shard, r - shard * f - least(shard, g) slot, NULL::INT grown_shard, curve FROM y"""
 

@@ -4,11 +4,14 @@ Language, source and size class are quantised, the cell's place on the curve ord
 into runs of equal row counts; a run covers few cells, so a reader can skip files by any of the dimensions: `written` writes
 a file a shard with a manifest of ranges, and `pruned` says which ones a query has to read. A category's cell is the place
 of its value among the table's values, in equal parts, so neighbours in the alphabet are neighbours on the curve. Equal
-texts of a language and source have equal cells and checksums and so stand side by side.
-
-Cases: a null text has size 8 and checksum 0; null dimensions have a cell of their own; ties in the curve are broken
-by checksum, then id (null first), and rows that repeat all of these are interchangeable; an empty table gives an empty
-result; repeated rows take places of their own.
+texts are a group: all take the cell of the group's row with the smallest id (of several, and null ids after all others, the
+smallest place on the curve), so they stand side by side, and only boundaries that the equal counts force divide them. Inside a
+group rows follow their own cells, so a group of many shards can be pruned too.
+
+Cases: a null text has size 8 and checksum 0, and is of one group with empty ones; null dimensions have a cell of their own;
+ties in the curve are broken by checksum, digest, own cell, then id (null first), and rows that repeat all of these are
+interchangeable; an empty table gives an empty result; repeated rows take places of their own; texts of any length only
+count by size, checksum and digest; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -103,12 +106,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, dims=("lang", "source")) -> Da
     carried = [PLACE] if PLACE in docs.columns else []
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    base = docs.select("doc_id", *dims, *carried, size.alias("size"), crc32(text).alias("text_crc32"), size_cell(size).alias("cell_size"))
+    base = docs.select("doc_id", *dims, *carried, size.alias("size"), crc32(text).alias("text_crc32"), F.sha2(text.cast("binary"), 256).alias("digest"), size_cell(size).alias("cell_size"))
     for d in dims:
         base = with_cells(base, d)
     cells = [F.col(f"cell_{d}") for d in dims] + [F.col("cell_size")]
-    keyed = base.select("*", hilbert_index(cells).alias("curve"))
-    out = ranked(keyed, ["curve", "text_crc32", "doc_id"])
+    own = base.select("*", hilbert_index(cells).alias("own_curve"))
+    first_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own_curve"))["own_curve"]
+    groups = own.groupBy(F.col("digest").alias("of")).agg(first_of.alias("curve"))
+    keyed = own.join(groups, F.col("digest") == F.col("of")).drop("of")
+    out = ranked(keyed, ["curve", "text_crc32", "digest", "own_curve", "doc_id"])
     n, r = F.col("n_rows"), F.col("rank")
     small, larger = F.floor(n / shards), n % shards
     shard = F.when(r < larger * (small + 1),

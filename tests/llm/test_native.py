@@ -78,6 +78,17 @@ def test_shards(docs, rows, empty):
     assert shard.manifest(shard.assign(docs)).count() == 24
 
 
+def test_equal_texts_stay_together(spark):
+    """Copies in other languages and sources go to the shard of the smallest id's, or its neighbour at a forced boundary."""
+    rows = [(k, f"copy {k % 40}" if k % 2 else f"text {k}", f"l{k % 4}", f"s{k % 9}") for k in range(2400)] + [(9000, None, "l1", "s2"), (None, "", "l3", None)]
+    got = shard.assign(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)).collect()
+    at = defaultdict(set)
+    for r in got:
+        at[r["text_crc32"]].add(r["shard"])
+    assert sum(max(s) - min(s) > 1 for s in at.values()) == 0 and sum(len(s) > 1 for s in at.values()) <= 23
+    assert Counter(r["shard"] for r in got).most_common()[0][1] <= 2402 // 24 + 1
+
+
 def test_shards_of_few_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a", "en", "s"), (1, "a", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
     got = shard.assign(df).collect()
