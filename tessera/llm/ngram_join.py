@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PLACE, discard, durable, groups_for, mixed, placed, to_python, without
+from tessera.llm.common import PLACE, discard, durable, mixed, placed, shares, to_python, without
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.997
 MOST_HASHES = 256
@@ -258,7 +258,6 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     the place of each row."""
     bands, rows = bands_and_rows(threshold, recall)
     docs = (docs if PLACE in docs.columns else placed(docs)).select("doc_id", "text", PLACE)
-    groups = groups_for(docs, GROUP_BYTES)
     found = durable(sketches(docs, words, bands, rows), "sketches", batch_rows=1_000)
     # A different set is a node by the number of its row in this table; ids may repeat.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", PLACE)).alias("least")
@@ -274,11 +273,14 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     met = dealt.select("*", _salt("rep")).join(_dealt(buckets), ["band", "key", "salt"])
     met = met.select("rep", "band", "key", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("rep", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    group = F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(groups)).cast("int")
-    visits = met.groupBy("rep").agg(F.collect_list(F.struct(group.alias("g"), "band", "key", "block", "i", "j")).alias("visits"))
+    visits = met.groupBy("rep").agg(F.collect_list(F.struct("band", "key", "block", "i", "j")).alias("visits"))
 
     # Each set that meets another is made once more, from the text of one of its rows.
-    told_apart = sets.join(visits, "rep").select("rep", "copies", "keys", "visits", F.col(f"least.{PLACE}").alias(PLACE))
+    told_apart = durable(sets.join(visits, "rep").select("rep", "copies", "keys", "visits", F.col(f"least.{PLACE}").alias(PLACE)), "visits")
+    # A block pair is the least that a group holds; what all of them are sent sets how many groups there are.
+    sizes = docs.select(F.octet_length("text").cast("long").alias("bytes"), PLACE).join(told_apart.select(F.size("visits").alias("times"), PLACE), PLACE)
+    groups = shares(sizes.agg(F.sum(F.col("bytes") * F.col("times"))).first()[0] or 0, GROUP_BYTES)
+    group = F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(groups)).cast("int").alias("g")
     wanted = docs.select("text", PLACE).join(told_apart, PLACE).select("text", "rep", "copies", "keys", "visits")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,9 +289,9 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
             grams = [make.set_of(t).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(grams, pa.binary())], [*batch.schema.names[1:], "grams"])
 
-    visit = "struct<g:int,band:int,key:binary,block:int,i:int,j:int>"
+    visit = "struct<band:int,key:binary,block:int,i:int,j:int>"
     sent = wanted.mapInArrow(with_sets, f"rep long, copies long, keys binary, visits array<{visit}>, grams binary").select("rep", "copies", "keys",
-        "grams", F.explode("visits").alias("at")).select("rep", "copies", "keys", "grams", "at.*")
+        "grams", F.explode("visits").alias("at")).select("rep", "copies", "keys", "grams", "at.*").select(group, "*")
     verified = durable(sent.groupBy("g").applyInArrow(_links(bands, threshold), "u long, v long, links long"), "links")
 
     links = verified.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
@@ -312,7 +314,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
         PLACE,
     )
     out = durable(out, "classes")
-    discard(found, sets, verified, now)
+    discard(found, sets, told_apart, verified, now)
     return out
 
 
