@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import replace_system
 from tessera.operators.single import with_values
+from tessera.sources.shared import durable
 
 # The codes of the audit.
 ROLES = "HISTORY_ROLE_ORDER"
@@ -102,19 +103,22 @@ def audit(records: DataFrame, own_prompt: str, other_prompt: str, first_message,
         F.col("x.n").cast("long").alias("n"))
 
 
-def flattened(configs: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
-    """key, path, value of each leaf of JSON objects, by dotted paths; lists are leaves, and an object below `depth` too."""
+def flattened(configs: DataFrame, key: str, json: str) -> DataFrame:
+    """key, path, value of each leaf of JSON objects of any depth, by dotted paths; lists and empty objects are leaves.
+
+    Objects are opened level by level until none is left.
+    """
     kind = "map<string,string>"
-    level = configs.select(key, F.explode(F.from_json(json, kind)).alias("path", "value"))
-    out = None
-    for left in reversed(range(depth)):
-        nested = F.col("value").startswith("{") & F.from_json("value", kind).isNotNull() if left else F.lit(False)
-        leaves = level.where(~F.coalesce(nested, F.lit(False)))
+    level, out = configs.select(key, F.explode(F.from_json(json, kind)).alias("path", "value")), None
+    while True:
+        inside = F.from_json("value", kind)
+        nested = F.coalesce(F.col("value").startswith("{") & (F.size(inside) > 0), F.lit(False))
+        leaves = level.where(~nested)
         out = leaves if out is None else out.unionByName(leaves)
-        if left:
-            level = level.where(nested).select(key, F.col("path").alias("above"),
-                F.explode(F.from_json("value", kind)).alias("name", "value")).select(key, F.concat_ws(".", "above", "name").alias("path"), "value")
-    return out
+        below = level.where(nested).select(key, F.col("path").alias("above"), F.explode(inside).alias("name", "value"))
+        level = durable(below.select(key, F.concat_ws(".", "above", "name").alias("path"), "value"), "paths")
+        if level.isEmpty():
+            return out
 
 
 def allowed_path(path: Column, allowed: tuple[str, ...]) -> Column:

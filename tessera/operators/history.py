@@ -16,6 +16,24 @@ def cumulative(turns: DataFrame, cluster: str, seq: str, fields: list[str]) -> D
     return turns.withColumn("history", F.collect_list(F.struct(*fields)).over(ordered(cluster, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
+def told(turns: DataFrame, cluster: str, seq: str, line: Column, kept: list[str]) -> DataFrame:
+    """A row for each turn with the columns kept, n_messages, and `digest` (of all lines up to it, joined by line feeds) and
+    `chain` (of the chain before it, a line feed and its line, from an empty one on).
+
+    A cluster's lines stand once in one array, from which each prefix is cut, so what moves is as long as the turns are. The
+    chain needs each line once; two prefixes are equal where their chains are.
+    """
+    entry = F.struct(F.col(seq).alias("__seq"), line.alias("__line"), *kept)
+    one = turns.groupBy(cluster).agg(F.array_sort(F.collect_list(entry)).alias("__t"))
+    lines = F.transform("__t", lambda x: x["__line"])
+    chained = F.aggregate(lines, F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")), lambda a, x: F.transform(
+        F.array(F.sha2(F.concat(a["last"], F.lit("\n"), F.coalesce(x, F.lit(""))), 256)), lambda h: F.struct(h.alias("last"), F.array_append(a["all"], h).alias("all")))[0], lambda a: a["all"])
+    with_chain = one.select(cluster, "__t", lines.alias("__lines"), chained.alias("__chain"))
+    each = F.transform("__t", lambda x, i: F.struct(x["__seq"].alias(seq), *[x[k].alias(k) for k in kept], (i + 1).alias("n_messages"),
+        F.sha2(F.array_join(F.slice("__lines", F.lit(1), i + 1), "\n"), 256).alias("digest"), F.get("__chain", i).alias("chain")))
+    return with_chain.select(cluster, F.explode(each).alias("__e")).select(cluster, "__e.*")
+
+
 def truncated(turns: DataFrame, cluster: str, seq: str, length: Column, budget: int) -> DataFrame:
     """turns with `kept`: the newest ones of a cluster within the budget; the first and the last always stay.
 

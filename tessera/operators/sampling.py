@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.rng import priority, shuffle_key
+from tessera.operators.ranking import global_rank, running
 from tessera.operators.selection import first_by_priority, first_by_priority_within
 
 
@@ -78,12 +79,13 @@ def round_robin(df: DataFrame, limit: int, key: str, stratum: str, seed: int = 4
     return ranked.orderBy("rn", stratum, key).limit(limit)
 
 
-def until_quota(attempts: DataFrame, quota: int, most: int, seq: str, success: str, stratum: str) -> DataFrame:
-    """Attempts of a stratum while fewer than `quota` before them succeeded and fewer than `most` were made."""
-    before = Window.partitionBy(stratum).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    seen = attempts.withColumn("solved_before", F.coalesce(F.sum(F.col(success).cast("long")).over(before), F.lit(0))).withColumn("tried_before",
-        F.count("*").over(before))
-    return seen.where((F.col("solved_before") < quota) & (F.col("tried_before") < most))
+def until_quota(attempts: DataFrame, quota: int, most: int, seq: str, success: str, stratum: str, parts: int = 0) -> DataFrame:
+    """Attempts of a stratum while fewer than `quota` before them succeeded and fewer than `most` were made.
+
+    A stratum of any size is split; seq must order its attempts.
+    """
+    sums = {"solved_before": F.coalesce(F.col(success).cast("long"), F.lit(0)), "tried_before": F.lit(1).cast("long")}
+    return running(attempts, stratum, [seq], sums, lambda s: (s["solved_before"] < quota) & (s["tried_before"] < most), parts)
 
 
 def padded_shards(df: DataFrame, replicas: int, key: str) -> DataFrame:
@@ -91,8 +93,6 @@ def padded_shards(df: DataFrame, replicas: int, key: str) -> DataFrame:
 
     Places come from a range-partitioned count, not from a window without a key.
     """
-    from tessera.operators.ranking import global_rank
-
     rows, n = global_rank(df.select(key), [key])
     padding = -n % replicas if n else 0
     again = rows.where(F.col("place") < padding).select(key, (F.col("place") + n).alias("place"), F.lit(0.0).alias("multiplier"))

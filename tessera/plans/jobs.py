@@ -228,7 +228,9 @@ def aggregate_evaluations(results: DataFrame, tolerance: float = 1e-12) -> dict[
     told = with_values(per, all_clusters)
     ok = {"repeated_cluster": F.col("n") == F.col("clusters"), "missing_cluster": F.col("clusters") == F.col("all_clusters"),
         "not_binary": F.col("odd") == 0, "wrong_rate": F.abs(F.col("rate") - F.col("reported")) <= tolerance}
-    return {"bundle": results.select("replicate_id", "cluster_id", "value"), "violations": C.row_checks(told, F.col("replicate_id"), ok)}
+    wrong = C.row_checks(told, F.col("replicate_id"), ok)
+    sound = results.join(wrong.select(F.col("key").alias("__key")).distinct(), F.col("replicate_id").cast("string") == F.col("__key"), "left_anti")
+    return {"bundle": results.select("replicate_id", "cluster_id", "value"), "accepted": sound.select("replicate_id", "cluster_id", "value"), "violations": wrong}
 
 
 def merge_records(shards: list[DataFrame], key: str) -> dict[str, DataFrame]:
@@ -309,6 +311,24 @@ def evaluation_summary(episodes: DataFrame) -> dict[str, DataFrame]:
         "wins", (F.col("wins") / F.col("games")).alias("rate"))}
 
 
+def validate_pair(pool: DataFrame, broad: DataFrame, deep: DataFrame, runs: DataFrame, allowed: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Faults of a pair of annotation runs, one broad and one deep, of one pool: code, key.
+
+    broad, deep: unit_id and calls of each selected unit; runs: arm (broad, deep) and config (JSON) of the two runs. Their
+    units come from the pool, the deep run's from the broad one's; each run has the same calls for all its units; both cost
+    the same; outside the allowed paths their configurations are alike.
+    """
+    from tessera.operators import audit as A
+
+    cost = lambda df: df.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("cost"), F.count_distinct("calls").alias("kinds"))
+    sums = with_values(cost(broad).select(F.col("cost").alias("b"), F.col("kinds").alias("bk")), cost(deep).select(F.col("cost").alias("d"), F.col("kinds").alias("dk")))
+    budget = C.row_checks(sums, F.lit("pair"), {"same_budget": F.col("b") == F.col("d"), "calls_differ": (F.col("bk") == 1) & (F.col("dk") == 1)})
+    unlike = A.not_shared(runs.select(F.lit(1).alias("pair"), "config"), "pair", "config", allowed).select(F.lit("config_differs").alias("code"), F.col("path").alias("key"), F.lit(None).cast("string").alias("detail"))
+    parts = [C.unique(broad, "unit_id"), C.unique(deep, "unit_id"), C.subset(broad, pool, "unit_id", "broad_not_in_pool"), C.subset(deep, pool, "unit_id", "deep_not_in_pool"),
+        C.subset(deep, broad, "unit_id", "deep_not_in_broad"), budget]
+    return {"violations": C.all_of(*[p.select("code", "key") for p in [*parts, unlike]])}
+
+
 def verify_stages(units: DataFrame, selection: DataFrame, records_: DataFrame, ledger: DataFrame, rows: DataFrame, training: DataFrame,
     evaluation: DataFrame) -> DataFrame:
     """stage, status, n of six stages: PENDING without rows, else PASS or FAIL.
@@ -340,4 +360,4 @@ JOBS = {f.__name__: f for f in (
     freeze_clusters, select_units, build_training, build_prompts, paired_interval, transfer_panel, judged, positions, alignments, collection_quota,
         demonstration,
     score_units, collect_pool, annotate, build_expert, aggregate_evaluations, measure_gap, training_curves, baseline_audit, prevalidate,
-    transfer_effects, whole_chain, one_shot, evaluation_summary)}
+    transfer_effects, whole_chain, one_shot, evaluation_summary, representativeness, validate_pair)}

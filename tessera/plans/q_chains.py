@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import sampling
 from tessera.operators.single import with_values
 from tessera.plans import jobs, views as V
-from tessera.plans.q_estimators import R
+from tessera.plans.q_estimators import CP, FLOORQ, JS, R, SEL
 from tessera.plans.q_sampling import PRIORITY
 from tessera.plans.registry import query
 
@@ -148,9 +148,9 @@ def q27_prevalidate(spark, d):
  WHERE rn <= 3), {V.OUTCOME},
  c AS (SELECT count(*) n FROM lineitem), o AS (SELECT count(*) n, sum(k) k FROM (SELECT l_orderkey, count(*) k FROM lineitem GROUP BY 1)),
  ev AS (SELECT count(*) n, bool_and(treatment IS NOT NULL AND control IS NOT NULL) ok FROM v_eval),
- tr AS (SELECT count(*) n, bool_and(c_custkey % 5 + 1 < c_custkey % 5 + 2 + c_nationkey % 2 * -2 AND true) ok FROM customer),
- w AS (SELECT count(*) n, bool_and(abs(w - 1) < 1e-9) ok
- FROM (SELECT cluster_id, sum(1.0 / n) w FROM (SELECT cluster_id, count(*) OVER (PARTITION BY cluster_id) n FROM v_unit) GROUP BY 1))
+ tr AS (SELECT count(*) n, bool_and(c_custkey % 5 + 1 < c_custkey % 5 + 2 + c_nationkey % 2 * -2 AND (1 + c_custkey % 9) / 1000.0 BETWEEN 1e-3 AND 1e-2 AND abs(c_acctbal) > 0) ok FROM customer),
+ w AS (SELECT count(*) n, bool_and(abs(w - 1) < 1e-9 AND suffix) ok
+ FROM (SELECT cluster_id, sum(1.0 / n) w, bool_and(words >= 3) suffix FROM (SELECT cluster_id, count(*) OVER (PARTITION BY cluster_id) n, len(string_split(observation, ' ')) words FROM v_unit) GROUP BY 1))
  SELECT 'states' stage, (SELECT CASE WHEN count(*) = 0 THEN 'PENDING' WHEN count(*) = count(DISTINCT unit_id) THEN 'PASS' ELSE 'FAIL' END
  FROM v_unit) status, (SELECT count(*) FROM v_unit) n
  UNION ALL SELECT 'selection', (SELECT CASE WHEN bool_and(p > 0 AND p <= 1) THEN 'PASS' ELSE 'FAIL' END FROM sel), (SELECT count(*) FROM sel)
@@ -158,17 +158,18 @@ def q27_prevalidate(spark, d):
  UNION ALL SELECT 'rows', CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END, n FROM w UNION ALL SELECT 'training', CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END, n
  FROM tr UNION ALL SELECT 'evaluation', CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END, n FROM ev""")
 def c26_stage_verifier(spark, d):
-    """Six stages, from played turns to paired outcomes; the training reports' losses rise for some customers."""
+    """Six stages, from played turns to paired outcomes; targets are the last third of a turn's words, reports are customers'."""
     units = V.unit(spark, d).withColumn("actions", F.array("role"))
     chosen = sampling.nested_selection(units, 3).withColumn("policy", F.lit("uniform_nested"))
     lines = V._t(spark, d, "lineitem")
     calls = lines.groupBy("l_orderkey").agg(F.count("*").alias("calls"))
     ledger = lines.select(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber"), 256).alias("hash"))
+    words = F.split("observation", " ")
     share = units.join(units.groupBy("cluster_id").agg((F.lit(1.0) / F.count("*")).alias("weight")), "cluster_id").select("cluster_id", "weight",
-        F.array(*map(F.lit, (0, 0, 0, 1, 1))).alias("mask"))
+        F.transform(words, lambda w, i: (i >= F.size(words) - F.call_function("div", F.size(words), F.lit(3))).cast("int")).alias("mask"))
     key = F.col("c_custkey") % 5
     reports = V._t(spark, d, "customer").select((key + 2 + F.col("c_nationkey") % 2 * -2).cast("double").alias("loss_first"),
-        (key + 1).cast("double").alias("loss_last"), F.lit(0.005).alias("ratio"), F.lit(1.0).alias("norm"))
+        (key + 1).cast("double").alias("loss_last"), ((1 + F.col("c_custkey") % 9) / 1000.0).alias("ratio"), F.abs("c_acctbal").alias("norm"))
     return jobs.verify_stages(units, chosen, calls, ledger, share, reports, V.outcome(spark, d))
 
 
@@ -234,3 +235,75 @@ def q30_evaluation_summary(spark, d):
     o = V._t(spark, d, "orders").join(V._t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     return R(jobs.evaluation_summary(o.select(F.col("o_orderpriority").alias("arm"), F.col("c_mktsegment").alias("task"),
         (F.col("o_orderstatus") == "F").alias("won")))["summary"], "rate")
+
+
+@query(f"""WITH {V.UNIT}, r AS (SELECT *, length(observation) len, row_number() OVER (PARTITION BY cluster_id ORDER BY seq) a, row_number() OVER (PARTITION BY cluster_id ORDER BY seq DESC) b FROM v_unit),
+ c AS (SELECT *, sum(CASE WHEN a = 1 THEN len ELSE 0 END) OVER (PARTITION BY cluster_id) anchor, sum(CASE WHEN a = 1 THEN 0 ELSE len END) OVER (PARTITION BY cluster_id ORDER BY seq DESC) newest, sum(CASE WHEN b = 1 AND a <> 1 THEN len ELSE 0 END) OVER (PARTITION BY cluster_id) last FROM r)
+ SELECT unit_id, cluster_id, seq, sha256(observation) text_sha256, a = 1 OR b = 1 OR anchor + newest <= 700 kept, anchor + last > 700 overflow FROM c""")
+def q2_pool_rows(spark, d):
+    """The pool itself: every turn, with whether its history keeps it."""
+    turns = V.unit(spark, d)
+    pool = jobs.collect_pool(turns, turns.select("unit_id", F.lit("ok").alias("status")), 700)["pool"]
+    return pool.select("unit_id", "cluster_id", "seq", F.sha2("observation", 256).alias("text_sha256"), "kept", "overflow")
+
+
+@query("""WITH l AS (SELECT l_orderkey k, count(*) calls, string_agg(l_linenumber || ':' || l_returnflag || ':' || (l_quantity >= 10), ',' ORDER BY l_linenumber, l_returnflag, l_quantity >= 10) t FROM lineitem GROUP BY 1)
+ SELECT o_orderkey unit_id, coalesce(calls, 0)::INT calls, sha256(coalesce(t, '')) draws_sha256 FROM orders LEFT JOIN l ON k = o_orderkey WHERE o_orderpriority LIKE '1%' AND o_orderstatus <> 'P'""")
+def q5_records(spark, d):
+    """The records: selected units of the pool with all their draws, valid or not, in order."""
+    o = V._t(spark, d, "orders")
+    unit = F.col("o_orderkey").alias("unit_id")
+    draws = V._t(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("sample"), F.col("l_returnflag").alias("action"), (F.col("l_quantity") >= 10).alias("valid"))
+    made = jobs.annotate(o.where("o_orderstatus <> 'P'").select(unit), o.where(F.col("o_orderpriority").startswith("1")).select(unit), draws, 4)["records"]
+    told = F.array_join(F.transform("draws", lambda x: F.concat_ws(":", x["sample"].cast("string"), x["action"], x["valid"].cast("string"))), ",")
+    return made.select("unit_id", F.size("draws").alias("calls"), F.sha2(told, 256).alias("draws_sha256"))
+
+
+@query(f"""WITH {V.OUTCOME}, r AS (SELECT replicate_id, count(*) n, count(DISTINCT cluster_id) c, avg(treatment) rate, CASE WHEN replicate_id % 2 = 0 THEN avg(treatment) ELSE round(avg(treatment), 2) END reported FROM v_eval GROUP BY 1),
+ a AS (SELECT count(DISTINCT cluster_id) a FROM v_eval)
+ SELECT replicate_id, cluster_id, treatment "value" FROM v_eval JOIN r USING (replicate_id), a WHERE n = c AND c = a AND abs(rate - reported) <= 1e-12""")
+def q11_accepted_outcomes(spark, d):
+    """The outcomes of evaluations that hold what they report; odd replicates report in two digits."""
+    e = V.outcome(spark, d).select("replicate_id", "cluster_id", F.col("treatment").alias("value"))
+    rate = F.avg("value")
+    reported = e.groupBy("replicate_id").agg(F.when(F.col("replicate_id") % 2 == 0, rate).otherwise(F.round(rate, 2)).alias("reported"))
+    return jobs.aggregate_evaluations(e.join(reported, "replicate_id"))["accepted"]
+
+
+@query(f"""WITH {ORDER_RANKS}, l AS (SELECT l_orderkey::VARCHAR unit_id, l_returnflag action, l_quantity >= 10 valid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity >= 10) - 1 i FROM lineitem WHERE l_linenumber <= 3),
+ u AS (SELECT unit_id, cluster_id, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END base_value FROM k JOIN orders ON o_orderkey::VARCHAR = unit_id WHERE rn <= 2),
+ n AS (SELECT unit_id, count(*) FILTER (valid) k FROM l GROUP BY 1), kk AS (SELECT u.*, n.k FROM u JOIN n USING (unit_id) WHERE n.k > 0), vv AS (SELECT cluster_id, count(*) v FROM kk GROUP BY 1)
+ SELECT unit_id, cluster_id, i::INT sample_index, action, base_value, action <> base_value disagreement, round(1.0 / (v * kk.k), 6) weight FROM kk JOIN vv USING (cluster_id) JOIN l USING (unit_id) WHERE valid""")
+def q23_training_rows(spark, d):
+    """What the whole chain ends with: weighted training rows of the accepted draws."""
+    made = jobs.whole_chain(_order_pool(spark, d), _order_draws(spark, d), 3)["rows"]
+    return R(made.select("unit_id", "cluster_id", "sample_index", "action", "base_value", "disagreement", "weight"), "weight")
+
+
+REPORTED = lambda name, v: f"""SELECT * FROM (WITH a AS {CP('v_unit', v)}, b AS {CP('sel', v)}, j AS (SELECT cluster_id, v, coalesce(a.p, 0) a, coalesce(b.p, 0) b FROM a FULL JOIN b USING (cluster_id, v)),
+ c AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 cluster_no FROM (SELECT DISTINCT cluster_id FROM j)), nn AS (SELECT count(*) n FROM c),
+ dr AS (SELECT rep, cast(('0x' || substr(sha256('42|j|' || rep || '|' || i), 1, 12)) AS bigint) % n cluster_no FROM nn, range(60) x(rep), LATERAL (SELECT unnest(range(n)) i)), w AS (SELECT rep, cluster_no, count(*) w FROM dr GROUP BY 1, 2),
+ m AS (SELECT rep, v, sum(w * a) / any_value(n) a, sum(w * b) / any_value(n) b FROM w JOIN c USING (cluster_no) JOIN j USING (cluster_id), nn GROUP BY 1, 2), x AS (SELECT rep, {JS} x FROM m GROUP BY 1),
+ e AS (SELECT {JS} e FROM (SELECT v, sum(a) / any_value(n) a, sum(b) / any_value(n) b FROM j, nn GROUP BY 1))
+ SELECT '{name}' feature, round((SELECT e FROM e), 6) estimate, round({FLOORQ(0.025, 60)}, 6) lower, round({FLOORQ(0.975, 60)}, 6) upper FROM x)"""
+
+
+@query(f"WITH {V.UNIT}, {SEL} {REPORTED('role', 'role')} UNION ALL {REPORTED('invalid', '(NOT valid)::VARCHAR')}")
+def q14_representativeness(spark, d):
+    """How far two units a cluster are from all of them, feature by feature, with intervals."""
+    units = V.unit(spark, d)
+    features = {"role": F.col("role"), "invalid": (~F.col("valid")).cast("string")}
+    return R(jobs.representativeness(units, sampling.nested_selection(units, 2), features, 60)["report"], "estimate", "lower", "upper")
+
+
+@query(f"""WITH {V.UNIT}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {PRIORITY}, unit_id) rn FROM v_unit),
+ b AS (SELECT count(*) FILTER (rn <= 4) bc, 4 * count(*) FILTER (rn <= 1) dc, count(DISTINCT cluster_id) FILTER (rn <= 4) b1, count(DISTINCT cluster_id) FILTER (rn <= 1) d1, max(seq) FILTER (rn <= 4) b2, max(seq) FILTER (rn <= 1) d2 FROM r)
+ SELECT 'same_budget' code, 'pair' "key" FROM b WHERE bc <> dc UNION ALL SELECT 'config_differs', 'training.clusters' FROM b WHERE b1 <> d1 UNION ALL SELECT 'config_differs', 'training.longest' FROM b WHERE b2 <> d2""")
+def q6_pair_contracts(spark, d):
+    """Four units a cluster with one call each against one unit with four: budgets, membership, and the two runs' configurations."""
+    units = V.unit(spark, d)
+    broad = sampling.nested_selection(units, 4).select("unit_id", "cluster_id", "seq", F.lit(1).alias("calls"))
+    deep = sampling.nested_selection(units, 1).select("unit_id", "cluster_id", "seq", F.lit(4).alias("calls"))
+    run = lambda df, arm: df.agg(F.count("*").alias("units"), F.max("calls").alias("calls"), F.count_distinct("cluster_id").alias("n"), F.max("seq").alias("longest")).select(
+        F.lit(arm).alias("arm"), F.to_json(F.struct(F.lit(arm).alias("arm"), "units", "calls", F.struct(F.col("n").alias("clusters"), "longest").alias("training"))).alias("config"))
+    return jobs.validate_pair(units, broad, deep, run(broad, "broad").unionByName(run(deep, "deep")), ("arm", "units", "calls"))["violations"]

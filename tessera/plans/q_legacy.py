@@ -178,5 +178,6 @@ def g15_random_neighbours(spark, d):
  SELECT unit_id, cluster_id, cast(history AS int) history FROM h WHERE valid AND role = 'assistant'""")
 def g17_history_rows(spark, d):
     """Targets are valid replies; invalid turns stay in their histories."""
-    h = history.cumulative(V.unit(spark, d), "cluster_id", "seq", ["role", "observation"])
-    return h.where("valid and role = 'assistant'").select("unit_id", "cluster_id", F.size("history").alias("history"))
+    line = F.concat("role", F.lit(":"), "observation")
+    h = history.told(V.unit(spark, d), "cluster_id", "seq", line, ["unit_id", "valid", "role"])
+    return h.where("valid and role = 'assistant'").select("unit_id", "cluster_id", F.col("n_messages").alias("history"))

@@ -152,9 +152,20 @@ def p10_capped_list(spark, d):
 
 @query(f"WITH {V.UNIT} SELECT cluster_id, seq, cast(len(list(observation) OVER w) AS int) n_messages, sha256(array_to_string(list(role || ':' || observation) OVER w, chr(10))) digest FROM v_unit WINDOW w AS (PARTITION BY cluster_id ORDER BY seq ROWS UNBOUNDED PRECEDING)")
 def w5_cumulative_history(spark, d):
-    h = history.cumulative(V.unit(spark, d).select("cluster_id", "seq", "role", "observation"), "cluster_id", "seq", ["role", "observation"])
-    lines = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["observation"])), "\n")
-    return h.select("cluster_id", "seq", F.size("history").alias("n_messages"), F.sha2(lines, 256).alias("digest"))
+    return _told(spark, d).select("cluster_id", "seq", "n_messages", "digest")
+
+
+def _told(spark, d):
+    line = F.concat("role", F.lit(":"), "observation")
+    return history.told(V.unit(spark, d).select("cluster_id", "seq", "role", "observation"), "cluster_id", "seq", line, [])
+
+
+@query(f"""WITH RECURSIVE {V.UNIT}, r AS (SELECT cluster_id, seq, role || ':' || observation line, row_number() OVER (PARTITION BY cluster_id ORDER BY seq) a FROM v_unit),
+ c AS (SELECT cluster_id, seq, a, sha256(chr(10) || line) chain FROM r WHERE a = 1 UNION ALL SELECT r.cluster_id, r.seq, r.a, sha256(c.chain || chr(10) || r.line) FROM c JOIN r ON r.cluster_id = c.cluster_id AND r.a = c.a + 1)
+ SELECT cluster_id, seq, chain FROM c""")
+def w5_prefix_chain(spark, d):
+    """The identity of each history, by a chain that takes every message once."""
+    return _told(spark, d).select("cluster_id", "seq", "chain")
 
 
 @query(f"""WITH {V.UNIT}, r AS (SELECT *, length(observation) len, row_number() OVER (PARTITION BY cluster_id ORDER BY seq) a, row_number() OVER (PARTITION BY cluster_id ORDER BY seq DESC) b FROM v_unit),
