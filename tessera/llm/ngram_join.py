@@ -32,7 +32,8 @@ MOST_HASHES = 256
 #: Members of a block of a large bucket.
 BLOCK = 384
 SALT = 16
-GROUP_BYTES = 4 << 20
+#: Bytes of texts that block pairs of one group are sent: what a task holds at a time, beside what one block pair needs.
+GROUP_BYTES = 1 << 20
 MEMO = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
