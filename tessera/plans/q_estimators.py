@@ -311,9 +311,30 @@ def i6_position_bootstrap(spark, d):
     return R(bootstrap.ratio(spark, _totals(spark, d), "ab", "a", "cluster_id", 200, linear=True), "estimate", "lower", "upper")
 
 
-@query()
+#: The design of the regression, its columns in order of the names, the outcome last.
+TERMS = ["intercept", "urgent", "s", "s_x_urgent", "o_orderstatus[O]", "o_orderstatus[P]"]
+DESIGN = """d AS (SELECT o_custkey % 50 cluster, 1.0::DOUBLE x0, (o_orderpriority LIKE '1%')::INT::DOUBLE x1, (o_orderkey % 97) / 97.0::DOUBLE x2, (o_orderkey % 97) / 97.0::DOUBLE * (o_orderpriority LIKE '1%')::INT x3,
+ (o_orderstatus = 'O')::INT::DOUBLE x4, (o_orderstatus = 'P')::INT::DOUBLE x5, o_totalprice / 1000 x6 FROM orders)"""
+
+
+def eliminated(table: str, keep: str, k: int = 6) -> tuple[str, str]:
+    """CTEs that solve the normal equations in columns m<i>_<j> of a table by Gauss-Jordan elimination, and the last one's name."""
+    steps, last = [], table
+    for p in range(k):
+        cells = [f"m{i}_{j} - m{i}_{p} / m{p}_{p} * m{p}_{j} m{i}_{j}" if i != p else f"m{i}_{j} / m{p}_{p} m{i}_{j}" for i in range(k) for j in range(k + 1)]
+        steps.append(f"{table}{p} AS (SELECT {keep}{', '.join(cells)} FROM {last})")
+        last = f"{table}{p}"
+    return ", ".join(steps), last
+
+
+PRODUCTS = lambda w: ", ".join(f"sum({w}x{i} * x{j}) m{i}_{j}" for i in range(6) for j in range(7))
+NORMAL, SOLVED = eliminated("e", "")
+NORMAL_R, SOLVED_R = eliminated("q", "rep, ")
+
+
+@query(f"WITH {DESIGN}, e AS (SELECT {PRODUCTS('')} FROM d), {NORMAL} SELECT unnest({TERMS}) term, unnest([{', '.join(f'round(m{i}_6, 6)' for i in range(6))}]) coefficient FROM {SOLVED}")
 def a20_interaction_regression(spark, d):
-    """Coefficients of a least-squares fit with interactions and indicator columns, from sums of products."""
+    """Coefficients of a least-squares fit with interactions and indicator columns, by a tree of QR factors."""
     from tessera.operators import regression
 
     rows, terms = _design(spark, d)
@@ -321,7 +342,12 @@ def a20_interaction_regression(spark, d):
     return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "term string, coefficient double")
 
 
-@query()
+@query(f"""WITH {DESIGN}, e AS (SELECT {PRODUCTS('')} FROM d), {NORMAL}, p AS (SELECT unnest(['s_x_urgent', 's']) coefficient, unnest([m3_6, m2_6]) e FROM {SOLVED}),
+ c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 cluster_no FROM (SELECT DISTINCT cluster FROM d)), nn AS (SELECT count(*) n FROM c),
+ dr AS (SELECT rep, cast(('0x' || substr(sha256('42|c|' || rep || '|' || i), 1, 12)) AS bigint) % n cluster_no FROM nn, range(200) a(rep), LATERAL (SELECT unnest(range(n)) i)),
+ w AS (SELECT rep, cluster, count(*) w FROM dr JOIN c USING (cluster_no) GROUP BY 1, 2), q AS (SELECT rep, {PRODUCTS('w * ')} FROM w JOIN d USING (cluster) GROUP BY 1), {NORMAL_R},
+ x AS (SELECT unnest(['s_x_urgent', 's']) coefficient, unnest([m3_6, m2_6]) x FROM {SOLVED_R})
+ SELECT coefficient, round(any_value(e), 6) estimate, round(quantile_cont(x, 0.025), 6) lower, round(quantile_cont(x, 0.975), 6) upper, count(*) kept FROM x JOIN p USING (coefficient) GROUP BY 1""")
 def i7_regression_bootstrap(spark, d):
     from tessera.operators import regression
 

@@ -96,7 +96,7 @@ def s13_ledger_sink(spark, d):
     rows = V._t(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("status"),
         (F.col("event_id") % 3).cast("int").alias("batch"))
     for k in range(3):
-        files.append_ledger(rows.where(F.col("batch") == k), path)
+        files.append_ledger(rows.where(F.col("batch") == k), path, "request_id")
     return spark.read.schema(rows.schema).parquet(path).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("batch") == 2).alias("last_batch"))
 
 

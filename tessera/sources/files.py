@@ -52,8 +52,21 @@ def episodes(files: DataFrame, path: str = "path", skipped: Iterable[str] = (),
     return found.where(keep).select("task", "trial", "path")
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Adds requests to a ledger, all of them or none; one whose status is an error is a row like any other."""
+def append_ledger(rows: DataFrame, path: str, key: str | None = None) -> None:
+    """Adds requests to a ledger, all of them or none; one whose status is an error is a row like any other.
+
+    With a key, requests that repeat one of their own or of the ledger are refused before anything is written.
+    """
+    if key:
+        spark = rows.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        twice = rows.groupBy(key).count().where("count > 1").select(key)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            held = spark.read.schema(rows.schema).parquet(path).select(key)
+            twice = twice.unionByName(rows.select(key).join(held, key, "left_semi"))
+        found = [str(r[0]) for r in twice.limit(5).collect()]
+        if found:
+            raise ValueError(f"requests that the ledger has, or that occur twice: {', '.join(found)}")
     rows.write.mode("append").parquet(path)
 
 

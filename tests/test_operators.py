@@ -324,3 +324,22 @@ def test_means_of_vectors_with_null_coordinates(spark, n):
     assert got == {"a": [2.0, 4.0, 4.0] + tail, "b": [1.0, None, 3.0] + tail, "c": [], "d": [3.0, 6.0], "e": [1.0]}
     weighted = {r["g"]: r["mean"] for r in vectors.mean_vector(df, ["g"], "v", "w").collect()}
     assert weighted == {"a": [2.5, 4.0, 4.5] + tail, "b": [1.0, None, 3.0] + tail, "c": [], "d": [1.0, None], "e": [None]}
+
+
+def test_nearly_collinear_least_squares(spark):
+    """Columns that differ by a part in ten million: sums of raw products would lose all digits of the difference."""
+    import numpy as np
+    from tessera.operators import regression
+
+    rng = np.random.default_rng(3)
+    a, noise = rng.integers(-50, 50, 4_000).astype(float), rng.integers(-50, 50, 4_000).astype(float)
+    b = a + noise * 2.0**-23
+    y = 3.0 + 2.0 * a - 5.0 * (b - a)
+    df = spark.createDataFrame([(float(u), float(v), float(w), int(i % 40)) for i, (u, v, w) in enumerate(zip(a, b, y))] + [(None, 1.0, 1.0, 1)], "a double, b double, y double, c int").repartition(7)
+    terms = {"one": F.lit(1.0), "a": F.col("a"), "b": F.col("b")}
+    got = regression.fit(df, terms, F.col("y"), "c")
+    assert abs(got["one"] - 3.0) < 1e-8 and abs(got["a"] - 7.0) < 1e-6 and abs(got["b"] + 5.0) < 1e-6 and abs(got["a"] + got["b"] - 2.0) < 1e-8
+    r = regression.bootstrap(df, terms, F.col("y"), "c", ["b"], 20).first()
+    assert r["kept"] == 20 and abs(r["lower"] + 5) < 1e-4 and abs(r["upper"] + 5) < 1e-4
+    with pytest.raises(ValueError):
+        regression.fit(df, terms | {"twice": F.col("a") * 2}, F.col("y"), "c")
