@@ -11,7 +11,8 @@ as they are, not by digest, and each identifier must be met through its digest e
 texts never move; a different chunk does once for each task that cut it, and after that only identifiers.
 
 Cases: null counts as empty; empty texts are equal to each other, and so are texts of white space only (one space); a null
-id comes after all others; of rows that repeat an id and a text one stays; extra columns pass through `stage`.
+id comes after all others; of rows that repeat an id and a text one stays; texts of any length are cut into chunks and
+compared whole; an empty table gives an empty one; extra columns pass through `stage`, whatever they are called.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ links, the other documents whose n-gram sets have a Jaccard similarity of the th
 
 Cases: a text of fewer words than an n-gram has its words together as its only one, so equal short texts are copies; a
 null, empty or blank text has none and links to nothing; rows that repeat an id count as rows; a null id comes after all
-others; texts are read whole.
+others; texts are read whole; an empty table gives an empty one; `stage` keeps all columns, whatever they are called, and the
+query reads doc_id and text only.
 """
 
 from __future__ import annotations

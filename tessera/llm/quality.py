@@ -1,7 +1,7 @@
 """Quality rules: one table of thresholds, compiled into one projection of built-in functions.
 
 Cases: a null text has no words and no lines and fails on its length; an empty text likewise; texts of any
-length cost n log n at most; repeated rows are judged alike; extra columns pass through `stage`, whatever their names.
+length cost n log n at most; repeated rows are judged alike; an empty table gives an empty one; extra columns pass through `stage`, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ whole: each of its windows is a segment of its own and goes to a shard by its ow
 
 Words are compared by 64-bit hashes. Cases: null and empty texts have no words; texts shorter than a window lose
 nothing; of equal texts the smallest id keeps its words; rows with one id aren't repeats of each other; texts of any
-length are cut whole; extra columns pass through `stage`.
+length are cut whole; an empty table gives an empty one; extra columns pass through `stage`, but for `n_chars`, which is the text's
+length in characters there and is set anew where the text is cut.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ occurrence of a segment is decided by itself. A task remembers a segment's piece
 to them; an occurrence whose hashes skip none of those has these pieces, and the agenda runs again for the others.
 
 Cases: null text has null ids; an empty text has none; characters that the model lacks become byte pieces; a literal
-word mark (U+2581) becomes byte pieces too, so that decoding gives it back; texts of any length are encoded whole.
+word mark (U+2581) becomes byte pieces too, so that decoding gives it back; texts of any length are encoded whole; repeated rows
+are alike, as an occurrence is told by its document's id and its place; a null id is one id; equal scores go to the leftmost
+place; an empty table gives an empty one; other columns play no part, whatever they are called.
 """
 
 from __future__ import annotations

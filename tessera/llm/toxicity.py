@@ -11,7 +11,9 @@ that hash; texts stay on the executors, and the driver gets terms, phrases and s
 
 Cases: a null or empty text matches nothing and gets the score of a text without matches; duplicate rows and labels are
 scored alike (of several labels of an id the largest holds, and any but 0 is toxic); texts of one id are each a row of the
-fit; without both kinds of training rows the score is constant.
+fit; without both kinds of training rows the score is constant; entries of equal worth go by their spelling; texts of any
+length are matched whole; a null id is held out of no fold and has no label; an empty table gives an empty one; other columns
+play no part, whatever they are called.
 """
 
 from __future__ import annotations
