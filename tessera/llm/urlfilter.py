@@ -4,10 +4,13 @@ The tables carry no judgement of URLs, so labels are weak ones: a URL is bad if
 not. The trees never see words, only lengths, depth, ratios, entropy, counts and suffix statistics, so they judge hosts by
 their form and find bad ones whose words no seed names; `withheld` measures that, by leaving a seed's URLs out of the fit.
 The fit reads at most `most` labelled rows, half of each kind where there are so many, the first by a hash of the URL. A
-suffix's rate of bad URLs is taken, for a row of the fit, from the other folds of hosts only. Every URL is judged.
+suffix's rate of bad URLs is taken, for a row of the fit, from the other folds of hosts only; there are rates of the host's last
+label, last two and last three, each backed by the shorter one's where rows are few. Every URL is judged.
 
 Cases: a null URL or one without `://` has an empty host and path, fits no rule and is judged by its features, all zero for
-null; repeated rows are judged alike; if all URLs of the table are of one kind, those without a rule get that kind's verdict.
+null; repeated rows are judged alike; if all URLs of the table are of one kind, those without a rule get that kind's verdict; rules
+of equal length that fit are decided by their order, the later one holds; URLs of any length are judged whole; an empty table
+gives an empty one; other columns play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ RULES = (
 #: Words of hosts that are labelled bad.
 SEEDS = ("casino", "bets", "pills", "ads-track", "spam", "adult")
 MAX_LABELLED = 20_000
+#: Labels of a suffix, from the least specific on.
+LEVELS = (1, 2, 3)
 #: Folds of hosts, by which a row's suffix statistics leave out its own.
 FOLDS = 5
+#: Rows of the shorter suffix's rate that a suffix's own are mixed with.
+BACKING = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,11 +80,13 @@ FEATURES = {
 
 
 def featured(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, suffix (the host's last label) and the features."""
+    """page_id, url, host, path, suffixes (the host's last label, last two and last three) and the features."""
     host, path = host_and_path(F.col("url"))
     cut = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     made = [F.coalesce(f(F.col("url"), F.col("host"), F.col("path")).cast("double"), F.lit(0.0)).alias(name) for name, f in FEATURES.items()]
-    return cut.select("*", F.element_at(F.split("host", "[.]"), -1).alias("suffix"), *made)
+    labels = F.split("host", "[.]")
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - k, F.lit(0)) + 1, F.lit(k)), ".")
+    return cut.select("*", *[last(k).alias(f"suffix_{k}") for k in LEVELS], *made)
 
 
 def is_bad(host: Column, seeds=SEEDS) -> Column:
@@ -94,8 +103,14 @@ def labelled(rows: DataFrame, seeds=SEEDS, most: int = MAX_LABELLED) -> DataFram
     return first(1.0).unionByName(first(0.0))
 
 
-def _rate(bad: Column, n: Column, prior: float) -> Column:
-    return (bad + 20 * prior) / (n + 20)
+def _suffix_statistics(bad: str, n: str, prior: float) -> list[Column]:
+    """A rate and a count for each level; what a suffix lacks in rows comes from the shorter one's rate."""
+    out, rate = [], F.lit(float(prior))
+    for k in LEVELS:
+        here_bad, here_n = F.coalesce(F.col(f"{bad}_{k}"), F.lit(0.0)), F.coalesce(F.col(f"{n}_{k}"), F.lit(0))
+        rate = (here_bad + BACKING * rate) / (here_n + BACKING)
+        out += [rate.alias(f"suffix_rate_{k}"), F.log1p(here_n).alias(f"suffix_count_{k}")]
+    return out
 
 
 def fitted(rows: DataFrame, seeds=SEEDS, most: int = MAX_LABELLED):
@@ -109,21 +124,28 @@ def fitted(rows: DataFrame, seeds=SEEDS, most: int = MAX_LABELLED):
     prior = kinds.get(1.0, 0) / max(1, sum(kinds.values()))
     if len(kinds) < 2:
         return None, prior
-    # as many suffixes as labelled rows at most
-    by_fold = sample.groupBy("suffix", "fold").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    whole = durable(by_fold.groupBy("suffix").agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n")), "suffixes")
-    vectors = VectorAssembler(inputCols=[*FEATURES, "suffix_rate", "suffix_count"], outputCol="features")
-    other_bad, other_n = F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")
-    learned = sample.join(F.broadcast(by_fold), ["suffix", "fold"]).join(F.broadcast(whole), "suffix")
-    learned = learned.select(*FEATURES, "label", _rate(other_bad, other_n, prior).alias("suffix_rate"), F.log1p(other_n).alias("suffix_count"))
+    # as many suffixes of a level as labelled rows at most
+    learned, of_all = sample, []
+    for k in LEVELS:
+        by_fold = sample.groupBy(f"suffix_{k}", "fold").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+        whole = durable(by_fold.groupBy(f"suffix_{k}").agg(F.sum("bad").alias(f"bad_{k}"), F.sum("n").alias(f"n_{k}")), "suffixes")
+        of_all.append(whole)
+        learned = learned.join(F.broadcast(by_fold), [f"suffix_{k}", "fold"]).join(F.broadcast(whole), f"suffix_{k}")
+        learned = learned.withColumns({f"other_bad_{k}": F.col(f"bad_{k}") - F.col("bad"), f"other_n_{k}": F.col(f"n_{k}") - F.col("n")}).drop("bad", "n")
+    statistics = [f"suffix_{what}_{k}" for k in LEVELS for what in ("rate", "count")]
+    vectors = VectorAssembler(inputCols=[*FEATURES, *statistics], outputCol="features")
+    learned = learned.select(*FEATURES, "label", *_suffix_statistics("other_bad", "other_n", prior))
     trees = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, seed=7, checkpointInterval=-1).fit(vectors.transform(learned).select("features", "label"))
     discard(sample)
-    of_all = whole.select("suffix", _rate(F.col("all_bad"), F.col("all_n"), prior).alias("suffix_rate"), F.log1p("all_n").alias("suffix_count"))
 
     def scored(df: DataFrame) -> DataFrame:
-        told = df.join(F.broadcast(of_all), "suffix", "left").fillna({"suffix_rate": prior, "suffix_count": 0.0})
+        told = df
+        for k, whole in zip(LEVELS, of_all):
+            told = told.join(F.broadcast(whole), f"suffix_{k}", "left")
+        told = told.select("*", *_suffix_statistics("bad", "n", prior))
         return trees.transform(vectors.transform(told)).withColumn("score", vector_to_array("probability")[1])
 
+    scored.trees = trees
     return scored, prior
 
 
