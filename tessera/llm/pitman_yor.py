@@ -5,17 +5,19 @@ all contexts that end in v share it, and all of these share the root, the restau
 with a slot for unknown words. Training words are customers of the two-word restaurants, tables of a restaurant are
 customers of its parent.
 
-Seating is sampled by Gibbs sweeps in blocks: all customers of one dish in one restaurant are seated anew at once, given
-the other dishes' tables of the last sweep and the parent's probability. With discount d a seating of c customers at t
-tables has the weight r^t S_d(c, t), r being (strength + d * tables) * the parent's probability and S_d a generalised
-Stirling number. With d = 1/2 these have a closed form, and the number of tables, all that a prediction needs to know of
-a seating, is drawn from its conditional exactly, whether a dish has two customers or billions. The root has discount 0,
-so its own seating doesn't enter its predictions. Predictions are averaged over the samples after burn-in, what the lower
-levels say, what they leave to the root, and the root's probability each.
+Seating is sampled in sweeps of blocks: all customers of one dish in one restaurant are seated anew at once, and the blocks of
+a level at the same time, given the state after the last sweep. With discount d a seating of c customers at t tables is drawn with
+the weight r^t S_d(c, t), r being (strength + d * tables) * the parent's probability and S_d a generalised Stirling number. With
+d = 1/2 these have a closed form, so this number of tables, all that a prediction needs to know of a seating, is drawn
+exactly from that weight, whether a dish has two customers or billions. It is an approximation of Gibbs sampling, not the
+sampler itself: r counts the dish's own tables of the last sweep, it doesn't rise while they are added, blocks of a restaurant
+don't see each other's new tables, and while the lower levels are seated the root has the probabilities of the corpus's counts. The
+root has discount 0, so its own seating doesn't enter its predictions. Predictions are averaged over the samples after
+burn-in, what the lower levels say, what they leave to the root, and the root's probability each.
 
 A word that is a context more than ROOM times has rooms, twice as many for each doubling: the dish's hash tells the room, the
 shares of the rooms are their parts of the training words (with one customer spread evenly), and inside a room restaurants
-are as above. Rooms follow from the corpus alone, so no partitioning changes a score: random numbers are hashes of words,
+are as above; that too is an approximation, for very frequent contexts only. Rooms follow from the corpus alone, so no partitioning changes a score: random numbers are hashes of words,
 sweep and level, counts are whole numbers, and what two restaurants share is exchanged and not estimated.
 
 How it is dealt out. The corpus becomes a table of chunks. Each chunk sends its different words, as they are, to word
@@ -27,7 +29,8 @@ this together with the root. Nothing is broadcast but a number for each word gro
 only sums, one row a word group, come to the driver.
 
 Cases: a null or empty text is its end token; with no training rows every word has the base's probability; repeated rows
-count as often as they occur; ids may repeat; a null id is a training row; texts are read whole.
+count as often as they occur; ids may repeat; a null id is a training row; texts are read whole; an empty table gives an
+empty one; other columns play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -568,5 +571,10 @@ def score(docs: DataFrame, folds: int = FOLDS, room: int = ROOM, groups: int | N
     return out
 
 
+def with_perplexity(scores: DataFrame) -> DataFrame:
+    """scores with each text's perplexity: 10 to the mean of minus the log10 probability of its tokens, the end included."""
+    return scores.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
 def op1_pitman_yor(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return with_perplexity(score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

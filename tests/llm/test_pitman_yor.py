@@ -236,3 +236,11 @@ def test_edges(spark, empty):
     only = py.score(spark.createDataFrame([(held, "a b a")], schema)).collect()[0]
     assert only["train_tokens"] == 0 and only["n_known"] == 0 and math.isfinite(only["score"])
     assert py.score(spark.createDataFrame([(1, "y " * 60_000)], schema)).collect()[0]["n_tokens"] == 60_001
+
+
+def test_perplexity_and_clashing_columns(spark, empty):
+    rows = [(k, "a b a c", 7, "x") for k in range(30)] + [(99, None, 7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, score string")
+    got = py.with_perplexity(py.score(df)).collect()
+    assert len(got) == 31 and all(math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"])) and r["perplexity"] >= 1 for r in got)
+    assert py.with_perplexity(py.score(empty)).count() == 0
