@@ -8,7 +8,7 @@ from tessera.operators import sampling
 from tessera.plans import views as V
 from tessera.plans.q_sampling import PRIORITY
 from tessera.plans.registry import query
-from tessera.sources import records
+from tessera.sources import records, stores
 from tessera.streaming import ledger
 
 SEL = f"sel AS (SELECT unit_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {PRIORITY}, unit_id) rn FROM v_unit) WHERE rn <= 1)"
@@ -46,6 +46,20 @@ def j4_exact_cover(spark, d):
     return b.join(u, "score_id", "full").select("score_id", side.alias("side"), F.round(F.col("u") - F.col("b"), 6).alias("change"))
 
 
+@query("""WITH b AS (SELECT o_orderkey score_id, o_totalprice s FROM orders WHERE o_orderkey % 5 <> 0), u AS (SELECT o_orderkey score_id, o_totalprice + 1 s FROM orders WHERE o_orderkey % 6 <> 0),
+ l AS (SELECT l_orderkey score_id, count(*) n FROM lineitem GROUP BY 1)
+ SELECT score_id, CASE WHEN b.s IS NULL THEN 'only_updated' WHEN u.s IS NULL THEN 'only_base' ELSE 'paired' END side, coalesce(n, 0) n FROM b FULL JOIN u USING (score_id) LEFT JOIN l USING (score_id)""")
+def j4_stores(spark, d):
+    """Three stores of one layout: base and updated scores, and the lines of each, met on the key without moving rows again."""
+    o = V._t(spark, d, "orders").select(F.col("o_orderkey").alias("score_id"), F.col("o_totalprice").alias("s"))
+    lines = V._t(spark, d, "lineitem").select(F.col("l_orderkey").alias("score_id"), "l_linenumber")
+    layout = stores.Layout.of(lines, "score_id")
+    base = stores.stored(o.where("score_id % 5 <> 0").select("score_id", F.col("s").alias("b")), layout, "base")
+    updated = stores.stored(o.where("score_id % 6 <> 0").select("score_id", (F.col("s") + 1).alias("u")), layout, "updated")
+    counts = stores.stored(lines, layout, "lines").groupBy("score_id").agg(F.count("*").alias("n"))
+    return stores.covered(base, updated, "score_id").join(counts, "score_id", "left").select("score_id", "side", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("WITH m AS (SELECT l_orderkey, l_partkey FROM lineitem), p AS (SELECT p_partkey, p_retailprice x FROM part) "
     "SELECT l_orderkey, round(avg(x), 6) mean_score, count(*) n FROM m JOIN p ON l_partkey = p_partkey GROUP BY 1")
 def j5_explode_join_aggregate(spark, d):
