@@ -23,20 +23,27 @@ def token_counts(df: DataFrame, key: str, text: str, stop_words=(), carried=())
     return exploded.groupBy(key, *carried, "token").agg(F.count("*").alias("n"))
 
 
-#: Parts into which the right side's rows of a token are dealt.
-SALT = 16
+#: Right rows of a token in one part.
+PART = 20_000
 
 
-def cosine_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within=()) -> DataFrame:
+def cosine_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within=(), once: bool = False) -> DataFrame:
     """left_key, right_key, cosine of count vectors, for pairs with a common token that agree in the columns `within`.
 
-    The counts meet on their tokens, so no pair without a common token is looked at; others have cosine 0. A frequent token's
-    texts on the right, the side that grows, are dealt into parts; the left side, a set of queries, goes to each.
+    The counts meet on their tokens, so no pair without a common token is looked at; others have cosine 0. A token with more
+    than PART rows on the right has these dealt into parts, and only then the left's rows of it are copied to each. once: the
+    sides are one table, and of (a, b) and (b, a) only the pair with the smaller key on the left is formed.
     """
     norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"{k}_norm"))
-    asked = left.select(left_key, "token", *within, F.col("n").alias("__n_left"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-    found = right.select(right_key, "token", *within, F.col("n").alias("__n_right"), F.pmod(F.xxhash64(right_key), F.lit(SALT)).cast("int").alias("__salt"))
-    dots = asked.join(found, ["token", *within, "__salt"]).groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
+    on = ["token", *within]
+    parts = right.groupBy(*on).agg(F.ceil(F.count("*") / PART).cast("int").alias("__parts"))
+    asked = left.select(left_key, *on, F.col("n").alias("__n_left")).join(parts, on)
+    asked = asked.select(left_key, *on, "__n_left", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+    found = right.join(parts, on).select(right_key, *on, F.col("n").alias("__n_right"), F.pmod(F.xxhash64(right_key), F.col("__parts")).cast("int").alias("__part"))
+    met = asked.join(found, [*on, "__part"])
+    if once:
+        met = met.where(F.col(left_key) < F.col(right_key))
+    dots = met.groupBy(left_key, right_key).agg(F.sum(F.col("__n_left") * F.col("__n_right")).alias("dot"))
     return dots.join(norm(left, left_key), left_key).join(norm(right, right_key), right_key).select(left_key, right_key,
         (F.col("dot") / (F.col(f"{left_key}_norm") * F.col(f"{right_key}_norm"))).alias("cosine"))
 

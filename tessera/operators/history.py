@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranking import running
+
 
 def ordered(cluster: str, seq: str) -> Window:
     return Window.partitionBy(cluster).orderBy(seq)
@@ -62,9 +64,23 @@ def first_where(turns: DataFrame, condition: Column, cluster: str, seq: str) ->
     return turns.where(condition).withColumn("rn", F.row_number().over(ordered(cluster, seq))).where("rn = 1").drop("rn")
 
 
+#: Points of a series that one task smooths.
+STRETCH = 100_000
+
+
 def moving_average(points: DataFrame, value: str, seq: str, width: int, series: str) -> DataFrame:
-    """Trailing mean over up to `width` points, of fewer at the start."""
-    return points.withColumn("smooth", F.avg(value).over(ordered(series, seq).rowsBetween(1 - width, Window.currentRow)))
+    """Trailing mean over up to `width` points, of fewer at the start.
+
+    A series is cut into stretches by its points' places; the last points of a stretch are copied to the next one, where they
+    only serve the first means.
+    """
+    placed = running(points, series, [seq], {"__place": F.lit(1).cast("long")})
+    size = max(STRETCH, width)
+    own = F.call_function("div", F.col("__place"), F.lit(size))
+    served = F.when(F.col("__place") % size >= size - width + 1, F.array(own, own + 1)).otherwise(F.array(own))
+    near = Window.partitionBy(series, "__stretch").orderBy("__place").rowsBetween(1 - width, Window.currentRow)
+    smooth = placed.withColumn("__stretch", F.explode(served)).withColumn("smooth", F.avg(value).over(near))
+    return smooth.where(F.col("__stretch") == own).drop("__place", "__stretch")
 
 
 def head_tail_change(points: DataFrame, value: str, seq: str, n: int, series: str) -> DataFrame:

@@ -87,3 +87,17 @@ def test_histories_are_told_from_one_array(spark):
         assert (r["n_messages"], r["digest"], r["chain"]) == (len(lines), sha("\n".join(lines)), chain[r["c"]])
     wide = history.told(spark.createDataFrame(rows, "c int, k int, t string"), "c", "k", F.col("t"), [])
     assert "array" not in str([f.dataType for f in wide.schema.fields]).lower()
+
+
+@pytest.mark.parametrize("stretch,width", [(100_000, 5), (7, 5), (7, 1), (4, 9)])
+def test_moving_average_over_stretches(spark, monkeypatch, stretch, width):
+    monkeypatch.setattr(history, "STRETCH", stretch)
+    rnd = random.Random(6)
+    rows = [(s, k * 3, None if rnd.random() < 0.1 else rnd.random()) for s in ("a", "b", None) for k in rnd.sample(range(60), 41)]
+    got = {(r["s"], r["k"]): r["smooth"] for r in history.moving_average(spark.createDataFrame(rows, "s string, k int, v double"), "v", "k", width, "s").collect()}
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        mine = sorted((k, v) for x, k, v in rows if x == s)
+        for i, (k, _) in enumerate(mine):
+            near = [v for _, v in mine[max(0, i - width + 1) : i + 1] if v is not None]
+            assert got[s, k] == (pytest.approx(sum(near) / len(near)) if near else None)
