@@ -17,7 +17,8 @@ def tokens(text: Column) -> Column:
 
 def token_counts(df: DataFrame, key: str, text: str, stop_words=(), carried=()) -> DataFrame:
     """key, the carried columns that belong to it, token, n."""
-    exploded = df.select(key, *carried, F.explode(tokens(F.col(text))).alias("token"))
+    runs = F.explode(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("token")
+    exploded = df.select(key, *carried, runs).withColumn("token", F.lower("token"))
     if stop_words:
         exploded = exploded.where(~F.col("token").isin(*stop_words))
     return exploded.groupBy(key, *carried, "token").agg(F.count("*").alias("n"))
