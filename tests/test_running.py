@@ -70,7 +70,9 @@ def test_objects_of_any_depth(spark):
     at = "deep" + ".k" * 40
     assert got["x", at] == "7" and got["y", at] == "8" and got["x", "a.b"] == "1" and got["x", "a.none"] == "{}" and json.loads(got["x", "a.list"]) == [1, {"x": 2}]
     assert len(got) == 8
-    base = df.where("run = 'x'")
+    df = spark.createDataFrame([("x", json.dumps(nest(9, 7))), ("y", json.dumps(nest(9, 8)))], "run string, config string")
+    df = df.withColumn("config", F.concat(F.lit('{"deep":'), "config", F.lit("}")))
+    base, at = df.where("run = 'x'"), "deep" + ".k" * 9
     assert [(r["run"], r["path"]) for r in audit.differences(df, "run", "config", base).collect()] == [("y", at)]
     assert audit.differences(df, "run", "config", base, ("deep.k.k",)).count() == 0
 
