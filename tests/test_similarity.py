@@ -108,3 +108,37 @@ def test_common_tokens_are_dealt_into_parts(spark, monkeypatch):
     want = plain(targets[:20], targets, 4, 0.05, 0.5)
     found, _ = panel.neighbours(spark.createDataFrame(targets[:20], SOURCE), spark.createDataFrame(targets, SOURCE).drop("action"), 4, 1, 0.05, 0.5)
     assert {(r["source_id"], r["target_id"]) for r in found.collect()} == {(s, t) for s, x in want.items() for _, t in x[:4]}
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("weight,least", [(0.5, 0.05), (0.5, 0.3), (1.0, 0.0), (1.0, 0.3)])
+def test_every_target_at_the_threshold_is_counted(spark, weight, least, small, monkeypatch):
+    """Not the first k only; in one block or in many, with few or all tokens in the dense matrix."""
+    from tessera.operators import blocks
+
+    if small:
+        for name, value in {"ROWS": 13, "BYTES": 900, "WIDE": 4, "DEEP": 3, "DENSE": 6}.items():
+            monkeypatch.setattr(blocks, name, value)
+    targets = rows(300, 7)
+    sources = [r for r in targets if r[0] % 6 == 0]
+    want = plain(sources, targets, 5, least, weight)
+    assert max(map(len, want.values())) > 30
+    found, few = panel.neighbours(spark.createDataFrame(sources, SOURCE), spark.createDataFrame(targets, SOURCE).drop("action"), 5, 3, least, weight, whole_count=True)
+    got = {}
+    for r in found.orderBy("source_id", "rn").collect():
+        got.setdefault(r["source_id"], []).append((r["target_id"], r["eligible"]))
+    assert got == {s: [(t, len(x)) for _, t in x[:5]] for s, x in want.items() if len(x) >= 3}
+    assert {r["source_id"]: r["eligible"] for r in few.collect()} == {s: len(x) for s, x in want.items() if len(x) < 3}
+
+
+def test_counts_that_single_precision_cannot_hold():
+    import numpy as np
+    import pyarrow as pa
+    from tessera.operators import blocks
+
+    table = lambda name, ids, clusters, n: pa.table({name: pa.array(ids), "cluster": clusters, "bag": ["a b"] * len(ids), "ns": [np.array(x, "<i4").tobytes() for x in n], "square": [sum(v * v for v in x) for x in n]})
+    n, m = [(8191, 4099), (5001, 3)], [(8193, 1), (2, 7)]
+    got = blocks.met((), table("source_id", [1, 2], ["x", "y"], n), table("target_id", [5, 6], ["z", None], m), 3, 0.0, 1.0).to_pylist()
+    want = {s: sum(p * q for p, q in zip(a, m[0])) / (math.sqrt(sum(v * v for v in a)) * math.sqrt(sum(v * v for v in m[0]))) for s, a in zip((1, 2), n)}
+    assert {r["source_id"]: r["similarity"] for r in got if r["target_id"] == 5} == want
+    assert [r["n"] for r in got if r["target_id"] is None] == [1, 1] and len(got) == 4
