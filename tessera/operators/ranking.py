@@ -11,6 +11,15 @@ from pyspark.sql.window import Window
 from tessera.sources.shared import durable
 
 
+#: Rows of a part that is grouped into arrays.
+GROUPED = 500_000
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to parts of about GROUPED rows: what is gathered by these keys then takes the same memory in a task for any table."""
+    return df.repartition(max(1, -(-df.count() // GROUPED)), *keys)
+
+
 def global_rank(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """df with `place`, 0-based, and the number of rows. `order` must tell rows apart.
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, text as X
 from tessera.operators import bootstrap, checks as C, estimators as E, history, panel, sampling, vectors, weights
-from tessera.operators.ranking import global_rank
+from tessera.operators.ranking import by_key, global_rank
 from tessera.operators.single import with_values
 from tessera.sources import records
+from tessera.sources.shared import durable
 
 
 def freeze_clusters(clusters: DataFrame, used: DataFrame, limit: int = 140, seed: int = 42) -> dict[str, DataFrame]:
@@ -200,9 +201,11 @@ def annotate(pool: DataFrame, selection: DataFrame, draws: DataFrame, calls: int
     draws: unit_id, sample, action, valid; a failed call is a draw that isn't valid.
     """
     chosen = selection.select("unit_id").join(pool, "unit_id", "left_semi")
-    made = draws.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("sample", "action", "valid"))).alias("draws"))
+    made = by_key(draws, "unit_id").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("sample", "action", "valid"))).alias("draws"))
     found = chosen.join(made, "unit_id", "left").select("unit_id", F.coalesce("draws", F.array().cast(made.schema["draws"].dataType)).alias("draws"))
-    short = C.row_checks(found, F.col("unit_id"), {"budget_identity": F.size("draws") == calls})
+    # the budget needs numbers only: they are added up where the draws lie, and no draw moves
+    counted = chosen.join(draws.groupBy("unit_id").agg(F.count("*").alias("n")), "unit_id", "left").select("unit_id", F.coalesce("n", F.lit(0)).alias("n"))
+    short = C.row_checks(counted, F.col("unit_id"), {"budget_identity": F.col("n") == calls})
     return {"records": found, "violations": C.all_of(short, C.subset(selection, pool, "unit_id", "absent_from_pool"))}
 
 

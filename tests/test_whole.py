@@ -100,3 +100,21 @@ def test_alignment_of_short_and_long_sequences(spark, tmp_path):
     write(spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double"), tmp_path, "lineitem")
     got = {r["l_orderkey"]: (r["n"], r["total"], r["width"]) for r in run(spark, "p39_score_alignment", tmp_path)}
     assert got == {o: (n, n * (n - 1) / 16, 12) for o, n in sizes.items()}
+
+
+def test_budgets_are_checked_without_gathering_draws(spark):
+    """Units without draws, and with too many; the violations' plan has no arrays of draws."""
+    import io
+    from contextlib import redirect_stdout
+
+    from tessera.plans import jobs
+
+    units = lambda *ids: spark.createDataFrame([(i,) for i in ids], "unit_id long")
+    draws = spark.createDataFrame([(u, k, "a", k % 2 == 0) for u, n in {1: 2, 2: 3, 4: 2}.items() for k in range(n)], "unit_id long, sample int, action string, valid boolean")
+    made = jobs.annotate(units(1, 2, 3, 4), units(1, 2, 3, 9), draws, 2)
+    assert sorted((r["code"], r["key"]) for r in made["violations"].collect()) == [("absent_from_pool", "9"), ("budget_identity", "2"), ("budget_identity", "3")]
+    assert {r["unit_id"]: [d["sample"] for d in r["draws"]] for r in made["records"].collect()} == {1: [0, 1], 2: [0, 1, 2], 3: []}
+    out = io.StringIO()
+    with redirect_stdout(out):
+        made["violations"].explain()
+    assert "collect_list" not in out.getvalue()
