@@ -14,7 +14,7 @@ from tessera.operators import bootstrap, checks as C, estimators as E, history,
 from tessera.operators.ranking import by_key, global_rank
 from tessera.operators.single import with_values
 from tessera.sources import records
-from tessera.sources.shared import durable
+from tessera.sources.shared import discard, durable
 
 
 def freeze_clusters(clusters: DataFrame, used: DataFrame, limit: int = 140, seed: int = 42) -> dict[str, DataFrame]:
@@ -178,6 +178,7 @@ def demonstration(turns: DataFrame) -> dict[str, DataFrame]:
 
 def score_units(pool: DataFrame) -> dict[str, DataFrame]:
     """Entropy of each unit's action scores; a unit without scores, or with one twice, is refused."""
+    pool = durable(pool.select("unit_id", "cluster_id", "scores"), "scored-pool")  # gathered once for the checks and the scores
     C.enforce(C.all_of(C.unique(pool, "unit_id"), C.row_checks(pool, F.col("unit_id"), {"scores": F.size("scores") > 0})))
     return {"scores": pool.select("unit_id", "cluster_id", arrays.softmax_entropy(F.array_sort("scores")).alias("score"), F.size("scores").alias("actions"))}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import sampling
+from tessera.operators.ranking import by_key
 from tessera.operators.single import with_values
 from tessera.plans import jobs, views as V
 from tessera.plans.q_estimators import CP, FLOORQ, JS, R, SEL
@@ -35,7 +36,8 @@ def q2_collect_pool(spark, d):
  SELECT k unit_id, o_custkey cluster_id, any_value(n)::INT actions, round(-sum(CASE WHEN w > 0 THEN w / s * ln(w / s) ELSE 0 END), 6) + 0.0 score
  FROM w JOIN s USING (k) JOIN orders ON o_orderkey = k GROUP BY 1, 2""")
 def q3_score_units(spark, d):
-    pool = V._t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit_id")).agg(F.collect_list("l_quantity").alias("scores"))
+    lines = by_key(V._t(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), "l_quantity"), "unit_id")
+    pool = lines.groupBy("unit_id").agg(F.collect_list("l_quantity").alias("scores"))
     pool = pool.join(V._t(spark, d, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_custkey").alias("cluster_id")), "unit_id")
     return jobs.score_units(pool)["scores"].withColumn("score", F.round("score", 6) + 0.0)
 

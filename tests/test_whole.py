@@ -118,3 +118,28 @@ def test_budgets_are_checked_without_gathering_draws(spark):
     with redirect_stdout(out):
         made["violations"].explain()
     assert "collect_list" not in out.getvalue()
+
+
+def shown(df):
+    import io
+    from contextlib import redirect_stdout
+
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_scores_are_gathered_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """As many parts as the lines need, and once: the checks and the result read what was gathered."""
+    from tessera.operators import ranking
+    from tessera.plans import jobs
+
+    monkeypatch.setattr(ranking, "GROUPED", 50)
+    write(spark.createDataFrame([(k // 4, float(k % 4)) for k in range(400)], "l_orderkey long, l_quantity double"), tmp_path, "lineitem")
+    write(spark.createDataFrame([(k, k % 7) for k in range(100)], "o_orderkey long, o_custkey long"), tmp_path, "orders")
+    pools, real = [], jobs.score_units
+    monkeypatch.setattr(jobs, "score_units", lambda pool: pools.append(pool) or real(pool))
+    rows = registry.queries()["q3_score_units"](spark, str(tmp_path))
+    assert re.search(r"hashpartitioning\(unit_id#\d+L?, 8\), REPARTITION_BY_NUM", shown(pools[0])) and "collect_list" not in shown(rows)
+    assert {(r["actions"], r["score"]) for r in rows.collect()} == {(4, round(-sum(p * math.log(p) for p in (math.exp(x) / sum(map(math.exp, range(4))) for x in range(4))), 6))}
