@@ -50,11 +50,14 @@ def annotation_counts(records: DataFrame, calls_per_unit: int) -> DataFrame:
 
 def build_training(records: DataFrame, weighting: str = "game_state_mean", val_fraction: float = 0.1, seed: int = 42) -> dict[str, DataFrame]:
     """Training and validation rows of whole clusters, with acceptance; each cluster's weights sum to 1."""
+    records = durable(records.select("unit_id", "cluster_id", "base_value", "draws"), "records")  # read by every step below
     C.enforce(C.unique(records, "unit_id"))
-    rows = weights.training_rows(records, weighting)
+    rows = durable(weights.training_rows(records, weighting), "training-rows")
     if weighting == "game_state_mean":
         C.enforce(C.sums_to_one(rows, "cluster_id", "weight"))
-    split = sampling.cluster_split(rows.select("cluster_id").distinct(), val_fraction, "cluster_id", seed=seed).select("cluster_id", "is_validation")
+    clusters = durable(rows.select("cluster_id").distinct(), "clusters")  # the split's passes read it again and again
+    split = durable(sampling.cluster_split(clusters, val_fraction, "cluster_id", seed=seed).select("cluster_id", "is_validation"), "split")
+    discard(clusters)
     both = rows.join(split, "cluster_id")
     return {"train": both.where("not is_validation").drop("is_validation"), "validation": both.where("is_validation").drop("is_validation"),
         "acceptance": weights.acceptance(records)}

@@ -26,8 +26,11 @@ def q4_select_units(spark, d):
  JOIN s USING (cluster_id) GROUP BY 1""")
 def q7_build_training(spark, d):
     made = jobs.build_training(V.draw(spark, d))
-    one = lambda df, v: df.agg(F.count("*").alias("n_rows"), F.count_distinct("cluster_id").alias("clusters"),
-        F.count_distinct("unit_id").alias("units"), F.round(F.sum("weight"), 4).alias("weight")).select(F.lit(v).alias("is_validation"), "*")
+    # a unit is of one cluster: the job has refused others
+    units = lambda df: df.groupBy("cluster_id", "unit_id").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    clusters = lambda df: units(df).groupBy("cluster_id").agg(F.sum("n").alias("n"), F.count("unit_id").alias("units"), F.sum("w").alias("w"))
+    one = lambda df, v: clusters(df).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("cluster_id").alias("clusters"),
+        F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.round(F.sum("w"), 4).alias("weight")).select(F.lit(v).alias("is_validation"), "*")
     return one(made["train"], False).unionByName(one(made["validation"], True))
 
 

@@ -143,3 +143,17 @@ def test_scores_are_gathered_in_bounded_parts(spark, tmp_path, monkeypatch):
     rows = registry.queries()["q3_score_units"](spark, str(tmp_path))
     assert re.search(r"hashpartitioning\(unit_id#\d+L?, 8\), REPARTITION_BY_NUM", shown(pools[0])) and "collect_list" not in shown(rows)
     assert {(r["actions"], r["score"]) for r in rows.collect()} == {(4, round(-sum(p * math.log(p) for p in (math.exp(x) / sum(map(math.exp, range(4))) for x in range(4))), 6))}
+
+
+RECORDS = "unit_id long, cluster_id string, base_value string, draws array<struct<action: string, valid: boolean>>"
+
+
+def test_training_rows_come_from_one_pass_over_the_records(spark):
+    """Split passes, checks and both sides read what was written; counts by hand."""
+    from tessera.plans import jobs
+
+    rows = [(k, f"c{k % 10}", "a", [("a", True), ("b", k % 3 > 0)]) for k in range(60)]
+    made = jobs.build_training(spark.createDataFrame(rows, RECORDS), val_fraction=0.2)
+    assert not any("ExistingRDD" in shown(df) for df in made.values())
+    told = {name: (df.count(), df.select("cluster_id").distinct().count(), round(df.selectExpr("sum(weight)").first()[0], 6)) for name, df in made.items() if name != "acceptance"}
+    assert (told["train"][1:], told["validation"][1:]) == ((8, 8.0), (2, 2.0)) and told["train"][0] + told["validation"][0] == 100
