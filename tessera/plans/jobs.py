@@ -141,7 +141,7 @@ def positions(replays: DataFrame, population: DataFrame, replicates: int = 10_00
     d, c = F.col("disagreement").cast("double"), F.col("consequence").cast("double")
     units = replays.groupBy("unit_id", "cluster_id", "incl_prob").agg(F.avg(c).alias("consequence"), F.avg(d).alias("divergence"),
         F.avg(c * d).alias("divergent_consequence"), F.count("*").alias("draws"))
-    totals = E.cluster_totals(units, population, {"c": "consequence", "d": "divergence", "cd": "divergent_consequence"})
+    totals = durable(E.cluster_totals(units, population, {"c": "consequence", "d": "divergence", "cd": "divergent_consequence"}), "totals")  # every estimate reads it
     return {
         "units": units, "observed": E.balanced_indicator(units, "consequence"), "designed": E.ht_mean(totals, "c"),
             "given_disagreement": E.ht_ratio(totals, "cd", "d"),

@@ -12,6 +12,7 @@ from tessera.plans.q_estimators import CP, FLOORQ, JS, R
 from tessera.plans.q_sampling import PRIORITY, RANKED
 from tessera.plans.q_weights import ROWS
 from tessera.plans.registry import query
+from tessera.sources.shared import durable
 
 
 @query(f"{RANKED} SELECT unit_id, cluster_id, seq, 'uniform_nested' \"policy\", round(least(3, n) / n, 6) incl_prob, cast(NULL AS double) score "
@@ -92,7 +93,7 @@ REPLAY = f"{V.DRAW}, s AS (SELECT unit_id, any_value(cluster_id) cluster_id, avg
 
 @query(f"WITH {REPLAY} SELECT round(sum(c) / sum(d), 6) estimate, count(*) clusters, cast(0 AS bigint) faults FROM g")
 def q17_positions(spark, d):
-    replays = _replays(spark, d)
+    replays = durable(_replays(spark, d), "replays")
     population = replays.groupBy("cluster_id").agg(F.count_distinct("unit_id").alias("n_units"))
     return R(jobs.positions(replays, population, 20)["given_disagreement"], "estimate")
 

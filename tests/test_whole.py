@@ -157,3 +157,14 @@ def test_training_rows_come_from_one_pass_over_the_records(spark):
     assert not any("ExistingRDD" in shown(df) for df in made.values())
     told = {name: (df.count(), df.select("cluster_id").distinct().count(), round(df.selectExpr("sum(weight)").first()[0], 6)) for name, df in made.items() if name != "acceptance"}
     assert (told["train"][1:], told["validation"][1:]) == ((8, 8.0), (2, 2.0)) and told["train"][0] + told["validation"][0] == 100
+
+
+def test_positions_read_their_totals(spark):
+    from tessera.plans import jobs
+
+    replays = spark.createDataFrame([(k, f"c{k % 6}", 1.0, k % 2, (k % 4 == 1) + 0) for k in range(48)], "unit_id long, cluster_id string, incl_prob double, disagreement int, consequence int")
+    population = replays.groupBy("cluster_id").agg({"unit_id": "count"}).withColumnRenamed("count(unit_id)", "n_units")
+    made = jobs.positions(replays, population, 20)
+    assert not any("ExistingRDD" in shown(made[name]) for name in ("designed", "given_disagreement", "interval"))
+    assert made["given_disagreement"].first()["estimate"] == 0.5
+    assert "lineitem" not in shown(registry.queries()["q17_positions"](spark, "/root/testdata/sf0.001"))
