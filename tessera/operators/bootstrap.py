@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from tessera.functions.rng import draw
 from tessera.operators.single import with_values
 from tessera.session import ship
+from tessera.sources.shared import durable
 
 #: Clusters of a range, ranges that one row of work asks for, and keys whose arrays stand in one row.
 LEAF, CHUNK, KEYS = 1_024, 4_096, 64
@@ -104,9 +105,11 @@ def resampled(spark: SparkSession, table: DataFrame, n: int, keys: list[str], va
     rows = keyed.select(F.call_function("div", F.col("cluster_no").cast("long"), F.lit(LEAF)).alias("leaf"), block.alias("block"), "key", F.struct(at.alias("at"), *values).alias("v"))
     listed = rows.groupBy("leaf", "block", "key").agg(F.sort_array(F.collect_list("v")).alias("v"))  # at most LEAF of them
     size = F.least(F.lit(LEAF), F.lit(n) - F.col("leaf") * LEAF).cast("int")
-    held = F.map_from_entries(F.transform("v", lambda x: F.struct(x["at"], x)))
+    # zeros up to each cluster that has a row, and after the last: one step a cluster, no look-up
+    before = lambda k: F.coalesce(F.get("v", k - 1)["at"], F.lit(-1))
+    filled = lambda v: F.flatten(F.transform("v", lambda x, k: F.concat(F.array_repeat(F.lit(0.0), x["at"] - before(k) - 1), F.array(x[v]))))
     dense = lambda v: F.when(F.size("v") == size, F.transform("v", lambda x: x[v])).otherwise(
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(held, i)[v], F.lit(0.0))))
+        F.concat(filled(v), F.array_repeat(F.lit(0.0), size - 1 - F.element_at("v", -1)["at"])))
     packed = listed.select("leaf", "block", F.struct("key", *[dense(v).alias(v) for v in values]).alias("e")).groupBy("leaf", "block").agg(F.collect_list("e").alias("entries"))
     side = F.broadcast(packed) if n * max(distinct, 1) * len(values) <= MAX_BROADCAST else packed
     met = ranges(spark, replicates, n, seed, tag).join(side, "leaf").withColumn("hits", _hits(n, seed, tag))
@@ -176,6 +179,7 @@ def paired_js(spark, reference: DataFrame, selected: DataFrame, value: str, repl
     from tessera.operators.estimators import js_terms
 
     both = reference.withColumnRenamed("p", "a").join(selected.withColumnRenamed("p", "b"), [cluster, value], "full").na.fill(0.0, ["a", "b"])
+    both = durable(both, "distributions")  # numbered, counted, drawn from and added up
     clusters, n = _numbered(both.select(cluster).distinct(), cluster)
     coded = both.join(clusters, cluster)
     masses = resampled(spark, coded, n, [value], ["a", "b"], replicates, seed, "j").withColumns({"a": F.col("a") / n, "b": F.col("b") / n})

@@ -95,12 +95,16 @@ def representativeness(pool: DataFrame, selection: DataFrame, features: dict, re
 
     Both sides are held to the clusters that both have.
     """
-    chosen = pool.join(selection.select("unit_id"), "unit_id", "left_semi")
+    # written once, without texts; each feature's distributions and the interval's passes read them
+    slim = durable(pool.select("unit_id", "cluster_id", *[column.alias(f"__{k}") for k, column in enumerate(features.values())]), "pool")
+    chosen = durable(slim.join(selection.select("unit_id"), "unit_id", "left_semi"), "chosen")
     common = chosen.select("cluster_id").distinct()
     out = []
-    for name, column in features.items():
-        a, b = (E.cluster_pmf(x.join(common, "cluster_id", "left_semi").select("cluster_id", column.alias("v")), "v") for x in (pool, chosen))
-        out.append(bootstrap.paired_js(pool.sparkSession, a, b, "v", replicates, seed).select(F.lit(name).alias("feature"), "*"))
+    for k, name in enumerate(features):
+        a, b = (E.cluster_pmf(x.join(common, "cluster_id", "left_semi").select("cluster_id", F.col(f"__{k}").alias("v")), "v") for x in (slim, chosen))
+        made = durable(bootstrap.paired_js(pool.sparkSession, a, b, "v", replicates, seed), "divergence")
+        out.append(made.select(F.lit(name).alias("feature"), "*"))
+    discard(slim, chosen)
     return {"report": C.all_of(*out)}
 
 

@@ -73,3 +73,23 @@ def test_plan_for_a_million_clusters(spark):
     text = out.getvalue()
     assert len(text) < 40_000 and "Cartesian" not in text and "NestedLoop" not in text
     assert bootstrap.ranges(spark, 3, 1_000_000, 42, "c").count() == 3 * 977
+
+
+def test_clusters_without_a_keys_row_count_zero_without_look_ups(spark):
+    """Gaps at the start, inside and at the end of a range are filled in one step a cluster."""
+    import io
+    from contextlib import redirect_stdout
+
+    from tessera.operators import bootstrap
+
+    n, rows = 40, [(c, k, float(c + 1)) for k, there in {"x": range(3, 30, 4), "y": range(40), "z": [39], "w": [0, 1]}.items() for c in there]
+    made = bootstrap.resampled(spark, spark.createDataFrame(rows, "cluster_no int, key string, v double"), n, ["key"], ["v"], 6, 5)
+    out = io.StringIO()
+    with redirect_stdout(out):
+        made.explain()
+    assert "map_from_entries" not in out.getvalue() and "try_element_at" not in out.getvalue()
+    drawn, value, want = bootstrap.draws(spark, 6, n, 5).collect(), {(c, k): v for c, k, v in rows}, {}
+    for r in drawn:
+        for k in "xyzw":
+            want[r["rep"], k] = want.get((r["rep"], k), 0.0) + value.get((r["cluster_no"], k), 0.0)
+    assert {(r["rep"], r["key"]): r["v"] for r in made.collect()} == want
